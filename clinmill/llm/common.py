@@ -60,6 +60,16 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], It
     return df.mapInArrow(run, fields)
 
 
+def arrow_iter_udf(run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], schema: str):
+    """An Arrow UDF over a task's batches; other columns of the row stay in the JVM."""
+
+    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(batches)
+
+    f.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(f, schema)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; null counts as empty."""
     if col.null_count:
