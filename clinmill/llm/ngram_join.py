@@ -207,6 +207,7 @@ def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs that stay when one document of each class stays: the one with the smallest
     doc_id. Repeated rows of that doc_id stay once; rows without doc_id stay as they are."""
     cls = jaccard_classes(docs, **kw).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
-    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return some.join(cls, some["doc_id"] == cls["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    some = docs.where("doc_id is not null")
+    some = some.join(cls.hint("shuffle_hash"), some["doc_id"] == cls["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return some.unionByName(docs.where("doc_id is null"))
 
