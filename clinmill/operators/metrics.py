@@ -88,19 +88,31 @@ def brier(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("brier"))
 
 
+def _before(c: DataFrame, by: list[str], cols: list[str], desc: bool, parts: int = 1024) -> DataFrame:
+    """c (distinct scores p in 0..1) with before_<col>: sums over the scores that come first. Totals by
+    score range run first, so the inner windows each hold one range."""
+    c = c.withColumn("__b", F.floor(F.col("p") * parts))
+    o = (lambda x: F.desc(x)) if desc else (lambda x: F.asc(x))
+    prior = Window.unboundedPreceding
+    t = c.groupBy(*by, "__b").agg(*(F.sum(x).alias(x) for x in cols))
+    w = Window.partitionBy(*by).orderBy(o("__b")).rowsBetween(prior, -1)
+    t = t.select(*by, "__b", *(F.coalesce(F.sum(x).over(w), F.lit(0.0)).alias(f"__t_{x}") for x in cols))
+    inner = Window.partitionBy(*by, "__b").orderBy(o("p")).rowsBetween(prior, -1)
+    return c.join(t, [*by, "__b"]).withColumns({f"before_{x}": F.col(f"__t_{x}") + F.coalesce(F.sum(x).over(inner), F.lit(0.0)) for x in cols})
+
+
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """Exact area by rank sums with average ranks on ties; windows run over distinct scores."""
     c = df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    w = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
-    s = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    c = _before(c, by, ["neg"], desc=False)
+    s = c.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return s.select(*by, F.try_divide("u", F.col("np") * F.col("nn")).alias("auroc"))
 
 
 def avg_precision(df: DataFrame, by: list[str]) -> DataFrame:
     c = df.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumns({"tp": F.sum("pos").over(w), "k": F.sum("n").over(w)})
+    c = _before(c, by, ["pos", "n"], desc=True)
+    c = c.withColumns({"tp": F.col("before_pos") + F.col("pos"), "k": F.col("before_n") + F.col("n")})
     s = c.groupBy(*by).agg(F.sum(F.col("tp") / F.col("k") * F.col("pos")).alias("a"), F.sum("pos").alias("np"))
     return s.select(*by, F.try_divide("a", "np").alias("avg_precision"))
 

@@ -19,12 +19,13 @@ def char_freq(df: DataFrame, tokens: Column) -> DataFrame:
 def build_vocab(freq: DataFrame, min_freq: int = 1, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """(token, id, freq) by falling frequency, then token, after the reserved ids.
 
-    Ids come from counts per frequency and ranks inside each, so no task orders the vocabulary."""
-    f = freq.where((F.col("freq") >= min_freq) & ~F.col("token").isin(*specials))
-    above = f.groupBy("freq").agg(F.count("*").alias("n"))
-    before = above.select("freq", (F.sum("n").over(Window.orderBy(F.desc("freq"))) - F.col("n")).alias("before"))  # over distinct counts
-    inside = F.row_number().over(Window.partitionBy("freq").orderBy("token"))
-    ids = f.join(before, "freq").select("token", (F.col("before") + inside - 1 + len(specials)).cast("long").alias("id"), "freq")
+    Ids are counts of earlier (frequency, first two letters) cells plus ranks inside the cell, so no
+    task orders the whole vocabulary."""
+    f = freq.where((F.col("freq") >= min_freq) & ~F.col("token").isin(*specials)).withColumn("head", F.substring("token", 1, 2))
+    cells = f.groupBy("freq", "head").agg(F.count("*").alias("n"))
+    before = cells.select("freq", "head", (F.sum("n").over(Window.orderBy(F.desc("freq"), "head")) - F.col("n")).alias("before"))  # over cells
+    inside = F.row_number().over(Window.partitionBy("freq", "head").orderBy("token"))
+    ids = f.join(before, ["freq", "head"]).select("token", (F.col("before") + inside - 1 + len(specials)).cast("long").alias("id"), "freq")
     head = freq.sparkSession.createDataFrame([(s, k, 0) for k, s in enumerate(specials)], "token string, id long, freq long")
     return ids.unionByName(head)
 
