@@ -31,7 +31,7 @@ def repeated_words(w: Column, n: int = 5) -> Column:
         return F.aggregate(p, F.struct(F.lit(-n).alias("last"), F.lit(0).alias("n")), step)["n"]
 
     def positions(z):
-        before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(z, lambda x: x["h"]))
+        before = F.concat(F.array(F.lit(None).cast("bigint")), F.transform(F.slice(z, 1, F.size(z) - 1), lambda x: x["h"]))
         after = F.concat(F.slice(F.transform(z, lambda x: x["h"]), 2, F.size(z)), F.array(F.lit(None).cast("bigint")))
         flags = F.zip_with(F.zip_with(z, before, lambda x, b: F.struct(x["h"].alias("h"), x["i"].alias("i"), x["h"].eqNullSafe(b).alias("t"))), after, lambda x, a: F.struct(x["i"].alias("i"), (x["t"] | x["h"].eqNullSafe(a)).alias("t")))
         return F.array_sort(F.transform(F.filter(flags, lambda x: x["t"]), lambda x: x["i"]))
