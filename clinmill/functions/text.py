@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def fix_mojibake(c) -> Column:
 
 
 def _nfkc():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")
@@ -181,5 +180,9 @@ def segmented_terms(spans) -> Column:
 def char_ngrams(word, lo: int = 3, hi: int = 5) -> Column:
     """Character n-grams of a word padded by a space on either side."""
     w = F.concat(F.lit(" "), _c(word), F.lit(" "))
-    size = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
-    return F.flatten(F.array(*(F.filter(size(n), lambda x, n=n: F.length(x) == n) for n in range(lo, hi + 1))))
+
+    def of(n: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))
+        return F.filter(grams, lambda x: F.length(x) == n)
+
+    return F.flatten(F.array(*(of(n) for n in range(lo, hi + 1))))

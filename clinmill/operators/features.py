@@ -87,7 +87,12 @@ def mutual_information(df: DataFrame, feats: list[str], y: str, bins: int = 16)
     edges = df.agg(*(F.percentile(c, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias(c) for c in feats))
     e = edges.select(*(F.array_distinct(c).alias(f"__e_{c}") for c in feats))
     j = df.select(y, *(F.col(c).cast("double").alias(c) for c in feats)).join(F.broadcast(e))
-    b = j.select(F.col(y).cast("string").alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNull(), bins + 1).otherwise(F.size(F.filter(f"__e_{c}", lambda x, c=c: x <= F.col(c)))).alias("b")) for c in feats))).alias("x")).select("y", "x.*")
+
+    def binned(c: str) -> Column:
+        below = F.size(F.filter(f"__e_{c}", lambda x: x <= F.col(c)))
+        return F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNull(), bins + 1).otherwise(below).alias("b"))
+
+    b = j.select(F.col(y).cast("string").alias("y"), F.explode(F.array(*(binned(c) for c in feats))).alias("x")).select("y", "x.*")
     n = b.groupBy("feature", "b", "y").agg(F.count("*").alias("n"))
     w = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
     t = n.withColumns({"nb": w("b"), "ny": w("y"), "nn": w()})
