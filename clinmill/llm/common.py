@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; temporaries take about 40 times as much.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U = np.uint64
 _own: dict[str, str] = {}
 
@@ -52,6 +54,7 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], It
     arrow = to_arrow_schema(fields)
 
     def run(batches):
+        fresh()
         f = make()
         for batch in batches:
             for out in f(batch):
@@ -64,6 +67,7 @@ def arrow_iter_udf(run: Callable[[Iterator[pa.Array]], Iterator[pa.Array]], sche
     """An Arrow UDF over a task's batches; other columns of the row stay in the JVM."""
 
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fresh()
         yield from run(batches)
 
     f.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -108,17 +112,26 @@ HEAD = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 
 _BASE = 0x9E3779B97F4A7C15
 RAND = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_pow = [np.ones(1, U), np.ones(1, U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
+    """Powers of the base and of its inverse. They are kept with the interpreter, not with this
+    module's globals, of which every task has a copy."""
+    kept = sys.__dict__.setdefault("_clinmill_powers", [np.ones(1, U), np.ones(1, U)])
+    if len(kept[0]) < n:
         size = 1 << max(12, (n - 1).bit_length())
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, U)
             p[0] = 1
-            _pow[k] = np.multiply.accumulate(p)
-    return _pow[0], _pow[1]
+            kept[k] = np.multiply.accumulate(p)
+    return kept[0], kept[1]
+
+
+def fresh() -> None:
+    """Free what earlier tasks of this worker have left: their functions and globals refer to each other, so
+    only the collector frees them. Arrow then takes memory from the system allocator, which gives it back."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    gc.collect()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

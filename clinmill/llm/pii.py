@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_iter_udf, over_batches, stored, utf8
+from .common import arrow_iter_udf, over_batches, slices, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns of the base rules.
@@ -390,21 +390,24 @@ def _find(model: Model):
 
 
 def _batches(model: Model, make, kind: pa.DataType):
+    """Batch function that makes a value of each text; works on slices, so its memory is a slice's."""
+
     def run(batches):
         find = _find(model)
         hot = np.zeros(256, bool)
         hot[[64, *range(48, 58)]] = True
         for col in batches:
             data, offs = utf8(col)
-            marks = np.concatenate(([0], np.cumsum(hot[data])))
-            have = np.flatnonzero(marks[offs[1:]] > marks[offs[:-1]])
-            rows = [make("", [], [])] * len(col) if kind != pa.string() else col.to_pylist()
-            for i in range(0, len(have), 256):
-                part = have[i : i + 256].tolist()
-                texts = [data[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "surrogatepass") for k in part]
-                for k, t, (base, more) in zip(part, texts, find(texts), strict=True):
+            done = []
+            for i, j in slices(offs):
+                part, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+                row = np.unique(np.searchsorted(o, np.flatnonzero(hot[part]), "right") - 1).tolist()
+                rows = [make("", [], [])] * (j - i) if kind != pa.string() else col.slice(i, j - i).to_pylist()
+                texts = [part[o[k] : o[k + 1]].tobytes().decode("utf-8", "surrogatepass") for k in row]
+                for k, t, (base, more) in zip(row, texts, find(texts), strict=True):
                     rows[k] = make(t, base, more)
-            yield pa.array(rows, kind)
+                done.append(pa.array(rows, kind))
+            yield pa.concat_arrays(done) if done else pa.array([], kind)
 
     return run
 
