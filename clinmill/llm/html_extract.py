@@ -181,8 +181,11 @@ def main_text(html: str) -> tuple[str, int, int]:
 
 def _run(batches):
     for col in batches:
-        rows = [main_text(x.as_py() or "") for x in col]
-        yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["text", "n_kept", "n_lines"])
+        done = []
+        for i in range(0, len(col), 256):
+            rows = [main_text(x or "") for x in col.slice(i, 256).to_pylist()]
+            done.append(pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["text", "n_kept", "n_lines"]))
+        yield pa.concat_arrays(done) if done else pa.array([], pa.struct([("text", pa.string()), ("n_kept", pa.int64()), ("n_lines", pa.int64())]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
