@@ -50,21 +50,31 @@ def _bench(batch):
 
 
 def _filter_bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the benchmark's seeds, merged in the cluster: at most 2**MOST_BITS bits reach the
-    driver however large the benchmark is (a full map only lets more rows through to the join)."""
+    """A bitmap with two bits for each of the benchmark's seeds (their top and their low bits), merged in
+    the cluster: at most 2**MOST_BITS bits reach the driver however large the benchmark is. A full
+    map only lets more rows through to the join."""
     n = keys.select("key").distinct().count()
-    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(n, 1) * 64)))))
-    slot = F.shiftrightunsigned("key", 64 - bits)
-    rows = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("b")).toPandas()
+    bits = int(min(MOST_BITS, max(16, np.ceil(np.log2(max(n, 1) * 1024)))))
+    slots = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
+    one = keys.select(F.explode(slots).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    rows = one.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.view(U)
 
 
+def _in_bits(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Positions of keys whose two bits are set."""
+    bits = (len(table) * 64).bit_length() - 1
+    get = lambda slot: (table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1)
+    first = np.flatnonzero(get(key >> U(64 - bits)))
+    return first[np.flatnonzero(get(key[first] & U((1 << bits) - 1)))]
+
+
 def _scan(bitmap):
     def make():
         table = bitmap.value
-        shift = U(64 - (len(table) * 64).bit_length() + 1)
 
         def f(batch):
             data, offs = utf8(batch["text"])
@@ -73,8 +83,7 @@ def _scan(bitmap):
             for i, j in slices(offs):
                 h, row, _, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_ALNUM, FOLD)
                 key, at = seeds(h, row)
-                slot = key >> shift
-                hit = np.flatnonzero((table[(slot >> U(6)).astype(np.int64)] >> (slot & U(63))) & U(1))
+                hit = _in_bits(table, key)
                 if not len(hit):
                     continue
                 hit = hit[np.argsort(at[hit], kind="stable")]

@@ -172,3 +172,14 @@ def test_repeated_passages_edges(edge):
     assert substring.without_repeats(edge).count() == edge.count()
     same = edge.where("doc_id = 7").unionByName(edge.where("doc_id = 7").selectExpr("99L doc_id", "text", "lang", "source", "n_chars", "spans", "bands", "digest"))
     assert {r["doc_id"] for r in substring.repeated_passages(same).collect()} == {7, 99}
+
+
+def test_bitmap_has_all_seeds(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    keys = r.integers(-(1 << 62), 1 << 62, 500) * 2 + 1
+    bits = decontam._filter_bits(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert len(decontam._in_bits(bits, keys.astype(np.int64).view(np.uint64))) == 500
+    other = r.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    assert len(decontam._in_bits(bits, other)) < 20
