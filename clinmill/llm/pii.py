@@ -348,7 +348,7 @@ def _labelled(batch):
         starts = tile(cls)
         at = starts[:, None] + np.arange(WINDOW)
         t = np.where((at >= 0) & (at < len(tag)), tag[np.clip(at, 0, len(tag) - 1)], 0)
-        out["key"] += [int(doc) * 1_000_003 + x for x in starts.tolist()]
+        out["key"] += [(int(doc) * 1_000_003 + x) % (1 << 63) for x in starts.tolist()]
         out["ids"] += window_ids(cls, starts).tolist()
         out["tags"] += t.tolist()
     yield out

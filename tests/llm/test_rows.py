@@ -295,10 +295,21 @@ def test_mixing_counts_and_edges(spark, make_docs, edge):
     assert set(mixing.mixed(edge).columns) == {*edge.columns, "copy", "place"}
 
 
+def test_pii_fit_takes_any_id(spark, make_docs):
+    docs = make_docs(["mail a@b.cc and 10.0.0.1 here", None, ""], first=(1 << 62))
+    assert len(pii.fit(docs).arrays()) == 4
+    assert len(pii.fit(docs.limit(0)).arrays()) == 4
+
+
 # ---- edge tables
 
 
-@pytest.mark.parametrize("f", [secrets.secret_report, quality.quality_report, licenses.license_report, lambda d: pii.pii_report(d, pii.Model.new(0))])
+def _toxicity(d):
+    labels = d.sparkSession.createDataFrame([(2, 1, 1), (4, 1, 0), (4, 1, 0), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    return toxicity.toxicity_report(d, labels)
+
+
+@pytest.mark.parametrize("f", [_toxicity, secrets.secret_report, quality.quality_report, licenses.license_report, lambda d: pii.pii_report(d, pii.Model.new(0))])
 def test_edge_rows(edge, f):
     got = f(edge).collect()
     assert len(got) == edge.count()
