@@ -20,8 +20,8 @@ PREFIX_LENGTHS = (4, 5, 6, 7)
 #: A learned threshold of the score from which a document counts as toxic (fixed by the contract).
 TOXIC = 0.7
 FEATURES = 5
-#: Terms of the lexicon that may be misspelled: the best ones, so that the automaton stays small.
-INEXACT = 60
+#: Terms and stems of one automaton; a larger lexicon makes more automata, not larger ones.
+PART = 24
 
 
 def budget(term: str) -> int:
@@ -29,104 +29,104 @@ def budget(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
-@dataclass
-class Automaton:
-    """A byte automaton that accepts words within each term's edit budget; stems accept any ending.
+#: Edits of what is no term.
+FAR = 99
+
+
+def _part(entries: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(step, classes, accept, settled) of the automaton of a few (term, is a stem).
 
-    Its states are the reachable sets of (trie node, edits so far): the trie of the lexicon run in
-    step with the Levenshtein automata of its terms. State 0 is dead, state 1 the start.
+    Its states are the reachable sets of (trie node, edits so far), with the edits of the best stem that the
+    word begins with: the trie run in step with the Levenshtein automata of its terms. State 1 is the start;
+    no letter leads out of a settled one.
     """
+    kids: list[dict[int, int]] = [{}]
+    most, ends, heads = [0], [-1], [-1]
+    for t, stem in entries:
+        node, b = 0, budget(t)
+        most[0] = max(most[0], b)
+        for c in t.encode():
+            if c not in kids[node]:
+                kids[node][c] = len(kids)
+                kids.append({})
+                for x in (most, ends, heads):
+                    x.append(-1)
+            node = kids[node][c]
+            most[node] = max(most[node], b)
+        last = heads if stem else ends
+        last[node] = max(last[node], b)
+    letters = sorted({c for k in kids for c in k})
+    classes = np.zeros(256, np.int64)
+    classes[letters] = np.arange(1, len(letters) + 1)
+
+    def key(best: int, s: dict[int, int]) -> tuple[int, tuple]:
+        todo = list(s)
+        while todo:  # a letter of the term that the word leaves out
+            node = todo.pop()
+            for kid in kids[node].values():
+                e = s[node] + 1
+                if e <= most[kid] and e < s.get(kid, FAR):
+                    s[kid] = e
+                    todo.append(kid)
+        best = min([best, *(e for node, e in s.items() if e <= heads[node])])
+        return best, tuple(sorted((node, e) for node, e in s.items() if e < best))
+
+    start = key(FAR, {0: 0})
+    index, queue = {(FAR, ()): 0, start: 1}, [start]
+    rows = {0: [0] * (len(letters) + 1)}
+    while queue:
+        state = queue.pop()
+        best, nodes = state
+        follow = {c for node, _ in nodes for c in kids[node]}
+        row = [0] * (len(letters) + 1)
+        for k, c in enumerate([-1, *letters]):
+            if k and c not in follow:
+                row[k] = row[0]
+                continue
+            nxt: dict[int, int] = {}
+            for node, e in nodes:
+                if e + 1 <= most[node]:  # a letter that the term lacks
+                    nxt[node] = min(e + 1, nxt.get(node, FAR))
+                for letter, kid in kids[node].items():
+                    d = e + (letter != c)
+                    if d <= most[kid]:
+                        nxt[kid] = min(d, nxt.get(kid, FAR))
+            to = key(best, nxt)
+            if to not in index:
+                index[to] = len(index)
+                queue.append(to)
+            row[k] = index[to]
+        rows[index[state]] = row
+    accept = [min([best, *(e for node, e in nodes if e <= ends[node])]) for best, nodes in index]
+    step = np.array([rows[k] for k in range(len(index))], np.int32)
+    return step, classes, np.array(accept, np.int64), np.array([not nodes for _, nodes in index])
+
+
+@dataclass
+class Automaton:
+    """Byte automata that accept words within each term's edit budget; stems accept, within theirs, any ending."""
 
-    step: np.ndarray
-    classes: np.ndarray
-    accept: np.ndarray  # -1, or edits of the best term
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
     def build(terms: list[str], stems: list[str]) -> Automaton:
-        kids: list[dict[int, int]] = [{}]
-        most, ends, stem = [0], [-1], [False]
-
-        def add(t: str, b: int, is_stem: bool):
-            node = 0
-            most[0] = max(most[0], b)
-            for c in t.encode():
-                if c not in kids[node]:
-                    kids[node][c] = len(kids)
-                    kids.append({})
-                    most.append(0)
-                    ends.append(-1)
-                    stem.append(False)
-                node = kids[node][c]
-                most[node] = max(most[node], b)
-            ends[node] = max(ends[node], b)
-            stem[node] |= is_stem
-
-        for k, t in enumerate(terms):
-            add(t, budget(t) if k < INEXACT else 0, False)
-        for t in stems:
-            add(t, 0, True)
-        letters = sorted({c for k in kids for c in k})
-        classes = np.zeros(256, np.int64)
-        classes[letters] = np.arange(1, len(letters) + 1)
-
-        def close(s: dict[int, int]) -> dict[int, int]:
-            todo = list(s)
-            while todo:  # a letter of the term that the word leaves out
-                node = todo.pop()
-                for kid in kids[node].values():
-                    e = s[node] + 1
-                    if e <= most[kid] and e < s.get(kid, 99):
-                        s[kid] = e
-                        todo.append(kid)
-            return s
-
-        found = "stem"
-        start = tuple(sorted(close({0: 0}).items()))
-        index, queue = {(): 0, start: 1, found: 2}, [start]
-        rows = {0: [0] * (len(letters) + 1), 2: [2] * (len(letters) + 1)}
-        while queue:
-            state = queue.pop()
-            row = []
-            for c in [-1, *letters]:
-                nxt: dict[int, int] = {}
-
-                def put(node: int, e: int, nxt=nxt):
-                    if e <= most[node] and e < nxt.get(node, 99):
-                        nxt[node] = e
-
-                hit = False
-                for node, e in state:
-                    put(node, e + 1)  # a letter that the term lacks
-                    for letter, kid in kids[node].items():
-                        same = letter == c
-                        put(kid, e + (not same))
-                        hit |= same and e == 0 and stem[kid]
-                key = found if hit else tuple(sorted(close(nxt).items()))
-                if key not in index:
-                    index[key] = len(index)
-                    queue.append(key)
-                row.append(index[key])
-            rows[index[state]] = row
-        accept = np.full(len(index), -1, np.int64)
-        for key, k in index.items():
-            if key == found:
-                accept[k] = 0
-            else:
-                accept[k] = min((e for node, e in key if ends[node] >= e), default=-1)
-        return Automaton(np.array([rows[k] for k in range(len(index))], np.int32), classes, accept)
+        entries = sorted([(t, False) for t in terms] + [(t, True) for t in stems])
+        return Automaton([_part(entries[k : k + PART]) for k in range(0, len(entries), PART)])
 
     def run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Edits of the best term for each word data[start:end], or -1. All words step together."""
-        state = np.ones(len(start), np.int32)
-        live = np.arange(len(start))
-        cls, at = self.classes[FOLD], 0
-        while len(live):
-            live = live[start[live] + at < end[live]]
-            state[live] = self.step[state[live], cls[data[start[live] + at]]]
-            live = live[state[live] > 0]
-            live = live[state[live] != 2]
-            at += 1
-        return self.accept[state]
+        edits = np.full(len(start), FAR, np.int64)
+        for step, classes, accept, settled in self.parts:
+            state = np.ones(len(start), np.int32)
+            live = np.arange(len(start))
+            cls, at = classes[FOLD], 0
+            while len(live):
+                live = live[start[live] + at < end[live]]
+                state[live] = step[state[live], cls[data[start[live] + at]]]
+                live = live[~settled[state[live]]]
+                at += 1
+            edits = np.minimum(edits, accept[state])
+        return np.where(edits < FAR, edits, -1)
 
 
 @dataclass
@@ -146,7 +146,7 @@ class Model:
 def _hits(model: Model):
     """f(data, offs) -> (row, exact, quoted, hostile, word number, start, end) of each hit and words per row."""
     auto = model.auto
-    benign = {int(hash_words(w)[0]) for w in model.benign}
+    benign = hash_words(" ".join(model.benign))
     report = np.array([hash_words(w)[0] for w in REPORTING])
     address = np.array([hash_words(w)[0] for w in ADDRESSING])
 
@@ -158,9 +158,7 @@ def _hits(model: Model):
             return n, z, z, z, z, z, z, z
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
         edits = auto.run(data, s[first], e[first])
-        for k in np.flatnonzero(edits > 0):
-            if int(uniq[k]) in benign:
-                edits[k] = -1
+        edits[(edits > 0) & np.isin(uniq, benign)] = -1
         per = edits[back]
         at = np.flatnonzero(per >= 0)
         if not len(at):
@@ -254,13 +252,13 @@ def _terms(batch):
     yield {"term": t, "stem": p, "toxic": y}
 
 
-def learn_lexicon(rows: DataFrame, most_terms: int = 100, least: int = 3) -> tuple[list[str], list[str]]:
+def learn_lexicon(rows: DataFrame, least: int = 3) -> tuple[list[str], list[str]]:
     """(whole words, stems) that mark toxic texts, best first.
 
     A term counts if its G-squared against the base rate is beyond what the best of as many harmless
     terms would reach by chance, 2 ln(terms). A word beginning becomes a stem if clearly more
-    toxic texts hold it than any one of its words. Counting runs in the cluster; of the terms that pass,
-    at most 20 for each wanted one come to the driver.
+    toxic texts hold it than any one of its words. Counting runs in the cluster; the terms that pass, a
+    part of the words of the training rows, come to the driver.
     """
     total = rows.agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     pos, neg = float(total["p"] or 0), float(total["n"] - (total["p"] or 0))
@@ -273,7 +271,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 100, least: int = 3) -> tup
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     g2 = 2 * (a * F.log(a / ((a + b) * rate)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - rate)))).otherwise(F.lit(0.0)))
     good = count.where((F.col("a") >= least) & (a / pos > 20 * (b + 0.02) / neg)).withColumn("g2", g2).where(F.col("g2") >= evidence)
-    found = good.orderBy(F.desc("g2"), F.length("term"), "term").limit(20 * most_terms).toPandas()
+    found = good.orderBy(F.desc("g2"), F.length("term"), "term").toPandas()
     whole = found[found["stem"] == 0].set_index("term")["a"].to_dict()
     heads = found[found["stem"] == 1].set_index("term")["a"].to_dict()
     stems: list[str] = []
@@ -283,7 +281,7 @@ def learn_lexicon(rows: DataFrame, most_terms: int = 100, least: int = 3) -> tup
             # the longest beginning that as many texts hold says the same and matches less else
             stems.append(max((x for x, k in heads.items() if x.startswith(t) and k >= 0.98 * n), key=len))
     terms = [w for w in whole if not any(w.startswith(x) for x in stems)]
-    return terms[:most_terms], stems[:most_terms]
+    return terms, stems
 
 
 def _near_words(model: Model):
@@ -326,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Model:
     terms, stems = learn_lexicon(rows)
     model = Model(terms, stems)
     near = over_batches(rows, _near_words(model), "word string, toxic int").groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("clean")).where("clean > 0")
-    model.benign = [r["word"] for r in near.orderBy(F.desc("clean"), "word").limit(10_000).collect()]
+    model.benign = [r["word"] for r in near.orderBy(F.desc("clean"), "word").collect()]
     data = over_batches(rows, _train_features(model), "x array<double>, toxic int").toPandas()
     model.weights = logistic(np.array(data["x"].tolist()).reshape(len(data), FEATURES), data["toxic"].to_numpy(float)).tolist()
     return model

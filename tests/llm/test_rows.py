@@ -257,6 +257,46 @@ def test_automaton_is_edit_distance():
         assert e == want, w
 
 
+def test_every_term_and_stem_may_be_misspelled():
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    terms, stems = [name(r.randint(5, 12)) for _ in range(130)], [name(r.randint(4, 7)) for _ in range(40)] + ["achlich", "réeux"]
+    auto = toxicity.Automaton.build(terms, stems)
+    assert len(auto.parts) > 1
+    ws = ["achlichkeit", "achlihkeit", "acchlichung", "achl", "réeuxment", "réuxment", "rxeuxment", *terms]
+    for t in [*terms, *stems]:
+        w = list(t)
+        k = r.randrange(len(w))
+        w[k : k + r.randint(0, 1)] = r.choice(["", "7"])
+        ws += ["".join(w) or "q", "".join(w) + "7xy7"]
+    data = np.frombuffer(" ".join(ws).encode(), np.uint8)
+    end = np.cumsum([len(w.encode()) + 1 for w in ws]) - 1
+    got = auto.run(data, end - [len(w.encode()) for w in ws], end)
+    for w, e in zip(ws, got.tolist(), strict=True):
+        x = w.encode()
+        d = [d for t in terms if (d := edit_distance(x, t.encode())) <= toxicity.budget(t)]
+        d += [d for t in stems if (d := min(edit_distance(x[:k], t.encode()) for k in range(len(x) + 1))) <= toxicity.budget(t)]
+        assert e == min(d, default=-1), w
+    assert got[:3].tolist() == [0, 1, 1]
+
+
+def test_lexicon_is_not_cut(spark):
+    import random
+
+    from .conftest import words
+
+    bad = sorted({w for w in words(900, 5) if len(w) == 8})[:140]
+    assert len(bad) == 140
+    r = random.Random(6)
+    rows = [(" ".join(words(20, k) + (r.sample(bad, 28) if k % 2 else [])), k % 2) for k in range(300)]
+    terms, stems = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert set(bad) == {t for t in bad if t in terms or any(t.startswith(x) for x in stems)} and len(terms) > 100
+
+
 def test_toxicity_held_out_accuracy(spark, make_docs):
     from .conftest import words
 
