@@ -15,8 +15,6 @@ from .common import FOLD, NOT_ALNUM, U, hash_words, mix, over_batches, slices, s
 MASKS = ("1110110110111", "1101011100111011", "111100101101111")
 #: Bits of the largest membership filter: 64 MB, whatever the size of the benchmark.
 MOST_BITS = 29
-#: Tokens kept on either side of hits for verification, and the longest stretch of a segment.
-PAD, LONGEST = 96, 512
 
 
 def seeds(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +77,6 @@ def _scan(bitmap):
         def f(batch):
             data, offs = utf8(batch["text"])
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            out = {k: [] for k in ("doc_id", "seg", "seg_at", "tokens", "keys", "ats")}
             for i, j in slices(offs):
                 h, row, _, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_ALNUM, FOLD)
                 key, at = seeds(h, row)
@@ -88,24 +85,18 @@ def _scan(bitmap):
                     continue
                 hit = hit[np.argsort(at[hit], kind="stable")]
                 key, at = key[hit].view(np.int64), at[hit]
-                new = np.ones(len(at), bool)
-                new[1:] = (row[at[1:]] != row[at[:-1]]) | (at[1:] - at[:-1] > PAD)
-                first = np.flatnonzero(new)
-                long = at - at[first][np.cumsum(new) - 1]
-                new[1:] |= (long[1:] // LONGEST) != (long[:-1] // LONGEST)
-                first = np.append(np.flatnonzero(new), len(at))
+                first = np.append(np.flatnonzero(np.diff(row[at], prepend=-1)), len(at))
+                out = {k: [] for k in ("doc_id", "seg", "tokens", "keys", "ats")}
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     r = row[at[a]]
-                    lo = max(int(np.searchsorted(row, r)), at[a] - PAD)
-                    hi = min(int(np.searchsorted(row, r, "right")), at[b - 1] + PAD + 16)
+                    lo, hi = np.searchsorted(row, (r, r + 1))
                     t = h[lo:hi].tobytes()
                     out["doc_id"].append(int(ids[i + r]))
-                    out["seg"].append(hashlib.md5(t + key[a:b].tobytes()).digest())
-                    out["seg_at"].append(int(lo - np.searchsorted(row, r)))
+                    out["seg"].append(hashlib.md5(t).digest())
                     out["tokens"].append(t)
                     out["keys"].append(key[a:b].tolist())
                     out["ats"].append((at[a:b] - lo).tolist())
-            yield out
+                yield out
 
         return f
 
@@ -133,8 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 16, mi
 
     Tokens are runs of letters and digits, ASCII case folded. Every spaced seed of every document
     is looked up in a bounded bitmap of the benchmark's seeds; the few that pass, false positives
-    included, are joined with the benchmark by hash. Overlaps are verified once per distinct
-    stretch of text, so copies cost one row each. Null texts count as empty; rows without doc_id or
+    included, are joined with the benchmark by hash. An overlap is verified over the whole item and the whole
+    document, however long, once per distinct text, so copies cost one row each; of equal ones the first counts. Null texts count as empty; rows without doc_id or
     item_id are left out; repeated rows give one row. Items under 13 tokens have no seed and match
     nothing. An empty benchmark gives no rows. Other columns are ignored.
     """
@@ -143,24 +134,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 16, mi
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     keys = stored(over_batches(items, lambda: _bench, "item_id long, key long, item_at int"))
     bitmap = sc.broadcast(_filter_bits(keys))
-    seg = stored(over_batches(docs, _scan(bitmap), "doc_id long, seg binary, seg_at int, tokens binary, keys array<long>, ats array<int>"))
+    seg = stored(over_batches(docs, _scan(bitmap), "doc_id long, seg binary, tokens binary, keys array<long>, ats array<int>"))
     one = seg.groupBy("seg").agg(F.first("tokens").alias("tokens"), F.first("keys").alias("keys"), F.first("ats").alias("ats"))
     hit = one.select("seg", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select("seg", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"))
     cand = hit.join(keys, "key").groupBy("seg", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
 
-    @F.pandas_udf("n_equal int, item_from int, item_to int, n_item int, at int")
-    def verify(tokens: pd.Series, shifts: pd.Series, text: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("n_equal int, item_from int, item_to int, n_item int, doc_at int")
+    def verify(tokens: pd.Series, lo: pd.Series, shifts: pd.Series, text: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, ss, x in zip(tokens, shifts, text, strict=True):
+        for t, at, ss, x in zip(tokens, lo, shifts, text, strict=True):
             d, it = np.frombuffer(t, U), hash_words(x or "")
-            n, a, b, s = max((*overlap(d, it, int(s)), int(s)) for s in ss)
-            rows.append((n, a, b, len(it), a + s))
-        return pd.DataFrame(rows, columns=["n_equal", "item_from", "item_to", "n_item", "at"])
-
-    seen = cand.join(one.select("seg", "tokens"), "seg").join(items, "item_id").select("seg", "item_id", verify("tokens", "shifts", "text").alias("v")).select("seg", "item_id", "v.*")
+            n, to, a, b = max((n, -a - int(s), a, b) for s in ss for n, a, b in [overlap(d, it, int(s) - at)])
+            rows.append((n, a, b, len(it), -to))
+        return pd.DataFrame(rows, columns=["n_equal", "item_from", "item_to", "n_item", "doc_at"])
+
+    # only the tokens that the item can lie on, of 8 bytes each; an item has fewer tokens than bytes
+    lo = F.greatest(F.lit(0), F.array_min("shifts"))
+    reach = F.array_max("shifts") + F.octet_length("text") - lo
+    pairs = cand.join(one.select("seg", "tokens"), "seg").join(items, "item_id").withColumn("lo", lo)
+    seen = pairs.select("seg", "item_id", verify(F.substring("tokens", 8 * F.col("lo") + 1, 8 * reach), "lo", "shifts", "text").alias("v")).select("seg", "item_id", "v.*")
     seen = seen.where((F.col("n_equal") >= F.least(F.lit(min_tokens), F.greatest(F.lit(13), F.col("n_item")))) & (F.col("n_equal") >= min_share * F.col("n_item")))
-    out = seg.select("doc_id", "seg", "seg_at").join(seen, "seg")
-    best = F.max_by(F.struct("n_equal", "item_from", "item_to", "n_item", (F.col("seg_at") + F.col("at")).alias("doc_at")), F.struct("n_equal", -F.col("seg_at")))
+    out = seg.select("doc_id", "seg").join(seen, "seg")
+    best = F.max_by(F.struct("n_equal", "item_from", "item_to", "n_item", "doc_at"), F.struct("n_equal", -F.col("doc_at")))
     return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 

@@ -115,6 +115,20 @@ def test_contaminated(spark, make_docs):
     assert left.columns == make_docs(texts).columns
 
 
+def test_contaminated_long_items(spark, make_docs):
+    """An item of 3,000 tokens: copied whole, with every tenth token changed over a long stretch, half of it, and too little."""
+    long, short = words(3000, 300), words(40, 301)
+    other = [words(700, 400 + k) for k in range(4)]
+    worn = [f"s{k}" if 500 < k < 2500 and k % 10 == 0 else w for k, w in enumerate(long)]
+    texts = [other[0] + long + other[1], other[2] + worn, long[700:2300] + other[3], other[1] + long[:1400] + other[2], short + other[0] + short, other[3]]
+    got = {(x["doc_id"], x["item_id"]): x for x in decontam.contaminated(make_docs([" ".join(t) for t in texts]), bench(spark, [" ".join(long), " ".join(short)])).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (5, 1)}
+    assert [got[1, 0][c] for c in ("n_equal", "item_from", "item_to", "n_item", "doc_at")] == [3000, 0, 3000, 3000, 700]
+    assert got[2, 0]["n_equal"] == sum(a == b for a, b in zip(long, worn, strict=True)) and got[2, 0]["doc_at"] == 700
+    assert (got[3, 0]["n_equal"], got[3, 0]["item_from"], got[3, 0]["doc_at"]) == (1600, 700, 0)
+    assert got[5, 1]["n_equal"] == 40 and got[5, 1]["doc_at"] == 0
+
+
 def test_contaminated_edges(spark, edge):
     b = bench(spark, ["plain words only here", None, "", " ".join(words(30, 8))])
     assert decontam.contaminated(edge, b).count() == 0
