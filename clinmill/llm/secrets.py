@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: A maximal run of key characters that holds a digit and a letter.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,4096}[0-9])(?=[0-9+/_=-]{0,4096}[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
+#: A maximal run of key characters; whether it holds a digit and a letter is asked afterwards.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Runs that look random and are no secret: UUIDs, counters of one repeated character, alphabets in
-#: order, paths of plain words, and documented placeholders.
+#: order, and documented placeholders.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(.)\1{7,}",
     r"(?i)0123456789|abcdefghij|qwertyuiop",
-    r"^[A-Za-z]*(?:[/_-]+(?:[A-Za-z]+|[0-9]{1,4}))+[/_-]*$",
     r"(?i)example|placeholder|your_?(?:key|token)",
 )
+#: What a path, name or date of plain words and short numbers doesn't hold.
+NO_PATH = r"[+=]|[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 #: Window length and bits per character from which a window counts as random, by character class.
 CLASSES = {"hex": (20, 2.9), "alnum": (20, 3.8), "base64": (20, 3.9)}
-_LOW, _HIGH = 43, 122  # '+' to 'z'
+_BLOCK = 128
 
 
 def let(value: Column, body) -> Column:
@@ -31,78 +32,98 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def before(values: Column, zero: Column, op) -> Column:
+    """At each place op over all earlier values, zero at the first: blocks are folded on their own, then their
+    results, so that no step copies an array that grows with the text."""
+    fold = lambda x: F.aggregate(x, zero, op)
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def inside(blocks):
+        def at(block, i, total):
+            return let(fold(F.slice(total, F.lit(1), i)), lambda base: F.transform(block, lambda _, j: op(base, fold(F.slice(block, F.lit(1), j)))))
+
+        return let(F.transform(blocks, fold), lambda total: F.flatten(F.transform(blocks, lambda block, i: at(block, i, total))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), inside)).otherwise(v))
+
+
+_SPAN = "struct<start:int,kind:int,end:int,hit:string>"
+
+
 def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start,kind,end,hit>> of all leftmost non-overlapping matches, in code points.
 
     The pieces between matches and the matches themselves alternate, so running lengths of the two
-    give the positions. keep(extra) filters by the array of group 2 values.
+    give the positions. keep(extra) filters by group 2 of a match.
     """
-    pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     extra = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if keep else hits
-    rows = F.zip_with(F.transform(pieces, F.char_length), F.arrays_zip(hits.alias("hit"), extra.alias("extra")), lambda gap, x: F.struct(gap.alias("gap"), x["hit"].alias("hit"), x["extra"].alias("extra")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,hit:string,extra:string>>").alias("out"))
-
-    def step(acc, x):
-        at = acc["at"] + x["gap"]
-        end = at + F.char_length(x["hit"])
-        item = F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("hit"), x["extra"].alias("extra"))
-        return F.struct(F.coalesce(end, at).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"))
-
-    found = F.aggregate(rows, start, step)["out"]
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    rows = F.zip_with(gaps, F.arrays_zip(hits.alias("hit"), extra.alias("extra")), lambda gap, x: F.struct(gap.alias("gap"), F.char_length(x["hit"]).alias("size"), x["hit"].alias("hit"), x["extra"].alias("extra")))
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit"), x["extra"].alias("extra"))
+    found = let(F.filter(rows, lambda x: x["hit"].isNotNull()), lambda r: F.zip_with(before(F.transform(r, lambda x: x["gap"] + x["size"]), F.lit(0), lambda a, b: a + b), r, span))
     found = F.filter(found, lambda x: keep(x["extra"])) if keep else found
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
     slim = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["hit"].alias("hit")))
-    return F.when(text.rlike(pattern), slim).otherwise(empty)
+    return F.when(text.rlike(pattern), slim).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
 
+def entropy_reaches(token: Column, window: int, bits: float) -> Column:
+    """Whether the Shannon entropy (bits a character) of some window of the token is at least `bits`.
 
-def peak_entropy(token: Column, window: int) -> Column:
-    """Largest Shannon entropy (bits) of any window of the token, by incremental counts: a step adds
-    the character that enters, removes the one that leaves and corrects the running sum of c*log2(c)."""
+    By incremental counts: a step adds the character that enters, removes the one that leaves and
+    corrects the running sum of c*log2(c). A character's count is taken from the window itself, so a step
+    costs the window's length, whatever the token's. After the first window that reaches it, steps are empty.
+    """
     plogp = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda i: F.ascii(F.substr(token, i, F.lit(1))) - _LOW
-    start = F.struct(F.array_repeat(F.lit(0), _HIGH - _LOW + 1).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(False).alias("hit"))
+
+    def scan(codes):
+        def step(acc, i):
+            come, gone = F.get(codes, i), F.when(i >= window, F.get(codes, i - window))
+            old = F.slice(codes, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))  # before the character enters
+            a, b = F.size(F.filter(old, lambda c: c == come)), F.size(F.filter(old, lambda c: c == gone))
+            s = acc["s"] + F.when(gone.isNull(), plogp(a + 1) - plogp(a)).when(gone == come, F.lit(0.0)).otherwise(plogp(a + 1) - plogp(a) + plogp(b - 1) - plogp(b))
+            new = let(s, lambda s: F.struct(s.alias("s"), ((i >= window - 1) & (F.log2(F.lit(float(window))) - s / window >= bits - 1e-9)).alias("hit")))
+            return F.when(acc["hit"], acc).otherwise(new)
 
-    def step(acc, i):
-        come = code(i)
-        gone = F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        a, b = F.get(acc["n"], come), F.coalesce(F.get(acc["n"], gone), F.lit(0))
-        s = F.when(come == gone, acc["s"]).otherwise(acc["s"] + plogp(a + 1) - plogp(a) + F.when(gone >= 0, plogp(b - 1) - plogp(b)).otherwise(F.lit(0.0)))
-        n = F.transform(acc["n"], lambda c, k: c + (k == come).cast("int") - (k == gone).cast("int"))
-        h = F.log2(F.lit(float(window))) - s / window
-        return F.struct(n.alias("n"), s.alias("s"), F.when(i >= window, F.greatest(acc["best"], h)).otherwise(acc["best"]).alias("best"))
+        # a window of few different characters can't reach it
+        some = F.size(F.array_distinct(codes)) >= 2**bits - 1e-6
+        return F.when(some, F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)["hit"]).otherwise(F.lit(False))
 
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(token)), start, step)["best"]
+    return let(F.transform(F.split(token, ""), F.ascii), scan)
 
 
 def is_secret(token: Column) -> Column:
-    allowed = F.lit(False)
+    """Whether the run is none of the allowed ones and some window is random for its character class."""
+    allowed = token.rlike(r"[/_-]") & ~token.rlike(NO_PATH)
     for p in ALLOWED:
         allowed = allowed | token.rlike(p)
-    high = F.lit(False)
-    for name, shape in (("hex", r"^[0-9a-fA-F]+$"), ("alnum", r"^[A-Za-z0-9]+$")):
-        w, bits = CLASSES[name]
-        high = high if name != "hex" else F.when(token.rlike(shape), peak_entropy(token, w) >= bits)
-    w, bits = CLASSES["alnum"]
-    w2, bits2 = CLASSES["base64"]
-    high = high.when(token.rlike(r"^[A-Za-z0-9]+$"), peak_entropy(token, w) >= bits).otherwise(peak_entropy(token, w2) >= bits2)
-    return ~allowed & high
+    rule = lambda name: entropy_reaches(token, *CLASSES[name])
+    high = F.when(token.rlike(r"^[0-9a-fA-F]+$"), rule("hex")).when(token.rlike(r"^[A-Za-z0-9]+$"), rule("alnum")).otherwise(rule("base64"))
+    return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & ~allowed & high
+
+
+def apart(cand: Column, base: Column) -> Column:
+    """The spans of cand that overlap none of base: among the base spans that start before its end, the latest
+    end tells. Both are put in one order, base spans by start and the others by end."""
+    mark = lambda spans, key, own: F.transform(spans, lambda x: F.struct(x[key].alias("at"), F.lit(own).alias("own"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit")))
+    rows = F.sort_array(F.concat(mark(cand, "end", 0), mark(base, "start", 1)))
+    far = lambda r: before(F.transform(r, lambda x: F.when(x["own"] == 1, x["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+    both = let(rows, lambda r: F.zip_with(r, far(r), lambda x, f: F.struct(x.alias("x"), ((x["own"] == 0) & (f <= x["start"])).alias("good"))))
+    return F.transform(F.filter(both, lambda y: y["good"]), lambda y: F.struct(y["x"]["start"].alias("start"), F.lit(3).alias("kind"), y["x"]["end"].alias("end"), y["x"]["hit"].alias("hit")))
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __base and __spans, arrays of (start, kind, end, hit) by start, then kind.
 
     __base has the fixed patterns, __spans also the high-entropy runs that overlap none of them.
-    Null text counts as empty and has no spans.
+    Null text counts as empty and has no spans. Work grows with the length of the text, whatever it holds.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = F.array_sort(F.concat(spans(t, ASSIGN, 0, lambda x: F.char_length(x) >= 12), spans(t, ACCESS, 1), spans(t, HEX, 2)))
-    out = docs.withColumn("__base", base)
-    far = F.filter(
-        spans(t, CANDIDATE, 3),
-        lambda e: ~F.exists("__base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])) & is_secret(e["hit"]),
-    )
-    return out.withColumn("__spans", F.array_sort(F.concat("__base", far)))
+    base = F.sort_array(F.concat(spans(t, ASSIGN, 0, lambda x: F.char_length(x) >= 12), spans(t, ACCESS, 1), spans(t, HEX, 2)))
+    out = docs.withColumn("__base", base).withColumn("__cand", spans(t, CANDIDATE, 3))
+    far = F.filter(F.when((F.size("__base") == 0) | (F.size("__cand") == 0), F.col("__cand")).otherwise(apart(F.col("__cand"), F.col("__base"))), lambda e: is_secret(e["hit"]))
+    return out.withColumn("__spans", F.sort_array(F.concat("__base", far))).drop("__cand")
 
 
 def listed(spans_col: str) -> Column:
@@ -121,9 +142,15 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by [SECRET]; null text stays null."""
+    """docs with each secret in text replaced by [SECRET]; null text stays null. Of spans that overlap, the
+    stretch that they cover together is replaced once."""
     found = find_secrets(docs)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit("[SECRET]"))).alias("out"))
-    clean = let(F.aggregate("__spans", start, step), lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.char_length("text"))))
-    return found.withColumn("text", F.when(F.col("text").isNull() | (F.size("__spans") == 0), F.col("text")).otherwise(clean)).drop("__base", "__spans")
+    tail = F.array(F.struct(F.char_length("text").alias("start"), F.lit(9).alias("kind"), F.char_length("text").alias("end"), F.lit("").alias("hit")))
+
+    def clean(chars):
+        gaps = let(F.concat("__spans", tail), lambda s: F.zip_with(before(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), s, lambda at, x: F.struct(at.alias("from"), x["start"].alias("to"))))
+        apart = F.filter(gaps, lambda g: g["to"] >= g["from"])
+        return F.array_join(F.transform(apart, lambda g: F.array_join(F.slice(chars, g["from"] + 1, g["to"] - g["from"]), "")), "[SECRET]")
+
+    some = F.col("text").isNotNull() & (F.size("__spans") > 0)
+    return found.withColumn("text", F.when(some, let(F.split("text", ""), clean)).otherwise(F.col("text"))).drop("__base", "__spans")

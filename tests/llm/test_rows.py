@@ -50,15 +50,93 @@ def test_entropy_spans_and_allow_list(make_docs):
     assert secrets.redact(make_docs(texts)).where("doc_id = 1").first()["text"] == "key [SECRET] end"
 
 
-def test_entropy_is_shannon(spark):
+def entropy(w):
     from math import log2
 
+    return -sum(w.count(c) / len(w) * log2(w.count(c) / len(w)) for c in set(w))
+
+
+def test_entropy_is_shannon(spark):
+    import random
+
     from pyspark.sql import functions as F
 
-    t = "ab12Cd34Ef56Gh78abcabcabc00"
-    brute = max(-sum(w.count(c) / 8 * log2(w.count(c) / 8) for c in set(w)) for w in (t[i : i + 8] for i in range(len(t) - 7)))
-    got = spark.range(1).select(secrets.peak_entropy(F.lit(t), 8).alias("h")).first()["h"]
-    assert got == pytest.approx(brute)
+    r = random.Random(7)
+    tokens = ["ab12Cd34Ef56Gh78abcabcabc00"] + ["".join(r.choice("abcdeXYZ019-"[: r.randint(2, 12)]) for _ in range(r.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for bits in (1.0, 2.2, 2.75):
+        got = {x["t"]: x["h"] for x in df.select("t", secrets.entropy_reaches(F.col("t"), 8, bits).alias("h")).collect()}
+        for t in tokens:
+            want = any(entropy(t[i : i + 8]) >= bits - 1e-9 for i in range(len(t) - 7))
+            assert got[t] == want, (t, bits)
+
+
+def test_entropy_spans_lie_apart_from_base_spans(spark, make_docs):
+    """Against plain Python over texts that mix all kinds."""
+    import random
+
+    r = random.Random(9)
+    key = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    part = lambda: r.choice([key(alnum, r.randint(10, 40)), "token: " + key(alnum, 20), key("0123456789abcdef", r.randint(10, 30)), "plain words", key(alnum, 9) + "password=" + key(alnum, 14), "AKIA" + key(alnum[:26], 16), "é"])
+    texts = [r.choice([" ", "\n", ", ", "/"]).join(part() for _ in range(r.randint(1, 300 if k % 7 == 0 else 12))) for k in range(60)]
+    got = rows(secrets.secret_report(make_docs(texts)))
+    found = 0
+    for k, t in enumerate(texts, 1):
+        base = list(filter(None, secrets_base(t).split(",")))
+        ends = [tuple(map(int, b.split(":")[1:])) for b in base]
+        runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t)]
+        free = {f"entropy:{a}:{b}" for a, b in runs if not any(x < b and a < y for x, y in ends)}
+        have = set(filter(None, got[k]["spans"].split(",")))
+        assert set(base) <= have and have - set(base) <= free
+        for s in free - have:
+            _, a, b = s.split(":")
+            w = t[int(a) : int(b)]
+            assert not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or re.search(r"[/_-]", w) or max(entropy(w[i : i + 20]) for i in range(len(w) - 19)) < 3.9, w
+        found += len(have) - len(base)
+    assert found > 50
+
+
+def test_entropy_recall_and_precision(make_docs):
+    """Random keys of three alphabets against long names, paths, numbers, addresses and identifiers."""
+    import random
+
+    r = random.Random(11)
+    vocabulary = "account archive balance billing channel client cluster config customer default delivery document driver engine event export factory filter handler import index invoice ledger manager message metric network object order payment planner policy process profile project provider queue record region report request resource result schedule schema server service session source storage stream summary support system target template transfer user value version warehouse window worker".split()
+    w = [r.choice(vocabulary) for _ in range(4000)]
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(a) for _ in range(r.randint(24, 48))) for a in (alnum, alnum + "+/", "0123456789ABCDEF") for _ in range(100)]
+    plain = lambda k: ["".join(w[9 * k : 9 * k + 5]), "/".join(w[9 * k : 9 * k + 6]), "_".join(w[9 * k : 9 * k + 4]) + f"_{r.randint(1, 99)}", f"2024-05-{k % 28 + 1:02d}-" + "-".join(w[9 * k : 9 * k + 4]), w[9 * k].title() + w[9 * k + 1].title() + w[9 * k + 2].title() + "V2"]
+    clean = [x for k in range(60) for x in plain(k)]
+    got = rows(secrets.secret_report(make_docs([f"see {x} here" for x in keys + clean])))
+    hit = [got[k]["n_entropy"] > 0 for k in range(1, len(keys) + len(clean) + 1)]
+    assert sum(hit[: len(keys)]) >= 0.97 * len(keys)
+    assert sum(hit[len(keys) :]) <= 0.05 * len(clean)
+    print(sum(hit[: len(keys)]), sum(hit[len(keys) :]))
+
+
+HOSTILE = {
+    "digits": "7" * 1_000_000,
+    "letters": "a" * 1_000_000 + "Zx9Qv7Lm2Rt8Wp4Ks6Hd1Gf3Yb5",
+    "base64": "".join(chr(c) for c in __import__("random").Random(2).choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)),
+    "path": "ab/1/" + "cd/" * 70_000,
+    "hex": "0123456789abcdef " * 60_000,
+    "assign": "password=hunter2hunter2 " * 40_000,
+    "mixed": "0123456789abcdef Zx9Qv7Lm2Rt8Wp4Ks6Hd1Gf3 " * 20_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_secrets_on_hostile_texts(make_docs, name):
+    import time
+
+    t, began = HOSTILE[name], time.perf_counter()
+    got = secrets.secret_report(make_docs([t])).first()
+    assert time.perf_counter() - began < 20
+    assert got["base_sha256"] == hashlib.sha256(secrets_base(t).encode()).hexdigest()
+    assert got["n_entropy"] == {"letters": 1, "base64": 1, "mixed": 20_000}.get(name, 0)
+    if name == "mixed":
+        assert secrets.redact(make_docs([t])).first()["text"] == "[SECRET] [SECRET] " * 20_000
 
 
 # ---- quality
