@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +16,17 @@ from pyspark.sql import functions as F
 from .common import arrow_iter_udf, over_batches, slices, stored, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-#: Fixed patterns of the base rules.
+#: Fixed patterns of the base rules; found() finds their matches in time linear in the text.
 RULES = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Characters before the @ of an address.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED, SPACED, APART, NUMBER, PHONE = (re.compile(p) for p in (r"[0-9][0-9.]*", r"[0-9][0-9 -]*", r"[ -]{2,}", r"[0-9]+", RULES["phone"]))
 DIGIT = re.compile("[0-9]")
 
 #: Character classes: each sign of SIGNS its own, then digit, lower, upper, other letters, anything else.
@@ -42,17 +48,64 @@ def valid(kind: str, s: str) -> bool:
         return True
     if kind == "ip":
         return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0")[:3] or 0) <= 255 for p in s.split("."))
-    digits = "".join(DIGIT.findall(s))
-    return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
+    n = len(s) - sum(s.count(c) for c in " ().+-")
+    return 13 <= n <= 19 and luhn("".join(DIGIT.findall(s))) if kind == "card" else 9 <= n <= 15
+
+
+def _emails(text: str):
+    """From each @ outwards: the characters before it back to the last match or @, the domain after it."""
+    free, last, at = 0, 0, text.find("@")
+    while at >= 0:
+        lo = max(free, last)
+        a = lo + len(text[lo:at].rstrip(LOCAL))
+        m = DOMAIN.match(text, at + 1) if a < at else None
+        if m:
+            yield a, m.end()
+            free = m.end()
+        last, at = at + 1, text.find("@", at + 1)
+
+
+def _ips(text: str):
+    """Numbers joined by single dots, taken by fours from the left."""
+    for run in DOTTED.finditer(text):
+        if run.group().count(".") < 3:
+            continue
+        four: list[tuple[int, int]] = []
+        for m in NUMBER.finditer(text, run.start(), run.end()):
+            if four and m.start() != four[-1][1] + 1:
+                four = []
+            four.append(m.span())
+            if len(four) == 4:
+                yield four[0][0], four[3][1]
+                four = []
+
+
+def _cards(text: str):
+    """Digits with at most one blank or hyphen between two."""
+    for run in SPACED.finditer(text):
+        at = run.start()
+        for gap in [*(m.span() for m in APART.finditer(run.group())), (run.end() - run.start(),) * 2]:
+            end = run.start() + gap[0]
+            b = at + len(text[at:end].rstrip(" -"))
+            if b - at > 1:
+                yield at, b
+            at = run.start() + gap[1]
+
+
+def _phones(text: str):
+    return (m.span() for m in PHONE.finditer(text))
+
+
+_FINDERS = {"email": ("@", _emails), "ip": (".", _ips), "card": ("", _cards), "phone": ("+", _phones)}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base rules, by kind, then start."""
     out = []
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        out += [(k, m.start(), m.end()) for m in RULES[kind].finditer(text) if valid(kind, m.group())]
+        sign, find = _FINDERS[kind]
+        if sign in text:
+            out += [(k, a, b) for a, b in find(text) if valid(kind, text[a:b])]
     return out
 
 
@@ -73,13 +126,20 @@ def classes(text: str) -> np.ndarray:
 
 
 def tile(cls: np.ndarray) -> np.ndarray:
-    """Starts of overlapping windows that cover every digit and @ with MARGIN characters around it."""
+    """Starts of overlapping windows that cover every digit and @, MARGIN characters around it and the words
+    that these reach into, however long."""
     hot = np.flatnonzero((cls == len(SIGNS)) | (cls == 0))
     if not len(hot):
         return hot
-    cut = np.flatnonzero(np.diff(hot) > 2 * MARGIN)
-    first, last = hot[np.concatenate(([0], cut + 1))], hot[np.concatenate((cut, [len(hot) - 1]))]
-    return np.concatenate([np.arange(a - MARGIN, max(a - MARGIN + 1, b + MARGIN - WINDOW + STRIDE), STRIDE) for a, b in zip(first, last, strict=True)])
+    blank = np.flatnonzero((cls == SIGNS.index(" ")) | (cls == SIGNS.index("\n")))
+    ends = np.concatenate(([-1], blank, [len(cls)]))
+    lo, hi = np.maximum(hot - MARGIN, 0), np.minimum(hot + MARGIN, len(cls) - 1)
+    lo = np.minimum(ends[np.searchsorted(ends, lo, "right") - 1] + 1, lo)
+    hi = np.maximum(ends[np.searchsorted(ends, hi, "left")] - 1, hi)
+    new = np.concatenate(([True], lo[1:] > np.maximum.accumulate(hi)[:-1] + 1))
+    first = lo[new]
+    last = np.maximum.reduceat(hi, np.flatnonzero(new))
+    return np.concatenate([np.arange(a, max(a + 1, b + 1 - WINDOW + STRIDE), STRIDE) for a, b in zip(first, last, strict=True)])
 
 
 def window_ids(cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -243,7 +303,9 @@ def reconcile(starts: np.ndarray, tags: np.ndarray, length: int) -> list[tuple[i
     return [(int(tag[i]) - 1, int(uniq[i]), int(uniq[j]) + 1) for i, j in zip(a, b, strict=True) if tag[i]]
 
 
-_EDGE = re.compile(r"^[^A-Za-z0-9+(]+|[^A-Za-z0-9]+$")
+#: ASCII signs and blanks that no span begins with (a plus and a bracket may), and what none ends with.
+_NOT_FIRST = " \t\n\r!\"#$%&'*,-./:;<=>?@[\\]^_`{|}~)"
+_LAST = re.compile(r"\W+\Z")
 
 
 def plausible(kind: str, s: str) -> bool:
@@ -256,17 +318,31 @@ def plausible(kind: str, s: str) -> bool:
         return bool(re.fullmatch(r"[0-9]{1,3}( ?[.,] ?[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits) and bool(re.fullmatch(r"[0-9][0-9 ./_-]*[0-9]", s))
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9( ][0-9 ()./-]*[0-9]", s)) and bool(re.search(r"[ ()./-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+)+", s)
+    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9( ][0-9 ()./-]*[0-9]", s)) and bool(re.search(r"[ ()./-]", s)) and not re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)
 
 
 def added(text: str, found: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the model adds: plausible spans that overlap no base span, or that hold those of their own kind
+    that they overlap whole (an address whose first letters the base rules don't know)."""
     out = []
+    by_start = sorted((x, y, k) for k, x, y in base)
+    starts = [x for x, _, _ in by_start]
+    longest = list(accumulate((y for _, y, _ in by_start), max))  # so far, by start
     for k, a, b in found:
         s = text[a:b]
-        left = len(s) - len(re.sub(r"^[^\w+(]+", "", s))
-        s = _EDGE.sub("", s[left:])
-        a, b = a + left, a + left + len(s)
-        if s and plausible(KINDS[k], s) and not any(x < b and a < y for _, x, y in base):
+        left = len(s) - len(s.lstrip(_NOT_FIRST))
+        s = s[left:]
+        a, s = a + left, _LAST.sub("", s)
+        b = a + len(s)
+        if not s or not plausible(KINDS[k], s):
+            continue
+        j = bisect_left(starts, b)
+        ok = True
+        while j and ok and longest[j - 1] > a:
+            j -= 1
+            x, y, own = by_start[j]
+            ok = y <= a or (own == k and a <= x and y <= b and (x, y) != (a, b))
+        if ok:
             out.append((k, a, b))
     return out
 
@@ -275,16 +351,17 @@ def added(text: str, found: list[tuple[int, int, int]], base: list[tuple[int, in
 
 
 def _variant(kind: str, s: str, r: np.random.Generator) -> str:
-    """Another way in which people write the same thing."""
+    """Another way in which people write the same thing; most of them the base rules don't know."""
     digits = "".join(DIGIT.findall(s))
-    pick = int(r.integers(0, 4))
+    by = lambda d, *n: [d[sum(n[:i]) : sum(n[: i + 1])] for i in range(len(n))]
     if kind == "email":
-        return (s, s.upper(), s.replace("@", " @ "), s.replace("_", "."))[pick]
+        at, letter = int(r.integers(0, max(1, s.find("@")))), "éèüñöçа"[int(r.integers(0, 7))]
+        return (s, s.upper(), s.replace("@", " @ "), s[:at] + letter + s[at:], letter + s)[int(r.integers(0, 5))]
     if kind == "card":
-        return (digits, " ".join(digits[i : i + 4] for i in range(0, len(digits), 4)), ".".join(digits[i : i + 4] for i in range(0, len(digits), 4)), "-".join(digits[i : i + 4] for i in range(0, len(digits), 4)))[pick]
+        return (s, digits, *(x.join([*by(digits, 4, 4, 4), digits[12:]]) for x in " .-/"))[int(r.integers(0, 6))]
     if kind == "phone":
-        d = digits[-10:]
-        return (s, f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}")[pick]
+        a, b, c = by(digits[-10:], 3, 3, 4)
+        return (s, f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}", f"00{digits[:-10]} {a} {b} {c}")[int(r.integers(0, 6))]
     return s
 
 
@@ -300,45 +377,55 @@ def _synthetic(kind: str, r: np.random.Generator) -> str:
         return d + next(c for c in "0123456789" if luhn(d + c))
     if kind == "phone":
         return f"+{int(r.integers(1, 99))} ({num(3)}) {num(3)}-{num(4)}"
-    return (f"{int(r.integers(1900, 2100))}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(1)}", f"{num(5)}", f"${num(3)},{num(3)}", f"{word()}{num(3)}")[int(r.integers(0, 6))]
+    return (f"{int(r.integers(1900, 2100))}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(1)}.{num(1)}", f"{num(5)}", f"${num(3)},{num(3)}", f"{word()}{num(3)}", f'"{"".join("0123456789abcdef"[x] for x in r.integers(0, 16, 40))}"')[int(r.integers(0, 7))]
+
+
+def synthetic_text(r: np.random.Generator, least: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """Invented words with invented personal data and harmless numbers among them, some side by side, and
+    the (kind, start, end) of the former."""
+    text, spans = "", []
+    while len(text) < least:
+        text += "".join("abcdefghijklmnopqrstuvwxyzéèüñ"[x] for x in r.integers(0, 30, int(r.integers(1, 9)))) + " .,\n"[int(r.integers(0, 4))] + " "
+        while r.random() < 0.3:
+            kind = (*KINDS, "none")[int(r.integers(0, TAGS))]
+            s = _variant(kind, _synthetic(kind, r), r)
+            if kind != "none":
+                spans.append((KINDS.index(kind), len(text), len(text) + len(s)))
+            text += s + ("", "", "", ".", ",", "!!", "***")[int(r.integers(0, 7))] + " "
+    return text, spans
 
 
 def synthetic_windows(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of invented words with one or two invented or harmless numbers, so that a table without
-    personal data still gives a model."""
+    """Windows of synthetic texts, so that a table without personal data still gives a model."""
     r = np.random.default_rng(seed)
     ids, tags = np.empty((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for k in range(n):
-        text, spans = "", []
-        while len(text) < WINDOW + 8:
-            text += "".join(chr(97 + x) for x in r.integers(0, 26, int(r.integers(1, 9)))) + " .,\n"[int(r.integers(0, 4))] + " "
-            if r.random() < 0.3:
-                kind = (*KINDS, "none")[int(r.integers(0, TAGS))]
-                s = _variant(kind, _synthetic(kind, r), r)
-                if kind != "none":
-                    spans.append((KINDS.index(kind) + 1, len(text), len(text) + len(s)))
-                text += s + ("", ".", ",", "!!", "***")[int(r.integers(0, 5))] + " "
+        text, spans = synthetic_text(r, WINDOW + 8)
         at = int(r.integers(0, max(1, len(text) - WINDOW)))
         tag = np.zeros(len(text), np.int64)
         for t, a, b in spans:
-            tag[a:b] = t
+            tag[a:b] = t + 1
         ids[k], tags[k] = classes(text)[at : at + WINDOW], tag[at : at + WINDOW]
     return ids, tags
 
 
+_WIDER = re.compile(r"[\w.%+-]*\Z")
+
+
 def _labelled(batch):
-    """Windows of each text, tagged by the base rules; in every second text spans are rewritten first."""
+    """Windows of each text, tagged by the base rules (an address with the letters of other alphabets that
+    touch it); in every second text spans are rewritten first."""
     out: dict[str, list] = {"key": [], "ids": [], "tags": []}
-    for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+    for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
         if not re.search("[0-9@]", text):
             continue
-        r = np.random.default_rng(abs(int(doc)))
-        spans = sorted((a, b, k) for k, a, b in base_spans(text))
+        r = np.random.default_rng(abs(key))
+        spans = sorted((a - len(_WIDER.search(text[max(0, a - WINDOW) : a]).group()) if k == 0 else a, b, k) for k, a, b in base_spans(text))
         pieces, tags, at = [], [], 0
         for a, b, k in spans:
             if a < at:
                 continue
-            s = _variant(KINDS[k], text[a:b], r) if doc % 2 else text[a:b]
+            s = _variant(KINDS[k], text[a:b], r) if key % 2 else text[a:b]
             pieces += [text[at:a], s]
             tags += [np.zeros(a - at, np.int64), np.full(len(s), k + 1)]
             at = b
@@ -348,19 +435,19 @@ def _labelled(batch):
         starts = tile(cls)
         at = starts[:, None] + np.arange(WINDOW)
         t = np.where((at >= 0) & (at < len(tag)), tag[np.clip(at, 0, len(tag) - 1)], 0)
-        out["key"] += [(int(doc) * 1_000_003 + x) % (1 << 63) for x in starts.tolist()]
+        out["key"] += [(key * 1_000_003 + x) % (1 << 63) for x in starts.tolist()]
         out["ids"] += window_ids(cls, starts).tolist()
         out["tags"] += t.tolist()
     yield out
 
 
-def fit(docs: DataFrame, most_docs: int = 3000, most_windows: int = 1500, synthetic: int = 600) -> Model:
+def fit(docs: DataFrame, most_docs: int = 3000, most_windows: int = 1500, synthetic: int = 900) -> Model:
     """A model from at most most_windows windows of at most most_docs documents, taken in hash order and
     labelled by the base rules, and from `synthetic` invented ones. Deterministic for a given table."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    some = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = docs.join(F.broadcast(stored(some)), "doc_id", "left_semi")  # at most most_docs ids
-    got = over_batches(rows, lambda: _labelled, "key long, ids array<long>, tags array<long>").orderBy(F.xxhash64("key"), "key").limit(most_windows).toPandas()
+    docs = docs.select(F.xxhash64(F.col("doc_id").cast("string")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    some = docs.select("key").distinct().orderBy("key").limit(most_docs)
+    rows = docs.join(F.broadcast(stored(some)), "key", "left_semi")  # at most most_docs ids
+    got = over_batches(rows, lambda: _labelled, "key long, ids array<long>, tags array<long>").orderBy(F.xxhash64("key"), "key", F.xxhash64("ids")).limit(most_windows).toPandas()
     ids, tags = synthetic_windows(synthetic)
     if len(got):
         ids = np.concatenate([ids, np.array(got["ids"].tolist())])
@@ -437,9 +524,9 @@ def _redacted(text, base, more) -> str:
 def pii_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
-    Counts and base_sha256 cover the base rules, spans also what the model adds: spans that overlap no
-    base span and pass an exact check of their kind. Only windows around digits and @ are decoded,
-    since every kind holds one of them. Null text counts as empty; repeated rows give repeated rows;
+    Counts and base_sha256 cover the base rules, spans also what the model adds: spans that pass an
+    exact check of their kind and overlap no base span, or hold one of their kind whole. Windows around
+    digits and @ are decoded, with the words that they reach into, since every kind holds one of them. Null text counts as empty; repeated rows give repeated rows;
     a null doc_id stays null; other columns are ignored.
     """
     find = arrow_iter_udf(_batches(model or fit(docs), _report, _REPORT), "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -190,16 +190,65 @@ def test_chi2():
 # ---- personal data
 
 
+def pii_base(t):
+    """The contract's patterns as they stand, and its conditions."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (2 if k % 2 else 1), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda x: 13 <= len(digits(x)) <= 19 and luhn(digits(x))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 9 <= len(digits(x)) <= 15),
+    }
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in rules.items() for m in re.finditer(p, t) if ok(m.group()))
+
+
 def test_pii_base(make_docs):
-    texts = ["mail a.b+c@x-y.example.com, ip 10.0.0.255 not 10.0.0.256 or 1.2.3.4.5", "card 4111 1111 1111 1111 bad 4111 1111 1111 1112", "call +1 (555) 010-9999 or +12", "9" * 5000 + " 1." + "9" * 5000 + ".1.1", "é@é.com \U0001f600 z@z.zz"]
+    import random
+
+    r = random.Random(13)
+    texts = ["mail a.b+c@x-y.example.com, ip 10.0.0.255 not 10.0.0.256 or 1.2.3.4.5", "card 4111 1111 1111 1111 bad 4111 1111 1111 1112", "call +1 (555) 010-9999 or +12", "9" * 3000 + " 1." + "9" * 3000 + ".1.1", "é@é.com \U0001f600 z@z.zz", "a@b.c@d.e@@f.g @h.i j@k l@.m n@o..p q@-.-", "1.2.3.4.5.6.7.8..9.10.11.12.13"]
+    texts += ["".join(r.choice(["1", "23", "4111111111111111", "007", ".", ".", " ", "-", "+", "(", ")", "@", "@b.c", "é", "a", "x_y", "\n", "255", "+1 "]) for _ in range(r.randint(1, 60))) for _ in range(400)]
     got = rows(pii.pii_report(make_docs(texts), pii.Model.new(0)))
     for k, t in enumerate(texts, 1):
-        want = ",".join(f"{pii.KINDS[x]}:{a}:{b}" for x, a, b in pii.base_spans(t))
-        assert got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        want = pii_base(t)
+        assert got[k]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(got[k]["spans"].split(","))
+        assert [got[k][f"n_{x}"] for x in pii.KINDS] == [want.count(x) for x in pii.KINDS]
     assert [got[1][f"n_{k}"] for k in pii.KINDS] == [1, 2, 0, 0]
     assert [got[2]["n_card"], got[3]["n_phone"], got[5]["n_email"]] == [1, 1, 1]
 
 
+LONG = {"digits": "7" * 1_000_000, "address": "a" * 1_000_000 + " @", "at": "a@" * 500_000, "dots": "1." * 500_000, "signs": "1 " * 500_000, "plus": "+1-" * 300_000}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_pii_base_on_hostile_texts(name):
+    import time
+
+    began = time.perf_counter()
+    got = pii.base_spans(LONG[name])
+    assert time.perf_counter() - began < 5
+    assert len(got) == {"dots": 125_000}.get(name, 0)
+
+
+@pytest.mark.parametrize("name", ["digits", "address"])
+def test_pii_report_on_hostile_texts(make_docs, name):
+    import time
+
+    began = time.perf_counter()
+    assert pii.pii_report(make_docs([LONG[name]]), pii.Model.new(0)).first()["n_card"] == 0
+    assert time.perf_counter() - began < 20
+
+
+def test_added_spans():
+    t = "écc.12@mail.example.com +1 (826) 555-4081 190.137.223.204"
+    base = pii.base_spans(t)
+    assert [(pii.KINDS[k], t[a:b]) for k, a, b in base] == [("email", "cc.12@mail.example.com"), ("ip", "190.137.223.204")]
+    found = [(0, 0, 23), (3, 24, 41), (1, 42, 57), (3, 24, 57), (0, 3, 23)]
+    assert pii.added(t, found, base) == [(0, 0, 23), (3, 24, 41)]
+
+
 def test_pii_gradients():
     import numpy as np
 
@@ -218,17 +267,42 @@ def test_pii_gradients():
     assert loss > 0
 
 
-def test_pii_model_learns_and_adds(make_docs):
-    ids, tags = pii.synthetic_windows(600)
-    m = pii.train(ids[:500], tags[:500])
-    assert (pii.decode(m, ids[500:]) == tags[500:]).mean() > 0.97
-    out = pii.redact(make_docs(["please call (555) 010-9999 today or write to jim.99@mail.com now", "the year 1999 and 12.5 units"]), m)
+@pytest.fixture(scope="module")
+def pii_model():
+    return pii.train(*pii.synthetic_windows(2400))
+
+
+def test_pii_model_learns_and_adds(make_docs, pii_model):
+    """On texts of another seed: precision of what is added, and recall of what the base rules miss."""
+    import numpy as np
+
+    r = np.random.default_rng(77)
+    texts, gold = zip(*(pii.synthetic_text(r, 600) for _ in range(150)), strict=True)
+    got = rows(pii.pii_report(make_docs(list(texts)), pii_model))
+    good = extra = missed = want = 0
+    for k, (t, g) in enumerate(zip(texts, gold, strict=True), 1):
+        base = set(filter(None, pii_base(t).split(",")))
+        more = set(filter(None, got[k]["spans"].split(","))) - base
+        left = {f"{pii.KINDS[x]}:{a}:{b}" for x, a, b in g} - base
+        good, extra, missed, want = good + len(more & left), extra + len(more - left), missed + len(left - more), want + len(left)
+        assert got[k]["n_added"] == len(more)
+    print("added", good, "wrongly", extra, "of", want)
+    assert good >= 0.85 * want and extra <= 0.1 * (good + extra)
+    out = pii.redact(make_docs(["please call (555) 010-9999 today or write to jim.99@mail.com now", "the year 1999 and 12.5 units"]), pii_model)
     got = rows(out)
     assert "010-9999" not in got[1]["text"] and "[EMAIL]" in got[1]["text"]
     assert got[2]["text"] == "the year 1999 and 12.5 units"
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+def test_windows_reach_long_addresses(pii_model):
+    t = "so " + "firstname.lastname.of.department" + " @ host.org and more"
+    starts = pii.tile(pii.classes(t))
+    assert starts.min() <= 3 and starts.max() + pii.WINDOW >= 45
+    long = "x" * 5000 + "@y.zz"
+    assert pii.tile(pii.classes(long)).min() == 0
+
+
 def test_windows_are_reconciled():
     import numpy as np
 
