@@ -21,6 +21,9 @@ NEVER = frozenset("head script style noscript template svg math iframe object ca
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div body td".split())
 MARKED = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notification popup modal overlay comment comments discussion disqus replies reply share sharing social related recommended newsletter subscribe signup login footer masthead widget toolbar pagination pager".split())
+IMPLIED = frozenset("p li td th tr dt dd option".split())
+WALLS = frozenset("article main body nav table".split())
+OUTER = frozenset("article main body html".split())
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 #: Lines over which ratios are smoothed, share of the mass that a region must hold.
 SIGMA, SHARE = 1.0, 0.8
@@ -36,31 +39,35 @@ def marked(attrs: dict) -> bool:
 
 @dataclass
 class Line:
-    path: tuple[int, ...]  # ids of the open regions
+    region: int  # the innermost open region
     text: list[str] = field(default_factory=list)
+    linked: int = 0  # characters inside links
     tags: int = 1
     out: bool = False
 
 
 class Lines(HTMLParser):
-    """Streams parser events into lines, one per block, with the regions that hold them."""
+    """Streams parser events into lines, one per block, each with the region that holds it.
+
+    Regions know their parent, and open elements are found by name, so that work grows with the page, however
+    deep it nests."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []  # tag, starts boilerplate, holds no text
-        self.regions: list[tuple[int, str]] = []
-        self.kinds: dict[int, str] = {}
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, starts boilerplate, holds no text, region around it
+        self.places: dict[str, list[int]] = {}  # where elements of a name are open
+        self.blocks: list[int] = []
+        self.walls: list[int] = []
+        self.parent, self.kinds, self.region = [-1], [""], 0  # region 0 is the page
+        self.floor = 0  # open elements below it start no boilerplate any more
         self.current: Line | None = None
         self.pending = 0
-        self.bad = self.never = self.inside = 0  # open elements of these sorts
-
-    def _flush(self):
-        self.current = None
+        self.bad = self.never = self.inside = self.links = 0  # open elements of these sorts
 
     def _line(self) -> Line:
         if self.current is None:
-            self.current = Line(tuple(k for k, _ in self.regions), tags=1 + self.pending, out=self.bad > 0)
+            self.current = Line(self.region, tags=1 + self.pending, out=self.bad > 0)
             self.pending = 0
             self.lines.append(self.current)
         return self.current
@@ -74,67 +81,64 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self._tag()
         if tag in BLOCKS:
-            self._flush()
+            self.current = None
         if tag == "br" and self.current is not None:
             self.current.text.append(" ")
         if tag in VOID:
             return
-        if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-            self._close_implied(tag)
+        if tag in IMPLIED and self.places.get(tag) and self.places[tag][-1] >= (self.blocks[-1] if self.blocks else -1):
+            self._pop(self.places[tag][-1])  # a new p, li or cell ends an open one that no other block has been opened in
         bad = tag in ASIDE or (tag == "header" and not self.inside) or (bool(attrs) and marked(dict(attrs)))
         if tag in ("article", "main") and not bad:  # an element left open before it doesn't hold it
-            self.open = [(t, False, n) for t, _, n in self.open]
-            self.bad = 0
-        self.open.append((tag, bad, tag in NEVER))
-        self._count(self.open[-1], 1)
+            self.floor, self.bad = len(self.open), 0
+        here = len(self.open)
+        self.open.append((tag, bad, tag in NEVER, self.region))
+        self.places.setdefault(tag, []).append(here)
+        if tag in BLOCKS:
+            self.blocks.append(here)
+        if tag in WALLS:
+            self.walls.append(here)
+        self._count(here, 1)
         if tag in REGIONS:
-            k = len(self.kinds)
-            self.kinds[k] = tag
-            self.regions.append((k, tag))
+            self.parent.append(self.region)
+            self.kinds.append(tag)
+            self.region = len(self.kinds) - 1
 
     handle_startendtag = handle_starttag
 
-    def _close_implied(self, tag):
-        """A new p, li or cell ends an open one of its kind that no other block has been opened in."""
-        for k in range(len(self.open) - 1, -1, -1):
-            t = self.open[k][0]
-            if t == tag:
-                self._pop(k)
-                return
-            if t in BLOCKS:
-                return
-
-    def _count(self, item: tuple[str, bool, bool], by: int):
-        self.bad += by * item[1]
-        self.never += by * item[2]
-        self.inside += by * (item[0] in ("article", "main"))
+    def _count(self, k: int, by: int):
+        tag, bad, never, _ = self.open[k]
+        self.bad += by * (bad and k >= self.floor)
+        self.never += by * never
+        self.inside += by * (tag in ("article", "main"))
+        self.links += by * (tag == "a")
 
     def _pop(self, k: int):
-        for x in self.open[k:]:
-            self._count(x, -1)
-        for t, _, _ in self.open[k:]:
-            if t in REGIONS:
-                for x in range(len(self.regions) - 1, -1, -1):
-                    if self.regions[x][1] == t:
-                        del self.regions[x]
-                        break
-        del self.open[k:]
+        while len(self.open) > k:
+            last = len(self.open) - 1
+            self._count(last, -1)
+            tag, _, _, self.region = self.open.pop()
+            for places in (self.places[tag], self.blocks, self.walls):
+                if places and places[-1] == last:
+                    places.pop()
+        self.floor = min(self.floor, len(self.open))
 
     def handle_endtag(self, tag):
         self._tag()
         if tag in BLOCKS:
-            self._flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self._pop(k)
-                return
-            if self.open[k][0] in ("article", "main", "body", "nav", "table") and tag not in ("article", "main", "body", "html"):
-                return  # a stray end tag closes nothing outside
+            self.current = None
+        places = self.places.get(tag)
+        # a stray end tag closes nothing outside
+        if places and (tag in OUTER or not self.walls or self.walls[-1] <= places[-1]):
+            self._pop(places[-1])
 
     def handle_data(self, data):
         if self.never or (self.current is None and not data.strip()):
             return
-        self._line().text.append(data)
+        line = self._line()
+        line.text.append(data)
+        if self.links:
+            line.linked += len(data.strip())
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -143,13 +147,20 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, r, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str) -> tuple[str, int, int]:
-    """(text, lines kept, lines): the article of a page.
+#: What decided on a line: kept by its cluster, kept between or beside cluster lines, dropped by the ratio,
+#: dropped as outside the region, dropped by the name of an element.
+RULES = ("cluster", "beside", "ratio", "region", "name")
+
 
-    Each line's characters per tag are smoothed over its neighbours; lines over half the standard deviation
-    form the content clusters, lines in boilerplate elements never do. The content region is the
-    smallest element that holds SHARE of the clusters' text, or without one the stretch from the first to
-    the last cluster line; all its lines outside boilerplate elements are the article, short ones too.
+def decided(html: str) -> tuple[list[str], list[str], list[float]]:
+    """(text, rule, smoothed ratio) of each line of a page that holds text; rules are those of RULES.
+
+    A line's ratio is its characters outside links per tag. Ratios are smoothed over neighbouring lines by a
+    Gaussian; lines over half the standard deviation form the content clusters. The content region is the
+    innermost element that holds SHARE of the clusters' text, or without one the stretch from the first to
+    the last cluster line. A line of it is kept if it belongs to a cluster, lies between two cluster lines, or
+    has a ratio of its own (text outside links): short lines at the edges stay, lists of links go, inside an
+    article too. Elements that HTML names as boilerplate, or whose class does, are left out as a help.
     """
     parser = Lines()
     parser.feed(html)
@@ -157,26 +168,43 @@ def main_text(html: str) -> tuple[str, int, int]:
     lines = [(x, SPACE.sub(" ", "".join(x.text)).strip(" ")) for x in parser.lines]
     lines = [(x, t) for x, t in lines if t]
     if not lines:
-        return "", 0, 0
+        return [], [], []
     size = np.array([len(t) for _, t in lines], float)
     ok = np.array([not x.out for x, _ in lines])
-    ratio = np.where(ok, size / np.array([x.tags for x, _ in lines]), 0.0)
+    ratio = np.maximum(size - np.array([x.linked for x, _ in lines]), 0.0) / np.array([x.tags for x, _ in lines])
     smooth = smoothed(ratio, SIGMA)
-    content = ok & (smooth >= min(0.5 * smooth.std(), smooth.max()))
-    if not content.any():
-        content = ok
+    high = smooth >= min(0.5 * smooth.std(), smooth.max())
+    content = high & ok & (ratio > 0)
+    rule = np.where(high & (ratio > 0), "name", "ratio").astype(object)
     if not content.any():
-        return "", 0, len(lines)
-    total, mass = float(size[content].sum()), {}
-    for k in np.flatnonzero(content):
-        for r in lines[k][0].path:
-            mass[r] = mass.get(r, 0.0) + size[k]
-    whole = [r for r, m in mass.items() if m >= SHARE * total and parser.kinds[r] != "body"]
-    named = [r for r in whole if parser.kinds[r] in ("article", "main")]
-    region = max(named or whole, default=None)
-    at = np.flatnonzero(content)
-    keep = [t for k, (x, t) in enumerate(lines) if ok[k] and (region in x.path if region is not None else at[0] <= k <= at[-1])]
-    return "\n\n".join(keep), len(keep), len(lines)
+        content, high = ok.copy(), ok.copy()
+    if content.any():
+        # text of the clusters in each region, from the innermost outwards; a region comes after its parent
+        mass = np.zeros(len(parser.kinds))
+        np.add.at(mass, [lines[k][0].region for k in np.flatnonzero(content)], size[content])
+        for r in range(len(mass) - 1, 0, -1):
+            mass[parser.parent[r]] += mass[r]
+        whole = [r for r in range(1, len(mass)) if mass[r] >= SHARE * size[content].sum() and parser.kinds[r] != "body"]
+        region = max(whole, default=None)
+        within = np.zeros(len(mass), bool)
+        for r in range(1, len(mass)):
+            within[r] = r == region or within[parser.parent[r]]
+        at = np.flatnonzero(content)
+        between = np.zeros(len(lines), bool)
+        between[at[0] : at[-1] + 1] = True
+        inside = between if region is None else np.array([within[x.region] for x, _ in lines])
+        kept = inside & ok & (between | (ratio > 0))
+        rule[kept] = "beside"
+        rule[kept & high] = "cluster"
+        rule[ok & ~inside & (ratio > 0)] = "region"
+    return [t for _, t in lines], rule.tolist(), smooth.tolist()
+
+
+def main_text(html: str) -> tuple[str, int, int]:
+    """(text, lines kept, lines): the article of a page, by decided()."""
+    text, rule, _ = decided(html)
+    keep = [t for t, r in zip(text, rule, strict=True) if r in RULES[:2]]
+    return "\n\n".join(keep), len(keep), len(text)
 
 
 def _run(batches):
