@@ -15,6 +15,8 @@ WHITE = " \t\n\x0b\x0c\r"
 #: a statistic that is constant in a group (no symbols at all) does not reject its first exception.
 AXES = {"x_len": 0.30, "x_word": 0.08, "x_types": 0.35, "x_symbols": 0.35, "x_upper": 0.35}
 GRID = 64.0
+#: Statistics are rounded to multiples of 1 / UNITS; distance classes are so many for each e-fold.
+UNITS, CLASSES = 1024.0, 64
 
 
 def words(text: Column) -> Column:
@@ -96,66 +98,96 @@ def chi2_quantile(p: float, dof: int) -> float:
     return hi
 
 
-def mcd_parameters(vec: DataFrame, share: float = 0.75, steps: int = 3, least: int = 20) -> DataFrame:
-    """(g, m0.., c00..): minimum-covariance-determinant estimates of each group g of vec.
-
-    The start is a coordinatewise robust distance (median and absolute deviation); each
-    concentration step takes the `share` of rows nearest to the current centre and re-estimates
-    mean and covariance from them, which never raises the determinant. A step sums moments by
-    (group, distance class), so a group of any size meets as a few hundred partial sums, and the
-    cut falls on a class edge: results don't depend on partitioning. Groups under `least` rows get
-    no estimate.
-    """
-    axes, d = list(AXES), len(AXES)
-    cut = lambda c: F.round(c * GRID) / GRID  # noqa: E731  bounded number of values, so exact percentiles stay small
-    mid = stored(vec.groupBy("g").agg(*(F.percentile(cut(F.col(a)), F.lit(0.5)).alias(f"m{i}") for i, a in enumerate(axes)), F.count("*").alias("n")).where(F.col("n") >= least))
-    with_mid = vec.join(if_small(mid), "g")
-    mad = stored(with_mid.groupBy("g").agg(*(F.percentile(cut(F.abs(F.col(a) - F.col(f"m{i}"))), F.lit(0.5)).alias(f"s{i}") for i, a in enumerate(axes))))
-    start = mid.join(mad, "g")
-    params = start.select("g", *(F.col(f"m{i}") for i in range(d)), *((F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) + AXES[axes[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
-    # the covariance of the central share of normal data is too small by this factor
-    q = chi2_quantile(share, d)
-    scale = share / gamma_p(d / 2 + 1, q / 2)
-    for _ in range(steps):
-        near = distances(vec, stored(params)).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
-        sums = [F.count("*").alias("n"), *(F.sum(a).alias(f"s{i}") for i, a in enumerate(axes)), *(F.sum(F.col(axes[i]) * F.col(axes[j])).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1))]
-        bins = near.groupBy("g", "bin").agg(*sums)
-        order = Window.partitionBy("g").orderBy("bin")
-        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        kept = bins.select("*", before.alias("before"), F.sum("n").over(Window.partitionBy("g")).alias("all")).where(F.col("before") < share * F.col("all"))
-        tot = kept.groupBy("g").agg(*(F.sum(c).alias(c) for c in [x for x in bins.columns if x not in ("g", "bin")]))
-        mean = [F.col(f"s{i}") / F.col("n") for i in range(d)]
-        params = tot.select("g", *(mean[i].alias(f"m{i}") for i in range(d)), *(((F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * scale + (AXES[axes[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
-    return stored(params)
-
-
-def distances(vec: DataFrame, params: DataFrame) -> DataFrame:
-    """vec with d2, the squared distance to its group's estimate (null where there is none)."""
+def factors(params: DataFrame) -> DataFrame:
+    """params (g, m0.., c00..) with l00.., the Cholesky factor of the covariance, and det, its determinant."""
     d = len(AXES)
-    low: dict = {}
-    flat = params
     for i in range(d):  # one column per factor entry, so that each is computed once
         for j in range(i + 1):
             s = F.col(f"c{i}{j}")
             for k in range(j):
                 s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            flat = flat.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
-            low[i, j] = F.col(f"l{i}{j}")
-    flat = flat.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in low))
-    out = vec.join(if_small(flat), "g", "left")
-    y: list[Column] = []
+            params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(1e-12))) if i == j else s / F.col(f"l{j}{j}"))
+    det = F.lit(1.0)
+    for i in range(d):
+        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return params.withColumn("det", det)
+
+
+def distances(vec: DataFrame, params: DataFrame, how: str = "left") -> DataFrame:
+    """vec with d2, the squared distance to its group's estimate (null where there is none)."""
+    d = len(AXES)
+    out = vec.join(if_small(params.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))), "g", how)
+    total = F.lit(0.0)
     for i, a in enumerate(AXES):
         s = F.col(a) - F.col(f"m{i}")
         for k in range(i):
-            s = s - low[i, k] * F.col(f"y{k}")
-        out = out.withColumn(f"y{i}", s / low[i, i])
-        y.append(F.col(f"y{i}"))
-    total = y[0] * y[0]
-    for v in y[1:]:
-        total = total + v * v
+            s = s - F.col(f"l{i}{k}") * F.col(f"y{k}")
+        out = out.withColumn(f"y{i}", s / F.col(f"l{i}{i}"))
+        total = total + F.col(f"y{i}") * F.col(f"y{i}")
     return out.select(*vec.columns, total.alias("d2"))
 
 
+def mcd(vec: DataFrame, share: float = 0.75, least: int = 20, settled: float = 1e-3) -> DataFrame:
+    """(g, m0.., c00.., l00.., det): minimum-covariance-determinant estimates of each group g of vec, of groups
+    of at least `least` rows; the covariance is that of the chosen share of the rows, without any correction.
+
+    The start is a coordinatewise robust distance (median and absolute deviation). Each concentration step
+    takes the `share` of rows nearest to the current centre and re-estimates mean and covariance from them,
+    until the determinant falls by less than `settled` of itself; groups that have settled leave the steps,
+    and the estimate of the smallest determinant stays. A step sums moments by (group, distance class), so a
+    group of any size meets as a few hundred partial sums; of the class in which the share ends, the part that
+    fills it counts. Statistics are whole multiples of 1 / UNITS, so sums are exact whatever the partitions
+    (up to 1e10 rows a group); that width squared is added to the variances, so that none is zero.
+    """
+    axes, d = list(AXES), len(AXES)
+    cut = lambda c: F.round(c * GRID) / GRID  # noqa: E731  bounded number of values, so exact percentiles stay small
+    vec = vec.select("g", *((F.round(F.col(a) * UNITS) / UNITS).alias(a) for a in axes))
+    mid = stored(vec.groupBy("g").agg(*(F.percentile(cut(F.col(a)), F.lit(0.5)).alias(f"m{i}") for i, a in enumerate(axes)), F.count("*").alias("n")).where(F.col("n") >= least))
+    with_mid = vec.join(if_small(mid), "g")
+    mad = stored(with_mid.groupBy("g").agg(*(F.percentile(cut(F.abs(F.col(a) - F.col(f"m{i}"))), F.lit(0.5)).alias(f"s{i}") for i, a in enumerate(axes))))
+    variance = lambda i: F.pow(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(1 / GRID)), F.lit(2.0))
+    first = mid.join(mad, "g").select("g", *(f"m{i}" for i in range(d)), *((variance(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
+    live = stored(factors(first).withColumn("det", F.lit(float("inf"))))
+    done: list[DataFrame] = []
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    unit = lambda a: F.round(F.col(a) * UNITS).cast("long")
+    while not live.isEmpty():
+        near = distances(vec, live, "inner").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * CLASSES))
+        bins = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *(F.sum(unit(a)).alias(f"s{i}") for i, a in enumerate(axes)), *(F.sum(unit(axes[i]) * unit(axes[j])).alias(f"p{i}{j}") for i, j in pairs))
+        order = Window.partitionBy("g").orderBy("bin")
+        before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        size = F.ceil(share * F.sum("n").over(Window.partitionBy("g")))
+        part = F.greatest(F.lit(0), F.least(F.col("n"), size - before))
+        some = bins.withColumn("part", part).where("part > 0")
+        full = F.col("part") == F.col("n")
+        sums = ["n", *(f"s{i}" for i in range(d)), *(f"p{i}{j}" for i, j in pairs)]
+        # whole classes add up as whole numbers; at most one class of a group counts in part
+        total = lambda c: (F.coalesce(F.sum(F.when(full, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(~full, F.col(c) * F.col("part") / F.col("n"))), F.lit(0.0))).alias(c)
+        tot = some.groupBy("g").agg(*(total(c) for c in sums))
+        mean = [F.col(f"s{i}") / F.col("n") / UNITS for i in range(d)]
+        cov = {(i, j): F.col(f"p{i}{j}") / F.col("n") / UNITS**2 - mean[i] * mean[j] for i, j in pairs}
+        new = factors(tot.select("g", *(mean[i].alias(f"m{i}") for i in range(d)), *((cov[i, j] + (UNITS**-2.0 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs)))
+        new = stored(new.join(live.select("g", F.col("det").alias("was")), "g"))
+        # what has not fallen keeps the estimate before it
+        done.append(new.where(F.col("det") <= F.col("was")).where(F.col("det") > (1 - settled) * F.col("was")).drop("was"))
+        done.append(live.join(new.where(F.col("det") > F.col("was")).select("g"), "g", "left_semi"))
+        live = new.where(F.col("det") <= (1 - settled) * F.col("was")).drop("was")
+    out = done[0] if done else live
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def mcd_parameters(vec: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
+    """mcd() made ready for distances: the covariance of the central share of normal data is too small by a
+    known factor, and each statistic gets its least spread of AXES."""
+    d, axes = len(AXES), list(AXES)
+    q = chi2_quantile(share, d)
+    scale = share / gamma_p(d / 2 + 1, q / 2)
+    raw = mcd(vec, share, least)
+    return stored(factors(raw.select("g", *(f"m{i}" for i in range(d)), *((F.col(f"c{i}{j}") * scale + (AXES[axes[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))))
+
+
 def quality_report(docs: DataFrame, confidence: float = 0.9999, share: float = 0.75, least_group: int = 100) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
