@@ -26,17 +26,32 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The cluster's spark.checkpoint.dir. Only a local session, where one machine does all, may lack it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="clinmill-"))
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="clinmill-"))
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread, not the work above."""
-    path = f"{shared_dir(df.sparkSession)}/clinmill/{uuid.uuid4().hex}"
+    executor costs a reread, not the work above. The table goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/clinmill/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that a loop has done with."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame:
@@ -115,8 +130,8 @@ RAND = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse. They are kept with the interpreter, not with this
-    module's globals, of which every task has a copy."""
+    """Powers of the base and of its inverse. They are kept with the interpreter: functions travel with
+    their module's globals, so every task has its own copy of those and would compute the table anew."""
     kept = sys.__dict__.setdefault("_clinmill_powers", [np.ones(1, U), np.ones(1, U)])
     if len(kept[0]) < n:
         size = 1 << max(12, (n - 1).bit_length())
