@@ -147,7 +147,7 @@ def _verifier(threshold: float):
                     up[new] = ids[front[reach[:, new].argmax(0)]]
                     seen[new] = True
                     front = new
-            rows += [(int(a), int(b), int(c)) for a, b, c in zip(ids, up, degree, strict=True) if c]
+            rows += [(a, b, int(c)) for a, b, c in zip(ids.tolist(), up.tolist(), degree, strict=True) if c]
         return pd.DataFrame(rows, columns=["id", "up", "links"])
 
     return f
@@ -166,12 +166,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
     Null text counts as empty; empty texts are copies of each other and have no links. Texts of
     fewer than n words are one gram of all words. Rows without doc_id are left out; rows that
-    repeat a doc_id are one document (the text of the smallest digest). Other columns are ignored.
+    repeat a doc_id are one document (the text of the smallest MD5). doc_id keeps its type, whole numbers or
+    text. Components are followed until they settle, however long their chains. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    key = docs.schema["doc_id"].dataType.simpleString()
     count, rows = bands_for(threshold, recall)
-    signed = over_batches(docs, _signer(n, count, rows), "doc_id long, digest binary, bands array<long>")
+    signed = over_batches(docs, _signer(n, count, rows), f"doc_id {key}, digest binary, bands array<long>")
     one = signed.groupBy("doc_id").agg(F.min_by(F.struct("digest", "bands"), "digest").alias("s")).select("doc_id", "s.*")
     one = stored(one)
     heads = one.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands"))
@@ -189,13 +190,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     total = place.where("parts = 1").count()
     text = docs.join(place.select(F.col("id").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi")
     # rows that repeat a doc_id give several sets: one of the document's own digest is used
-    sets = over_batches(text, _setter(n), "id long, digest binary, grams binary")
+    sets = over_batches(text, _setter(n), f"id {key}, digest binary, grams binary")
     own = place.join(heads.select("id", "digest"), "id")
     held = own.join(sets, ["id", "digest"]).groupBy("id", "comp", "parts", "part").agg(F.first("grams").alias("grams"))
     lone = held.where("parts = 1").select("id", "comp", "grams", F.lit(0).alias("side"), F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(max(1, total // side)))).alias("task"))
     wide = held.where("parts > 1").select("id", "comp", "grams", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     wide = wide.select("id", "comp", "grams", F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side"), F.concat_ws(":", F.lit("w"), "comp", F.least("part", "other"), F.greatest("part", "other")).alias("task"))
-    found = stored(lone.unionByName(wide).groupBy("task").applyInPandas(_verifier(threshold), "id long, up long, links long"))
+    found = stored(lone.unionByName(wide).groupBy("task").applyInPandas(_verifier(threshold), f"id {key}, up {key}, links long"))
 
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     comp = components(found.where("id <> up").select(F.col("id").alias("src"), F.col("up").alias("dst")))
@@ -205,9 +206,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The rows of docs that stay when one document of each class stays: the one with the smallest
-    doc_id. Repeated rows of that doc_id stay once; rows without doc_id stay as they are."""
+    doc_id. Of rows that share it, the one whose text is that of the class stays (smallest MD5, then
+    smallest hash of the row), once; rows without doc_id stay as they are."""
     cls = jaccard_classes(docs, **kw).where("doc_id = class_id").select(F.col("doc_id").alias("__id"))
     some = docs.where("doc_id is not null")
-    some = some.join(cls.hint("shuffle_hash"), some["doc_id"] == cls["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id is null"))
-
+    some = some.join(cls.hint("shuffle_hash"), some["doc_id"] == cls["__id"], "left_semi")
+    plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.xxhash64(*plain)))
+    one = some.groupBy("doc_id").agg(first.alias("__row")).select("__row.*")
+    return one.unionByName(docs.where("doc_id is null"))
