@@ -76,7 +76,7 @@ def _scan(bitmap):
 
         def f(batch):
             data, offs = utf8(batch["text"])
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids = batch["doc_id"].to_pylist()
             for i, j in slices(offs):
                 h, row, _, _ = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_ALNUM, FOLD)
                 key, at = seeds(h, row)
@@ -91,7 +91,7 @@ def _scan(bitmap):
                     r = row[at[a]]
                     lo, hi = np.searchsorted(row, (r, r + 1))
                     t = h[lo:hi].tobytes()
-                    out["doc_id"].append(int(ids[i + r]))
+                    out["doc_id"].append(ids[i + r])
                     out["seg"].append(hashlib.md5(t).digest())
                     out["tokens"].append(t)
                     out["keys"].append(key[a:b].tolist())
@@ -125,16 +125,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 16, mi
     Tokens are runs of letters and digits, ASCII case folded. Every spaced seed of every document
     is looked up in a bounded bitmap of the benchmark's seeds; the few that pass, false positives
     included, are joined with the benchmark by hash. An overlap is verified over the whole item and the whole
-    document, however long, once per distinct text, so copies cost one row each; of equal ones the first counts. Null texts count as empty; rows without doc_id or
-    item_id are left out; repeated rows give one row. Items under 13 tokens have no seed and match
+    document, however long, once per distinct text, so copies cost one row each; of equal ones the first counts.
+    Null texts count as empty; rows without doc_id or item_id are left out; repeated rows give one row. Ids keep
+    their types. Items under 13 tokens have no seed and match
     nothing. An empty benchmark gives no rows. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    keys = stored(over_batches(items, lambda: _bench, "item_id long, key long, item_at int"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    own, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    keys = stored(over_batches(items, lambda: _bench, f"item_id {item}, key long, item_at int"))
     bitmap = sc.broadcast(_filter_bits(keys))
-    seg = stored(over_batches(docs, _scan(bitmap), "doc_id long, seg binary, tokens binary, keys array<long>, ats array<int>"))
+    seg = stored(over_batches(docs, _scan(bitmap), f"doc_id {own}, seg binary, tokens binary, keys array<long>, ats array<int>"))
     one = seg.groupBy("seg").agg(F.first("tokens").alias("tokens"), F.first("keys").alias("keys"), F.first("ats").alias("ats"))
     hit = one.select("seg", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select("seg", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"))
     cand = hit.join(keys, "key").groupBy("seg", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
