@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAD, RAND, U, mix, over_batches, powers, slices, utf8
+from .common import HEAD, RAND, U, mix, over_batches, powers, slices, stored, utf8
 
 #: Bits 11 to 15 of the hash decide a cut, so a cut depends on the 16 bytes before it alone.
 LOOK, CUT_MASK, SPACING, LONGEST = 16, 0x1F << 11, 12, 256
@@ -79,23 +79,40 @@ def _chunker():
     return f
 
 
+#: A digest in more than one of so many chunks is hot: there are at most so many, in twice so many parts.
+HOT = 5_000
+
+
+def _held_twice(chunk: DataFrame) -> DataFrame:
+    """chunk without digest, with `low`, the smallest doc_id that holds the digest; only where another holds it too.
+
+    Holders are counted with partial sums, so a digest of any frequency meets as a row per task. To bring
+    its smallest holder back, a hot digest is split by a hash of its rows into parts as large as a digest that
+    is just not hot; the table of the hot ones has at most HOT rows and is broadcast."""
+    held = stored(chunk.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low <> high").drop("high"))
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = held.withColumn("parts", F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int"))
+    hot = F.broadcast(held.where("parts > 1").select("digest", "parts"))
+    part = F.pmod(F.xxhash64("doc_id", "chunk"), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")
+    low = held.select("digest", "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return chunk.join(hot, "digest", "left").withColumn("part", part).drop("parts").join(low, ["digest", "part"]).drop("digest", "part")
+
+
 def repeated_passages(docs: DataFrame, min_chars: int = 150) -> DataFrame:
     """Rows (doc_id, c_from, c_to, n_chunks, first_doc, n_later): maximal runs of chunks that also
     occur in another document, of at least min_chars code points; c_from and c_to are code points,
     first_doc the smallest doc_id that holds a chunk of the run, n_later the code points of chunks
     whose first holder is another document (what a dedup removes).
 
-    One exchange by digest finds each chunk's smallest and largest holder; a digest holds at most
-    one row per occurrence, and since a text has tens of chunks or more, even a text that a third of
-    all rows repeat puts about a hundredth of the rows on one digest. Chunks of one document only go
-    no further. Null text counts as empty; empty texts have no chunk. Rows without doc_id are left
-    out; a repeated doc_id is one document, so repetition inside it is not reported. Other columns are
+    Each chunk's smallest and largest holder are found by digest, and chunks of one document only go
+    no further. No digest meets in one task, not even one that every text holds. Null text counts as
+    empty; empty texts have no chunk. Rows without doc_id are left out; a repeated doc_id is one
+    document, so repetition inside it is not reported. doc_id keeps its type. Other columns are
     ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    chunk = over_batches(docs, _chunker, "doc_id long, digest long, chunk int, c_from int, c_to int")
-    same = Window.partitionBy("digest")
-    chunk = chunk.select("*", F.min("doc_id").over(same).alias("low"), F.max("doc_id").over(same).alias("high")).where("low <> high").drop("digest", "high")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    own = docs.schema["doc_id"].dataType.simpleString()
+    chunk = _held_twice(over_batches(docs, _chunker, f"doc_id {own}, digest long, chunk int, c_from int, c_to int"))
     doc = Window.partitionBy("doc_id").orderBy("chunk", "c_from")
     run = chunk.withColumn("__new", F.coalesce((F.col("c_from") > F.lag("c_to").over(doc)).cast("int"), F.lit(0)))
     run = run.withColumn("__run", F.sum("__new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
