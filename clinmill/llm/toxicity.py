@@ -14,12 +14,20 @@ from .common import FOLD, NOT_ALNUM, arrow_iter_udf, hash_words, ngrams, over_ba
 
 #: Context: words before and after a hit, words that report speech, words that address a reader.
 WINDOW = 8
-REPORTING = ("said", "says", "wrote", "writes", "called", "quote", "quoted", "word", "term", "example", "meaning", "definition", "alleged")
-ADDRESSING = ("you", "your", "youre", "yourself", "u")
+#: Fixed lists in the corpus's four languages.
+REPORTING = tuple(
+    "said says wrote writes called quote quoted word term example meaning definition alleged "
+    "sagte sagt schrieb nannte zitat wort begriff beispiel bedeutung "
+    "disait dit écrit appelé citation mot terme exemple signifie "
+    "dijo dice escribió llamó cita palabra término ejemplo significa".split()
+)
+ADDRESSING = tuple("you your youre yourself u du dich dir dein deine ihr euch tu toi ton ta vous votre tú te ti usted ustedes vosotros".split())
 PREFIX_LENGTHS = (4, 5, 6, 7)
 #: A learned threshold of the score from which a document counts as toxic (fixed by the contract).
 TOXIC = 0.7
-FEATURES = 5
+FEATURES = 6
+#: Longer words become no terms of their own; they take part by their beginnings.
+LONGEST_TERM = 64
 #: Terms and stems of one automaton; a larger lexicon makes more automata, not larger ones.
 PART = 24
 
@@ -134,35 +142,45 @@ class Model:
     terms: list[str]
     stems: list[str]
     benign: list[str] = field(default_factory=list)
+    alone: list[str] = field(default_factory=list)  # benign words that only one clean training text holds
     weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
-    auto: Automaton | None = None
+    auto: list[Automaton] = field(default_factory=list)  # of the terms, of the stems
 
     def __post_init__(self):
         # built once, where the model is made; tasks get the finished tables
-        if self.auto is None and (self.terms or self.stems):
-            self.auto = Automaton.build(self.terms, self.stems)
+        if not self.auto:
+            self.auto = [Automaton.build(self.terms, []), Automaton.build([], self.stems)]
+
+
+#: Kinds of hit: a term as it stands, a stem as it stands, a term with edits, a stem with edits.
+TERM, STEM, NEAR_TERM, NEAR_STEM = range(4)
 
 
 def _hits(model: Model):
-    """f(data, offs) -> (row, exact, quoted, hostile, word number, start, end) of each hit and words per row."""
-    auto = model.auto
-    benign = hash_words(" ".join(model.benign))
+    """f(data, offs, own) -> words per row and (row, kind, quoted, hostile, word number, start, end) of each hit.
+
+    A word near a term or stem that clean training texts hold is benign and counts only when exact. own marks
+    rows that are such texts themselves: a word that no other clean text holds is not benign there."""
+    few = hash_words(" ".join(model.benign))
+    alone = hash_words(" ".join(model.alone))
     report = np.array([hash_words(w)[0] for w in REPORTING])
     address = np.array([hash_words(w)[0] for w in ADDRESSING])
 
-    def f(data: np.ndarray, offs: np.ndarray):
+    def f(data: np.ndarray, offs: np.ndarray, own: np.ndarray | None = None):
         h, row, s, e = words(data, offs, NOT_ALNUM, FOLD)
         n = np.bincount(row, minlength=len(offs) - 1)
-        if auto is None or not len(h):
-            z = np.empty(0, np.int64)
+        z = np.empty(0, np.int64)
+        if not len(h) or not (model.terms or model.stems):
             return n, z, z, z, z, z, z, z
         uniq, first, back = np.unique(h, return_index=True, return_inverse=True)
-        edits = auto.run(data, s[first], e[first])
-        edits[(edits > 0) & np.isin(uniq, benign)] = -1
-        per = edits[back]
+        term, stem = (a.run(data, s[first], e[first]) for a in model.auto)
+        kind = np.select([term == 0, stem == 0, term > 0, stem > 0], [TERM, STEM, NEAR_TERM, NEAR_STEM], -1)
+        per, benign = kind[back], np.isin(uniq, few)[back]
+        if own is not None:
+            benign &= ~(np.isin(uniq, alone)[back] & own[row])
+        per[(per >= NEAR_TERM) & benign] = -1
         at = np.flatnonzero(per >= 0)
         if not len(at):
-            z = np.empty(0, np.int64)
             return n, z, z, z, z, z, z, z
         reports, addresses = np.isin(h, report), np.isin(h, address)
         quoted, hostile = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
@@ -180,12 +198,12 @@ def _hits(model: Model):
     return f
 
 
-def _features(n: np.ndarray, row, edits, quoted, hostile) -> np.ndarray:
-    """Per row: log counts of plain exact hits, plain inexact hits, quoted hits, hostile hits; any plain exact hit."""
+def _features(n: np.ndarray, row, kind, quoted, hostile) -> np.ndarray:
+    """Per row: log counts of plain hits of each kind, of quoted hits and of hostile hits."""
     m = len(n)
-    count = lambda mask: np.bincount(row[mask], minlength=m).astype(float) if len(row) else np.zeros(m)
-    exact, near, quote, host = count((edits == 0) & (quoted == 0)), count((edits > 0) & (quoted == 0)), count(quoted == 1), count((hostile == 1) & (quoted == 0))
-    return np.stack([np.log1p(exact), np.log1p(near), np.log1p(quote), np.log1p(host), (exact > 0).astype(float)], 1)
+    count = lambda mask: np.log1p(np.bincount(row[mask], minlength=m)) if len(row) else np.zeros(m)
+    plain = quoted == 0
+    return np.stack([*(count((kind == k) & plain) for k in (TERM, STEM, NEAR_TERM, NEAR_STEM)), count(quoted == 1), count((hostile == 1) & plain)], 1)
 
 
 def _scorer(model: Model):
@@ -197,8 +215,8 @@ def _scorer(model: Model):
             data, offs = utf8(col)
             parts = []
             for i, j in slices(offs):
-                n, row, edits, quoted, hostile, *_ = hits(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                z = np.clip(w[0] + _features(n, row, edits, quoted, hostile) @ w[1:], -30, 30)
+                n, row, kinds, quoted, hostile, *_ = hits(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                z = np.clip(w[0] + _features(n, row, kinds, quoted, hostile) @ w[1:], -30, 30)
                 parts.append((1 / (1 + np.exp(-z)), np.bincount(row, minlength=j - i), np.bincount(row, weights=quoted, minlength=j - i).astype(np.int64)))
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(3)]
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kind, strict=True)], fields=list(kind))
@@ -214,12 +232,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic) of at most `most` labelled documents that are not held out, toxic ones first up to
     half, taken in hash order; stored, since the fit reads it three times. Of texts with the same label
     whose smallest 5-gram hash is the same (copies, most near copies) one stays: repetition is no evidence."""
-    seen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    seen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     seen = seen.where(~held_out(F.col("doc_id"))).withColumn("__k", F.xxhash64("doc_id"))
-    some = seen.where("toxic = 1").orderBy("__k").limit(most // 2).unionByName(seen.where("toxic = 0").orderBy("__k").limit(most - most // 2))
-    some = F.broadcast(stored(some.drop("__k")))  # at most `most` rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(some, "doc_id")
-    keyed = over_batches(rows, lambda: _keyed, "doc_id long, text string, toxic int, key long")
+    some = seen.where("toxic = 1").orderBy("__k", "doc_id").limit(most // 2).unionByName(seen.where("toxic = 0").orderBy("__k", "doc_id").limit(most - most // 2))
+    some = F.broadcast(stored(some.drop("__k")))  # at most `most` ids and labels
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(some, "doc_id")
+    keyed = over_batches(rows, lambda: _keyed, "doc_id string, text string, toxic int, key long")
     return stored(keyed.groupBy("toxic", "key").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text")).select("text", "toxic"))
 
 
@@ -227,8 +245,10 @@ def _keyed(batch):
     data, offs = utf8(batch["text"])
     h, row, _, _ = words(data, offs)
     g, at = ngrams(h, row, 5)
-    key = np.arange(batch.num_rows, dtype=np.int64)  # texts of under five words keep a key of their own
-    key ^= np.array([hash(x) for x in batch["doc_id"].to_pylist()], np.int64)
+    key = np.zeros(batch.num_rows, np.int64)  # texts of under five words: all their words
+    some, begin = np.unique(row, return_index=True)
+    if len(some):
+        key[some] = np.bitwise_xor.reduceat(h, begin).view(np.int64)
     have, first = np.unique(row[at], return_index=True)
     if len(have):
         key[have] = np.minimum.reduceat(g, first).view(np.int64)
@@ -244,8 +264,9 @@ def _terms(batch):
         _, first = np.unique(h, return_index=True)
         raw = FOLD[data].tobytes()
         own = [raw[a:b].decode() for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
-        own = [w for w in own if 3 <= len(w) <= 24]
+        own = [w for w in own if 3 <= len(w)]
         stems = {w[:k] for w in own for k in PREFIX_LENGTHS if len(w) > k}
+        own = [w for w in own if len(w) <= LONGEST_TERM]
         t += own + list(stems)
         p += [0] * len(own) + [1] * len(stems)
         y += [toxic] * (len(own) + len(stems))
@@ -285,16 +306,17 @@ def learn_lexicon(rows: DataFrame, least: int = 3) -> tuple[list[str], list[str]
 
 
 def _near_words(model: Model):
+    """Distinct words of each clean text that are near a term or stem."""
+
     def make():
         hits = _hits(model)
 
         def f(batch):
             data, offs = utf8(batch["text"])
-            y = batch["toxic"].to_pylist()
-            _, row, edits, _, _, _, s, e = hits(data, offs)
+            _, row, kind, _, _, _, s, e = hits(data, offs)
             raw = FOLD[data]
-            near = np.flatnonzero(edits > 0)
-            yield {"word": [raw[s[k] : e[k]].tobytes().decode() for k in near], "toxic": [y[row[k]] for k in near]}
+            near = {(int(row[k]), raw[s[k] : e[k]].tobytes().decode()) for k in np.flatnonzero(kind >= NEAR_TERM)}
+            yield {"word": [w for _, w in sorted(near)]}
 
         return f
 
@@ -307,8 +329,8 @@ def _train_features(model: Model):
 
         def f(batch):
             data, offs = utf8(batch["text"])
-            n, row, edits, quoted, hostile, *_ = hits(data, offs)
-            yield {"x": list(_features(n, row, edits, quoted, hostile)), "toxic": batch["toxic"]}
+            n, row, kind, quoted, hostile, *_ = hits(data, offs, batch["toxic"].to_numpy(zero_copy_only=False) == 0)
+            yield {"x": list(_features(n, row, kind, quoted, hostile)), "toxic": batch["toxic"]}
 
         return f
 
@@ -318,13 +340,14 @@ def _train_features(model: Model):
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> Model:
     """Lexicon, its harmless neighbours and a logistic score, from at most most_rows labelled rows.
 
-    Words near a term that clean training texts use are benign: they count as hits only when exact.
+    Words near a term that clean training texts use are benign: they count as hits only when exact. For the
+    weights, a training text is no evidence for itself, so they meet near hits as often as other texts do.
     Without rows of both labels the score is constant (the base rate, 0.5 without rows)."""
     rows = training_rows(docs, labels, most_rows)
     terms, stems = learn_lexicon(rows)
     model = Model(terms, stems)
-    near = over_batches(rows, _near_words(model), "word string, toxic int").groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("clean")).where("clean > 0")
-    model.benign = [r["word"] for r in near.orderBy(F.desc("clean"), "word").collect()]
+    near = over_batches(rows.where("toxic = 0"), _near_words(model), "word string").groupBy("word").agg(F.count("*").alias("n")).orderBy("word").collect()
+    model.benign, model.alone = [r["word"] for r in near], [r["word"] for r in near if r["n"] == 1]
     data = over_batches(rows, _train_features(model), "x array<double>, toxic int").toPandas()
     model.weights = logistic(np.array(data["x"].tolist()).reshape(len(data), FEATURES), data["toxic"].to_numpy(float)).tolist()
     return model
