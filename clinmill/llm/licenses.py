@@ -117,18 +117,19 @@ class Scanner:
                 row = int(np.searchsorted(o, i, "right") - 1)
                 n, label, e, masks = self.notices[k]
                 lo, hi = max(int(o[row]), i - off - e), min(int(o[row + 1]), i - off + len(n) + e)
-                if (k, row, (i - off) // max(1, e)) in tried:
+                # pieces of one occurrence agree on its start but for the edits between them
+                if (k, row, i - off) in tried:
                     continue
-                tried.add((k, row, (i - off) // max(1, e)))
+                tried.add((k, row, i - off))
                 # one character a byte, so that positions stay positions
                 near = b[lo:hi].tobytes().decode("latin-1")
                 # a plain bound first: bounded-error matching is slow only where it fails
-                k = least_edits(masks, len(n), near)
-                if k > e:
+                least = least_edits(masks, len(n), near)
+                if least > e:
                     continue
-                if (n, k) not in self.patterns:
-                    self.patterns[n, k] = regex.compile(f"(?:{regex.escape(n)}){{e<={k}}}")
-                m = self.patterns[n, k].search(near)
+                if (n, least) not in self.patterns:
+                    self.patterns[n, least] = regex.compile(f"(?:{regex.escape(n)}){{e<={least}}}")
+                m = self.patterns[n, least].search(near)
                 if m:
                     s, t = int(at[lo + m.start()]), int(at[lo + m.end() - 1]) + 1
                     key = (row, label, s, t)
