@@ -168,6 +168,86 @@ def test_repeated_passages(make_docs):
     assert clean[3] == texts[2] and len(clean[13]) < 50 and len(clean[8]) < len(texts[7]) - 150
 
 
+def test_repeated_passages_with_a_chunk_in_every_row(make_docs, monkeypatch):
+    """A header that all rows hold and a tail that a third holds: nothing is lost, whether a digest is hot or not."""
+    head, tail = " ".join(words(50, 70)), " ".join(words(45, 71))
+    texts = [f"{head}\n{' '.join(words(40, 500 + k))}" + (f"\n{tail}" if k % 3 == 0 else "") for k in range(240)]
+    docs = make_docs(texts)
+    want = None
+    for hot in (1, 5_000):
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = sorted(map(tuple, substring.repeated_passages(docs).collect()))
+        assert want is None or got == want
+        want = got
+    for k, t in enumerate(texts, 1):
+        spans = [(r[1], r[2]) for r in got if r[0] == k]
+        assert sum(b - a for a, b in spans) >= 0.75 * (len(head) + (len(tail) if k % 3 == 1 else 0)), k
+        assert all(r[4] in (1, 4) for r in got if r[0] == k)
+        assert any(a <= 40 for a, _ in spans)
+
+
+def test_ids_keep_their_type(spark, make_docs):
+    texts = [" ".join(words(60, k)) for k in range(6)]
+    texts += [texts[0], texts[1] + " one more", "x y"]
+    docs = make_docs(texts).withColumn("doc_id", __import__("pyspark").sql.functions.expr("concat('d', doc_id)"))
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.jaccard_classes(docs).collect()}
+    assert got["d7"] == "d1" and got["d8"] == "d2" and got["d3"] == "d3" and len(got) == 9
+    assert ngram_join.keep_one(docs).count() == 7
+    items = spark.createDataFrame([("a", texts[2])], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, items).collect()] == [("d3", "a")]
+    assert decontam.drop_contaminated(docs, items).count() == 8
+    assert {r["doc_id"] for r in substring.repeated_passages(docs).collect()} == {"d1", "d2", "d7", "d8"}
+
+
+def test_keep_one_of_rows_that_share_an_id(make_docs):
+    import hashlib
+
+    texts = ["first text of the id", "second text of the id"]
+    docs = make_docs(texts[:1]).unionByName(make_docs(texts[1:])).repartition(3)
+    got = ngram_join.keep_one(docs).collect()
+    assert [r["text"] for r in got] == [min(texts, key=lambda t: hashlib.md5(t.encode()).digest())]
+    assert ngram_join.keep_one(docs).columns == docs.columns
+
+
+def test_long_chains_settle(spark):
+    from clinmill.llm.graph import components
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(700) if k != 350], "src long, dst long")
+    got = {r["id"]: r["comp"] for r in components(edges).collect()}
+    assert got == {k: 0 if k <= 350 else 351 for k in range(701)}
+
+
+def test_contaminated_against_brute_force(spark, make_docs):
+    """Items of 20 to 5,000 words, planted whole, in part, worn, or not at all, against all diagonals."""
+    import numpy as np
+
+    r = random.Random(21)
+    items = [words(n, 900 + n) for n in (20, 25, 33, 48, 70, 150, 400, 1100, 2500, 5000)]
+    texts, planted = [], []
+    for k in range(60):
+        it = items[k % len(items)]
+        share = r.choice([1.0, 0.8, 0.6, 0.3])
+        n = max(1, int(share * len(it)))
+        a = r.randrange(len(it) - n + 1)
+        every = r.choice([0, 0, 20, 9])
+        part = [f"s{x}" if every and x % every == every - 1 else w for x, w in enumerate(it[a : a + n])]
+        texts.append(words(r.randint(0, 300), 3000 + k) + part + words(r.randint(0, 300), 4000 + k))
+    docs = make_docs([" ".join(t) for t in texts])
+    found = {(x["doc_id"], x["item_id"]): x["n_equal"] for x in decontam.contaminated(docs, bench(spark, [" ".join(i) for i in items])).collect()}
+    code: dict = {}
+    num = lambda t: np.array([code.setdefault(w, len(code)) for w in t])
+    want = {}
+    for d, t in enumerate(texts, 1):
+        for i, it in enumerate(items):
+            x, y = num(t), num(it)
+            best = max((decontam.overlap(x, y, s)[0] for s in np.unique(np.subtract.outer(np.flatnonzero(np.isin(x, y)), np.arange(len(y)))[np.equal.outer(x[np.isin(x, y)], y)]).tolist()), default=0)
+            if best >= min(16, max(13, len(it))) and best >= 0.5 * len(it):
+                want[d, i] = best
+    assert len(want) > 30 and set(found) <= set(want)
+    assert len(found) >= 0.97 * len(want)
+    assert all(found[k] == want[k] for k in found)
+
+
 def test_cuts_resist_insertions():
     import numpy as np
 
