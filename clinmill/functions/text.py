@@ -71,9 +71,12 @@ def expand_glossary(c, mode: str = "spaced", glossary: dict[str, str] = GLOSSARY
     order = sorted(glossary, key=len, reverse=True)
     s = F.lower(F.coalesce(_c(c), F.lit("")))
     if mode == "spaced":
+        full = s
         for k in order:
-            s = F.regexp_replace(s, f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])", glossary[k])
-        return F.trim(F.regexp_replace(s, r"\s+", " "))
+            full = F.regexp_replace(full, f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])", glossary[k])
+        # most notes hold no key: one search spares them the chain
+        some = s.rlike(f"(?<![a-z0-9])(?:{'|'.join(re.escape(k) for k in order)})(?![a-z0-9])")
+        return F.trim(F.regexp_replace(F.when(some, full).otherwise(s), r"\s+", " "))
     table = F.create_map(*(F.lit(x) for k in order for x in (k, joined(glossary[k]))))
     both = mode.endswith("augmented")
     s = _mapped(s, f"(?<![a-z0-9])(?:{'|'.join(re.escape(k) for k in order)})(?![a-z0-9])", lambda x: F.concat(x, F.lit(" "), F.element_at(table, x)) if both else F.element_at(table, x))

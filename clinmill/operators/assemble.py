@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import cosine
+from ..sources.scratch import if_small
+from .retrieve import block_topk, hybrid_topk, with_terms  # noqa: F401
 
 
 def build_encounter_extract(rx: DataFrame, visit: DataFrame, on: str, dims: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -112,21 +114,23 @@ def resolve_names(gen: DataFrame, formulary: DataFrame) -> DataFrame:
 def cosine_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(qid, rid, score, rank): the k nearest references of each query.
 
-    References are scored in hashed blocks with a top k each, and those meet per query; so no task
-    holds all scores of a query."""
-    scored = queries.select("qid", F.col("vec").alias("q")).join(F.broadcast(refs.select("rid", F.col("vec").alias("r")))).select("qid", "rid", cosine("q", "r").alias("score"))
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    A reference table of a checked size is broadcast; a larger one is scored in blocks (block_topk)."""
+    small = if_small(refs.select("rid", F.col("vec").alias("r")), 2_000)
+    if small is None:
+        return block_topk(queries, refs, k, 1.0)
+    scored = queries.select("qid", F.col("vec").alias("q")).join(small).select("qid", "rid", F.round(cosine("q", "r"), 9).alias("score"))
+    best = scored.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "rid"))), 1, k).alias("b"))  # of at most 2,000
+    return best.select("qid", F.posexplode("b").alias("i", "x")).select("qid", "x.rid", (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"))
 
 
 def knn_label_vote(train: DataFrame, test: DataFrame, gold: DataFrame, k: int = 5, votes: int = 2) -> DataFrame:
-    """(row_id, label): labels that at least `votes` of a row's k nearest train rows have.
+    """(row_id, label, votes): labels that at least `votes` of a row's k nearest train rows have.
 
-    train and test are (row_id, term, w) with L2-normed weights: an inverted-index join on terms."""
-    a = test.select(F.col("row_id").alias("q"), "term", F.col("w").alias("wq"))
-    s = a.join(train.select(F.col("row_id").alias("r"), "term", F.col("w").alias("wr")), "term").groupBy("q", "r").agg(F.sum(F.col("wq") * F.col("wr")).alias("s"))
-    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "r"))).where(F.col("rank") <= k)
-    return top.join(gold, top["r"] == gold["row_id"]).groupBy(F.col("q").alias("row_id"), "label").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+    train and test are (row_id, term, w) with L2-normed weights; every test row meets every train row, in
+    blocks, over all terms."""
+    side = lambda d, name: with_terms(d.select(F.col("row_id").alias(name)).distinct(), d, name)
+    top = block_topk(side(test, "qid"), side(train, "rid"), k, 0.0).where("score > 0")
+    return top.join(gold, top["rid"] == gold["row_id"]).groupBy(F.col("qid").alias("row_id"), "label").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
 
 
 def coder_agreement(a: DataFrame, b: DataFrame, key: str, code: str) -> DataFrame:

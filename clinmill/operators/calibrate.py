@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import logit, prf
@@ -46,25 +46,20 @@ def span_max(pred: DataFrame) -> DataFrame:
     return pred.groupBy("row_id", "label").agg(F.max("p").alias("p"))
 
 
-def isotonic_knots(df: DataFrame) -> DataFrame:
-    """(x, y) knots of the isotonic fit of (p, y), by pyspark.ml."""
+def isotonic(df: DataFrame):
+    """The isotonic fit of (p, y) by pyspark.ml."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import IsotonicRegression
 
-    m = IsotonicRegression(featuresCol="f", labelCol="label").fit(df.select(array_to_vector(F.array("p")).alias("f"), F.col("y").cast("double").alias("label")))
-    rows = list(zip(m.boundaries.toArray().tolist(), m.predictions.toArray().tolist(), strict=True))
-    return df.sparkSession.createDataFrame(rows, "x double, y double")
+    return IsotonicRegression(featuresCol="f", labelCol="label").fit(df.select(array_to_vector(F.array("p")).alias("f"), F.col("y").cast("double").alias("label")))
 
 
-def apply_knots(df: DataFrame, knots: DataFrame) -> DataFrame:
-    """df with p_cal: linear between knots, the end values outside."""
-    w = Window.orderBy("x")  # over knots
-    seg = knots.select("x", F.col("y").alias("__y"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"))
-    ends = knots.agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"), F.min_by("y", "x").alias("__ylo"), F.max_by("y", "x").alias("__yhi"))
-    j = df.join(F.broadcast(ends)).join(F.broadcast(seg.where("x2 is not null")), (F.col("p") >= F.col("x")) & (F.col("p") < F.col("x2")), "left")
-    inside = F.col("__y") + (F.col("y2") - F.col("__y")) * (F.col("p") - F.col("x")) / (F.col("x2") - F.col("x"))
-    cal = F.when(F.col("p") <= F.col("__lo"), F.col("__ylo")).when(F.col("p") >= F.col("__hi"), F.col("__yhi")).otherwise(inside)
-    return j.withColumn("p_cal", F.greatest(F.least(cal, F.lit(1.0)), F.lit(0.0))).select(*(df[c] for c in df.columns), "p_cal")
+def apply_isotonic(df: DataFrame, model) -> DataFrame:
+    """df with p_cal: the model's own search among its knots, linear between them, the end values outside."""
+    from pyspark.ml.functions import array_to_vector
+
+    out = model.setFeaturesCol("__f").setPredictionCol("__y").transform(df.withColumn("__f", array_to_vector(F.array(F.col("p").cast("double")))))
+    return out.withColumn("p_cal", F.greatest(F.least("__y", F.lit(1.0)), F.lit(0.0))).drop("__f", "__y")
 
 
 def platt(df: DataFrame) -> tuple[float, float]:
@@ -82,7 +77,7 @@ def calibrate(fit: DataFrame, apply: DataFrame, method: str) -> DataFrame:
     if method == "none" or (c["s"] or 0) < LEAST_POSITIVES or c["s"] == c["n"]:
         return apply.withColumn("p_cal", F.col("p"))
     if method == "isotonic":
-        return apply_knots(apply, isotonic_knots(fit))
+        return apply_isotonic(apply, isotonic(fit))
     a, b = platt(fit)
     return apply.withColumn("p_cal", 1 / (1 + F.exp(-(a * logit("p") + b))))
 

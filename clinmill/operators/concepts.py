@@ -5,27 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import cosine
+from ..sources.scratch import stored
+from .retrieve import block_topk, similarity_groups
 
 
-def induce_concepts(phrases: DataFrame, most: int = 4000, tau: float = 0.70, support: int = 25, rounds: int = 20) -> DataFrame:
-    """(phrase, concept, label, centroid) from (phrase, freq, vec): the `most` frequent phrases are linked
-    at cosine tau and more, linked groups with enough support become concepts named by their most
-    frequent phrase, with a frequency-weighted centroid. The bound on phrases bounds the pairs."""
-    top = phrases.orderBy(F.desc("freq"), "phrase").limit(most)
-    a = top.select(F.col("phrase").alias("a"), F.col("vec").alias("va"))
-    b = top.select(F.col("phrase").alias("b"), F.col("vec").alias("vb"))
-    edge = a.join(F.broadcast(b), F.col("a") < F.col("b")).where(cosine("va", "vb") >= tau).select("a", "b")
-    both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    lab = top.select("phrase", F.col("phrase").alias("root"))
-    for _ in range(rounds):
-        low = both.join(lab.select(F.col("phrase").alias("b"), "root"), "b").groupBy(F.col("a").alias("phrase")).agg(F.min("root").alias("low"))
-        new = lab.join(low, "phrase", "left").select("phrase", "root", F.least("root", F.coalesce("low", "root")).alias("next"))
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        moved = new.where("next <> root").limit(1).count()
-        lab = new.select("phrase", F.col("next").alias("root"))
-        if not moved:
-            break
+def induce_concepts(phrases: DataFrame, most: int = 4000, tau: float = 0.70, support: int = 25) -> DataFrame:
+    """(phrase, concept, label, support, centroid) from (phrase, freq, vec): the `most` frequent phrases (a
+    parameter of the method) are linked at cosine tau and more, linked groups with enough support become concepts
+    named by their most frequent phrase, with a frequency-weighted centroid."""
+    top = stored(phrases.orderBy(F.desc("freq"), "phrase").limit(most))
+    lab = similarity_groups(top.select(F.col("phrase").alias("id"), "vec"), tau).select(F.col("id").alias("phrase"), F.col("comp").alias("root"))
     g = lab.join(top, "phrase")
     name = g.groupBy("root").agg(F.sum("freq").alias("support"), F.max_by("phrase", F.struct("freq", "phrase")).alias("label"))
     unit = g.select("root", "freq", F.posexplode("vec").alias("i", "v"))
@@ -38,8 +27,6 @@ def assign_concepts(spans: DataFrame, concepts: DataFrame, tau: float = 0.72) ->
     """(key, concept, how) for (key, phrase, vec): the phrase's own concept, else the nearest centroid at tau or more."""
     own = spans.join(concepts.select("phrase", "concept"), "phrase").select("key", "concept", F.lit("exact").alias("how"))
     rest = spans.join(concepts.select("phrase"), "phrase", "left_anti")
-    cent = concepts.select("concept", "centroid").dropDuplicates(["concept"])  # a row per concept
-    s = rest.join(F.broadcast(cent)).select("key", "concept", cosine("vec", "centroid").alias("s")).where(F.col("s") >= tau)
-    near = s.groupBy("key").agg(F.max_by("concept", F.struct("s", -F.col("concept"))).alias("concept"))
-    return own.unionByName(near.select("key", "concept", F.lit("centroid").alias("how")))
-
+    cent = concepts.select(F.col("concept").alias("rid"), F.col("centroid").alias("vec")).dropDuplicates(["rid"])  # a row per concept
+    near = block_topk(rest.select(F.col("key").alias("qid"), "vec"), cent, 1, 1.0).where(F.col("score") >= tau)
+    return own.unionByName(near.select(F.col("qid").alias("key"), F.col("rid").alias("concept"), F.lit("centroid").alias("how")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,23 +142,31 @@ def attribute_accuracy(gold: DataFrame, pred: DataFrame, key: list[str], attrs:
     return one.unpivot(["n"], attrs, "attribute", "accuracy")
 
 
-def poisson_weight(seed: int, *cols: str) -> Column:
-    """Poisson(1) count from a hash, by the inverse distribution."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in cols))), 1, 8), 16, 10).cast("bigint") / float(1 << 32)
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898050899933)
-    return sum((F.when(u >= s, 1).otherwise(0) for s in steps[1:]), F.when(u >= steps[0], 1).otherwise(0))
+def _uniform(key, part: int) -> Column:
+    """32 bits of a hex digest as a number in (0, 1]."""
+    return (F.conv(F.substring(key, 1 + 8 * part, 8), 16, 10).cast("bigint") + 1) / float(1 << 32)
+
 
+def bootstrap(counts: DataFrame, by: list[str], n_boot: int = 1000, seed: int = 0) -> DataFrame:
+    """(by, b, micro_f1): paired replicates from row counts, every system on the same resamples.
 
-def bootstrap(counts: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
-    """(by, b, micro_f1): paired replicates from row counts. A row's weight in replicate b is a Poisson(1) hash of
-    (seed, b, row), so every system sees the same resamples and no resample is stored."""
-    r = counts.select(*by, "row_id", "tp", "n_pred", "n_gold", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    r = r.withColumn("w", poisson_weight(seed, "b", "row_id")).where("w > 0")
-    s = r.groupBy(*by, "b").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "n_pred", "n_gold")))
+    Rows whose counts agree in all systems can be exchanged, so each kind of row is drawn as a whole: the m rows
+    of a kind get together a normal weight of mean m and variance m, as m Poisson(1) weights have (Box-Muller on a hash
+    of seed, replicate and kind). The work is the number of kinds times replicates, whatever the number of rows."""
+    c = F.struct(*by, "tp", "n_pred", "n_gold")
+    row = counts.groupBy("row_id").agg(F.sort_array(F.collect_list(c)).alias("c"))  # an entry per system
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", *(x[k].cast("string") for k in [*by, "tp", "n_pred", "n_gold"]))), ";")
+    kind = row.groupBy(text.alias("k")).agg(F.count("*").cast("double").alias("m"), F.first("c").alias("c"))
+    r = kind.repartition("k").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    r = r.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), "k")))
+    z = F.sqrt(-2 * F.log(_uniform(F.col("h"), 0))) * F.cos(2 * math.pi * _uniform(F.col("h"), 1))
+    r = r.select("b", (F.col("m") + F.sqrt("m") * z).alias("w"), F.explode("c").alias("x")).select("b", "w", "x.*")
+    s = r.groupBy(*by, "b").agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in ("tp", "n_pred", "n_gold")))
     return s.select(*by, "b", prf("tp", "n_pred", "n_gold")["f1"].alias("micro_f1"))
 
 
-def delta_stats(arm: DataFrame, ref: DataFrame, value: str) -> DataFrame:
-    """Mean, 95 % interval and share above 0 of the paired difference of replicates."""
-    j = arm.select("b", F.col(value).alias("x")).join(ref.select("b", F.col(value).alias("y")), "b").select((F.col("x") - F.col("y")).alias("d"))
-    return j.agg(F.avg("d").alias("delta"), F.percentile("d", F.lit(0.025)).alias("lo95"), F.percentile("d", F.lit(0.975)).alias("hi95"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
+def delta_stats(arm: DataFrame, ref: DataFrame, value: str, relative: bool = False) -> DataFrame:
+    """Mean, 95 % interval and share above 0 of the difference of replicates; relative adds the mean share of ref."""
+    j = arm.select("b", F.col(value).alias("x")).join(ref.select("b", F.col(value).alias("y")), "b").select((F.col("x") - F.col("y")).alias("d"), F.try_divide(F.col("x") - F.col("y"), F.col("y")).alias("r"))
+    more = [F.avg("r").alias("relative")] if relative else []
+    return j.agg(F.avg("d").alias("delta"), F.percentile("d", F.lit(0.025)).alias("lo95"), F.percentile("d", F.lit(0.975)).alias("hi95"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"), *more)

@@ -30,6 +30,19 @@ def feature_set(name: str, blocks: dict[str, list[str]]) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")])
 
 
+def feature_set_table(df: DataFrame, blocks: dict[str, list[str]]) -> DataFrame:
+    """(feature_set, n_features, deployable, n, total) of every named set: the size of its vectors, whether it can be
+    had at prescribing time, and rows and sum of entries of the assembled vectors."""
+    out, arrays = df, {}
+    for name in FEATURE_SETS:
+        m = feature_set(name, blocks).getStages()[0].setOutputCol(f"__{name}")
+        out = m.transform(out)
+        arrays[name] = vector_to_array(F.col(f"`__{name}`"))
+    one = [F.struct(F.lit(n).alias("feature_set"), F.lit(FEATURE_SETS[n][1]).alias("deployable"), F.size(a).alias("size"), F.aggregate(a, F.lit(0.0), lambda s, x: s + x).alias("sum")) for n, a in arrays.items()]
+    rows = out.select(F.explode(F.array(*one)).alias("x")).select("x.*")
+    return rows.groupBy("feature_set", "deployable").agg(F.max("size").alias("n_features"), F.count("*").alias("n"), F.sum("sum").alias("total"))
+
+
 def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0, parallel: int = 4) -> dict[str, LogisticRegression | None]:
     """One L2 logistic model per label on a cached (row_id, features) frame; a label without train positives has none."""
     train = train.select("row_id", "features").persist()
@@ -100,19 +113,39 @@ def fit_component(df: DataFrame, gold: DataFrame, labels: list[str], blocks: dic
 def permuted(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     """df with a group of columns moved jointly to other rows by a seeded hash order.
 
-    Rows are ranked by row_id and by hash inside hash buckets, and rank i of one order takes the values of rank i of
-    the other, so buckets and not the whole table are sorted by a task."""
+    Rows are ranked by row_id and by hash inside hash buckets of about 4,096 rows, and rank i of one order takes the
+    values of rank i of the other, so buckets and not the whole table are sorted by a task."""
     from pyspark.sql import Window
 
     from ..functions.clean import hash_rank
 
-    d = df.withColumn("__b", F.pmod(F.xxhash64("row_id"), F.lit(1024)))
+    d = df.withColumn("__b", F.pmod(F.xxhash64("row_id"), F.lit(max(1, df.count() // 4096))))
     a = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("row_id")))
     b = d.select("__b", *(F.col(c).alias(f"__{c}") for c in cols), F.row_number().over(Window.partitionBy("__b").orderBy(hash_rank(seed, "row_id"), "row_id")).alias("__r"))
     j = a.join(b, ["__b", "__r"])
     return j.withColumns({c: F.col(f"__{c}") for c in cols}).select(*df.columns)
 
 
+def permutation_report(df: DataFrame, groups: dict[str, list[str]], predict, gold: DataFrame, seed: int = 0) -> DataFrame:
+    """(input, micro_f1, jaccard, delta_micro_f1): a fitted model's label sets with the columns of each group of inputs
+    moved jointly to other rows, beside those of the untouched rows ("none").
+
+    predict is a function of a frame that returns (row_id, label). Counts of all variants are stored, so a variant is
+    predicted once."""
+    from ..sources.scratch import stored
+    from .metrics import set_metrics
+
+    rows = df.select("row_id")
+    out = None
+    for name, cols in {"none": [], **groups}.items():
+        pred = stored(predict(permuted(df, cols, seed) if cols else df))
+        one = set_metrics(rows, gold, pred).select(F.lit(name).alias("input"), "micro_f1", "jaccard")
+        out = one if out is None else out.unionByName(one)
+    out = stored(out)
+    base = out.where("input = 'none'").select(F.col("micro_f1").alias("__base"))
+    return out.join(F.broadcast(base)).withColumn("delta_micro_f1", F.col("micro_f1") - F.col("__base")).drop("__base")  # one row
+
+
 def permutation_importance(df: DataFrame, groups: dict[str, list[str]], score, seed: int = 42) -> DataFrame:
     """(group, base, permuted, drop): score is a function of a frame that returns a one-row frame with `score`."""
     base = score(df).select(F.col("score").alias("base"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_clean, q_more, q_profile, q_score, q_text  # noqa: F401
+from . import q_clean, q_extra, q_more, q_profile, q_score, q_text  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

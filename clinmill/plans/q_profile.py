@@ -112,9 +112,13 @@ def _(enc, ev):
     return A.join_first(enc, ev.select(F.col("user_id").alias("uid"), "event_id", "value", "ts"), "uid", "ts", "event_id").select("pid", "event_id", "value")
 
 
-@query("jn17_resolve_names", "WITH g AS (SELECT DISTINCT p_name || '-' AS name, regexp_replace(lower(p_name || '-'), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_partkey % 3 = 0), f AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part WHERE p_partkey % 3 = 1 AND p_partkey < 300), x AS (SELECT name, min(id) AS id FROM g JOIN f USING (k) GROUP BY name), y AS (SELECT name, min(id) AS id FROM g JOIN f ON left(g.k, 6) = left(f.k, 6) AND abs(length(g.k) - length(f.k)) <= 3 WHERE length(g.k) >= 6 AND name NOT IN (SELECT name FROM x) GROUP BY name) SELECT name, id, 'exact' AS how FROM x UNION ALL SELECT name, id, 'prefix' FROM y", "part")
+_KEY = "regexp_replace(lower({}), '[^a-z0-9]+', '', 'g')"
+
+
+@query("jn17_resolve_names", f"WITH g AS (SELECT DISTINCT p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN '#' ELSE lower(p_type) END AS name FROM part), gk AS (SELECT name, {_KEY.format('name')} AS k FROM g), f AS (SELECT p_partkey AS id, {_KEY.format('p_name')} AS k FROM part), x AS (SELECT name, min(id) AS id FROM gk JOIN f USING (k) GROUP BY name), y AS (SELECT name, min(id) AS id FROM gk JOIN f ON left(gk.k, 6) = left(f.k, 6) AND abs(length(gk.k) - length(f.k)) <= 3 WHERE length(gk.k) >= 6 AND name NOT IN (SELECT name FROM x) GROUP BY name) SELECT name, id, 'exact' AS how FROM x UNION ALL SELECT name, id, 'prefix' FROM y", "part")
 def _(part):
-    return A.resolve_names(part.where("p_partkey % 3 = 0").select(F.concat("p_name", F.lit("-")).alias("name")), part.where("p_partkey % 3 = 1 and p_partkey < 300").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("drug_name")))
+    names = part.select(F.concat("p_name", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "#").otherwise(F.lower("p_type"))).alias("name"))
+    return A.resolve_names(names, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("drug_name")))
 
 
 @query("jn18_tk02_cosine_topk", "WITH r AS (SELECT label AS rid, min(vec_id) AS v FROM embeddings GROUP BY label), rr AS (SELECT rid, embedding AS e FROM r JOIN embeddings ON vec_id = v), s AS (SELECT vec_id AS qid, rid, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) AS s FROM embeddings, rr) SELECT qid, rid, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM s) WHERE rank <= 3", "embeddings")

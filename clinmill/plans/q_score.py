@@ -114,20 +114,27 @@ def _(gold, pred):
     return EV.row_counts(to(gold), to(_hit(pred))).agg(F.sum("n_gold").alias("n_gold"), F.sum("n_pred").alias("n_pred"), F.sum("tp").alias("tp"))
 
 
-_u = "('0x' || substr(md5(concat_ws(':', '9', b::VARCHAR, row_id::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
-_steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898050899933)
-_w = " + ".join(f"(u >= {s}::DOUBLE)::INT" for s in _steps)
+N_BOOT = 1000
+
+
+def rep_sql(kinds: str, seed: int, name: str = "rep", by: str = "system, ") -> str:
+    """CTEs of the replicates over (k, m, cs): kinds of row, their rows, and the counts of each system."""
+    h = lambda part: f"(('0x' || substr(md5('{seed}:' || b || ':' || k), {1 + 8 * part}, 8))::BIGINT + 1) / 4294967296.0::DOUBLE"
+    return f"""{name}_w AS (SELECT b, cs, m + sqrt(m) * sqrt(-2 * ln({h(0)})) * cos(2 * pi() * {h(1)}) AS w FROM {kinds}, (SELECT unnest(range({N_BOOT})) AS b)),
+{name} AS (SELECT {by}b, coalesce(2.0::DOUBLE * sum(w * tp) / nullif(sum(w * n_pred) + sum(w * n_gold), 0), 0) AS micro_f1 FROM (SELECT b, w, unnest(cs, recursive := true) FROM {name}_w) GROUP BY ALL)"""
+
+
 BOOT = f"""s AS (SELECT DISTINCT row_id, label, 'a' AS system FROM pred WHERE p >= 0.4 UNION ALL SELECT DISTINCT row_id, label, 'b' FROM pred WHERE p >= 0.6),
 g AS (SELECT DISTINCT row_id, label FROM gold), gn AS (SELECT row_id, count(*) AS n_gold FROM g GROUP BY row_id),
 sc AS (SELECT system, row_id, count(*) AS n_pred, count(g.label) AS tp FROM s LEFT JOIN g USING (row_id, label) GROUP BY 1, 2),
 c AS (SELECT y.system, pid AS row_id, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_gold, 0) AS n_gold FROM enc CROSS JOIN (SELECT unnest(['a', 'b']) AS system) y LEFT JOIN sc ON sc.row_id = pid AND sc.system = y.system LEFT JOIN gn ON gn.row_id = pid),
-wt AS (SELECT *, {_w} AS w FROM (SELECT c.*, b, {_u} AS u FROM c, (SELECT unnest(range(20)) AS b))),
-rep AS (SELECT system, b, coalesce(2.0::DOUBLE * sum(w * tp) / nullif(sum(w * n_pred) + sum(w * n_gold), 0), 0) AS micro_f1 FROM wt WHERE w > 0 GROUP BY 1, 2)"""
+kd AS (SELECT k, count(*)::DOUBLE AS m, any_value(cs) AS cs FROM (SELECT row_id, string_agg(system || ':' || tp || ':' || n_pred || ':' || n_gold, ';' ORDER BY system) AS k, list({{'system': system, 'tp': tp, 'n_pred': n_pred, 'n_gold': n_gold}}) AS cs FROM c GROUP BY row_id) GROUP BY k),
+{rep_sql("kd", 9)}"""
 
 
 def _boot(gold, pred, enc):
     parts = [EV.row_counts(gold, pred.where(F.col("p") >= t), _rows(enc)).withColumn("system", F.lit(s)) for s, t in (("a", 0.4), ("b", 0.6))]
-    return EV.bootstrap(parts[0].unionByName(parts[1]), ["system"], 20, 9)
+    return EV.bootstrap(parts[0].unionByName(parts[1]), ["system"], N_BOOT, 9)
 
 
 @query("ev14_bootstrap", f"WITH {BOOT} SELECT system, b::INT AS b, round(micro_f1, 6) AS micro_f1 FROM rep", *NAMES)
@@ -229,9 +236,17 @@ def _(gold, pred, enc):
     return R6(AB.risk_coverage(_counts(gold, pred, enc), "expected_f1"), "micro_f1")
 
 
-@query("ab04_select_signal", None, *NAMES)
+def _curve_sql(signal: str) -> str:
+    return RISK.split("ranked AS")[1].replace("round(coalesce(expected_f1, 0), 6)", signal).replace("ranked", "{n}_r").replace("curve AS", "{n}_c AS")
+
+
+_SIGNALS = {"expected_f1": "round(coalesce(expected_f1, 0), 6)", "max_prob": "round(coalesce(max_prob, 0), 6)", "random": "('0x' || substr(md5(concat_ws(':', '1', rc.row_id::VARCHAR)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"}
+
+
+@query("ab04_select_signal", f"WITH {PAIRS}, {CONF}, " + ", ".join(f"{n}_r AS" + _curve_sql(e).replace("{n}", n) for n, e in _SIGNALS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS signal, round(avg(micro_f1), 5) AS auc FROM {n}_c" for n in _SIGNALS), *NAMES)
 def _(gold, pred, enc):
-    return AB.select_signal(_counts(gold, pred, enc), ["expected_f1", "max_prob"], C.hash_rank(1, "row_id") / float(1 << 32))
+    s = AB.select_signal(_counts(gold, pred, enc), ["expected_f1", "max_prob"], C.hash_rank(1, "row_id") / float(1 << 32))
+    return s.withColumn("auc", F.round("auc", 5))
 
 
 @query("ab05_cutpoints", f"WITH {CONF}, q AS (SELECT cov, quantile_cont(expected_f1, round(1 - cov, 2)) AS cutpoint FROM cf, (SELECT unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS cov) GROUP BY cov) SELECT cov AS coverage, round(cutpoint, 6) AS cutpoint, round(avg((expected_f1 >= cutpoint)::INT), 3) AS achieved FROM cf, q GROUP BY 1, 2".replace("quantile_cont(expected_f1, round(1 - cov, 2))", "CASE cov WHEN 0.2 THEN quantile_cont(expected_f1, 0.8) WHEN 0.4 THEN quantile_cont(expected_f1, 0.6) WHEN 0.6 THEN quantile_cont(expected_f1, 0.4) ELSE quantile_cont(expected_f1, 0.2) END"), "pred")

@@ -16,6 +16,7 @@ from ..operators import features as FE
 from ..operators import metrics as EV
 from ..operators import vocab as VO
 from .base import ORACLE_SQL, QUERIES, query
+from .q_clean import TYPED, _seen
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 ORDER = sorted(GLOSSARY, key=len, reverse=True)
@@ -196,19 +197,18 @@ def _(orders):
     return FE.reference_codes(orders.select(code.alias("code")), "code", exclude=("A00", "B07"))
 
 
-@query("tx31_encode_ids", f"WITH f AS (SELECT token, count(*) AS freq FROM (SELECT unnest({_t}) AS token FROM enc WHERE split = 'train' AND pid % 3 > 0) GROUP BY token), v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id FROM f WHERE freq >= 2), p AS (SELECT pid, unnest({_t}) AS token, generate_subscripts({_t}, 1) AS i FROM enc WHERE pid < 9000) SELECT pid, string_agg(coalesce(id, 3)::VARCHAR, ',' ORDER BY i) AS ids FROM p LEFT JOIN v USING (token) GROUP BY pid", "enc")
+@query("tx31_encode_ids", f"WITH f AS (SELECT token, count(*) AS freq FROM (SELECT unnest({_t}) AS token FROM enc WHERE split = 'train' AND pid % 3 > 0) GROUP BY token), v AS (SELECT token, row_number() OVER (ORDER BY freq DESC, token) + 3 AS id FROM f WHERE freq >= 2), p AS (SELECT pid, unnest({_t}) AS token, generate_subscripts({_t}, 1) AS i FROM enc) SELECT pid, string_agg(coalesce(id, 3)::VARCHAR, ',' ORDER BY i) AS ids FROM p LEFT JOIN v USING (token) GROUP BY pid", "enc")
 def _(enc):
     v = VO.build_vocab(VO.token_freq(enc.where("split = 'train' and pid % 3 > 0"), T.tokenize("note")), 2)
-    out = VO.encode_ids(enc.where("pid < 9000"), "pid", T.tokenize("note"), v)
+    out = VO.encode_ids(enc, "pid", T.tokenize("note"), v)
     return out.select("pid", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("jn19_bl06_knn_vote", None, "documents", "labels")
 def _(docs, labels):
-    d = docs.select(F.col("doc_id").alias("row_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("length(term) >= 8")
+    d = docs.select(F.col("doc_id").alias("row_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
     train, test = d.where("row_id % 5 > 0"), d.where("row_id % 5 = 0")
-    # terms of a tenth of all rows say little and would pair everything
-    idf = FE.tfidf_fit(train, 2).where("idf >= 3.3")
+    idf = FE.tfidf_fit(train, 2)
     g = labels.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("q"), "quality").alias("label"))
     return A.knn_label_vote(FE.tfidf_transform(train, idf), FE.tfidf_transform(test, idf), g)
 
@@ -359,11 +359,18 @@ def _(enc):
     return R6(FE.profile_features(d, "prescriber", ["y1", "y2"], F.col("t")).drop("prescriber", "t", "y1", "y2"), "prescriber_rate_y1", "prescriber_rate_y2")
 
 
-@query("fe04_icd_features", None, "enc")
+_icd = "i AS (SELECT pid, split, CASE WHEN pid % 4 > 0 THEN CASE pid % 4 WHEN 1 THEN 'confident' WHEN 2 THEN 'low_confidence' ELSE 'no_complaint' END END AS tier, CASE WHEN pid % 4 = 1 THEN chr((65 + pid % 9)::INT) || lpad((uid % 60)::VARCHAR, 2, '0') END AS code, CASE WHEN pid % 4 > 0 THEN CASE WHEN pid % 3 = 0 THEN 'high' ELSE 'low' END END AS conf FROM enc)"
+
+
+@query("fe04_icd_features", f"WITH {_icd}, t AS (SELECT code, row_number() OVER (ORDER BY count(*) DESC, code) AS r FROM i WHERE split = 'train' AND code IS NOT NULL GROUP BY code) SELECT pid, coalesce(tier, 'absent_from_table') AS tier, CASE conf WHEN 'high' THEN 3.0 WHEN 'low' THEN 1.0 END::DOUBLE AS confidence, (i.code IS NOT NULL)::INT AS has_code, coalesce((r <= 12)::INT, 0) AS top_code FROM i LEFT JOIN t USING (code)", "enc")
 def _(enc):
     code = F.concat(F.chr((65 + F.col("pid") % 9).cast("int")), F.lpad((F.col("uid") % 60).cast("string"), 2, "0"))
     icd = enc.where("pid % 4 > 0").select("pid", F.when(F.col("pid") % 4 == 1, "confident").when(F.col("pid") % 4 == 2, "low_confidence").otherwise("no_complaint").alias("tier"), F.when(F.col("pid") % 4 == 1, code).alias("icd_final"), F.when(F.col("pid") % 3 == 0, "high").otherwise("low").alias("llm_confidence"))
-    return FE.icd_features(enc, icd, F.col("split") == "train")
+    f = FE.icd_features(enc, icd, F.col("split") == "train")
+    tiers = ("confident", "low_confidence", "no_complaint", "absent_from_table")
+    one = F.coalesce(*(F.when(F.col(f"icd_tier_{t}") == 1, t) for t in tiers))
+    top = sum((F.col(c) for c in f.columns if c.startswith("icd_code_")), F.lit(0))
+    return f.select("pid", one.alias("tier"), F.col("icd_llm_confidence").alias("confidence"), F.col("icd_has_code").alias("has_code"), top.alias("top_code"))
 
 
 @query("fe06_targets", "SELECT e.pid, " + ", ".join(f"max(CASE WHEN p_type = '{t}' THEN 1 ELSE 0 END) AS {t.lower()}" for t in ("SMALL", "LARGE")) + ", max(CASE WHEN r.pid IS NOT NULL AND (p_size IS NULL OR p_size <= 5) THEN 1 ELSE 0 END) AS unclassified, max(CASE WHEN qty >= 40 THEN 1 ELSE 0 END) AS chronic FROM enc e LEFT JOIN rx r ON r.pid = e.pid LEFT JOIN part ON p_partkey = drug GROUP BY e.pid", "enc", "rx", "part")
@@ -385,16 +392,44 @@ def _(enc):
     return FE.onehot_block(enc.select("pid", "kind"), "kind", levels).drop("kind")
 
 
-@query("fe15_fe17_hybrid_tiers", None, "documents", "benchmark")
-def _(docs, bench):
-    """Lexical retrieval of reference texts by word weights, tiers, and final codes."""
-    w = lambda d, k, c: d.select(F.col(k).alias("row_id"), F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("term")).where("length(term) >= 8")
-    ref, q = w(bench, "item_id", "text"), w(docs, "doc_id", "text")
-    idf = FE.tfidf_fit(ref)
-    s = FE.tfidf_transform(q, idf).withColumnRenamed("row_id", "qid").join(FE.tfidf_transform(ref, idf).select(F.col("row_id").alias("rid"), "term", F.col("w").alias("wr")), "term").groupBy("qid", "rid").agg(F.sum(F.col("w") * F.col("wr")).alias("s"))
-    best = s.groupBy("qid").agg(F.max_by(F.struct("rid", "s"), F.struct(F.round("s", 9), -F.col("rid"))).alias("b")).select(F.col("qid").alias("doc_id"), F.col("b.rid").alias("rid"), F.round("b.s", 6).alias("score"))
-    t = docs.select("doc_id", F.length("text").alias("n")).join(best, "doc_id", "left").withColumn("tier", FE.tier(F.coalesce("score", F.lit(0.0)), F.col("n") < 40))
-    return t.select("doc_id", "score", "tier", F.when(F.col("tier") == "confident", F.col("rid")).alias("final"))
+def _grams(docs, key: str):
+    """Character n-grams of the words of texts, as (row_id, term)."""
+    w = docs.select(F.col(key).alias("row_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("tok"))
+    return w.select("row_id", F.explode(T.char_ngrams("tok")).alias("term"))
+
+
+_words = "SELECT {k} AS row_id, ' ' || unnest(regexp_extract_all(lower(text), '[a-z]+')) || ' ' AS w FROM {t}"
+_gr = "SELECT row_id, substr(w, i, n) AS term FROM (SELECT row_id, w, n, unnest(range(1, greatest(length(w) - n + 2, 1))) AS i FROM (SELECT row_id, w, unnest([3, 4, 5]) AS n FROM ({})))"
+_wt = "SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM (SELECT row_id, term, (1 + ln(count(*))) * any_value(idf) AS w FROM {} JOIN idf USING (term) GROUP BY 1, 2)"
+HYBRID = f"""cv AS (SELECT conv_id * 1000 + turn AS qid, text FROM conversations), rg AS ({_gr.format(_words.format(k='item_id', t='benchmark'))}), qg AS ({_gr.format(_words.format(k='qid', t='cv'))}),
+nn AS (SELECT count(DISTINCT row_id) AS n FROM rg), idf AS (SELECT term, ln((1 + any_value(n)) / (1.0::DOUBLE + count(DISTINCT row_id))) + 1 AS idf FROM rg, nn GROUP BY term),
+rw AS ({_wt.format('rg')}), qw AS ({_wt.format('qg')}), lex AS (SELECT q.row_id AS qid, r.row_id AS rid, sum(q.w * r.w) AS s FROM qw q JOIN rw r USING (term) GROUP BY 1, 2),
+sem AS (SELECT qid, item_id AS rid, coalesce(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0) AS s FROM cv LEFT JOIN embeddings a ON a.vec_id = qid // 1000 CROSS JOIN benchmark LEFT JOIN embeddings b ON b.vec_id = item_id),
+hy AS (SELECT qid, rid, rank, score FROM (SELECT qid, rid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM (SELECT qid, rid, round(0.5 * sem.s + 0.5 * coalesce(lex.s, 0), 9) AS score FROM sem LEFT JOIN lex USING (qid, rid))) WHERE rank <= 5)"""
+
+
+def _hybrid(cv, bench, em):
+    """Turns of conversations against reference texts; embeddings stand in for their vectors."""
+    q, r = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "text"), bench.select(F.col("item_id").alias("rid"), "text")
+    idf = FE.tfidf_fit(_grams(r, "rid"))
+    vec = lambda on: em.select(F.col("vec_id").alias(on), F.col("embedding").alias("vec"))
+    side = lambda d, key, on: A.with_terms(d.join(vec(on), on, "left").select(key, "vec"), FE.tfidf_transform(_grams(d, key), idf), key)
+    return A.hybrid_topk(side(q, "qid", "conv_id"), side(r, "rid", "rid"))
+
+
+@query("fe15_hybrid_topk", f"WITH {HYBRID} SELECT qid, rid, rank, round(score, 6) AS score FROM hy", "conversations", "benchmark", "embeddings")
+def _(cv, bench, em):
+    return R6(_hybrid(cv, bench, em), "score")
+
+
+@query("fe16_fe17_final_codes", f"WITH {HYBRID}, b AS (SELECT qid, list(rid ORDER BY rank) AS cand, max(score) AS s FROM hy GROUP BY qid), t AS (SELECT qid, cand, s, [(qid * 7) % 41, (qid * 3) % 40, cand[2]] AS codes, CASE WHEN length(text) < 40 THEN 'no_complaint' WHEN s >= 0.5 THEN 'confident' ELSE 'low_confidence' END AS tier FROM b JOIN cv USING (qid)), u AS (SELECT *, list_filter(CASE WHEN qid % 3 > 0 THEN codes ELSE [] END, lambda x: list_contains(cand, x)) AS ok FROM t) SELECT qid, tier, CASE WHEN len(ok) > 0 THEN ok[1] WHEN tier = 'confident' THEN cand[1] END AS final FROM u", "conversations", "benchmark", "embeddings")
+def _(cv, bench, em):
+    """Tiers by the best hybrid score, and an adjudicator's codes (a stand-in table) over the candidates."""
+    c = _hybrid(cv, bench, em).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "rid"))), lambda x: x["rid"]).alias("cand"), F.max("score").alias("s"))
+    t = c.join(cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.length("text").alias("n")), "qid")
+    codes = F.when(F.col("qid") % 3 > 0, F.array(F.col("qid") * 7 % 41, F.col("qid") * 3 % 40, F.get("cand", F.lit(1)))).otherwise(F.array().cast("array<bigint>"))
+    t = t.withColumn("tier", FE.tier(F.col("s"), F.col("n") < 40))
+    return t.select("qid", "tier", FE.finalise(codes, F.col("cand"), F.get("cand", F.lit(0)), F.col("tier")).alias("final"))
 
 
 @query("fe18_mutual_information", "WITH e AS (SELECT quantile_cont(price, [" + ", ".join(str(k / 16) for k in range(1, 16)) + "]) AS e FROM enc), b AS (SELECT status AS y, CASE WHEN price IS NULL THEN 17 ELSE len(list_filter(list_distinct(e), lambda x: x <= price)) END AS b FROM enc, e), n AS (SELECT b, y, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS nn FROM n) SELECT 'price' AS feature, round(sum(n / nn * ln(n * nn / (nb * ny))), 6) AS mi FROM t", "enc")
@@ -432,28 +467,38 @@ def _(rx):
 _coin = "('0x' || substr(md5(concat_ws(':', '13', pid::VARCHAR)), 1, 8))::BIGINT % 2 = 0"
 
 
+STUDY = "stu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ('0x' || substr(md5(concat_ws(':', '42', pid::VARCHAR)), 1, 8))::BIGINT, pid) AS r FROM enc) WHERE r <= 200)"
+
+
+def _items(enc):
+    """The items of an annotation study: a stratified sample (TK-5)."""
+    from ..operators.sample import stratified_sample
+
+    return stratified_sample(enc, "kind", "pid", {}, 200, 42)
+
+
 def _study(enc):
-    p = enc.where("pid % 20 = 3").select("pid", F.concat(F.lit("m"), F.col("pid").cast("string")).alias("model"), F.concat(F.lit("h"), F.col("pid").cast("string")).alias("historical"))
+    p = _items(enc).select("pid", F.concat(F.lit("m"), F.col("pid").cast("string")).alias("model"), F.concat(F.lit("h"), F.col("pid").cast("string")).alias("historical"))
     return AN.blind_pairs(p, "pid", 13)
 
 
-@query("an03_an05_blinding", f"SELECT md5('13:' || pid::VARCHAR) AS ann_id, CASE WHEN {_coin} THEN 'm' ELSE 'h' END || pid::VARCHAR AS option1, CASE WHEN {_coin} THEN 'model' ELSE 'historical' END AS option1_is FROM enc WHERE pid % 20 = 3", "enc")
+@query("an03_an05_blinding", f"WITH {STUDY} SELECT md5('13:' || pid::VARCHAR) AS ann_id, CASE WHEN {_coin} THEN 'm' ELSE 'h' END || pid::VARCHAR AS option1, CASE WHEN {_coin} THEN 'model' ELSE 'historical' END AS option1_is FROM stu", "enc")
 def _(enc):
     packet, truth = _study(enc)
     return packet.join(truth, "ann_id").select("ann_id", "option1", "option1_is")
 
 
-@query("an04_assign", "WITH r AS (SELECT pid, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '4', pid::VARCHAR)), 1, 8))::BIGINT, pid) AS r, floor(count(*) OVER () * 0.2) AS n FROM enc WHERE pid % 20 = 3) SELECT pid, unnest(CASE WHEN r <= n THEN [0, 1, 2] ELSE [((r - n - 1) % 3)::INT] END) AS annotator FROM r", "enc")
+@query("an04_assign", f"WITH {STUDY}, r AS (SELECT pid, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws(':', '4', pid::VARCHAR)), 1, 8))::BIGINT, pid) AS r, floor(count(*) OVER () * 0.2) AS n FROM stu) SELECT pid, unnest(CASE WHEN r <= n THEN [0, 1, 2] ELSE [((r - n - 1) % 3)::INT] END) AS annotator FROM r", "enc")
 def _(enc):
-    return AN.assign(enc.where("pid % 20 = 3"), "pid", 3, 0.2, 4)
+    return AN.assign(_items(enc), "pid", 3, 0.2, 4)
 
 
 def _answers(enc):
-    a = enc.where("pid % 20 = 3").select(F.md5(F.concat(F.lit("13:"), F.col("pid").cast("string"))).alias("ann_id"), "pid", F.expr("CASE CAST(uid % 4 AS INT) WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'equal' ELSE '1' END").alias("preference"), F.expr("CASE WHEN uid % 3 = 0 THEN 'unsafe' WHEN uid % 3 = 1 THEN 'appropriate' END").alias("safety1"), F.expr("CASE WHEN uid % 5 = 0 THEN 'unsafe' ELSE 'suboptimal' END").alias("safety2"))
+    a = _items(enc).select(F.md5(F.concat(F.lit("13:"), F.col("pid").cast("string"))).alias("ann_id"), "pid", F.expr("CASE CAST(uid % 4 AS INT) WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'equal' ELSE '1' END").alias("preference"), F.expr("CASE WHEN uid % 3 = 0 THEN 'unsafe' WHEN uid % 3 = 1 THEN 'appropriate' END").alias("safety1"), F.expr("CASE WHEN uid % 5 = 0 THEN 'unsafe' ELSE 'suboptimal' END").alias("safety2"))
     return AN.unblind(a.drop("pid"), _study(enc)[1])
 
 
-ANS = f"ans AS (SELECT pid, CASE uid % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'equal' ELSE '1' END AS preference, CASE WHEN uid % 3 = 0 THEN 'unsafe' WHEN uid % 3 = 1 THEN 'appropriate' END AS safety1, CASE WHEN uid % 5 = 0 THEN 'unsafe' ELSE 'suboptimal' END AS safety2, CASE WHEN {_coin} THEN 'model' ELSE 'historical' END AS o1, CASE WHEN {_coin} THEN 'historical' ELSE 'model' END AS o2 FROM enc WHERE pid % 20 = 3), un AS (SELECT *, CASE preference WHEN '1' THEN o1 WHEN '2' THEN o2 ELSE preference END AS winner FROM ans)"
+ANS = f"{STUDY}, ans AS (SELECT pid, CASE uid % 4 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN 'equal' ELSE '1' END AS preference, CASE WHEN uid % 3 = 0 THEN 'unsafe' WHEN uid % 3 = 1 THEN 'appropriate' END AS safety1, CASE WHEN uid % 5 = 0 THEN 'unsafe' ELSE 'suboptimal' END AS safety2, CASE WHEN {_coin} THEN 'model' ELSE 'historical' END AS o1, CASE WHEN {_coin} THEN 'historical' ELSE 'model' END AS o2 FROM stu), un AS (SELECT *, CASE preference WHEN '1' THEN o1 WHEN '2' THEN o2 ELSE preference END AS winner FROM ans)"
 _wl = "({k}::DOUBLE / {n} + 1.96 * 1.96 / (2 * {n}) {s} 1.96 * sqrt({k}::DOUBLE / {n} * (1 - {k}::DOUBLE / {n}) / {n} + 1.96 * 1.96 / (4.0::DOUBLE * {n} * {n}))) / (1 + 1.96 * 1.96 / {n})"
 
 
@@ -473,10 +518,10 @@ def _(enc):
     return R6(AN.icd_accuracy(a, "kind"), "exact", "chapter", "codable")
 
 
-@query("an10_kappa", "WITH j AS (SELECT upper(status) AS x, upper(CASE WHEN uid % 3 = 0 THEN 'F' ELSE status END) AS y FROM enc WHERE pid % 2 = 0), m AS (SELECT sum(nx * ny)::DOUBLE AS pe FROM (SELECT x AS v, count(*) AS nx FROM j GROUP BY x) JOIN (SELECT y AS v, count(*) AS ny FROM j GROUP BY y) USING (v)), s AS (SELECT count(*) AS n, avg((x = y)::INT) AS po FROM j) SELECT n, round(po, 6) AS agreement, round((po - pe / (n::DOUBLE * n)) / (1 - pe / (n::DOUBLE * n)), 6) AS kappa FROM s, m", "enc")
+@query("an10_kappa", "WITH j AS (SELECT upper(status) AS x, upper(CASE WHEN uid % 3 = 0 THEN 'F' ELSE status END) AS y FROM enc), m AS (SELECT sum(nx * ny)::DOUBLE AS pe FROM (SELECT x AS v, count(*) AS nx FROM j GROUP BY x) JOIN (SELECT y AS v, count(*) AS ny FROM j GROUP BY y) USING (v)), s AS (SELECT count(*) AS n, avg((x = y)::INT) AS po FROM j) SELECT n, round(po, 6) AS agreement, round((po - pe / (n::DOUBLE * n)) / (1 - pe / (n::DOUBLE * n)), 6) AS kappa FROM s, m", "enc")
 def _(enc):
     a = enc.select("pid", "status")
-    b = enc.where("pid % 2 = 0").select("pid", F.when(F.col("uid") % 3 == 0, "F").otherwise(F.col("status")).alias("status"))
+    b = enc.select("pid", F.when(F.col("uid") % 3 == 0, "F").otherwise(F.col("status")).alias("status"))
     return R6(AN.kappa(a, b, "pid", "status"), "agreement", "kappa")
 
 
@@ -529,11 +574,11 @@ def _(b):
     return permutation_importance(b.select("row_id", "y", "p", "p2"), {"p": ["p"], "p2": ["p2"]}, score)
 
 
-@query("st02_intake", None, "raw")
+@query("st02_intake", f"WITH {TYPED}, v AS (SELECT *, {_seen} AS n_measured FROM vit) SELECT raw.pid, v.sex, v.blood_glucose, round(v.temperature, 4) AS temperature, n_measured FROM raw JOIN v ON v.pid::VARCHAR = raw.pid", "raw")
 def _(raw):
     from ..streaming.online import stream_clean
 
-    return stream_clean(raw).select("pid", "sex", "blood_glucose", "temperature", "n_measured")
+    return stream_clean(raw).select("pid", "sex", "blood_glucose", F.round("temperature", 4).alias("temperature"), "n_measured")
 
 
 @query("io04_pruned_read", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'", "orders")
@@ -543,15 +588,12 @@ def _(o):
 
 def _stream_decide(spark, sf_dir: str) -> DataFrame:
     """The decision of ab07 on a stream of encounters, written once and read back."""
-    import tempfile
-    import uuid
-
+    from ..sources.scratch import scratch
     from ..streaming.online import run_once, stream_decide
     from .base import STANDINS
     from .q_score import _policy, _scored
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="clinmill-")
-    out = f"{root}/clinmill/{uuid.uuid4().hex}"
+    out = scratch(spark)
     path = f"{sf_dir}/orders.parquet"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 def read_raw(spark: SparkSession, path: str, cols: list[str]) -> DataFrame:
     """CSV with every column as text; only the empty field is null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    return spark.read.schema(schema).options(header=True, nullValue="", emptyValue="", multiLine=True, escape='"', quote='"').csv(path)
+    return spark.read.schema(schema).options(header=True, nullValue="", emptyValue="", multiLine=True, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_extract(df: DataFrame, path: str, order: list[str]) -> None:
     """CSV, every field quoted, header, UTF-8, ordered inside each file and over the files."""
-    df.orderBy(*order).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', encoding="UTF-8", emptyValue="").csv(path)
+    df.orderBy(*order).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', encoding="UTF-8", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_fact(df: DataFrame, path: str, columns: list[str], partition_by: list[str] | None = None) -> None:
@@ -34,9 +34,9 @@ def write_json(df: DataFrame, path: str) -> None:
 ANSWER = "icd1 string, no_code string, codability string, preference string, safety1 string, safety2 string, would_differ string"
 
 
-def read_annotations(spark: SparkSession, glob: str) -> DataFrame:
-    """(annotator, ann_id, answer fields) from files of {annotator, answers: {ann_id: {...}}}."""
-    raw = spark.read.schema(f"annotator string, answers map<string, struct<{ANSWER.replace(' string', ': string')}>>").option("multiLine", True).json(glob)
+def read_annotations(spark: SparkSession, glob: str, lines: bool = False) -> DataFrame:
+    """(annotator, ann_id, answer fields) from files of {annotator, answers: {ann_id: {...}}}, one a file or one a line."""
+    raw = spark.read.schema(f"annotator string, answers map<string, struct<{ANSWER.replace(' string', ': string')}>>").option("multiLine", not lines).json(glob)
     return raw.select(F.coalesce("annotator", F.input_file_name()).alias("annotator"), F.explode("answers").alias("ann_id", "a")).select("annotator", "ann_id", "a.*")
 
 
