@@ -1,11 +1,9 @@
-"""Shared helpers: tables in the shared folder, Arrow text access and word hashing on bytes."""
+"""Shared helpers: Arrow text access and word hashing on bytes."""
 
 from __future__ import annotations
 
 import gc
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored  # noqa: F401
+
 #: Bytes of text that one vectorised step handles; temporaries take about 40 times as much.
 BLOCK = 1 << 19
 U = np.uint64
-_own: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,35 +24,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a local session, where one machine does all, may lack it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="clinmill-"))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs a reread, not the work above. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/clinmill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that a loop has done with."""
-    for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame:
     """A stored table marked for broadcast only if it has at most `most` rows; else left to a shuffle join."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import if_small, stored
 
-#: exp(-UNDERFLOW) is still a normal double; larger rates use it as their starting point in logs.
-UNDERFLOW = 700.0
-
-
 def hash01(seed: int, *cols) -> Column:
     """A number in [0, 1) from md5, the same in any engine: 52 bits of the digest."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), *cols))
@@ -22,7 +18,8 @@ def rates(docs: DataFrame, weights: DataFrame | None, temperature: float, total:
 
     The rate of a source is its target weight times the wanted rows over its rows. Without weights
     the target is rows ** temperature (0: all sources alike, 1: as they are). Sources that weights
-    lack, or weigh at 0 or less, get no copies. The table has a row per source.
+    lack, or weigh at 0 or less, get no copies. The table has a row per source and its arrays are about as
+    long as the largest rate, so rates far above the thousands are no use of it.
     """
     n = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(F.count("*").cast("double").alias("__n"))
     if weights is None:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import U, mix, ngrams, over_batches, slices, stored, utf8, words
-from .graph import components
 
 #: Documents of one verification block; two blocks meet in a task.
 SIDE = 256

@@ -210,7 +210,7 @@ def test_keep_one_of_rows_that_share_an_id(make_docs):
 
 
 def test_long_chains_settle(spark):
-    from clinmill.llm.graph import components
+    from clinmill.operators.graph import components
 
     edges = spark.createDataFrame([(k, k + 1) for k in range(700) if k != 350], "src long, dst long")
     got = {r["id"]: r["comp"] for r in components(edges).collect()}
