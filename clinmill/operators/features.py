@@ -117,15 +117,46 @@ def char_terms(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.col(key).alias("row_id"), F.explode(tokens).alias("tok")).select("row_id", F.explode(char_ngrams("tok")).alias("term"))
 
 
-def svd_fit(weights: DataFrame, terms: DataFrame, k: int):
-    """Right singular vectors of the (row, term) weights; terms is (term, idx) with idx from 0."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    n = terms.count()
-    rows = weights.join(terms, "term").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "w"))).alias("v"))
-    m = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, [x["idx"] for x in r["v"]], [float(x["w"]) for x in r["v"]])))
-    return m.computeSVD(k)
+def svd_fit(weights: DataFrame, k: int, most: int = 50_000, extra: int = 10, rounds: int = 60, close: float = 1e-7, seed: int = 0):
+    """(singular values, terms x k right vectors by term) of the (row_id, term, w) matrix, by subspace iteration.
+
+    A round multiplies by the matrix and its transpose: each task holds k + extra columns over the terms, which are
+    bounded by `most` (the commonest terms stay, as the vectoriser's limit on features), and sums per term meet in a
+    shuffle. Rounds end when the values settle, at the latest after `rounds`."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources.scratch import stored
+
+    terms = weights.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most).select("term").toPandas()["term"].tolist()
+    index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
+    rows = stored(weights.join(F.broadcast(index), "term").groupBy("row_id").agg(F.collect_list("idx").alias("i"), F.collect_list(F.col("w").cast("double")).alias("w")).select("i", "w"))
+    p = min(k + extra, len(terms))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), p)))[0]
+    names = [f"c{j}" for j in range(p)]
+    was = np.zeros(0)
+    for _ in range(rounds):
+
+        def product(batches, q=q):
+            z = np.zeros(q.shape)
+            for pdf in batches:
+                for i, w in zip(pdf["i"], pdf["w"], strict=True):
+                    np.add.at(z, i, np.outer(w, w @ q[i]))
+            at = np.flatnonzero(z.any(1))
+            yield pd.DataFrame(z[at], columns=names).assign(idx=at.astype("int32"))
+
+        part = rows.mapInPandas(product, ", ".join(f"{c} double" for c in names) + ", idx int")
+        got = part.groupBy("idx").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+        z = np.zeros(q.shape)
+        z[got["idx"].to_numpy()] = got[names].to_numpy()
+        q, r = np.linalg.qr(z)
+        # of A'A on the subspace: the triangle's singular values are squares of the matrix's
+        u, d, _v = np.linalg.svd(r)
+        q, now = q @ u, np.sqrt(d[:k])
+        if len(was) == len(now) and np.abs(now - was).max() <= close * max(now.max(), 1e-300):
+            break
+        was = now
+    return now, dict(zip(terms, q[:, :k], strict=True))
 
 
 def tier(score: Column, no_complaint: Column, least: float = 0.50) -> Column:

@@ -68,7 +68,17 @@ def _(enc):
     return enc.select("pid", T.expand_glossary("note", "joined").alias("text"))
 
 
-@query("tx10_glossary_canonical", None, "enc")
+def _canonical(c: str, both: bool) -> str:
+    """Like _single, with the phrases that spell an expansion out; both keeps what is replaced."""
+    alts = "|".join(re.escape(k) for k in ORDER)
+    cases = " ".join(f"WHEN '{k}' THEN '{k + ' ' if both else ''}{T.joined(v)}'" for k, v in GLOSSARY.items())
+    c = f"array_to_string(list_transform(regexp_extract_all(' ' || {c}, '\\b(?:{alts})\\b|[a-z0-9]+|[^a-z0-9]+'), lambda x: CASE x {cases} ELSE x END), '')"
+    for t in sorted({T.joined(v) for v in GLOSSARY.values() if "_" in T.joined(v)}, key=lambda t: -len(t)):
+        c = f"regexp_replace({c}, '\\b{t.replace('_', '[^a-z0-9_]+')}\\b', '{chr(92) + '0 ' if both else ''}{t}', 'g')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+@query("tx10_glossary_canonical", f"WITH n AS (SELECT note, {_canonical('lower(note)', False)} AS canonical, {_canonical('lower(note)', True)} AS augmented FROM (SELECT DISTINCT note FROM enc)) SELECT pid, canonical, augmented FROM enc JOIN n USING (note)", "enc")
 def _(enc):
     return enc.select("pid", T.expand_glossary("note", "canonical").alias("canonical"), T.expand_glossary("note", "canonical_augmented").alias("augmented"))
 
@@ -130,12 +140,22 @@ def _(enc):
     return enc.select("note").distinct().select("note", T.is_no_complaint("note").alias("span_level"), T.is_no_complaint("note", "note").alias("note_level"))
 
 
-@query("tx18_tx19_segment", None, "enc")
+_none = "('', 'general check up', 'NO', 'Nil', 'no specific complaints.')"
+_glue = "list_reduce(p, lambda a, x: a || CASE WHEN length(x) < 3 THEN ' ' ELSE '|' END || x)"
+SPANS = f"""ps AS (SELECT note, list_filter(list_transform(regexp_split_to_array(regexp_replace(note, '(^|\\s)[0-9]\\.\\s+', ';', 'g'), '[,;+&]'), lambda x: trim(x)), lambda x: x <> '') AS p FROM (SELECT DISTINCT note FROM enc)),
+sp AS (SELECT note, CASE WHEN note IN {_none} THEN '' ELSE {_glue} END AS spans FROM ps WHERE note IN {_none} OR len(p) > 0),
+sl AS (SELECT note, spans, CASE WHEN spans = '' THEN [] ELSE string_split(spans, '|') END AS s FROM sp)"""
+_left = "trim(regexp_replace(regexp_replace(lower(x), '\\s+(for|since)\\s+(last\\s+)?([0-9]+\\s+(days|months|years)|several weeks|long time)$', ''), '[^a-z0-9/]+', ' ', 'g'))"
+_st = f"regexp_extract_all(lower(x), '{TOKEN}')"
+_both = f"list_concat({_st}, list_transform(range(1, len({_st})), lambda i: ({_st})[i] || '|' || ({_st})[i + 1]))"
+
+
+@query("tx18_tx19_segment", f"WITH {SPANS} SELECT pid, spans FROM enc JOIN sl USING (note)", "enc")
 def _(enc):
     return enc.select("pid", F.array_join(T.segment("note"), "|").alias("spans"))
 
 
-@query("tx20_tx21_span_terms", None, "enc")
+@query("tx20_tx21_span_terms", f"WITH {SPANS}, t AS (SELECT note, array_to_string(list_transform(s, lambda x: {_left}), '|') AS keys, array_to_string(list_concat(flatten(list_transform(s, lambda x: {_both})), ['__n' || least(len(s), 5)]), ' ') AS terms FROM sl) SELECT pid, keys, terms FROM enc JOIN t USING (note)", "enc")
 def _(enc):
     s = enc.select("pid", T.segment("note").alias("s"))
     return s.select("pid", F.array_join(T.span_keys("s"), "|").alias("keys"), F.array_join(T.segmented_terms("s"), " ").alias("terms"))
@@ -183,12 +203,8 @@ def _(enc):
 
 @query("tx27_svd", None, "enc")
 def _(enc):
-    w = _tfidf(enc)
-    from pyspark.sql import Window
-
-    terms = w.select("term").distinct().withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)  # over the vocabulary
-    s = FE.svd_fit(w, terms, 5).s.toArray().tolist()
-    return enc.sparkSession.createDataFrame([(k, round(v, 4)) for k, v in enumerate(s)], "k int, singular double")
+    s, _ = FE.svd_fit(_tfidf(enc), 5)
+    return enc.sparkSession.createDataFrame([(k, round(float(v), 4)) for k, v in enumerate(s)], "k int, singular double")
 
 
 @query("tx29_reference_codes", "WITH c AS (SELECT DISTINCT chr((65 + o_orderkey % 26)::INT) || lpad((o_orderkey * 7 % 100)::VARCHAR, 2, '0') AS code FROM orders) SELECT code FROM c WHERE NOT regexp_matches(code, '^[V-Y]') AND code NOT IN ('A00', 'B07')", "orders")
@@ -239,7 +255,7 @@ def _(enc):
     return t.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", "df", F.round(F.log(F.col("n") / F.col("df")), 6).alias("idf"))
 
 
-@query("ag38_complaint_structure", None, "enc")
+@query("ag38_complaint_structure", f"WITH {SPANS} SELECT len(s)::INT AS n_spans, count(*) AS n FROM enc JOIN sl USING (note) GROUP BY 1", "enc")
 def _(enc):
     return enc.groupBy(F.size(T.segment("note")).alias("n_spans")).agg(F.count("*").alias("n"))
 

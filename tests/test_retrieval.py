@@ -236,3 +236,49 @@ def test_ablation(spark):
 def test_finalise(spark):
     df = spark.createDataFrame([(["z", "b", "a"], ["a", "b"], "a", "low_confidence"), (["z"], ["a", "b"], "a", "confident"), ([], ["a"], "a", "low_confidence")], "codes array<string>, cand array<string>, top string, tier string")
     assert [r[0] for r in df.select(FE.finalise(F.col("codes"), F.col("cand"), F.col("top"), F.col("tier"))).collect()] == ["b", "a", None]
+
+
+def test_svd(spark):
+    r = np.random.default_rng(8)
+    a = r.normal(0, 1, (80, 30)) * (r.random((80, 30)) < 0.3) * np.linspace(3, 0.2, 30)
+    w = spark.createDataFrame([(i, f"t{j:02d}", float(a[i, j])) for i in range(80) for j in range(30) if a[i, j]], "row_id long, term string, w double")
+    s, v = FE.svd_fit(w, 4)
+    u, d, vt = np.linalg.svd(a)
+    assert s == pytest.approx(d[:4], rel=1e-5)
+    for k in range(3):
+        assert abs(sum(v[f"t{j:02d}"][k] * vt[k, j] for j in range(30) if f"t{j:02d}" in v)) > 0.999
+
+
+def test_calibrator_choice(spark):
+    """The untouched method's error is the mean of plain calibration errors over the folds."""
+    r = np.random.default_rng(9)
+    p = r.random(600)
+    y = (r.random(600) < p**3).astype(int)
+    fold = np.arange(600) % 3
+    df = spark.createDataFrame([(float(a), int(b), int(f)) for a, b, f in zip(p, y, fold, strict=True)], "p double, y int, f int")
+    got = {x["method"]: x["ece"] for x in CA.select_calibrator(df, F.col("f"), 3).collect()}
+
+    def ece(a, b):
+        k = np.minimum(np.ceil(a * 10).astype(int) - 1, 9).clip(0)
+        return sum(abs(a[k == j].mean() - b[k == j].mean()) * (k == j).mean() for j in set(k.tolist()))
+
+    assert got["none"] == pytest.approx(np.mean([ece(p[fold == k], y[fold == k]) for k in range(3)]), abs=1e-9)
+    assert got["isotonic"] < got["none"] and got["sigmoid"] < got["none"]
+
+
+def test_text_features(spark):
+    """Normalised text, spans and the flag, by hand."""
+    from clinmill.plans import QUERIES  # noqa: F401
+    from clinmill.functions import text as T
+
+    notes = ["1. pain in abdomen 2. fever for 3 days", "rt knee pain, rt", "NO", "", None, "c/o SOB, chest pain for last 5 days"]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(notes)], "k int, note string")
+    got = {x["k"]: (x["s"], x["n"]) for x in df.select("k", T.segment("note").alias("s"), T.is_no_complaint("note").alias("n")).collect()}
+    assert got == {0: (["pain in abdomen", "fever for 3 days"], False), 1: (["rt knee pain rt"], False), 2: ([], True), 3: ([], False), 4: ([], False), 5: (["c/o SOB", "chest pain for last 5 days"], False)}
+
+
+def test_ids_are_digested_like_in_sql(spark):
+    df = spark.createDataFrame([("Ã Â¦", "x"), ("ﬁne ১২", "y")], "t string, k string")
+    from clinmill.functions import text as T
+
+    assert [x[0] for x in df.where("k = 'y'").select(T.norm_text("t", compatible=True)).collect()] == ["fine 12"]
