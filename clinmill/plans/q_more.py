@@ -13,6 +13,7 @@ from ..operators import metrics as EV
 from ..operators import profile as P
 from .base import query
 from .q_score import BOOT, N_BOOT, NAMES, PAIRS, _boot, _hit, _rows, rep_sql
+from .q_text import NORM, SPANS
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -79,7 +80,10 @@ def _(em):
     return CO.assign_concepts(spans, c, 0.36)
 
 
-@query("fe14_text_features", None, "enc")
+_plain = SPANS.replace("SELECT DISTINCT note FROM enc", f"SELECT DISTINCT {NORM} AS note FROM enc")
+
+
+@query("fe14_text_features", f"WITH {_plain}, n AS (SELECT pid, {NORM} AS note FROM enc) SELECT pid, note AS normalized_text, spans AS complaint_spans, len(s)::INT AS n_spans, (note IN ('general check up', 'NO', 'Nil', 'no specific complaints.'))::INT AS no_complaint FROM n JOIN sl USING (note)", "enc")
 def _(enc):
     s = enc.select("pid", T.norm_text("note").alias("normalized_text"), T.segment(T.norm_text("note")).alias("s"), T.is_no_complaint("note").cast("int").alias("no_complaint"))
     return s.select("pid", "normalized_text", F.array_join("s", "|").alias("complaint_spans"), F.size("s").alias("n_spans"), "no_complaint")

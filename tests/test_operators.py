@@ -63,11 +63,6 @@ def test_auroc_with_ties(spark):
     assert EV.auroc(df, []).first()["auroc"] == pytest.approx(brute_auroc(p, y))
 
 
-def test_bootstrap_weights_are_poisson(spark):
-    w = spark.range(20_000).withColumn("b", F.lit(3)).select(EV.poisson_weight(1, "b", "id").alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
-    assert w["m"] == pytest.approx(1, abs=0.03) and w["v"] == pytest.approx(1, abs=0.05)
-
-
 def test_risk_coverage_against_a_sort(spark):
     rows = [(k, [0.0, 0.3, 0.3, 0.9][k % 4], k % 3, 2, 2) for k in range(200)]
     df = spark.createDataFrame(rows, "row_id long, c double, tp long, n_pred long, n_gold long")
