@@ -20,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("head script style noscript template svg math iframe object canvas select option button textarea title datalist audio video".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
 REGIONS = frozenset("article main section div body td".split())
-MARKED = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notification popup modal overlay comment comments discussion disqus replies reply share sharing social related recommended newsletter subscribe signup login footer masthead widget toolbar pagination pager".split())
+MARKED = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promoted sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent notice notification popup modal overlay comment comments discussion disqus replies reply share sharing social related recommended newsletter subscribe signup login footer masthead widget toolbar pagination pager anzeige werbung kommentar kommentare fusszeile seitenleiste publicite commentaire commentaires publicidad anuncio anuncios comentario comentarios".split())
 IMPLIED = frozenset("p li td th tr dt dd option".split())
 WALLS = frozenset("article main body nav table".split())
 OUTER = frozenset("article main body html".split())
