@@ -71,7 +71,16 @@ def _(enc):
     return t.groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query("fe12_fe13_concepts", None, "embeddings")
+CONCEPTS = """RECURSIVE p AS (SELECT vec_id, vec_id::VARCHAR AS phrase, (label + 1)::BIGINT AS freq, embedding::DOUBLE[] AS vec FROM embeddings), top AS (SELECT * FROM p ORDER BY freq DESC, phrase LIMIT 4000),
+e AS (SELECT a.phrase AS a, b.phrase AS b FROM top a, top b WHERE a.phrase <> b.phrase AND round(list_cosine_similarity(a.vec, b.vec), 9) >= 0.36),
+r AS (SELECT phrase AS id, phrase AS root FROM top UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id), g AS (SELECT top.*, root FROM top JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) ON id = phrase),
+k AS (SELECT *, row_number() OVER (ORDER BY support DESC, label) - 1 AS concept FROM (SELECT root, sum(freq) AS support, list(phrase ORDER BY freq DESC, phrase DESC)[1] AS label FROM g GROUP BY root) WHERE support >= 25),
+own AS (SELECT vec_id, vec, concept FROM g JOIN k USING (root)), el AS (SELECT concept, freq, unnest(g.vec) AS v, generate_subscripts(g.vec, 1) AS i FROM g JOIN k USING (root)),
+ce AS (SELECT concept, list(v ORDER BY i) AS c FROM (SELECT concept, i, sum(v * freq) / sum(freq) AS v FROM el GROUP BY 1, 2) GROUP BY 1),
+nr AS (SELECT vec_id, concept, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(vec, c), 9) DESC, concept) AS n, round(list_cosine_similarity(vec, c), 9) AS s FROM p, ce WHERE vec_id NOT IN (SELECT vec_id FROM own))"""
+
+
+@query("fe12_fe13_concepts", f"WITH {CONCEPTS} SELECT vec_id AS key, concept, 'exact' AS how FROM own UNION ALL SELECT vec_id, concept, 'centroid' FROM nr WHERE n = 1 AND s >= 0.36", "embeddings")
 def _(em):
     """Concepts over the vectors, the label standing in for how often a phrase occurs."""
     p = em.select(F.col("vec_id").cast("string").alias("phrase"), (F.col("label") + 1).cast("long").alias("freq"), F.col("embedding").alias("vec"))

@@ -220,7 +220,14 @@ def _(enc):
     return out.select("pid", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("jn19_bl06_knn_vote", None, "documents", "labels")
+KNN = r"""d AS (SELECT * FROM (SELECT DISTINCT doc_id AS row_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS term FROM documents) WHERE term <> ''),
+n AS (SELECT count(DISTINCT row_id) AS n FROM d WHERE row_id % 5 > 0), idf AS (SELECT term, ln((1 + any_value(n)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM d, n WHERE row_id % 5 > 0 GROUP BY term HAVING count(*) >= 2),
+w AS (SELECT row_id, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY row_id)) AS w FROM d JOIN idf USING (term)),
+s AS (SELECT q.row_id AS qid, r.row_id AS rid, round(sum(q.w * r.w), 9) AS s FROM w q JOIN w r USING (term) WHERE q.row_id % 5 = 0 AND r.row_id % 5 > 0 GROUP BY 1, 2),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rid) AS rank FROM s WHERE s > 0) WHERE rank <= 5)"""
+
+
+@query("jn19_bl06_knn_vote", f"WITH {KNN} SELECT qid AS row_id, 'q' || quality AS label, count(*) AS votes FROM top JOIN labels ON doc_id = rid GROUP BY 1, 2 HAVING count(*) >= 2", "documents", "labels")
 def _(docs, labels):
     d = docs.select(F.col("doc_id").alias("row_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
     train, test = d.where("row_id % 5 > 0"), d.where("row_id % 5 = 0")
