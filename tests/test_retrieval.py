@@ -282,3 +282,25 @@ def test_ids_are_digested_like_in_sql(spark):
     from clinmill.functions import text as T
 
     assert [x[0] for x in df.where("k = 'y'").select(T.norm_text("t", compatible=True)).collect()] == ["fine 12"]
+
+
+def test_fit_component_picks_the_arm_that_knows(spark):
+    """Arms are fitted on train and tuned on val; scores of the best one against plain Python."""
+    r = np.random.default_rng(10)
+    rows = [(k, ["train", "train", "val"][k % 3], float(r.normal()), float(r.normal())) for k in range(360)]
+    df = spark.createDataFrame(rows, "row_id long, split string, a double, b double")
+    gold = spark.createDataFrame([(k, "pos") for k, _, _, b in rows if b > 0.2], "row_id long, label string")
+    blocks, sets = {"text": ["a"], "physio": ["b"]}, ["text", "physio", "text+physio"]
+    got = ML.fit_component(df, gold, ["pos"], blocks, sets, [1.0]).collect()
+    assert len(got) == 3 and got[-1]["feature_set"] == "text" and got[0]["val_micro_f1"] > 0.95 > got[-1]["val_micro_f1"]
+    best = got[0]
+    x = ML.feature_set(best["feature_set"], blocks).fit(df).transform(df)
+    p = {s["row_id"]: s["p"] for s in ML.score_ovr(ML.fit_ovr(x.where("split = 'train'"), gold, ["pos"], 1.0), x.where("split = 'val'")).collect()}
+    y = {k: b > 0.2 for k, s, _, b in rows if s == "val"}
+
+    def f1(t):
+        tp, n = sum(y[k] for k in y if p[k] >= t), sum(p[k] >= t for k in y) + sum(y.values())
+        return round(2 * tp / n, 9) if n else 0.0
+
+    top = max(f1(t) for t in CA.GRID)
+    assert best["val_micro_f1"] == pytest.approx(top) and best["threshold"] == min(t for t in CA.GRID if f1(t) == top)
