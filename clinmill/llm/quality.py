@@ -113,10 +113,11 @@ def factors(params: DataFrame) -> DataFrame:
     return params.withColumn("det", det)
 
 
-def distances(vec: DataFrame, params: DataFrame, how: str = "left") -> DataFrame:
-    """vec with d2, the squared distance to its group's estimate (null where there is none)."""
+def distances(vec: DataFrame, params: DataFrame, how: str = "left", small=if_small) -> DataFrame:
+    """vec with d2, the squared distance to its group's estimate (null where there is none). small marks params for
+    broadcast if their number is bounded."""
     d = len(AXES)
-    out = vec.join(if_small(params.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))), "g", how)
+    out = vec.join(small(params.select("g", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))), "g", how)
     total = F.lit(0.0)
     for i, a in enumerate(AXES):
         s = F.col(a) - F.col(f"m{i}")
@@ -127,7 +128,7 @@ def distances(vec: DataFrame, params: DataFrame, how: str = "left") -> DataFrame
     return out.select(*vec.columns, total.alias("d2"))
 
 
-def mcd(vec: DataFrame, share: float = 0.75, least: int = 20, settled: float = 1e-3) -> DataFrame:
+def mcd(vec: DataFrame, share: float = 0.75, least: int = 20, settled: float = 5e-3) -> DataFrame:
     """(g, m0.., c00.., l00.., det): minimum-covariance-determinant estimates of each group g of vec, of groups
     of at least `least` rows; the covariance is that of the chosen share of the rows, without any correction.
 
@@ -142,17 +143,20 @@ def mcd(vec: DataFrame, share: float = 0.75, least: int = 20, settled: float = 1
     axes, d = list(AXES), len(AXES)
     cut = lambda c: F.round(c * GRID) / GRID  # noqa: E731  bounded number of values, so exact percentiles stay small
     vec = vec.select("g", *((F.round(F.col(a) * UNITS) / UNITS).alias(a) for a in axes))
+    most = 20_000
     mid = stored(vec.groupBy("g").agg(*(F.percentile(cut(F.col(a)), F.lit(0.5)).alias(f"m{i}") for i, a in enumerate(axes)), F.count("*").alias("n")).where(F.col("n") >= least))
     with_mid = vec.join(if_small(mid), "g")
     mad = stored(with_mid.groupBy("g").agg(*(F.percentile(cut(F.abs(F.col(a) - F.col(f"m{i}"))), F.lit(0.5)).alias(f"s{i}") for i, a in enumerate(axes))))
     variance = lambda i: F.pow(F.greatest(1.4826 * F.col(f"s{i}"), F.lit(1 / GRID)), F.lit(2.0))
     first = mid.join(mad, "g").select("g", *(f"m{i}" for i in range(d)), *((variance(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
+    # no later table has more groups than the first, so one count tells whether they may be broadcast
+    small = F.broadcast if mid.limit(most + 1).count() <= most else (lambda table: table)
     live = stored(factors(first).withColumn("det", F.lit(float("inf"))))
     done: list[DataFrame] = []
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     unit = lambda a: F.round(F.col(a) * UNITS).cast("long")
     while not live.isEmpty():
-        near = distances(vec, live, "inner").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * CLASSES))
+        near = distances(vec, live, "inner", small).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * CLASSES))
         bins = near.groupBy("g", "bin").agg(F.count("*").alias("n"), *(F.sum(unit(a)).alias(f"s{i}") for i, a in enumerate(axes)), *(F.sum(unit(axes[i]) * unit(axes[j])).alias(f"p{i}{j}") for i, j in pairs))
         order = Window.partitionBy("g").orderBy("bin")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
