@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, mixing, ngram_join, pii, quality, secrets, substring, toxicity
+from . import decontam, html_extract, licenses, mixing, ngram_join, pii, quality, secrets, substring, tokens, toxicity
 from .common import read
 
 
@@ -50,5 +50,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_quality_rules, op4_main_text, op5_mix_sources, op6_ngram_jaccard_join, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_license_scan)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return tokens.token_report(read(spark, sf_dir, "documents"), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_quality_rules, op4_main_text, op5_mix_sources, op6_ngram_jaccard_join, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_license_scan, op11_sentencepiece)}
 ORACLE_SQL = {"op5_mix_sources": mixing.ORACLE_SQL}
