@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, mixing, ngram_join, pii, quality, secrets, substring, tokens, toxicity, vector_codes
+from . import decontam, html_extract, licenses, mixing, ngram_join, pii, quality, secrets, substring, tokens, toxicity, vector_codes, whitening
 from .common import read
 
 
@@ -58,9 +58,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = Non
     return tokens.token_report(read(spark, sf_dir, "documents"), model)
 
 
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_quality_rules, op4_main_text, op5_mix_sources, op6_ngram_jaccard_join, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_license_scan, op11_sentencepiece, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_personal_data, op3_quality_rules, op4_main_text, op5_mix_sources, op6_ngram_jaccard_join, op7_decontaminate, op8_substring_dedup, op9_toxicity, op10_license_scan, op11_sentencepiece, op12_whiten, op13_vector_codes)}
 ORACLE_SQL = {"op5_mix_sources": mixing.ORACLE_SQL, "op13_vector_codes": vector_codes.ORACLE_SQL}
