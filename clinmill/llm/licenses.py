@@ -31,6 +31,7 @@ NOTICES = (
 #: One edit is allowed for so many characters of a notice.
 PER_EDIT = 9
 SEED = 8  # bytes of a seed that the scan compares at once
+KEPT = 50_000  # windows whose result a task keeps
 
 
 def edits_for(notice: str) -> int:
@@ -92,6 +93,7 @@ class Scanner:
         self.phrases = [(hash_words(p), label) for p, label in phrases]
         self.notices = [(n, label, allowed(n), {c: sum(1 << i for i, x in enumerate(n) if x == c) for c in set(n)}) for n, label in notices]
         self.patterns: dict[tuple[str, int], regex.Pattern] = {}
+        self.met: dict[tuple[int, bytes], tuple[int, int, float] | None] = {}
         self.seeds: dict[int, list[tuple[int, int, bytes]]] = {}
         for k, (n, *_) in enumerate(self.notices):
             for off, piece in pieces(n):
@@ -115,27 +117,37 @@ class Scanner:
                 if b[i : i + len(raw)].tobytes() != raw:
                     continue
                 row = int(np.searchsorted(o, i, "right") - 1)
-                n, label, e, masks = self.notices[k]
+                n, label, e, _ = self.notices[k]
                 lo, hi = max(int(o[row]), i - off - e), min(int(o[row + 1]), i - off + len(n) + e)
                 # pieces of one occurrence agree on its start but for the edits between them
                 if (k, row, i - off) in tried:
                     continue
                 tried.add((k, row, i - off))
-                # one character a byte, so that positions stay positions
-                near = b[lo:hi].tobytes().decode("latin-1")
-                # a plain bound first: bounded-error matching is slow only where it fails
-                least = least_edits(masks, len(n), near)
-                if least > e:
-                    continue
-                if (n, least) not in self.patterns:
-                    self.patterns[n, least] = regex.compile(f"(?:{regex.escape(n)}){{e<={least}}}")
-                m = self.patterns[n, least].search(near)
+                m = self.verified(k, b[lo:hi].tobytes())
                 if m:
-                    s, t = int(at[lo + m.start()]), int(at[lo + m.end() - 1]) + 1
+                    s, t = int(at[lo + m[0]]), int(at[lo + m[1] - 1]) + 1
                     key = (row, label, s, t)
-                    found[key] = max(found.get(key, 0.0), 1 - sum(m.fuzzy_counts) / len(n))
+                    found[key] = max(found.get(key, 0.0), m[2])
         return [(*k, v) for k, v in found.items()]
 
+    def verified(self, k: int, near: bytes) -> tuple[int, int, float] | None:
+        """(start, end, closeness) of notice k in a window, if it is there; a window met before is looked up."""
+        if (k, near) not in self.met:
+            if len(self.met) >= KEPT:
+                self.met.clear()
+            n, _, e, masks = self.notices[k]
+            # one character a byte, so that positions stay positions
+            text, got = near.decode("latin-1"), None
+            # a plain bound first: bounded-error matching is slow only where it fails
+            least = least_edits(masks, len(n), text)
+            if least <= e:
+                if (n, least) not in self.patterns:
+                    self.patterns[n, least] = regex.compile(f"(?:{regex.escape(n)}){{e<={least}}}")
+                m = self.patterns[n, least].search(text)
+                got = (m.start(), m.end(), 1 - sum(m.fuzzy_counts) / len(n)) if m else None
+            self.met[k, near] = got
+        return self.met[k, near]
+
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[dict]:
         h, row, _, _ = words(data, offs, NOT_ALNUM, FOLD)
         m = len(offs) - 1
@@ -155,10 +167,12 @@ class Scanner:
                 r["last_word"] = w if r["last_word"] is None else max(w, r["last_word"])
                 r["base"].add(label)
                 r["score"] = 1.0
-        for r, label, s, t, near in self.fuzzy(data, offs):
+        fuzzy = self.fuzzy(data, offs)
+        chars = np.cumsum(np.concatenate(([False], HEAD[data])), dtype=np.int64) if fuzzy else None
+        for r, label, s, t, near in fuzzy:
             out[r]["labels"].add(label)
             out[r]["score"] = max(out[r]["score"], near)
-            a, b = (int(HEAD[data[offs[r] : x]].sum()) for x in (s, t))
+            a, b = int(chars[s] - chars[offs[r]]), int(chars[t] - chars[offs[r]])
             out[r]["spans"].append((a, b, label))
         for r in out:
             r["labels"] |= r["base"]

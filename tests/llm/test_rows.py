@@ -397,6 +397,24 @@ def nearest(pattern, text):
     return best
 
 
+def test_license_scan_is_linear():
+    """A megabyte of one notice, and one of notices each with an edit of its own."""
+    import random
+    import time
+
+    r = random.Random(8)
+    same = "released under the mit license " * 33_000
+    other = " ".join("released under the mit license".replace(r.choice("rlm"), r.choice("xyzwvk"), 1) + str(r.randrange(10**6)) for _ in range(9_000))
+    scan = licenses.Scanner()
+    for text, n, most in ((same, 33_000, 10), (other, 8_000, 20)):
+        data = licenses.np.frombuffer(text.encode(), licenses.np.uint8)
+        began = time.process_time()
+        got = scan.scan(data, licenses.np.array([0, len(data)]))[0]
+        assert time.process_time() - began < most
+        assert len(got["spans"]) >= n
+        assert all(" under " in f" {text[a:b]} " and label == "mit" for a, b, label in got["spans"][:50])
+
+
 def test_license_labels_against_edit_distance(make_docs):
     """Notices with random edits among random words: a label is found exactly if some stretch is near enough."""
     import random
