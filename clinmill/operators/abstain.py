@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import prf
+from .select import quantiles
 
 GRID = [round(0.05 * k, 2) for k in range(1, 21)]
 MARGIN = 1e-4
@@ -60,7 +61,7 @@ def select_signal(counts: DataFrame, signals: list[str], control: Column, grid:
 
 def cutpoints(conf: DataFrame, col: str, grid: list[float] = GRID) -> DataFrame:
     """(coverage, cutpoint, achieved): linear quantiles of confidence, and the share at or above each."""
-    q = conf.agg(F.percentile(col, F.array(*(F.lit(round(1 - g, 2)) for g in grid))).alias("q")).select(F.posexplode("q").alias("i", "cutpoint")).withColumn("coverage", F.element_at(F.array(*(F.lit(g) for g in grid)), F.col("i") + 1))
+    q = conf.sparkSession.createDataFrame(list(zip(quantiles(conf, {col: [round(1 - g, 2) for g in grid]})[col], grid, strict=True)), "cutpoint double, coverage double")
     return conf.select(col).join(F.broadcast(q)).groupBy("coverage", "cutpoint").agg(F.avg((F.col(col) >= F.col("cutpoint")).cast("double")).alias("achieved"))
 
 
@@ -98,12 +99,16 @@ def policy_report(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rank_equivalence(conf: DataFrame, col: str, coverage: float) -> DataFrame:
-    """Rows on which the frozen cut and the top rows by rank disagree. The k-th largest value of the k rows
-    above the cut is their minimum, so ranks need no sort."""
-    cut = conf.agg(F.percentile(col, F.lit(1 - coverage)).alias("__c"))
-    j = conf.join(F.broadcast(cut))
-    kth = j.where(F.col(col) >= F.col("__c")).agg(F.min(col).alias("__t"))
-    return j.join(F.broadcast(kth)).agg(F.count_if((F.col(col) >= F.col("__c")) != (F.col(col) >= F.col("__t"))).alias("n_differ"))
+    """(n, n_covered, cutpoint, n_differ): rows at or above the frozen cut, and those on which the cut disagrees with
+    the batch's own choice, its n_covered best rows. The k-th largest value of the k rows above the cut is their
+    minimum, so the batch needs no sort; rows that tie with it are all above the cut."""
+    cut = quantiles(conf, {col: [1 - coverage]})[col][0]
+    j = conf.withColumn("__c", F.lit(cut).cast("double"))
+    kth = j.where(F.col(col) >= F.col("__c")).agg(F.min(col).alias("__t"), F.count("*").alias("__k"))
+    j = j.join(F.broadcast(kth))
+    batch = F.col(col) >= F.col("__t")
+    out = j.agg(F.count("*").alias("n"), F.count_if(F.col(col) >= F.col("__c")).alias("n_covered"), F.count_if((F.col(col) >= F.col("__c")) != batch).alias("d"), F.count_if(batch).alias("b"), F.first("__k").alias("k"))
+    return out.select("n", "n_covered", F.lit(cut).cast("double").alias("cutpoint"), (F.col("d") + F.abs(F.col("b") - F.col("k"))).alias("n_differ"))
 
 
 def ranked(pred: DataFrame, k: int) -> DataFrame:

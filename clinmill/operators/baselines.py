@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import prf
+from .select import quantiles
 
 
 def supported_labels(link: DataFrame, train: DataFrame, key: str, label: str, least: int) -> DataFrame:
@@ -54,4 +55,5 @@ def group_prior(rows: DataFrame, group: str, label: str, k: int, keys: DataFrame
 
 def scalar_floors(train: DataFrame, y: str, label: str) -> DataFrame:
     n = train.groupBy(label).agg(F.count("*").alias("n")).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("majority"))
-    return train.agg(F.percentile(y, F.lit(0.5)).alias("median"), F.avg(y).alias("mean")).join(F.broadcast(n))
+    median = quantiles(train, {y: [0.5]})[y][0]
+    return train.agg(F.avg(y).alias("mean")).select(F.lit(median).cast("double").alias("median"), "mean").join(F.broadcast(n))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import icd_chapter
 from ..functions.text import char_ngrams
+from .select import quantiles
 
 SMOOTH = 20.0
 
@@ -61,8 +62,8 @@ def icd_features(enc: DataFrame, icd: DataFrame, train: Column, least: int = 25,
 
 def numeric_block(df: DataFrame, cols: list[str], train: Column) -> DataFrame:
     """Train-median imputed, standardised by population deviation (a tiny one counts as 1)."""
-    med = df.where(train).agg(*(F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in cols))
-    j = df.join(F.broadcast(med)).withColumns({c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(0.0)) for c in cols})
+    med = quantiles(df.where(train), {c: [0.5] for c in cols})
+    j = df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast("double"), F.lit(0.0)) for c in cols})
     st = j.where(train).agg(*(x for c in cols for x in (F.avg(c).alias(f"__a_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))))
     j = j.join(F.broadcast(st))
     sd = lambda c: F.when(F.col(f"__s_{c}") < 1e-9, 1.0).otherwise(F.col(f"__s_{c}"))
@@ -84,12 +85,12 @@ def family_table(spark, columns: dict[str, str]) -> DataFrame:
 
 def mutual_information(df: DataFrame, feats: list[str], y: str, bins: int = 16) -> DataFrame:
     """(feature, mi) in nats: quantile bins, missing values a bin of their own."""
-    edges = df.agg(*(F.percentile(c, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias(c) for c in feats))
-    e = edges.select(*(F.array_distinct(c).alias(f"__e_{c}") for c in feats))
-    j = df.select(y, *(F.col(c).cast("double").alias(c) for c in feats)).join(F.broadcast(e))
+    edges = quantiles(df, {c: [k / bins for k in range(1, bins)] for c in feats})
+    j = df.select(y, *(F.col(c).cast("double").alias(c) for c in feats))
 
     def binned(c: str) -> Column:
-        below = F.size(F.filter(f"__e_{c}", lambda x: x <= F.col(c)))
+        cuts = F.array(*(F.lit(x) for x in sorted({x for x in edges[c] if x is not None}))).cast("array<double>")
+        below = F.size(F.filter(cuts, lambda x: x <= F.col(c)))
         return F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNull(), bins + 1).otherwise(below).alias("b"))
 
     b = j.select(F.col(y).cast("string").alias("y"), F.explode(F.array(*(binned(c) for c in feats))).alias("x")).select("y", "x.*")

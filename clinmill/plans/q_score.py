@@ -291,9 +291,9 @@ def _(gold, pred, enc):
     return R6(AB.policy_report(c, ["kind"]), "coverage", "micro_f1")
 
 
-@query("ab10_rank_equivalence", "SELECT 0::BIGINT AS n_differ FROM enc LIMIT 1", "pred", "enc")
-def _(pred, enc):
-    return AB.rank_equivalence(AB.confidence(pred, 0.5), "expected_f1", 0.8)
+@query("ab10_rank_equivalence", f"WITH {CONF}, q AS (SELECT quantile_cont(expected_f1, 0.2) AS cut FROM cf), r AS (SELECT expected_f1 >= cut AS above, cut, row_number() OVER (ORDER BY expected_f1 DESC, row_id) AS place FROM cf, q), k AS (SELECT count_if(above) AS k FROM r) SELECT count(*) AS n, any_value(k) AS n_covered, round(any_value(cut), 6) AS cutpoint, count_if(above <> (place <= k)) AS n_differ FROM r, k", "pred")
+def _(pred):
+    return R6(AB.rank_equivalence(AB.confidence(pred, 0.5), "expected_f1", 0.8), "cutpoint")
 
 
 @query("ab11_tk04_suggestions", "SELECT row_id, string_agg(label, ',' ORDER BY r) AS labels FROM (SELECT row_id, label, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, label) AS r FROM (SELECT row_id, label, max(p) AS p FROM pred GROUP BY 1, 2)) WHERE r <= 3 GROUP BY row_id", "pred")
