@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HEAD, RAND, U, mix, over_batches, powers, slices, stored, utf8
+from .common import HEAD, RAND, U, if_small, mix, over_batches, powers, slices, stored, utf8
 
 #: Bits 11 to 15 of the hash decide a cut, so a cut depends on the 16 bytes before it alone.
 LOOK, CUT_MASK, SPACING, LONGEST = 16, 0x1F << 11, 12, 256
@@ -98,6 +98,23 @@ def _held_twice(chunk: DataFrame) -> DataFrame:
     return chunk.join(hot, "digest", "left").withColumn("part", part).drop("parts").join(low, ["digest", "part"]).drop("digest", "part")
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), one row per doc_id: of rows that share one, the text of the smallest MD5.
+
+    Ids are counted without reading texts; only the rows of repeated ids are grouped, with partial results in each task."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    twice = stored(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if not twice.limit(1).count():
+        return docs
+    twice = if_small(twice)
+    some = docs.join(twice, docs["doc_id"] == twice["__id"], "left_semi")
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    low = some.groupBy("doc_id").agg(F.min(digest).alias("__low")).withColumnRenamed("doc_id", "__id")
+    # the text of the smallest digest in all of these rows, so any of them is the same
+    some = some.join(low, (F.col("doc_id") == F.col("__id")) & (digest == F.col("__low"))).groupBy("doc_id").agg(F.first("text").alias("text"))
+    return docs.join(twice, docs["doc_id"] == twice["__id"], "left_anti").unionByName(some)
+
+
 def repeated_passages(docs: DataFrame, min_chars: int = 150) -> DataFrame:
     """Rows (doc_id, c_from, c_to, n_chunks, first_doc, n_later): maximal runs of chunks that also
     occur in another document, of at least min_chars code points; c_from and c_to are code points,
@@ -107,10 +124,10 @@ def repeated_passages(docs: DataFrame, min_chars: int = 150) -> DataFrame:
     Each chunk's smallest and largest holder are found by digest, and chunks of one document only go
     no further. No digest meets in one task, not even one that every text holds. Null text counts as
     empty; empty texts have no chunk. Rows without doc_id are left out; a repeated doc_id is one
-    document, so repetition inside it is not reported. doc_id keeps its type. Other columns are
-    ignored.
+    document (the text of the smallest MD5, once), so repetition inside it is not reported. doc_id keeps its type.
+    Other columns are ignored.
     """
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = _once(docs)
     own = docs.schema["doc_id"].dataType.simpleString()
     chunk = _held_twice(over_batches(docs, _chunker, f"doc_id {own}, digest long, chunk int, c_from int, c_to int"))
     doc = Window.partitionBy("doc_id").orderBy("chunk", "c_from")
@@ -123,9 +140,11 @@ def repeated_passages(docs: DataFrame, min_chars: int = 150) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_chars: int = 150) -> DataFrame:
     """docs with the passages cut out of text that an earlier document (smaller doc_id) holds; the
-    rows without doc_id or repeats are unchanged."""
+    rows without doc_id or repeats are unchanged, and so are those of a repeated doc_id whose text isn't the document's."""
     runs = repeated_passages(docs, min_chars).where("first_doc < doc_id and n_later >= 1")
     cut = runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("c_from", "c_to"))).alias("__cut")).withColumnRenamed("doc_id", "__id")
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    cut = cut.join(_once(docs).select(F.col("doc_id").alias("__id"), digest.alias("__of")), "__id")
 
     @F.pandas_udf("string")
     def strip(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -137,5 +156,5 @@ def without_repeats(docs: DataFrame, min_chars: int = 150) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
-    return docs.join(cut, docs["doc_id"] == cut["__id"], "left").withColumn("text", strip("text", "__cut")).drop("__cut", "__id")
+    return docs.join(cut, (docs["doc_id"] == cut["__id"]) & (digest == cut["__of"]), "left").withColumn("text", strip("text", "__cut")).drop("__cut", "__id", "__of")
 

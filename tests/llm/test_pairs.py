@@ -268,6 +268,54 @@ def test_repeated_passages_edges(edge):
     assert {r["doc_id"] for r in substring.repeated_passages(same).collect()} == {7, 99}
 
 
+def test_rows_that_share_an_id_are_one_document(make_docs):
+    import hashlib
+
+    a, b, c = (" ".join(words(90, k)) for k in (70, 71, 72))
+    one = lambda *rows: [x for k, t in rows for x in [make_docs([t], first=k)]]
+
+    def report(*rows):
+        df = one(*rows)
+        out = df[0]
+        for d in df[1:]:
+            out = out.unionByName(d)
+        return out, sorted(map(tuple, substring.repeated_passages(out).collect()))
+
+    _, plain = report((1, a), (2, a))
+    _, twice = report((1, a), (2, a), (2, a), (2, a))
+    assert plain and twice == plain
+    _, alone = report((2, a), (2, a))
+    assert alone == []
+    # of different texts under one id that of the smallest digest counts, and only its row is cut
+    low, high = sorted((b, c), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    docs, got = report((1, a + " " + low), (2, low), (2, high), (3, high))
+    assert {r[0] for r in got} == {1, 2}
+    kept = sorted((r["doc_id"], r["text"]) for r in substring.without_repeats(docs).collect())
+    assert [x for x in kept if x[0] != 2] == [(1, a + " " + low), (3, high)]
+    assert (2, high) in kept and len([t for d, t in kept if d == 2 and t != high][0]) < len(low) / 3
+
+
+def test_recall_against_all_windows_of_fifty_words(make_docs):
+    """Documents that share a passage of 50 words and more with another, shifted, found by comparing all windows."""
+    r = random.Random(33)
+    shared = [words(r.randint(52, 120), 500 + k) for k in range(25)]
+    texts = []
+    for k in range(150):
+        t = words(r.randint(20, 200), 700 + k)
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            at = r.randrange(len(t) + 1)
+            t[at:at] = r.choice(shared)
+        texts.append(t)
+    seen: dict = {}
+    for d, t in enumerate(texts, 1):
+        for k in range(len(t) - 49):
+            seen.setdefault(tuple(t[k : k + 50]), set()).add(d)
+    want = {d for s in seen.values() if len(s) > 1 for d in s}
+    got = {x["doc_id"] for x in substring.repeated_passages(make_docs([" ".join(t) for t in texts])).collect()}
+    assert len(want) > 60 and got <= want
+    assert len(got) >= 0.9 * len(want)
+
+
 def test_bitmap_has_all_seeds(spark):
     import numpy as np
 
