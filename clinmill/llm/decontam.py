@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .common import FOLD, NOT_ALNUM, U, hash_words, mix, over_batches, slices, stored, utf8, words
 
 #: Fixed masks over token positions; 0 positions are ignored, so a changed token there still hits.
-MASKS = ("1110110110111", "1101011100111011", "111100101101111")
+#: The last two pass by every fourth and every fifth token.
+MASKS = ("1110110110111", "1101011100111011", "111100101101111", "11101110111011", "11110111101111")
 #: Bits of the largest membership filter: 64 MB, whatever the size of the benchmark.
 MOST_BITS = 29
 
@@ -37,14 +38,15 @@ def seeds(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bench(batch):
-    ids, keys, at = [], [], []
-    for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+    ids, of, keys, at = [], [], [], []
+    for item, digest, text in zip(batch["item_id"].to_pylist(), batch["of"].to_pylist(), batch["text"].to_pylist(), strict=True):
         h = hash_words(text or "")
         k, a = seeds(h, np.zeros(len(h), np.int64))
         ids += [item] * len(k)
+        of += [digest] * len(k)
         keys += k.view(np.int64).tolist()
         at += a.tolist()
-    yield {"item_id": ids, "key": keys, "item_at": at}
+    yield {"item_id": ids, "of": of, "key": keys, "item_at": at}
 
 
 def _filter_bits(keys: DataFrame) -> np.ndarray:
@@ -126,20 +128,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 16, mi
     is looked up in a bounded bitmap of the benchmark's seeds; the few that pass, false positives
     included, are joined with the benchmark by hash. An overlap is verified over the whole item and the whole
     document, however long, once per distinct text, so copies cost one row each; of equal ones the first counts.
-    Null texts count as empty; rows without doc_id or item_id are left out; repeated rows give one row. Ids keep
-    their types. Items under 13 tokens have no seed and match
+    Null texts count as empty; rows without doc_id or item_id are left out; repeated rows give one row. All texts of
+    an item_id are looked for, and the best overlap of any of them is its row. Ids keep their types. Items under 13 tokens have no seed and match
     nothing. An empty benchmark gives no rows. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null").groupBy("item_id").agg(F.min("text").alias("text"))
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null").distinct().withColumn("of", F.md5(F.coalesce("text", F.lit(""))))
     own, item = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    keys = stored(over_batches(items, lambda: _bench, f"item_id {item}, key long, item_at int"))
+    keys = stored(over_batches(items, lambda: _bench, f"item_id {item}, of string, key long, item_at int"))
     bitmap = sc.broadcast(_filter_bits(keys))
     seg = stored(over_batches(docs, _scan(bitmap), f"doc_id {own}, seg binary, tokens binary, keys array<long>, ats array<int>"))
     one = seg.groupBy("seg").agg(F.first("tokens").alias("tokens"), F.first("keys").alias("keys"), F.first("ats").alias("ats"))
     hit = one.select("seg", F.explode(F.arrays_zip("keys", "ats")).alias("z")).select("seg", F.col("z.keys").alias("key"), F.col("z.ats").alias("at"))
-    cand = hit.join(keys, "key").groupBy("seg", "item_id").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
+    cand = hit.join(keys, "key").groupBy("seg", "item_id", "of").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
 
     @F.pandas_udf("n_equal int, item_from int, item_to int, n_item int, doc_at int")
     def verify(tokens: pd.Series, lo: pd.Series, shifts: pd.Series, text: pd.Series) -> pd.DataFrame:
@@ -153,7 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = 16, mi
     # only the tokens that the item can lie on, of 8 bytes each; an item has fewer tokens than bytes
     lo = F.greatest(F.lit(0), F.array_min("shifts"))
     reach = F.array_max("shifts") + F.octet_length("text") - lo
-    pairs = cand.join(one.select("seg", "tokens"), "seg").join(items, "item_id").withColumn("lo", lo)
+    pairs = cand.join(one.select("seg", "tokens"), "seg").join(items, ["item_id", "of"]).withColumn("lo", lo)
     seen = pairs.select("seg", "item_id", verify(F.substring("tokens", 8 * F.col("lo") + 1, 8 * reach), "lo", "shifts", "text").alias("v")).select("seg", "item_id", "v.*")
     seen = seen.where((F.col("n_equal") >= F.least(F.lit(min_tokens), F.greatest(F.lit(13), F.col("n_item")))) & (F.col("n_equal") >= min_share * F.col("n_item")))
     out = seg.select("doc_id", "seg").join(seen, "seg")

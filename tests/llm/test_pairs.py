@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from clinmill.llm import decontam, ngram_join, substring
 
 from .conftest import words
@@ -248,6 +250,36 @@ def test_contaminated_against_brute_force(spark, make_docs):
     assert all(found[k] == want[k] for k in found)
 
 
+@pytest.mark.parametrize("every, least", [(4, 0.9), (5, 0.9), (6, 0.95), (8, 0.97)])
+def test_recall_by_share_of_changed_words(spark, make_docs, every, least):
+    """Items of 40 to 120 words with a word in `every` changed, at a fixed step and at random; all are to be found whose
+    best overlap by definition (all diagonals) reaches the thresholds."""
+    import numpy as np
+
+    r = random.Random(every)
+    items = [words(r.randint(40, 120), 5000 + k) for k in range(150)]
+    texts, want = [], set()
+    for k, it in enumerate(items):
+        at = range(r.randrange(every), len(it), every) if k % 2 else r.sample(range(len(it)), len(it) // every)
+        worn = [f"x{x}" if x in set(at) else w for x, w in enumerate(it)]
+        texts.append(words(20, 6000 + k) + worn + words(15, 7000 + k))
+        code: dict = {}
+        num = lambda t, code=code: np.array([code.setdefault(w, len(code)) for w in t])
+        if decontam.overlap(num(texts[-1]), num(it), 20)[0] >= max(16, 0.5 * len(it)):
+            want.add((k + 1, k))
+    found = {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(make_docs([" ".join(t) for t in texts]), bench(spark, [" ".join(i) for i in items])).collect()}
+    print("changed every", every, "found", len(found & want), "of", len(want))
+    assert len(want) > (60 if every == 4 else 100) and len(found & want) >= least * len(want)
+    assert all(d == i + 1 for d, i in found)
+
+
+def test_all_texts_of_an_item_are_looked_for(spark, make_docs):
+    a, b = " ".join(words(40, 1)), " ".join(words(30, 2))
+    items = spark.createDataFrame([(5, a), (5, b), (5, b), (6, None), (6, b)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["n_item"] for x in decontam.contaminated(make_docs([f"so {a} on", f"so {b} on", "nothing"]), items).collect()}
+    assert got == {(1, 5): 40, (2, 5): 30, (2, 6): 30}
+
+
 def test_cuts_resist_insertions():
     import numpy as np
 
