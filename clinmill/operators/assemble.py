@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import cosine
 from ..sources.scratch import if_small
-from .retrieve import block_topk, hybrid_topk, with_terms  # noqa: F401
+from .retrieve import block_topk, hybrid_topk, sparse_topk, with_terms  # noqa: F401
 
 
 def build_encounter_extract(rx: DataFrame, visit: DataFrame, on: str, dims: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -126,10 +126,10 @@ def cosine_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
 def knn_label_vote(train: DataFrame, test: DataFrame, gold: DataFrame, k: int = 5, votes: int = 2) -> DataFrame:
     """(row_id, label, votes): labels that at least `votes` of a row's k nearest train rows have.
 
-    train and test are (row_id, term, w) with L2-normed weights; every test row meets every train row, in
-    blocks, over all terms."""
-    side = lambda d, name: with_terms(d.select(F.col("row_id").alias(name)).distinct(), d, name)
-    top = block_topk(side(test, "qid"), side(train, "rid"), k, 0.0).where("score > 0")
+    train and test are (row_id, term, w) with L2-normed weights; neighbours come from an inverted index over all
+    terms (sparse_topk)."""
+    side = lambda d, name: d.select(F.col("row_id").alias(name), "term", "w")
+    top = sparse_topk(side(test, "qid"), side(train, "rid"), k)
     return top.join(gold, top["rid"] == gold["row_id"]).groupBy(F.col("qid").alias("row_id"), "label").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
 
 

@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .graph import components
 
 #: Rows of a block on either side; terms whose columns are multiplied at once.
 BLOCK, WIDTH = 512, 4096
+#: Reference rows of an index block, query rows that visit it together; a query's terms for its first bound, and the
+#: longest posting list of one of these.
+INDEX, VISIT, FIRST, SHORT = 4096, 1024, 8, 64
 
 
 def with_terms(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
@@ -93,6 +97,111 @@ def block_topk(queries: DataFrame, refs: DataFrame, k: int, alpha: float) -> Dat
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Index:
+    """An inverted index of a block of reference rows: postings by term, and terms by row."""
+
+    def __init__(self, rids: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]):
+        order = np.argsort(rids, kind="stable")
+        self.rids = rids[order]
+        size = np.array([len(terms[k]) for k in order], np.int64)
+        self.row_at = np.concatenate(([0], np.cumsum(size)))
+        t, w = np.concatenate([terms[k] for k in order]), np.concatenate([weights[k] for k in order])
+        self.terms, self.of = np.unique(t, return_inverse=True)
+        self.w = w
+        by = np.argsort(self.of, kind="stable")
+        self.rows, self.weights = np.repeat(np.arange(len(order)), size)[by], w[by]
+        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.of, minlength=len(self.terms)))))
+        self.most = np.maximum.reduceat(self.weights, self.at[:-1]) if len(by) else np.zeros(0)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the k largest products of at least `least`, ties to the smallest rid.
+
+        Terms are taken by their largest possible part of a score. Once all that is left can't lift a row without
+        any of the terms so far to the score wanted, only rows met so far go on, and of these the ones that the rest
+        can still lift; their products are then summed over their own terms."""
+        c = np.searchsorted(self.terms, terms)
+        c[c == len(self.terms)] = 0
+        own = self.terms[c] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        c, w = c[own], weights[own]
+        part = w * self.most[c]
+        order = np.argsort(-part, kind="stable")
+        c, w, rest = c[order], w[order], np.append(np.cumsum(part[order][::-1])[::-1], 0.0)
+        score = np.zeros(len(self.rids))
+        used = len(c)
+        for j in range(len(c)):
+            if rest[j] < least:
+                used = j
+                break
+            a, b = self.at[c[j]], self.at[c[j] + 1]
+            score[self.rows[a:b]] += w[j] * self.weights[a:b]
+            if j % 16 == 15 and len(score) > k:
+                least = max(least, float(np.partition(score, -k)[-k]) - 1e-9)
+        met = np.flatnonzero((score > 0) & (score + rest[used] >= least))
+        if used < len(c) and len(met):
+            dense = np.zeros(len(self.terms))
+            dense[c] = w
+            size = self.row_at[met + 1] - self.row_at[met]
+            at = np.repeat(self.row_at[met] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            exact = np.add.reduceat(self.w[at] * dense[self.of[at]], np.concatenate(([0], np.cumsum(size)[:-1])))
+        else:
+            exact = score[met]
+        exact = np.round(exact, 9)
+        order = np.argsort(-exact, kind="stable")[:k]
+        order = order[exact[order] > 0]
+        return met[order], exact[order]
+
+
+def _visit(k: int):
+    def f(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(r):
+            index = Index(r["rid"].to_numpy(), [np.asarray(x, np.int64) for x in r["terms"]], [np.asarray(x, float) for x in r["weights"]])
+            for qid, terms, weights, least in zip(q["qid"], q["terms"], q["weights"], q["least"], strict=True):
+                rows, scores = index.best(np.asarray(terms, np.int64), np.asarray(weights, float), k, least - 1e-9)
+                out += zip([qid] * len(rows), index.rids[rows], scores, strict=True)
+        return pd.DataFrame(out, columns=["qid", "rid", "score"])
+
+    return f
+
+
+def sparse_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """(qid, rid, score, rank): the k references of the largest positive products of weighted terms, exact.
+
+    queries are (qid, term, w) and refs (rid, term, w), a row per term, weights above 0. Ties, to nine decimals, go to
+    the smallest rid. References form an inverted index in hashed blocks of about INDEX rows. A query's k-th product
+    over its FIRST heaviest rare terms bounds what its k-th best score must reach; terms are taken by the largest part
+    of a score that they can give, until all others together stay below that bound: any reference that belongs
+    to the result holds one of those taken. A query visits only blocks in which one of them occurs, and there postings
+    end as soon as the bound allows. Hot terms meet by block, not by row."""
+    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((queries, "qid"), (refs, "rid"))}
+    flat = lambda d, i: stored(d.select(i, F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w")).where("w > 0"))
+    q, r = flat(queries, "qid"), flat(refs, "rid")
+    count = lambda d, i: d.select(i).distinct().count()
+    blocks, visits = max(1, -(-count(r, "rid") // INDEX)), max(1, -(-count(q, "qid") // VISIT))
+    r = r.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    # what a term can give to a score, here and in each block
+    term = stored(r.groupBy("t", "b").agg(F.count("*").alias("n"), F.max("w").alias("most")))
+    whole = term.groupBy("t").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
+    q = stored(q.join(whole, "t").select("qid", "t", "w", "n", (F.col("w") * F.col("most")).alias("part")))
+    heavy = Window.partitionBy("qid").orderBy(F.desc("part"), "t")
+    rare = q.where(F.col("n") <= SHORT).withColumn("i", F.row_number().over(heavy)).where(F.col("i") <= FIRST)
+    first = rare.select("qid", "t", F.col("w").alias("qw")).join(r.select("rid", "t", "w"), "t").groupBy("qid", "rid").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    least = first.groupBy("qid").agg(F.get(F.slice(F.sort_array(F.collect_list("s"), asc=False), k, 1), F.lit(0)).alias("least"))  # of FIRST * SHORT at most
+    rows = q.groupBy("qid").agg(F.collect_list("t").alias("terms"), F.collect_list("w").alias("weights")).join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    rows = stored(rows)
+    rest = F.sum("part").over(heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))  # over a query's terms
+    needed = q.withColumn("rest", rest).join(rows.select("qid", "least"), "qid").where(F.col("rest") >= F.col("least") - 1e-9).select("qid", "t")
+    a = F.pmod(F.xxhash64("qid"), F.lit(visits)).cast("int").alias("a")
+    visit = stored(needed.join(term.select("t", "b"), "t").select("qid", "b").distinct().select("qid", "b", a))
+    asked = rows.join(visit, "qid")
+    held = r.groupBy("rid", "b").agg(F.collect_list("t").alias("terms"), F.collect_list("w").alias("weights"))
+    held = held.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(visits - 1))))
+    held = held.join(visit.select("a", "b").distinct(), ["a", "b"], "left_semi")  # where some query visits the block
+    s = asked.groupBy("b", "a").cogroup(held.groupBy("b", "a")).applyInPandas(_visit(k), f"qid {kinds['qid']}, rid {kinds['rid']}, score double")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def hybrid_topk(queries: DataFrame, refs: DataFrame, k: int = 5, alpha: float = 0.5) -> DataFrame:
     """Semantic and lexical similarity in one score; see block_topk."""
     return block_topk(queries, refs, k, alpha)

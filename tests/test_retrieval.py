@@ -81,6 +81,55 @@ def test_knn_vote(sides, spark):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_sparse_topk_against_all_pairs(spark, monkeypatch, small):
+    """Frequent and rare terms, near copies, ties, rows without shared terms; small blocks and short first bounds too."""
+    if small:
+        for name, value in (("INDEX", 16), ("VISIT", 8), ("FIRST", 2), ("SHORT", 6)):
+            monkeypatch.setattr(R, name, value)
+    r = np.random.default_rng(8)
+    common, rare = [f"c{k}" for k in range(12)], [f"r{k}" for k in range(400)]
+
+    def row():
+        ts = {*r.choice(common, 6).tolist(), *r.choice(rare, 10).tolist()}
+        return {t: 1.0 if t[0] == "c" else float(4 + r.random()) for t in ts}
+
+    refs = [row() for _ in range(150)]
+    refs += [dict(refs[k]) for k in range(20)]  # copies: ties
+    refs += [{**refs[k], "extra": 2.0} for k in range(20, 40)]
+    asks = [dict(refs[k]) for k in range(0, 60, 2)] + [row() for _ in range(30)] + [{"nowhere": 1.0}, {"c1": 1.0}, {f"x{k}": 1.0 for k in range(3)} | {"r1": 0.5}]
+    unit = lambda d: {t: w / math.sqrt(sum(x * x for x in d.values())) for t, w in d.items()}
+    refs, asks = [unit(d) for d in refs], [unit(d) for d in asks]
+    frame = lambda rows, key, first: spark.createDataFrame([(first + k, t, w) for k, d in enumerate(rows) for t, w in d.items()], f"{key} long, term string, w double")
+    got: dict = {}
+    for x in R.sparse_topk(frame(asks, "qid", 0), frame(refs, "rid", 1000), 5).collect():
+        got.setdefault(x["qid"], {})[x["rank"]] = (x["rid"], x["score"])
+    for k, a in enumerate(asks):
+        s = sorted((-round(sum(w * b.get(t, 0.0) for t, w in a.items()), 9), 1000 + j) for j, b in enumerate(refs))
+        want = [(j, -v) for v, j in s[:5] if v < 0]
+        mine = [got.get(k, {})[i + 1] for i in range(len(got.get(k, {})))]
+        assert [v for _, v in mine] == pytest.approx([v for _, v in want], abs=2e-9), k
+        assert [j for j, _ in mine] == [j for j, _ in want] or len({v for _, v in want}) < len(want), k
+    assert 90 not in got or got[90] == {}
+
+
+def test_index_stops_early_and_stays_exact():
+    r = np.random.default_rng(3)
+    terms = [np.unique(r.integers(0, 300, 30)) for _ in range(500)]
+    weights = [r.random(len(t)) + 0.1 for t in terms]
+    index = R.Index(np.arange(500)[::-1].copy(), terms, weights)
+    rid = np.arange(500)[::-1]
+    for _ in range(40):
+        t = np.unique(r.integers(0, 320, 25))
+        w = r.random(len(t)) + 0.1
+        full = np.array([sum(w[np.searchsorted(t, x)] * y for x, y in zip(a, b, strict=True) if x in set(t.tolist())) for a, b in zip(terms, weights, strict=True)])
+        full = np.round(full, 9)
+        order = np.lexsort((rid, -full))[:5]
+        for least in (0.0, float(np.sort(full)[-5]), float(np.sort(full)[-9])):
+            rows, scores = index.best(t, w, 5, least)
+            assert index.rids[rows].tolist() == rid[order].tolist() and scores == pytest.approx(full[order], abs=2e-9)
+
+
 def test_groups_and_concepts(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 16)
     r = np.random.default_rng(2)
