@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import arrow_iter_udf
 
 #: Elements that begin and end a line; elements without content; elements that hold no article text.
-BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style noscript template svg math iframe object canvas select option button textarea title datalist audio video".split())
 ASIDE = frozenset("nav footer aside form menu dialog".split())
@@ -24,6 +25,10 @@ MARKED = frozenset("ad ads advert advertisement adverts banner sponsor sponsored
 IMPLIED = frozenset("p li td th tr dt dd option".split())
 WALLS = frozenset("article main body nav table".split())
 OUTER = frozenset("article main body html".split())
+#: A start tag with its quoted values; one up to the first >; and how often the first may fail on a page.
+TAG = re.compile(r"""<[a-zA-Z](?>[^>=]++|=\s*+(?>"[^"]*+"|'[^']*+')|=)*+>""")
+SHORT_TAG = re.compile(r"<[a-zA-Z][^>]*+>")
+FAILURES = 16
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 #: Lines over which ratios are smoothed, share of the mass that a region must hold.
 SIGMA, SHARE = 1.0, 0.8
@@ -41,9 +46,17 @@ def marked(attrs: dict) -> bool:
 class Line:
     region: int  # the innermost open region
     text: list[str] = field(default_factory=list)
+    aside: list[str] = field(default_factory=list)  # text inside boilerplate elements
     linked: int = 0  # characters inside links
     tags: int = 1
-    out: bool = False
+
+    def read(self) -> tuple[str, bool]:
+        """Its text, and whether all of it is boilerplate; boilerplate within other text is left out."""
+        for parts, out in ((self.text, False), (self.aside, True)):
+            t = SPACE.sub(" ", "".join(parts)).strip(" ")
+            if t:
+                return t, out
+        return "", True
 
 
 class Lines(HTMLParser):
@@ -67,7 +80,7 @@ class Lines(HTMLParser):
 
     def _line(self) -> Line:
         if self.current is None:
-            self.current = Line(self.region, tags=1 + self.pending, out=self.bad > 0)
+            self.current = Line(self.region, tags=1 + self.pending)
             self.pending = 0
             self.lines.append(self.current)
         return self.current
@@ -136,10 +149,61 @@ class Lines(HTMLParser):
         if self.never or (self.current is None and not data.strip()):
             return
         line = self._line()
-        line.text.append(data)
+        (line.aside if self.bad > 0 else line.text).append(data)
         if self.links:
             line.linked += len(data.strip())
 
+    def page(self, html: str):
+        """Feeds a page piece by piece, in time linear in it.
+
+        The parser itself gets whole tags only: it looks through all of the rest for the end of each tag that has none.
+        A tag ends at the first > outside quoted values; a quote that is never closed counts as a character. Where a tag
+        finds no such end, its < is text; after a few of these, tags end at the first > for the rest of the page. An
+        unclosed comment ends at its first >. What stands after the last > is text."""
+        last, at, end, failed, whole = html.rfind(">"), 0, len(html), 0, TAG
+        comments = True
+        while at < end:
+            lt = html.find("<", at)
+            if lt < 0 or lt > last:
+                break
+            if lt > at:
+                self._text(html[at:lt])
+            after = html[lt + 1 : lt + 2]
+            if after.isascii() and after.isalpha():
+                m = whole.match(html, lt)
+                if m is None:
+                    failed += 1
+                    whole = TAG if failed < FAILURES else SHORT_TAG
+                    self._text("<")
+                    at = lt + 1
+                    continue
+                at = self._fed(html, lt, m.end())
+            elif after == "/" and html[lt + 2 : lt + 3].isalpha():
+                at = self._fed(html, lt, html.index(">", lt) + 1)
+            elif after and after in "!?/":
+                to = html.find("-->", lt + 4) if comments and html.startswith("<!--", lt) else -1
+                comments = comments and (to >= 0 or not html.startswith("<!--", lt))
+                at = to + 3 if to >= 0 else html.index(">", lt) + 1
+            else:
+                self._text("<")
+                at = lt + 1
+        if at < end:
+            self._text(html[at:])
+
+    def _text(self, raw: str):
+        self.handle_data(unescape(raw) if "&" in raw else raw)
+
+    def _fed(self, html: str, begin: int, end: int) -> int:
+        """Gives the parser one tag, and passes over the content of an element of raw text; where to go on."""
+        self.feed(html[begin:end])
+        self.rawdata = ""  # what it takes for unfinished
+        raw = self.cdata_elem
+        if raw is None:
+            return end
+        self.clear_cdata_mode()
+        closing = re.compile(rf"</{re.escape(raw)}(?=[\s/>])", re.IGNORECASE).search(html, end)
+        return closing.start() if closing else len(html)
+
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     r = max(1, math.ceil(3 * sigma))
@@ -163,14 +227,13 @@ def decided(html: str) -> tuple[list[str], list[str], list[float]]:
     article too. Elements that HTML names as boilerplate, or whose class does, are left out as a help.
     """
     parser = Lines()
-    parser.feed(html)
-    parser.close()
-    lines = [(x, SPACE.sub(" ", "".join(x.text)).strip(" ")) for x in parser.lines]
-    lines = [(x, t) for x, t in lines if t]
+    parser.page(html)
+    read = [(x, *x.read()) for x in parser.lines]
+    ok = np.array([not out for _, t, out in read if t])
+    lines = [(x, t) for x, t, _ in read if t]
     if not lines:
         return [], [], []
     size = np.array([len(t) for _, t in lines], float)
-    ok = np.array([not x.out for x, _ in lines])
     ratio = np.maximum(size - np.array([x.linked for x, _ in lines]), 0.0) / np.array([x.tags for x, _ in lines])
     smooth = smoothed(ratio, SIGMA)
     high = smooth >= min(0.5 * smooth.std(), smooth.max())

@@ -510,6 +510,47 @@ def test_clusters_are_those_of_the_plain_algorithm():
     assert all(h == (r in ("cluster", "name", "region")) for h, r in zip(high, rule, strict=True) if r in ("cluster", "beside", "ratio"))
 
 
+ARTICLE = "<article><h1>T</h1><p>A first long paragraph of the article with many words in it.</p>%s<p>A last long paragraph of the article with many words in it.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "html, lines",
+    [
+        ("<p><span hidden>x</span>whole paragraph</p>", ["whole paragraph"]),
+        ('<p><span class="share">Share</span> whole paragraph</p>', ["whole paragraph"]),
+        ('<p>text <span class="ad">Buy now</span> tail</p>', ["text tail"]),
+        ("<p>text <dialog>Accept our cookies</dialog> tail</p>", ["text", "tail"]),
+        ("<menu><li>Home</menu><search>find</search><p>body</p>", ["find", "body"]),
+        ("a < b and 5<6 &lt;c&gt; &amp;amp;", ["a < b and 5<6 <c> &amp;"]),
+        ('<p title="a>b">x y</p>', ["x y"]),
+        ("<p data-x=\">don't>\">q</p>", ["q"]),
+        ('<script>if (a<b) {"</p>"}</script>rest', ["rest"]),
+        ("<!-- c > d -->e", ["e"]),
+        ("<!-- unclosed f <p>g</p>", ["g"]),
+        ('<p class=a"b>h</p>', ["h"]),
+        ('<a href="x>j</a>k', ["jk"]),
+    ],
+)
+def test_pieces_of_boilerplate_and_broken_tags(html, lines):
+    got = html_extract.main_text(ARTICLE % html)[0].split("\n\n")
+    assert got[2:-1] == lines and len(got) == 3 + len(lines)
+
+
+def test_text_behind_the_last_tag_stays():
+    assert html_extract.main_text("<p>alpha beta</p> <b unfinished tail")[0] == "alpha beta\n\n<b unfinished tail"
+
+
+@pytest.mark.parametrize("tail", ["", "<p>some text here > and more</p>"])
+def test_unclosed_tags_take_linear_time(tail):
+    import time
+
+    for piece, n in (("<a ", 300_000), ('<a b="', 300_000), ("<a b='\"", 300_000), ('<a b=">" ', 300_000), ("<!--", 300_000), ("<p>", 300_000), ("</p>", 300_000), ("<", 300_000), ("<![", 300_000), ("<script>", 300_000), ("&amp ", 300_000), ("<b x=1 ", 300_000), ("<div class='ad'>", 300_000)):
+        html = ARTICLE % (piece * (n // len(piece))) + tail
+        began = time.process_time()
+        html_extract.main_text(html)
+        assert time.process_time() - began < 5, piece
+
+
 @pytest.mark.parametrize("page", ["<div>x " * 20_000, "<p><article>" + "<div>" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "<p>y" * 20_000, "<article>x" * 20_000, "<div>" * 20_000 + "</b>" * 20_000])
 def test_deep_nesting(page):
     import time
