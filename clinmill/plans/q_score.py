@@ -119,8 +119,13 @@ N_BOOT = 1000
 
 def rep_sql(kinds: str, seed: int, name: str = "rep", by: str = "system, ") -> str:
     """CTEs of the replicates over (k, m, cs): kinds of row, their rows, and the counts of each system."""
-    h = lambda part: f"(('0x' || substr(md5('{seed}:' || b || ':' || k), {1 + 8 * part}, 8))::BIGINT + 1) / 4294967296.0::DOUBLE"
-    return f"""{name}_w AS (SELECT b, cs, m + sqrt(m) * sqrt(-2 * ln({h(0)})) * cos(2 * pi() * {h(1)}) AS w FROM {kinds}, (SELECT unnest(range({N_BOOT})) AS b)),
+    h = lambda part: f"(('0x' || substr(h, 1 + 8 * ({part}), 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    z = f"sqrt(-2 * ln({h('2 * (b % 4 // 2)')})) * CASE b % 2 WHEN 0 THEN cos(2 * pi() * {h('2 * (b % 4 // 2) + 1')}) ELSE sin(2 * pi() * {h('2 * (b % 4 // 2) + 1')}) END"
+    return f"""{name}_h AS (SELECT b, k, cs, m, md5('{seed}:' || (b // 4) || ':' || k) AS h FROM {kinds}, (SELECT unnest(range({N_BOOT})) AS b)),
+{name}_c AS (SELECT m, i, sum(exp(i * ln(m) - m - lgamma(i + 1))) OVER (PARTITION BY m ORDER BY i) AS cdf FROM (SELECT m, unnest(range(0, (m + 12 * sqrt(m) + 30)::BIGINT + 1)) AS i FROM (SELECT DISTINCT m FROM {kinds} WHERE m <= 256))),
+{name}_u AS (SELECT *, {h("b % 4")} AS u, {z} AS z FROM {name}_h),
+{name}_w AS (SELECT b, cs, coalesce(i + 1, 0)::DOUBLE AS w FROM (SELECT * FROM {name}_u WHERE m <= 256) x ASOF LEFT JOIN {name}_c y ON x.m = y.m AND x.u >= y.cdf
+  UNION ALL SELECT b, cs, greatest(round_even(m + sqrt(m) * z + (z * z - 1) / 6, 0), 0) AS w FROM {name}_u WHERE m > 256),
 {name} AS (SELECT {by}b, coalesce(2.0::DOUBLE * sum(w * tp) / nullif(sum(w * n_pred) + sum(w * n_gold), 0), 0) AS micro_f1 FROM (SELECT b, w, unnest(cs, recursive := true) FROM {name}_w) GROUP BY ALL)"""
 
 

@@ -202,6 +202,31 @@ def test_bootstrap_has_the_spread_of_resampling(spark):
     assert len(got) == 2000
 
 
+def test_weights_are_poisson_sums(spark):
+    """Whole numbers of at least 0 with the distribution of summed Poisson(1) weights, of one row and of many."""
+    for m in (1, 2, 30, 256, 257, 5000):
+        w = np.concatenate([EV.kind_weights(f"{m}:{k}", m, 1000, 5) for k in range(40)])
+        assert (w == np.rint(w)).all() and w.min() >= 0 and len(w) == 40_000
+        assert w.mean() == pytest.approx(m, abs=5 * math.sqrt(m / 40_000))
+        assert w.var() == pytest.approx(m, rel=0.05)
+        skew = ((w - w.mean()) ** 3).mean() / w.std() ** 3
+        assert skew == pytest.approx(1 / math.sqrt(m), abs=0.08)
+    w = EV.kind_weights("x", 1, 100_000, 1)
+    for k in range(5):
+        assert (w == k).mean() == pytest.approx(math.exp(-1) / math.factorial(k), abs=0.006)
+    assert (EV.kind_weights("x", 3, 10, 1) == EV.kind_weights("x", 3, 12, 1)[:10]).all()
+
+
+def test_bootstrap_of_kinds_of_one_row(spark):
+    """Every row a kind of its own: replicates are those of the weights, and none has a negative part."""
+    rows = [(k, k % 7, 7 + k, 9 + 2 * k) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, tp long, n_pred long, n_gold long")
+    got = {x["b"]: x["micro_f1"] for x in EV.bootstrap(df, [], 50, 2).collect()}
+    w = np.array([EV.kind_weights(f"{t}:{p}:{g}", 1, 50, 2) for _, t, p, g in rows])
+    t, p, g = (np.array([r[i] for r in rows], float) @ w for i in (1, 2, 3))
+    assert got == pytest.approx({b: 2 * t[b] / (p[b] + g[b]) for b in range(50)})
+
+
 def test_isotonic_is_pool_adjacent_violators(spark):
     r = np.random.default_rng(5)
     p = np.round(r.random(400), 2)
