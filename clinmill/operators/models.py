@@ -1,17 +1,23 @@
-"""Component models on pyspark.ml: one calibrated linear model per label, counts, and boosted trees."""
+"""Component models: linear models of all labels in shared passes, counts, and boosted trees."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .boosting import fit_poisson_trees
+from .passes import Rows, summed, vectors
+
 #: Named feature sets from blocks of columns, and whether each can be had at prescribing time.
 FEATURE_SETS = {
     "text": (("text",), True),
@@ -43,33 +49,150 @@ def feature_set_table(df: DataFrame, blocks: dict[str, list[str]]) -> DataFrame:
     return rows.groupBy("feature_set", "deployable").agg(F.max("size").alias("n_features"), F.count("*").alias("n"), F.sum("sum").alias("total"))
 
 
-def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0, parallel: int = 4) -> dict[str, LogisticRegression | None]:
-    """One L2 logistic model per label on a cached (row_id, features) frame; a label without train positives has none."""
-    train = train.select("row_id", "features").persist()
-    n = train.count()
-
-    def one(label: str):
-        y = gold.where(F.col("label") == label).select("row_id").distinct().withColumn("label", F.lit(1.0))
-        d = train.join(y, "row_id", "left").fillna(0.0, ["label"])
-        pos = d.where("label = 1").limit(1).count()
-        lr = LogisticRegression(regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=50)
-        return label, lr.fit(d) if pos else None
+@dataclass
+class Ovr:
+    """One L2 logistic model per label: coefficients (features + 1, labels), the last of each the intercept; `fitted`
+    is false for labels without train positives, which score 0."""
+
+    labels: list[str]
+    coefficients: np.ndarray
+    fitted: np.ndarray
+
+
+#: Size of the second derivatives of all labels up to which Newton steps are taken.
+NARROW = 2_000_000
+
+
+def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0, rounds: int = 200) -> Ovr:
+    """All labels' models at once on (row_id, features): mean log loss plus |w|^2 / (2 c n), intercepts free.
+
+    Vectors and the numbers of a row's labels are written once; a pass over them sums the loss and its derivatives of all
+    labels that haven't settled, so the number of jobs doesn't grow with the labels. Few features: Newton
+    steps, halved where the loss rises; many, or sparse ones: L-BFGS with the labels side by side. The driver holds
+    coefficients and, for few features, second derivatives; never rows."""
+    index = train.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, k int")
+    hit = gold.select("row_id", "label").join(F.broadcast(index), "label").groupBy("row_id").agg(F.collect_set("k").alias("ks"))
+    rows = stored(vectors(train, "features", "row_id").join(hit, "row_id", "left").select("xn", "xi", "xv", F.coalesce("ks", F.array().cast("array<int>")).alias("ks")))
+    head = rows.agg(F.count("*").alias("n"), F.max(F.coalesce("xn", F.size("xv"))).alias("d")).first()
+    n, d, size = head["n"], head["d"] or 0, len(labels)
+    count = {x["k"]: x["n"] for x in rows.select(F.explode("ks").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    fitted = np.array([count.get(k, 0) > 0 for k in range(size)], bool)
+    model = Ovr(labels, np.zeros((d + 1, size)), fitted)
+    if not fitted.any():
+        return model
+    reg = np.full((d + 1, 1), 1.0 / (c * n))
+    reg[-1] = 0.0
+
+    def parts(pdf: pd.DataFrame, w: np.ndarray, who: np.ndarray):
+        x = Rows(pdf, d)
+        y = np.zeros((len(pdf), size))
+        for i, ks in enumerate(pdf["ks"]):
+            y[i, ks] = 1.0
+        z, y = x.dot(w), y[:, who]
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return x, p, (np.logaddexp(0.0, z) - y * z).sum(0), x.tdot(p - y)
+
+    def value(w: np.ndarray, who: np.ndarray, second: bool):
+        """Loss (labels), gradient (d + 1, labels) and second derivatives (labels, d + 1, d + 1) at w."""
+        k, e = len(who), d + 1
+
+        def step(pdf: pd.DataFrame) -> np.ndarray:
+            x, p, loss, grad = parts(pdf, w, who)
+            out = [loss, grad.ravel()]
+            if second:
+                a = x.dense()
+                out += [((a * q[:, None]).T @ a).ravel() for q in (p * (1 - p)).T]
+            return np.concatenate(out)
+
+        s = summed(rows, step, k + e * k + second * k * e * e) / n
+        loss, grad = s[:k] + (reg * w * w).sum(0) / 2, s[k : k + e * k].reshape(e, k) + reg * w
+        return loss, grad, s[k + e * k :].reshape(k, e, e) + np.diag(reg[:, 0]) if second else None
+
+    who = np.flatnonzero(fitted)
+    solve = _newton if (d + 1) ** 2 * len(who) <= NARROW else _lbfgs
+    model.coefficients[:, who] = solve(value, d + 1, who, rounds)
+    return model
+
+
+def _newton(value, e: int, who: np.ndarray, rounds: int) -> np.ndarray:
+    w, out = np.zeros((e, len(who))), np.zeros((e, len(who)))
+    live, step, before = np.arange(len(who)), np.zeros((e, len(who))), np.full(len(who), np.inf)
+    for _ in range(rounds):
+        loss, grad, second = value(w[:, live], who[live], True)
+        worse = loss > before[live] + 1e-12 * np.abs(before[live])
+        for j, k in enumerate(live):
+            if worse[j]:
+                step[:, k] /= 2
+                w[:, k] -= step[:, k]
+            else:
+                before[k], out[:, k] = loss[j], w[:, k]
+                step[:, k] = -np.linalg.lstsq(second[j] + 1e-12 * np.eye(e), grad[:, j], rcond=None)[0]
+                w[:, k] += step[:, k]
+        live = np.array([k for k in live if np.abs(step[:, k]).max() > 1e-8 * max(1.0, np.abs(w[:, k]).max())], int)
+        if not len(live):
+            break
+    return np.where(np.isfinite(w), w, out)
+
+
+def _lbfgs(value, e: int, who: np.ndarray, rounds: int, memory: int = 10) -> np.ndarray:
+    w = np.zeros((e, len(who)))
+    f, g, _ = value(w, who, False)
+    kept: list[list] = [[] for _ in who]
+    size = np.zeros(len(who))  # of the step being tried, as a share of the direction; 0: a new direction is due
+    way = np.zeros_like(w)
+    live = np.arange(len(who))
+    for _ in range(rounds):
+        live = np.array([k for k in live if np.abs(g[:, k]).max() > 1e-8], int)
+        if not len(live):
+            break
+        for k in live:
+            if size[k] == 0:
+                way[:, k] = -_two_loops(g[:, k], kept[k])
+                size[k] = 1.0 if kept[k] else min(1.0, 1.0 / max(np.abs(g[:, k]).sum(), 1e-300))
+        trial = w[:, live] + size[live] * way[:, live]
+        loss, grad, _ = value(trial, who[live], False)
+        for j, k in enumerate(live):
+            slope = float(g[:, k] @ way[:, k])
+            if loss[j] <= f[k] + 1e-4 * size[k] * slope or size[k] < 1e-10:
+                s, y = trial[:, j] - w[:, k], grad[:, j] - g[:, k]
+                if float(s @ y) > 1e-14 * float(s @ s):
+                    kept[k] = [*kept[k][1 - memory :], (s, y)]
+                if size[k] < 1e-10:
+                    grad[:, j] = 0.0  # no step lowers the loss in double precision
+                w[:, k], f[k], g[:, k], size[k] = trial[:, j], loss[j], grad[:, j], 0.0
+            else:
+                size[k] /= 2
+    return w
+
+
+def _two_loops(g: np.ndarray, kept: list) -> np.ndarray:
+    q, a = g.copy(), []
+    for s, y in reversed(kept):
+        a.append(float(s @ q) / float(s @ y))
+        q -= a[-1] * y
+    if kept:
+        s, y = kept[-1]
+        q *= float(s @ y) / float(y @ y)
+    for (s, y), x in zip(kept, reversed(a), strict=True):
+        q += (x - float(y @ q) / float(s @ y)) * s
+    return q
+
+
+def score_ovr(model: Ovr, df: DataFrame) -> DataFrame:
+    """(row_id, label, p) of every row and label; p is 0 for labels without a model."""
+    d = len(model.coefficients) - 1
+    own = df.schema["row_id"].dataType.simpleString()
 
-    try:
-        with ThreadPoolExecutor(parallel) as pool:
-            return dict(pool.map(one, labels))
-    finally:
-        train.unpersist()
+    def score(batches):
+        for pdf in batches:
+            if len(pdf):
+                z = Rows(pdf, d).dot(model.coefficients)
+                p = np.where(model.fitted, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
+                yield pd.DataFrame({"row_id": pdf["row_id"], "p": list(p)})
 
-
-def score_ovr(models: dict, df: DataFrame) -> DataFrame:
-    """(row_id, label, p) of every row and label; p is 0 for labels without a model."""
-    out = df.select("row_id", "features")
-    for k, m in models.items():
-        if m is not None:
-            out = m.setProbabilityCol(f"__p_{k}").setRawPredictionCol(f"__r_{k}").setPredictionCol(f"__y_{k}").transform(out).drop(f"__r_{k}", f"__y_{k}")
-    pairs = [F.struct(F.lit(k).alias("label"), (vector_to_array(f"__p_{k}")[1] if m is not None else F.lit(0.0)).alias("p")) for k, m in models.items()]
-    return out.select("row_id", F.explode(F.array(*pairs)).alias("x")).select("row_id", "x.*")
+    p = vectors(df, "features", "row_id").mapInPandas(score, f"row_id {own}, p array<double>")
+    names = F.array(*(F.lit(x) for x in model.labels))
+    return p.select("row_id", F.posexplode("p").alias("i", "p")).select("row_id", F.get(names, F.col("i")).alias("label"), "p")
 
 
 def multiclass(pred: DataFrame) -> DataFrame:
@@ -79,19 +202,76 @@ def multiclass(pred: DataFrame) -> DataFrame:
 
 
 def count_model(train: DataFrame, target: str, kind: str = "ridge", strength: float = 1.0):
-    """Ridge, or a robust (Huber) fit in place of absolute loss; predictions are clipped at 0 by predict_counts."""
+    """Ridge, least absolute deviations ("lad"), or Huber; predictions are clipped at 0 by predict_counts."""
+    if kind == "lad":
+        return fit_lad(train, target, strength)
     lr = LinearRegression(labelCol=target, regParam=strength, elasticNetParam=0.0) if kind == "ridge" else LinearRegression(labelCol=target, loss="huber", regParam=strength, maxIter=50)
     return lr.fit(train)
 
 
+@dataclass
+class Linear:
+    """A fitted line; transform adds `prediction`."""
+
+    coefficients: np.ndarray
+    intercept: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        w = F.array(*(F.lit(float(x)) for x in self.coefficients)).cast("array<double>")
+        dot = F.aggregate(F.zip_with(vector_to_array("features"), w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return df.withColumn("prediction", dot + float(self.intercept))
+
+
+def fit_lad(train: DataFrame, target: str, strength: float = 0.0, rounds: int = 80, close: float = 1e-7) -> Linear:
+    """Least absolute deviations, mean |y - wx - b| + strength / 2 |w|^2, by reweighted least squares.
+
+    A row weighs the inverse of its residual, which is held above a floor that falls each round to a millionth of
+    the target's mean deviation; a pass sums the weighted normal equations and the deviations, and the driver solves
+    them. Rows without a target are left out. Ends when the coefficients settle at the last floor, with the best seen."""
+    rows = stored(vectors(train.where(F.col(target).isNotNull()), "features", F.col(target).cast("double").alias("y")))
+    head = rows.agg(F.count("*").alias("n"), F.max(F.coalesce("xn", F.size("xv"))).alias("d"), F.avg("y").alias("m")).first()
+    n, d = head["n"], head["d"] or 0
+    if not n:
+        return Linear(np.zeros(d), 0.0)
+    e, reg = d + 1, np.diag(np.append(np.full(d, strength), 0.0))
+    w, best, least = np.zeros(e), np.zeros(e), np.inf
+    w[-1] = head["m"]
+    scale = floor = None
+    for _ in range(rounds):
+
+        def step(pdf: pd.DataFrame, w=w, floor=floor) -> np.ndarray:
+            a, y = Rows(pdf, d).dense(), pdf["y"].to_numpy()
+            r = np.abs(y - a @ w)
+            weight = 1 / np.maximum(r, floor) if floor else np.ones(len(y))
+            b = a * weight[:, None]
+            return np.concatenate([(b.T @ a).ravel(), b.T @ y, [r.sum()]])
+
+        s = summed(rows, step, e * e + e + 1) / n
+        loss = s[-1] + float(w @ reg @ w) / 2
+        if loss < least:
+            least, best = loss, w
+        if scale is None:
+            scale = s[-1]
+        if scale == 0:
+            break
+        new = np.linalg.lstsq(s[: e * e].reshape(e, e) + (reg if floor else 0), s[e * e : -1], rcond=None)[0]
+        last = floor is not None and floor <= 1e-6 * scale
+        floor = max(1e-6 * scale, floor * 0.4) if floor else 0.5 * scale
+        if last and np.abs(new - w).max() <= close * max(1.0, np.abs(w).max()):
+            break
+        w = new
+    return Linear(best[:-1], float(best[-1]))
+
+
 def predict_counts(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
 
 
-def boosted(train: DataFrame, target: str, kind: str = "binary", trees: int = 20):
+def boosted(train: DataFrame, target: str, kind: str = "binary", trees: int = 20, depth: int = 4):
+    """Boosted trees: a classifier, or under Poisson loss a model of counts (boosting.fit_poisson_trees)."""
     if kind == "binary":
-        return GBTClassifier(labelCol=target, maxIter=trees, maxDepth=4, seed=42).fit(train)
-    return GeneralizedLinearRegression(labelCol=target, family="poisson", link="log", regParam=0.1).fit(train)
+        return GBTClassifier(labelCol=target, maxIter=trees, maxDepth=depth, seed=42).fit(train)
+    return fit_poisson_trees(train, target, trees=trees, depth=depth)
 
 
 def fit_component(df: DataFrame, gold: DataFrame, labels: list[str], blocks: dict[str, list[str]], sets: list[str], cs: list[float]) -> DataFrame:

@@ -575,9 +575,10 @@ def _(enc, rx):
     x = _features(enc).join(VO.count_targets(enc, {"n": rx}, "pid").withColumnRenamed("pid", "row_id"), "row_id").withColumns({"n": F.col("n").cast("double"), "any": (F.col("n") > 4).cast("double")})
     train, test = x.where("split = 'train'"), x.where("split = 'test'")
     ridge = predict_counts(count_model(train, "n"), test).select("row_id", F.col("prediction").alias("ridge"))
-    pois = boosted(train, "n", "poisson").transform(test).select("row_id", F.col("prediction").alias("poisson"))
+    median = predict_counts(count_model(train, "n", "lad", 0.0), test).select("row_id", F.col("prediction").alias("median"))
+    pois = boosted(train, "n", "poisson", trees=6, depth=3).transform(test).select("row_id", F.col("prediction").alias("poisson"))
     tree = boosted(train, "any", trees=3).transform(test).select("row_id", F.col("prediction").alias("boosted"))
-    return ridge.join(pois, "row_id").join(tree, "row_id")
+    return ridge.join(median, "row_id").join(pois, "row_id").join(tree, "row_id")
 
 
 @query("ml05_ml07_fit_component", None, "enc")
