@@ -182,40 +182,68 @@ def mcd(vec: DataFrame, share: float = 0.75, least: int = 20, settled: float = 5
     return out
 
 
-def mcd_parameters(vec: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
-    """mcd() made ready for distances: the covariance of the central share of normal data is too small by a
-    known factor, and each statistic gets its least spread of AXES."""
+#: Rows for which the estimate of a wider group counts in that of a narrower one.
+PRIOR = 100
+
+
+def ready(raw: DataFrame, share: float) -> DataFrame:
+    """Estimates (g, m0.., c00..) made ready for distances: the covariance of the central share of normal data is
+    too small by a known factor, and each statistic gets its least spread of AXES."""
     d, axes = len(AXES), list(AXES)
     q = chi2_quantile(share, d)
     scale = share / gamma_p(d / 2 + 1, q / 2)
-    raw = mcd(vec, share, least)
     return stored(factors(raw.select("g", *(f"m{i}" for i in range(d)), *((F.col(f"c{i}{j}") * scale + (AXES[axes[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))))
 
 
-def quality_report(docs: DataFrame, confidence: float = 0.9999, share: float = 0.75, least_group: int = 100) -> DataFrame:
+def mcd_parameters(vec: DataFrame, share: float = 0.75, least: int = 20) -> DataFrame:
+    return ready(mcd(vec, share, least), share)
+
+
+def shrunk(vec: DataFrame, pair: DataFrame, share: float) -> DataFrame:
+    """Estimates (g, m0.., c00..) of every language and source of pair (lang, source, g, n, n_lang).
+
+    Each pair, each language and the whole table have an MCD estimate of their own, all found in the same steps. A
+    language's is averaged with the table's, which counts as PRIOR rows, and a pair's with its language's in the same
+    way: a pair of many rows is judged by its own, one of few mostly by its language's, without a step between.
+    Under 20 rows there is no estimate to average. A pair is absent if there is none at any level."""
+    wide = vec.withColumn("g", F.explode(F.array(F.concat(F.lit("s:"), "lang", F.lit("\x1f"), "source"), F.concat(F.lit("l:"), "lang"), F.lit("*"))))
+    raw = stored(mcd(wide.select("g", *AXES), share))
+    names = [c for c in raw.columns if c[0] in "mc"]
+    of = lambda level: raw.select(F.col("g").alias(f"__{level}"), *(F.col(c).alias(f"{level}_{c}") for c in names))
+    out = pair.withColumns({"__s": F.col("g"), "__l": F.concat(F.lit("l:"), "lang"), "__a": F.lit("*")})
+    for level in "sla":
+        out = out.join(of(level), f"__{level}", "left")
+
+    def mean(c: str):
+        table = F.col(f"a_{c}")
+        lang = F.coalesce((F.col("n_lang") * F.col(f"l_{c}") + PRIOR * table) / (F.col("n_lang") + PRIOR), table)
+        return F.coalesce((F.col("n") * F.col(f"s_{c}") + PRIOR * lang) / (F.col("n") + PRIOR), lang)
+
+    return out.select("g", *(mean(c).alias(c) for c in names)).where("m0 is not null")
+
+
+def quality_report(docs: DataFrame, confidence: float = 0.9999, share: float = 0.75) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, distance.
 
     base_failed: under 10 words, or more than a fifth of the words in repeated 5-word windows. The
-    others are judged by the Mahalanobis distance of their transformed statistics to the MCD estimate of
-    their language and source (of their language, or of all, where a pair has fewer than
-    least_group rows), and kept up to the chi-squared quantile of `confidence`. Only rows that
+    others are judged by the Mahalanobis distance of their transformed statistics to the estimate of
+    their language and source (MCD of the pair, averaged by numbers of rows with that of the language and of the table;
+    see shrunk), and kept up to the chi-squared quantile of `confidence`. Only rows that
     pass the base rules enter the estimates. Null text counts as empty, null lang or source as a value of its
-    own; repeated rows give repeated rows; groups under 20 rows reject nothing. Other columns
+    own; repeated rows give repeated rows; tables of under 20 such rows reject nothing. Other columns
     are ignored.
     """
     stats = statistics(docs.select("doc_id", F.col("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = stored(stats.withColumn("base_failed", failed))
     good = stats.where("not base_failed")
-    pair = good.groupBy("lang", "source").agg(F.count("*").alias("__n"))
-    pair = pair.withColumn("__nl", F.sum("__n").over(Window.partitionBy("lang")))
-    key = F.when(F.col("__n") >= least_group, F.concat(F.lit("s:"), "lang", F.lit("\x1f"), "source")).when(F.col("__nl") >= least_group, F.concat(F.lit("l:"), "lang")).otherwise(F.lit("*"))
-    pair = if_small(stored(pair.select("lang", "source", key.alias("g"))))
-    axes = [F.col(a) for a in AXES]
-    vec = good.join(pair, ["lang", "source"]).select("g", *axes)
-    params = mcd_parameters(vec, share)
-    judged = distances(stats.join(pair, ["lang", "source"], "left").fillna("*", ["g"]), params)
+    pair = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    pair = pair.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang"))).withColumn("g", F.concat(F.lit("s:"), "lang", F.lit("\x1f"), "source"))
+    pair = stored(pair)
+    params = ready(shrunk(good.select("lang", "source", *AXES), pair, share), share)
+    keyed = stats.withColumn("g", F.concat(F.lit("s:"), "lang", F.lit("\x1f"), "source"))
+    judged = distances(keyed, params)
     limit = chi2_quantile(confidence, len(AXES))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.round(F.sqrt("d2"), 6).alias("distance"))

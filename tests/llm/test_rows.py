@@ -722,6 +722,29 @@ def _toxicity(d):
     return toxicity.toxicity_report(d, labels)
 
 
+def test_estimates_of_pairs_are_averaged_by_rows(spark):
+    """A pair's estimate is (n own + PRIOR its language's) / (n + PRIOR), a language's likewise of the table's, at every
+    size; pairs under 20 rows take their language's."""
+    import numpy as np
+
+    r = np.random.default_rng(12)
+    sizes = {("en", "a"): 400, ("en", "b"): 60, ("fr", "a"): 25, ("fr", "c"): 5}
+    data = [(lang, src, *map(float, r.normal(k, 1 + k / 3, 5))) for k, ((lang, src), n) in enumerate(sizes.items()) for _ in range(n)]
+    vec = spark.createDataFrame(data, "lang string, source string, " + ", ".join(f"{a} double" for a in quality.AXES))
+    n_lang = {"en": 460, "fr": 30}
+    pair = spark.createDataFrame([(g, s, f"s:{g}\x1f{s}", n, n_lang[g]) for (g, s), n in sizes.items()], "lang string, source string, g string, n long, n_lang long")
+    got = {x["g"]: x for x in quality.shrunk(vec, pair, 0.75).collect()}
+    keyed = vec.selectExpr("explode(array('s:' || lang || '\x1f' || source, 'l:' || lang, '*')) g", *quality.AXES)
+    raw = {x["g"]: x for x in quality.mcd(keyed, 0.75).collect()}
+    assert "s:fr\x1fc" not in raw and len(got) == 4
+    for (g, s), n in sizes.items():
+        for c in ("m0", "m4", "c00", "c31"):
+            lang = (n_lang[g] * raw[f"l:{g}"][c] + quality.PRIOR * raw["*"][c]) / (n_lang[g] + quality.PRIOR)
+            own = raw.get(f"s:{g}\x1f{s}")
+            want = (n * own[c] + quality.PRIOR * lang) / (n + quality.PRIOR) if own else lang
+            assert got[f"s:{g}\x1f{s}"][c] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("f", [_toxicity, secrets.secret_report, quality.quality_report, licenses.license_report, lambda d: pii.pii_report(d, pii.Model.new(0))])
 def test_edge_rows(edge, f):
     got = f(edge).collect()
