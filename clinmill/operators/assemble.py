@@ -107,7 +107,9 @@ def resolve_names(gen: DataFrame, formulary: DataFrame) -> DataFrame:
     f = formulary.select("id", key(F.col("drug_name")).alias("fk"))
     exact = g.join(f.groupBy("fk").agg(F.min("id").alias("id")), g["k"] == F.col("fk")).select("name", "id", F.lit("exact").alias("how"))
     rest = g.join(exact, "name", "left_anti").where(F.length("k") >= 6).withColumn("p", F.substring("k", 1, 6))
-    near = rest.join(f.withColumn("p", F.substring("fk", 1, 6)), "p").where(F.abs(F.length("k") - F.length("fk")) <= 3)
+    # a frequent prefix has a row for each length, not for each name
+    short = f.groupBy(F.substring("fk", 1, 6).alias("p"), F.length("fk").alias("n")).agg(F.min("id").alias("id"))
+    near = rest.join(short, "p").where(F.abs(F.length("k") - F.col("n")) <= 3)
     return exact.unionByName(near.groupBy("name").agg(F.min("id").alias("id")).withColumn("how", F.lit("prefix")))
 
 

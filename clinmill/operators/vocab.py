@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import if_small, stored
+
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 
 
+def per_value(df: DataFrame, col: str, f: dict[str, Column] | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with columns that depend on one column only and cost much a row: computed once for each distinct value
+    and joined back, nulls too. The values are written once; few are broadcast, many meet their rows in a shuffle.
+
+    f is the columns, or a function of the table of distinct values that keeps `col`."""
+    values = df.select(col).distinct()
+    values = stored(values.withColumns(f) if isinstance(f, dict) else f(values)).withColumnRenamed(col, "__value")
+    few = if_small(values, 5_000)
+    values = values if few is None else few
+    return df.join(values, df[col].eqNullSafe(values["__value"]), "left").drop("__value")
+
+
 def token_freq(df: DataFrame, tokens: Column) -> DataFrame:
     return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
 

@@ -53,7 +53,7 @@ def _(part):
 
 @query("tx09_glossary_spaced", f"SELECT pid, {_spaced('lower(note)')} AS text FROM enc", "enc")
 def _(enc):
-    return enc.select("pid", T.expand_glossary("note").alias("text"))
+    return VO.per_value(enc.select("pid", "note"), "note", {"text": T.expand_glossary("note")}).drop("note")
 
 
 def _single(c: str) -> str:
@@ -173,8 +173,8 @@ def _(enc):
 
 @query("tx24_concept_flags", f"WITH x AS (SELECT pid, lower({_spaced('lower(note)')}) AS t FROM enc) SELECT pid, " + ", ".join(f"regexp_matches(t, '{p}')::INT AS {k}" for k, p in CONCEPTS.items()) + " FROM x", "enc")
 def _(enc):
-    x = enc.select("pid", F.lower(T.expand_glossary("note")).alias("t"))
-    return x.select("pid", *(F.col("t").rlike(p).cast("int").alias(k) for k, p in CONCEPTS.items()))
+    flags = lambda d: d.withColumn("t", F.lower(T.expand_glossary("note"))).select("note", *(F.col("t").rlike(p).cast("int").alias(k) for k, p in CONCEPTS.items()))
+    return VO.per_value(enc.select("pid", "note"), "note", flags).drop("note")
 
 
 TERMS = f"tm AS (SELECT pid AS row_id, unnest({_t}) AS term, split FROM enc)"
@@ -611,11 +611,15 @@ def _(o):
 
 
 def _stream_decide(spark, sf_dir: str) -> DataFrame:
-    """The decision of ab07 on a stream of encounters, written once and read back."""
+    """The decision of ab07 on a stream of encounters: a model and the frozen policy inside the stream, written once and
+    read back."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
     from ..sources.scratch import scratch
-    from ..streaming.online import run_once, stream_decide
+    from ..streaming.online import serve
     from .base import STANDINS
-    from .q_score import _policy, _scored
+    from .q_score import _comp, _policy
 
     out = scratch(spark)
     path = f"{sf_dir}/orders.parquet"
@@ -626,8 +630,10 @@ def _stream_decide(spark, sf_dir: str) -> DataFrame:
     else:
         stream = reader.parquet(path)
     b = stream.selectExpr(*(f"{e} AS `{c}`" for c, e in STANDINS["bin"][1].items()))
-    run_once(stream_decide(_scored(b), _policy(b), "sparse").select("row_id", "component", "cover"), f"{out}/rows", f"{out}/log")
-    return spark.read.parquet(f"{out}/rows")
+    model = PipelineModel([SQLTransformer(statement=f"SELECT row_id, {_comp} AS component, p AS confidence, grp < 2 AS sparse FROM __THIS__")])
+    _policy(b).write.parquet(f"{out}/policy")
+    serve(b, model, f"{out}/policy", f"{out}/rows", f"{out}/log", ["row_id", "component", "cover"], "sparse")
+    return spark.read.parquet(f"{out}/rows").select("row_id", "component", "cover")
 
 
 QUERIES["st01_stream_decide"] = _stream_decide

@@ -40,9 +40,40 @@ def read_annotations(spark: SparkSession, glob: str, lines: bool = False) -> Dat
     return raw.select(F.coalesce("annotator", F.input_file_name()).alias("annotator"), F.explode("answers").alias("ann_id", "a")).select("annotator", "ann_id", "a.*")
 
 
-def load_table(spark: SparkSession, name: str, url: str | None = None, **options: str) -> DataFrame:
-    """A relation over JDBC, or a catalog table where no url is given; extract joins run in Spark."""
-    return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load() if url else spark.table(name)
+def load_table(spark: SparkSession, name: str, url: str | None = None, key: str | None = None, parts: int = 4, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """A relation over JDBC, or a catalog table where no url is given; extract joins run in Spark.
+
+    With a whole-number key (as the database spells it, quoted if need be) the relation is read in `parts` ranges of it, each by its own connection and task; one query
+    asks for the least and greatest key. The first range also has the rows without a key. Only `columns` are asked for."""
+    if not url:
+        df = spark.table(name)
+        return df.select(*columns) if columns else df
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        df = reader.option("dbtable", name).load()
+    else:
+        span = reader.option("dbtable", f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {name}) b").load().toDF("lo", "hi").first()
+        df = spark.read.jdbc(url, name, predicates=key_ranges(key, span["lo"], span["hi"], parts), properties={k: str(v) for k, v in options.items()})
+    return df.select(*columns) if columns else df
+
+
+def key_ranges(key: str, lo: int | None, hi: int | None, parts: int) -> list[str]:
+    """Conditions that part the keys from lo to hi into ranges of about equal width; every row meets one of them."""
+    if lo is None or hi is None:
+        return ["1 = 1"]
+    lo, hi = int(lo), int(hi)
+    cuts = sorted({lo + (hi - lo + 1) * k // parts for k in range(1, parts)} - {lo})
+    ends = [None, *cuts, None]
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        both = " AND ".join(x for x in (f"{key} >= {a}" if a is not None else "", f"{key} < {b}" if b is not None else "") if x) or "1 = 1"
+        out.append(both if a is not None or both == "1 = 1" else f"({both}) OR {key} IS NULL")
+    return out
+
+
+def save_table(df: DataFrame, name: str, url: str, **options: str) -> None:
+    """A relation written over JDBC, replacing one of that name."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode("overwrite").save()
 
 
 def require_columns(a: DataFrame, b: DataFrame, extra: tuple[str, ...] = ()) -> None:

@@ -23,14 +23,33 @@ def stream_decide(scored: DataFrame, policy: DataFrame, mode: str = "global") ->
     return decide(scored, policy, mode)
 
 
-def stream_score(stream: DataFrame, model, policy: DataFrame, mode: str = "global") -> DataFrame:
-    """A fitted pyspark.ml model on the stream, its probability as confidence, then the decision."""
+def stream_score(rows: DataFrame, model, policy: DataFrame, mode: str = "global") -> DataFrame:
+    """A fitted pyspark.ml model on rows with component and sparse, then the decision. The model's probability of the
+    second class is the confidence, unless it gives a column of that name itself."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(stream).withColumn("confidence", vector_to_array("probability")[1])
+    scored = model.transform(rows)
+    if "confidence" not in scored.columns:
+        scored = scored.withColumn("confidence", vector_to_array("probability")[1])
     return stream_decide(scored, policy, mode)
 
 
+def serve(stream: DataFrame, model, policy: str, path: str, checkpoint: str, columns: list[str], mode: str = "global"):
+    """Score and decide what a stream holds now, and write the columns as Parquet, a folder per micro-batch.
+
+    The policy is read anew from its Parquet path in each micro-batch, so cut-points that are frozen again hold from the
+    next one on. A micro-batch that is repeated after a stop overwrites its own folder, and the checkpoint
+    knows which input is done: no row is lost or doubled."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        frozen = batch.sparkSession.read.parquet(policy)
+        stream_score(batch, model, frozen, mode).select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str):
     """Write what a stream holds now as Parquet, exactly once per checkpoint."""
     q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
