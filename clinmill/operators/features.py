@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import icd_chapter
 from ..functions.text import char_ngrams
+from ..sources.scratch import if_small, stored
 from .select import quantiles
 
 SMOOTH = 20.0
@@ -38,9 +39,10 @@ def profile_features(df: DataFrame, key: str, ys: list[str], train: Column, m: f
 
 def category_codes(df: DataFrame, col: str, train: Column) -> DataFrame:
     """df with code: rank of the level among train levels, and the number of levels for null and unseen ones."""
-    lv = df.where(train & F.col(col).isNotNull()).select(col).distinct().withColumn("__c", F.row_number().over(Window.orderBy(col)) - 1)
+    lv = stored(df.where(train & F.col(col).isNotNull()).select(col).distinct().withColumn("__c", F.row_number().over(Window.orderBy(col)) - 1))
     k = lv.agg(F.count("*").cast("int").alias("__k"))
-    return df.join(F.broadcast(lv), col, "left").join(F.broadcast(k)).withColumn("code", F.coalesce("__c", "__k")).drop("__c", "__k")
+    few = if_small(lv)
+    return df.join(lv if few is None else few, col, "left").join(F.broadcast(k)).withColumn("code", F.coalesce("__c", "__k")).drop("__c", "__k")
 
 
 def icd_features(enc: DataFrame, icd: DataFrame, train: Column, least: int = 25, top: int = 12) -> DataFrame:
@@ -127,8 +129,6 @@ def svd_fit(weights: DataFrame, k: int, most: int = 50_000, extra: int = 10, rou
     import numpy as np
     import pandas as pd
 
-    from ..sources.scratch import stored
-
     terms = weights.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most).select("term").toPandas()["term"].tolist()
     index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
     rows = stored(weights.join(F.broadcast(index), "term").groupBy("row_id").agg(F.collect_list("idx").alias("i"), F.collect_list(F.col("w").cast("double")).alias("w")).select("i", "w"))
@@ -141,8 +141,14 @@ def svd_fit(weights: DataFrame, k: int, most: int = 50_000, extra: int = 10, rou
         def product(batches, q=q):
             z = np.zeros(q.shape)
             for pdf in batches:
-                for i, w in zip(pdf["i"], pdf["w"], strict=True):
-                    np.add.at(z, i, np.outer(w, w @ q[i]))
+                if not len(pdf):
+                    continue
+                size = pdf["i"].map(len).to_numpy()  # every row has a term
+                col, val = np.concatenate(pdf["i"].to_list()), np.concatenate(pdf["w"].to_list())
+                y = np.add.reduceat(val[:, None] * q[col], np.concatenate(([0], np.cumsum(size)[:-1])))
+                order = np.argsort(col, kind="stable")
+                at, first = np.unique(col[order], return_index=True)
+                z[at] += np.add.reduceat(val[order, None] * y[np.repeat(np.arange(len(size)), size)[order]], first)
             at = np.flatnonzero(z.any(1))
             yield pd.DataFrame(z[at], columns=names).assign(idx=at.astype("int32"))
 
