@@ -383,7 +383,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -
 
     Labels are learned from rows outside the held-out third only. Null and empty texts score as texts
     without hits; a null doc_id isn't held out and has no label; repeated rows give repeated rows; without labels
-    the score is 0.5. Other columns are ignored.
+    the score is 0.5. Whole texts are read; in learning, a word of more than LONGEST_TERM letters gives its beginnings as
+    stems and no term of its own. Other columns are ignored.
     """
     out = scored(docs.select("doc_id", "text"), fit(docs, labels, most_rows))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__tox.score").alias("score"), (F.col("__tox.score") >= TOXIC).cast("int").alias("predicted"), F.col("__tox.n_hits").alias("n_hits"), F.col("__tox.n_quoted").alias("n_quoted"))
