@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import cosine
 from ..sources.scratch import if_small
-from .retrieve import block_topk, hybrid_topk, sparse_topk, with_terms  # noqa: F401
+from .retrieve import block_topk, hybrid_topk, pivot_topk, sparse_topk, with_terms  # noqa: F401
 
 
 def build_encounter_extract(rx: DataFrame, visit: DataFrame, on: str, dims: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -116,10 +116,11 @@ def resolve_names(gen: DataFrame, formulary: DataFrame) -> DataFrame:
 def cosine_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(qid, rid, score, rank): the k nearest references of each query.
 
-    A reference table of a checked size is broadcast; a larger one is scored in blocks (block_topk)."""
+    A reference table of a checked size is broadcast; a larger one is searched by cells that the triangle inequality
+    can't rule out (pivot_topk)."""
     small = if_small(refs.select("rid", F.col("vec").alias("r")), 2_000)
     if small is None:
-        return block_topk(queries, refs, k, 1.0)
+        return pivot_topk(queries, refs, k)[0]
     scored = queries.select("qid", F.col("vec").alias("q")).join(small).select("qid", "rid", F.round(cosine("q", "r"), 9).alias("score"))
     best = scored.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "rid"))), 1, k).alias("b"))  # of at most 2,000
     return best.select("qid", F.posexplode("b").alias("i", "x")).select("qid", "x.rid", (-F.col("x.s")).alias("score"), (F.col("i") + 1).alias("rank"))

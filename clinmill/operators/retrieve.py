@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,8 @@ BLOCK, WIDTH = 512, 4096
 #: Reference rows of an index block, query rows that visit it together; a query's terms for its first bound, and the
 #: longest posting list of one of these.
 INDEX, VISIT, FIRST, SHORT = 4096, 1024, 8, 64
+#: Pivots at most (the driver compares them with each other), and what rounding of angles may cost a bound.
+PIVOTS, SLACK = 1024, 1e-6
 
 
 def with_terms(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
@@ -202,6 +206,75 @@ def sparse_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _celled(side: DataFrame, key: str, pivot: np.ndarray) -> DataFrame:
+    """side (key, vec) with the nearest pivot `cell` (-1 for a vector that is null or zero) and the `angle` to it."""
+    kind = side.schema[key].dataType.simpleString()
+
+    def near(batches):
+        for pdf in batches:
+            u = _matrix(pdf["vec"], pivot.shape[1])
+            cos = u @ pivot.T
+            c = cos.argmax(1)
+            some = (u != 0).any(1)
+            angle = np.arccos(np.clip(cos[np.arange(len(u)), c], -1, 1))
+            yield pdf.assign(cell=np.where(some, c, -1).astype("int32"), angle=np.where(some, angle, 0.0))
+
+    return stored(side.select(key, F.col("vec").cast("array<double>").alias("vec")).mapInPandas(near, f"{key} {kind}, vec array<double>, cell int, angle double"))
+
+
+def _meet(q: DataFrame, r: DataFrame, pairs: list[tuple[int, int]], parts: tuple[dict, dict], k: int) -> DataFrame:
+    """Top lists of the pairs of cells, each cut into blocks of about BLOCK rows on either side."""
+    data = [(a, b, parts[0][a], parts[1][b]) for a, b in pairs]
+    left, right = (q.sparkSession.createDataFrame(data, "a int, b int, nq int, nr int") for _ in range(2))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = q.join(left, q["cell"] == left["a"]).select("qid", "vec", "a", "b", block("qid", "nq").alias("i"), others("nr").alias("j"))
+    y = r.join(right, r["cell"] == right["b"]).select("rid", "vec", "a", "b", block("rid", "nr").alias("j"), others("nq").alias("i"))
+    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((q, "qid"), (r, "rid"))}
+    at = ("a", "b", "i", "j")
+    return x.groupBy(*at).cogroup(y.groupBy(*at)).applyInPandas(_best(k, 1.0), f"qid {kinds['qid']}, rid {kinds['rid']}, score double")
+
+
+def pivot_topk(queries: DataFrame, refs: DataFrame, k: int) -> tuple[DataFrame, float]:
+    """((qid, rid, score, rank), share of pairs of cells that were skipped): the k references of the largest cosine, exact,
+    as block_topk gives them.
+
+    Every vector belongs to the cell of its nearest pivot (references of the smallest hashes, one for BLOCK rows, at most
+    PIVOTS). By the triangle inequality on angles, no vectors of two cells are nearer than their pivots less both cells'
+    radii. Queries meet the nearest cells that hold k references first; the worst k-th score of a query cell
+    then rules out the cells that can't reach it. Null and zero vectors, whose cosine is 0, have a cell of their own."""
+    n = refs.count()
+    base = refs.where("vec is not null").orderBy(F.xxhash64("rid"), "rid").limit(min(PIVOTS, max(1, -(-n // BLOCK)))).select("vec").toPandas()
+    width = max((len(v) for v in base["vec"]), default=0)
+    pivot = _matrix(base["vec"], width)
+    pivot = pivot[(pivot != 0).any(1)]
+    if not len(pivot):
+        return block_topk(queries, refs, k, 1.0), 0.0
+    q, r = _celled(queries, "qid", pivot), _celled(refs, "rid", pivot)
+    size = lambda d: {x["cell"]: (x["n"], x["far"]) for x in d.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}
+    qs, rs = size(q), size(r)
+    parts = tuple({c: -(-m // BLOCK) for c, (m, _) in d.items()} for d in (qs, rs))
+    between = np.arccos(np.clip(pivot @ pivot.T, -1, 1))
+    gap = lambda a, b: math.pi / 2 if min(a, b) < 0 else max(0.0, between[a, b] - qs[a][1] - rs[b][1])
+    first = []
+    for a in qs:
+        left = k
+        for b in sorted(rs, key=lambda b, a=a: (between[a, b] if min(a, b) >= 0 else math.pi / 2, b)):
+            if left <= 0:
+                break
+            first.append((a, b))
+            left -= rs[b][0]
+    one = stored(_meet(q, r, first, parts, k))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
+    kth = one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("qid", "score")
+    worst = {x["cell"]: x["least"] for x in q.select("qid", "cell").join(kth, "qid").groupBy("cell").agg(F.min("score").alias("least")).collect()}
+    done = set(first)
+    more = [(a, b) for a in qs for b in rs if (a, b) not in done and math.cos(gap(a, b)) + SLACK >= worst.get(a, -2.0)]
+    s = one.unionByName(_meet(q, r, more, parts, k)) if more else one
+    out = s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out, 1 - (len(first) + len(more)) / max(1, len(qs) * len(rs))
+
+
 def hybrid_topk(queries: DataFrame, refs: DataFrame, k: int = 5, alpha: float = 0.5) -> DataFrame:
     """Semantic and lexical similarity in one score; see block_topk."""
     return block_topk(queries, refs, k, alpha)

@@ -62,6 +62,30 @@ def test_cosine_topk_takes_both_ways(sides, monkeypatch):
     assert small == sorted((r["qid"], r["rank"], r["rid"]) for r in A.cosine_topk(q, t, 3).collect())
 
 
+def test_pivot_topk_skips_cells_and_stays_exact(spark, monkeypatch):
+    """Tight clusters, copies (ties), null, zero and short vectors; the rows of all pairs, with most pairs of cells skipped."""
+    monkeypatch.setattr(R, "BLOCK", 24)
+    r = np.random.default_rng(5)
+    centre = r.normal(0, 1, (8, 12))
+    vec = lambda k: (centre[k % 8] + r.normal(0, 0.05, 12)).tolist()
+    refs = [(1000 + k, vec(k)) for k in range(300)]
+    refs += [(2000 + k, list(refs[k][1])) for k in range(12)] + [(3000, None), (3001, [0.0] * 12), (3002, [1.0, 2.0])]
+    asks = [(k, vec(k)) for k in range(60)] + [(70, None), (71, [0.0] * 12), (72, refs[3][1]), (73, (-centre.sum(0)).tolist())]
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, vec array<double>").repartition(3)
+    out, skipped = R.pivot_topk(frame(asks, "qid"), frame(refs, "rid"), 4)
+    got: dict = {}
+    for x in out.collect():
+        got.setdefault(x["qid"], {})[x["rank"]] = (x["rid"], x["score"])
+    unit = lambda v: np.zeros(12) if v is None or not np.any(v) else np.pad(np.array(v, float), (0, 12 - len(v))) / np.linalg.norm(v)
+    for i, v in asks:
+        want = sorted((-round(float(unit(v) @ unit(w)), 9) + 0.0, j) for j, w in refs)[:4]
+        assert [got[i][n + 1][1] for n in range(4)] == pytest.approx([-s for s, _ in want], abs=2e-9), i
+        assert [got[i][n + 1][0] for n in range(4)] == [j for _, j in want], i
+    assert skipped > 0.3
+    few, _ = R.pivot_topk(frame(asks[:5], "qid"), frame(refs[:2], "rid"), 4)
+    assert few.count() == 10
+
+
 def test_knn_vote(sides, spark):
     q, t, _, _ = sides
     long = lambda rows: spark.createDataFrame([(i, a, b) for i, _, ts in rows for a, b in ts], "row_id long, term string, w double")
