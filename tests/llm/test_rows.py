@@ -496,9 +496,8 @@ def test_clusters_are_those_of_the_plain_algorithm():
 
     page = PAGE + "".join(f"<p>{'word ' * (k * 7 % 23)}</p>" for k in range(40))
     parser = html_extract.Lines()
-    parser.feed(page)
-    parser.close()
-    lines = [(html_extract.SPACE.sub(" ", "".join(x.text)).strip(" "), x) for x in parser.lines]
+    parser.page(page)
+    lines = [(x.read()[0], x) for x in parser.lines]
     lines = [(t, x) for t, x in lines if t]
     ratio = [max(len(t) - x.linked, 0) / x.tags for t, x in lines]
     weight = {d: math.exp(-d * d / 2) for d in range(-3, 4)}
