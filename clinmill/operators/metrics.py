@@ -176,16 +176,17 @@ def kind_weights(kind: str, m: int, n_boot: int, seed: int) -> np.ndarray:
     return np.maximum(np.rint(m + math.sqrt(m) * z + (z * z - 1) / 6), 0.0)
 
 
-def bootstrap(counts: DataFrame, by: list[str], n_boot: int = 1000, seed: int = 0) -> DataFrame:
+def bootstrap(counts: DataFrame, by: list[str], n_boot: int = 1000, seed: int = 0, weight: str | None = None) -> DataFrame:
     """(by, b, micro_f1): paired replicates from row counts, every system on the same resamples.
 
     Rows whose counts agree in all systems can be exchanged, so each kind of row is drawn as a whole, with the sum of
     its rows' Poisson(1) weights (kind_weights). The work is the number of kinds times replicates, whatever the
-    number of rows; a task sends its sums by system and replicate."""
+    number of rows; a task sends its sums by system and replicate. A `weight` column, the same in all systems, says how
+    many rows a row stands for."""
     sums = ["tp", "n_pred", "n_gold"]
-    row = counts.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct(*by, *sums))).alias("c"))  # an entry per system
+    row = counts.groupBy("row_id").agg(F.first(weight).alias("m") if weight else F.lit(1).alias("m"), F.sort_array(F.collect_list(F.struct(*by, *sums))).alias("c"))  # an entry per system
     text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", *(x[k].cast("string") for k in [*by, *sums]))), ";")
-    kind = row.groupBy(text.alias("k")).agg(F.count("*").alias("m"), F.first("c").alias("c"))
+    kind = row.groupBy(text.alias("k")).agg(F.sum("m").alias("m"), F.first("c").alias("c"))
     kind = kind.select("k", "m", *(F.col(f"c.{n}").alias(n) for n in by), *(F.col(f"c.{n}").cast("array<double>").alias(n) for n in sums)).repartition("k")
 
     def replicates(batches):

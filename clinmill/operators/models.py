@@ -14,9 +14,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
 from .boosting import fit_poisson_trees
-from .passes import Rows, summed, vectors
+from .passes import Rows, opened, packed, summed, vectors
 
 #: Named feature sets from blocks of columns, and whether each can be had at prescribing time.
 FEATURE_SETS = {
@@ -63,46 +62,52 @@ class Ovr:
 NARROW = 2_000_000
 
 
-def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0, rounds: int = 200) -> Ovr:
+def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0, rounds: int = 200, weight: str | None = None) -> Ovr:
     """All labels' models at once on (row_id, features): mean log loss plus |w|^2 / (2 c n), intercepts free.
 
-    Vectors and the numbers of a row's labels are written once; a pass over them sums the loss and its derivatives of all
+    Vectors and the numbers of a row's labels are written once, equal rows of a task as one that weighs as many (passes);
+    a `weight` column says how many rows a row stands for. A pass over them sums the loss and its derivatives of all
     labels that haven't settled, so the number of jobs doesn't grow with the labels. Few features: Newton
     steps, halved where the loss rises; many, or sparse ones: L-BFGS with the labels side by side. The driver holds
     coefficients and, for few features, second derivatives; never rows."""
     index = train.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, k int")
-    hit = gold.select("row_id", "label").join(F.broadcast(index), "label").groupBy("row_id").agg(F.collect_set("k").alias("ks"))
-    rows = stored(vectors(train, "features", "row_id").join(hit, "row_id", "left").select("xn", "xi", "xv", F.coalesce("ks", F.array().cast("array<int>")).alias("ks")))
-    head = rows.agg(F.count("*").alias("n"), F.max(F.coalesce("xn", F.size("xv"))).alias("d")).first()
-    n, d, size = head["n"], head["d"] or 0, len(labels)
-    count = {x["k"]: x["n"] for x in rows.select(F.explode("ks").alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
-    fitted = np.array([count.get(k, 0) > 0 for k in range(size)], bool)
+    hit = gold.select("row_id", "label").join(F.broadcast(index), "label").groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("k").cast("double"))).alias("y"))
+    of = vectors(train, "features", "row_id", *([weight] if weight else [])).join(hit, "row_id", "left")
+    rows, d = packed(of.select("xn", "xi", "xv", F.coalesce("y", F.array().cast("array<double>")).alias("y"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("n")))
+    size = len(labels)
+
+    def head_of(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(size + 1)
+        for x, row, y, n in opened(pdf, d):
+            out[-1] += n.sum()
+            out[:-1] += np.bincount(y.astype(np.int64), n[row], size)
+        return out
+
+    head = summed(rows, head_of, size + 1)
+    n, fitted = head[-1], head[:-1] > 0
     model = Ovr(labels, np.zeros((d + 1, size)), fitted)
     if not fitted.any():
         return model
     reg = np.full((d + 1, 1), 1.0 / (c * n))
     reg[-1] = 0.0
 
-    def parts(pdf: pd.DataFrame, w: np.ndarray, who: np.ndarray):
-        x = Rows(pdf, d)
-        y = np.zeros((len(pdf), size))
-        for i, ks in enumerate(pdf["ks"]):
-            y[i, ks] = 1.0
-        z, y = x.dot(w), y[:, who]
-        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        return x, p, (np.logaddexp(0.0, z) - y * z).sum(0), x.tdot(p - y)
-
     def value(w: np.ndarray, who: np.ndarray, second: bool):
         """Loss (labels), gradient (d + 1, labels) and second derivatives (labels, d + 1, d + 1) at w."""
         k, e = len(who), d + 1
 
         def step(pdf: pd.DataFrame) -> np.ndarray:
-            x, p, loss, grad = parts(pdf, w, who)
-            out = [loss, grad.ravel()]
-            if second:
-                a = x.dense()
-                out += [((a * q[:, None]).T @ a).ravel() for q in (p * (1 - p)).T]
-            return np.concatenate(out)
+            out = np.zeros(k + e * k + second * k * e * e)
+            for x, row, at, n in opened(pdf, d):
+                y = np.zeros((x.n, size))
+                y[row, at.astype(np.int64)] = 1.0
+                z, y, n = x.dot(w), y[:, who], n[:, None]
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                one = [(n * (np.logaddexp(0.0, z) - y * z)).sum(0), x.tdot(n * (p - y)).ravel()]
+                if second:
+                    a = x.dense()
+                    one += [((a * q[:, None]).T @ a).ravel() for q in (n * p * (1 - p)).T]
+                out += np.concatenate(one)
+            return out
 
         s = summed(rows, step, k + e * k + second * k * e * e) / n
         loss, grad = s[:k] + (reg * w * w).sum(0) / 2, s[k : k + e * k].reshape(e, k) + reg * w
@@ -228,23 +233,29 @@ def fit_lad(train: DataFrame, target: str, strength: float = 0.0, rounds: int =
     A row weighs the inverse of its residual, which is held above a floor that falls each round to a millionth of
     the target's mean deviation; a pass sums the weighted normal equations and the deviations, and the driver solves
     them. Rows without a target are left out. Ends when the coefficients settle at the last floor, with the best seen."""
-    rows = stored(vectors(train.where(F.col(target).isNotNull()), "features", F.col(target).cast("double").alias("y")))
-    head = rows.agg(F.count("*").alias("n"), F.max(F.coalesce("xn", F.size("xv"))).alias("d"), F.avg("y").alias("m")).first()
-    n, d = head["n"], head["d"] or 0
+    of = vectors(train.where(F.col(target).isNotNull()), "features", F.array(F.col(target).cast("double")).alias("y"))
+    rows, d = packed(of.withColumn("n", F.lit(1.0)))
+
+    def head_of(pdf: pd.DataFrame) -> np.ndarray:
+        return sum((np.array([n.sum(), n @ y]) for _, _, y, n in opened(pdf, d)), np.zeros(2))
+
+    n, total = summed(rows, head_of, 2)
     if not n:
         return Linear(np.zeros(d), 0.0)
     e, reg = d + 1, np.diag(np.append(np.full(d, strength), 0.0))
     w, best, least = np.zeros(e), np.zeros(e), np.inf
-    w[-1] = head["m"]
+    w[-1] = total / n
     scale = floor = None
     for _ in range(rounds):
 
         def step(pdf: pd.DataFrame, w=w, floor=floor) -> np.ndarray:
-            a, y = Rows(pdf, d).dense(), pdf["y"].to_numpy()
-            r = np.abs(y - a @ w)
-            weight = 1 / np.maximum(r, floor) if floor else np.ones(len(y))
-            b = a * weight[:, None]
-            return np.concatenate([(b.T @ a).ravel(), b.T @ y, [r.sum()]])
+            out = np.zeros(e * e + e + 1)
+            for x, _, y, n in opened(pdf, d):
+                a = x.dense()
+                r = np.abs(y - a @ w)
+                b = a * (n / np.maximum(r, floor) if floor else n)[:, None]
+                out += np.concatenate([(b.T @ a).ravel(), b.T @ y, [n @ r]])
+            return out
 
         s = summed(rows, step, e * e + e + 1) / n
         loss = s[-1] + float(w @ reg @ w) / 2

@@ -1,4 +1,7 @@
-"""Sums over all rows of a table of feature vectors, taken in tasks and added up: what the fits below iterate."""
+"""Sums over all rows of a table of feature vectors, taken in tasks and added up: what the fits below iterate.
+
+Fits read their rows in every pass, so these are folded and packed once: rows that agree become one row that weighs as
+many, and thousands of rows lie side by side in a block, which a pass reads without a step per row."""
 
 from __future__ import annotations
 
@@ -9,6 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
+#: Entries of a block (and so of the rows that a task compares at a time), and entries up to which all blocks go to one task.
+ENTRIES, ALONE = 1 << 18, 1 << 19
+
 
 class Rows:
     """A batch of feature vectors, dense or sparse, with a last column of ones."""
@@ -23,6 +31,17 @@ class Rows:
             self.col = np.concatenate([*cols, np.empty(0, np.int64)]).astype(np.int64)
             self.val = np.concatenate([*pdf["xv"], np.empty(0)]).astype(float)
 
+    @classmethod
+    def block(cls, x, width: int) -> Rows:
+        """The rows of a block of packed."""
+        out = cls.__new__(cls)
+        size, out.n, out.width = np.frombuffer(x.size, np.int32), x.rows, width
+        val = np.frombuffer(x.val, float)
+        out.full = None if len(size) else val.reshape(out.n, width)
+        if len(size):
+            out.row, out.col, out.val = np.repeat(np.arange(out.n), size), np.frombuffer(x.col, np.int32).astype(np.int64), val
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         """(rows, k) products with coefficients (width + 1, k)."""
         if self.full is not None:
@@ -61,6 +80,52 @@ def vectors(df: DataFrame, features: str, *keep: str) -> DataFrame:
     return df.select(*keep, x["size"].alias("xn"), x["indices"].alias("xi"), x["values"].alias("xv"))
 
 
+def packed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (xn, xi, xv, y array<double>, n double) as stored blocks (rows, width, entries, size, col, val, ysize, y, n), and
+    the width of the vectors.
+
+    A task adds up the weights n of rows that agree in everything else among those that it holds, ENTRIES entries or
+    one row. Vectors are flat: of dense ones only `val` is filled, sparse ones have their sizes and columns too."""
+
+    def block(kept: dict, wide: int) -> pd.DataFrame:
+        index, value, y = zip(*kept, strict=True)
+        v, t = [np.frombuffer(b, float) for b in value], [np.frombuffer(b, float) for b in y]
+        flat = all(i is None for i in index) and len({len(a) for a in v}) == 1
+        i = [] if flat else [np.arange(len(a), dtype=np.int32) if b is None else np.frombuffer(b, np.int32) for a, b in zip(v, index, strict=True)]
+        size = [] if flat else [len(a) for a in v]
+        raw = lambda a, kind: np.asarray(a, kind).tobytes()
+        one = {"rows": len(v), "width": wide, "entries": sum(map(len, v)) + sum(map(len, t)) + len(v), "size": raw(size, np.int32), "col": b"".join(a.tobytes() for a in i), "val": b"".join(value)}
+        return pd.DataFrame([one | {"ysize": raw([len(a) for a in t], np.int32), "y": b"".join(y), "n": raw(list(kept.values()), float)}])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple, float] = {}
+        entries = wide = 0
+        for pdf in batches:
+            wide = max(wide, int(pdf["xn"].fillna(pdf["xv"].map(len)).max() if len(pdf) else 0))
+            for i, v, y, n in zip(pdf["xi"], pdf["xv"], pdf["y"], pdf["n"], strict=True):
+                key = None if i is None else np.asarray(i, np.int32).tobytes(), np.asarray(v, float).tobytes(), np.asarray(y, float).tobytes()
+                if key in kept:
+                    kept[key] += n
+                    continue
+                kept[key] = n
+                entries += len(v) + len(y) + 1
+                if entries >= ENTRIES:
+                    yield block(kept, wide)
+                    kept, entries = {}, 0
+        if kept:
+            yield block(kept, wide)
+
+    out = stored(rows.select("xn", "xi", "xv", "y", "n").mapInPandas(run, "rows int, width int, entries long, size binary, col binary, val binary, ysize binary, y binary, n binary"))
+    head = out.agg(F.sum("entries").alias("e"), F.max("width").alias("d")).first()
+    return out.coalesce(1) if (head["e"] or 0) <= ALONE else out, head["d"] or 0
+
+
+def opened(pdf: pd.DataFrame, width: int) -> Iterator[tuple[Rows, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block its rows, the row and value of every entry of y, and the weights."""
+    for x in pdf.itertuples(index=False):
+        yield Rows.block(x, width), np.repeat(np.arange(x.rows), np.frombuffer(x.ysize, np.int32)), np.frombuffer(x.y, float), np.frombuffer(x.n, float)
+
+
 def summed(rows: DataFrame, step: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
     """The sum over all batches of rows of step(batch), an array of `size` numbers; a task sends one such array."""
 

@@ -202,3 +202,19 @@ def test_forward_in_time_criterion(spark):
     q = 1 / (1 + np.exp(-(x[200:300] @ w[:-1] + w[-1])))
     f1 = lambda t: 2 * (y[200:300] & (q >= t)).sum() / ((q >= t).sum() + y[200:300].sum())
     assert best["micro_f1"] == pytest.approx(f1(best["thr"]), abs=1e-6) and best["micro_f1"] > 0.85
+
+
+def test_rows_that_agree_are_packed_once(spark):
+    """Blocks hold each row of a task once, with the weights of all rows that agree; sparse and dense; the sums stay."""
+    x = np.repeat([[1.0, 0.0, 2.0], [0.0, 3.0, 0.0]], [40, 60], 0)
+    df = frame(spark, x, y=np.repeat([1.0, 0.0], [40, 60])).coalesce(1)
+    rows, d = passes.packed(passes.vectors(df, "features", F.array("y").alias("y")).withColumn("n", F.lit(1.0)))
+    assert d == 3
+    got = rows.toPandas()
+    assert got["rows"].sum() == 2
+    (r, of, y, n), = passes.opened(got, 3)
+    assert sorted(n) == [40, 60] and n @ y[of] == 40 and np.allclose(r.tdot(n[:, None]).ravel(), [*x.sum(0), 100])
+    sparse = spark.createDataFrame([(Vectors.sparse(3, [(1, 2.0)]),)] * 5 + [(Vectors.dense(1.0, 0.0, 0.0),)] * 2 + [(Vectors.sparse(3, []),)] * 3, ["features"]).coalesce(1)
+    rows, _ = passes.packed(passes.vectors(sparse, "features", F.array().cast("array<double>").alias("y")).withColumn("n", F.lit(1.0)))
+    (r, of, y, n), = passes.opened(rows.toPandas(), 3)
+    assert r.n == 3 and not len(y) and r.tdot(n[:, None]).ravel().tolist() == [2.0, 10.0, 0.0, 10.0]

@@ -331,6 +331,20 @@ def test_ablation(spark):
     assert got["raw"]["lo95"] == got["raw"]["hi95"] == 0.0
 
 
+def test_ablation_runs_on_kinds_of_rows(spark, monkeypatch):
+    """Models get a row for each split, note and label set, whatever the number of rows."""
+    from clinmill.operators import ablation as AB
+
+    notes = [("htn", "c"), ("knee pain", "p"), ("htn", "p"), ("knee pain", None)]
+    rows = [(k, "test" if k % 3 == 0 else "train", notes[k // 3 % 4][0]) for k in range(240)]
+    gold = spark.createDataFrame([(k, notes[k // 3 % 4][1]) for k in range(240) if notes[k // 3 % 4][1]], "row_id long, label string")
+    seen = []
+    fit = AB.fit_ovr
+    monkeypatch.setattr(AB, "fit_ovr", lambda train, *a, **k: seen.append((train.count(), train.agg(F.sum("n")).first()[0])) or fit(train, *a, **k))
+    got = AB.ablation(spark.createDataFrame(rows, "row_id long, split string, note string"), "note", gold, ["c", "p"], {"raw": AB.ARMS["raw"]}, n_boot=20).collect()
+    assert seen == [(4, 160)] and len(got) == 1 and 0 < got[0]["micro_f1"] < 1
+
+
 def test_finalise(spark):
     df = spark.createDataFrame([(["z", "b", "a"], ["a", "b"], "a", "low_confidence"), (["z"], ["a", "b"], "a", "confident"), ([], ["a"], "a", "low_confidence")], "codes array<string>, cand array<string>, top string, tier string")
     assert [r[0] for r in df.select(FE.finalise(F.col("codes"), F.col("cand"), F.col("top"), F.col("tier"))).collect()] == ["b", "a", None]
