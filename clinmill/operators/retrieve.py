@@ -17,6 +17,8 @@ BLOCK, WIDTH = 512, 4096
 #: Reference rows of an index block, query rows that visit it together; a query's terms for its first bound, and the
 #: longest posting list of one of these.
 INDEX, VISIT, FIRST, SHORT = 4096, 1024, 8, 64
+#: Parts of either side at which there are tasks enough, so that blocks may grow, and how often their rows at most.
+SPREAD, GROWN = 8, 8
 #: Pivots at most (the driver compares them with each other), and what rounding of angles may cost a bound.
 PIVOTS, SLACK = 1024, 1e-6
 
@@ -168,6 +170,12 @@ def _visit(k: int):
     return f
 
 
+def _parts(n: int, size: int) -> int:
+    """Parts that n rows are cut into: of `size` rows while these are few, then of up to GROWN times as many. Each row is
+    copied for the parts of the other side, so what is shuffled grows with the number of parts."""
+    return max(1, min(-(-n // size), SPREAD), -(-n // (GROWN * size)))
+
+
 def sparse_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(qid, rid, score, rank): the k references of the largest positive products of weighted terms, exact.
 
@@ -181,7 +189,7 @@ def sparse_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     flat = lambda d, i: stored(d.select(i, F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w")).where("w > 0"))
     q, r = flat(queries, "qid"), flat(refs, "rid")
     count = lambda d, i: d.select(i).distinct().count()
-    blocks, visits = max(1, -(-count(r, "rid") // INDEX)), max(1, -(-count(q, "qid") // VISIT))
+    blocks, visits = _parts(count(r, "rid"), INDEX), _parts(count(q, "qid"), VISIT * 4)
     r = r.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
     # what a term can give to a score, here and in each block
     term = stored(r.groupBy("t", "b").agg(F.count("*").alias("n"), F.max("w").alias("most")))

@@ -320,6 +320,11 @@ def test_permutation_report(spark):
     assert sorted((r["used"], r["unused"]) for r in moved.collect()) == sorted((r["used"], r["unused"]) for r in df.collect())
 
 
+def test_index_parts_grow_slower_than_rows():
+    """Copies of a row, one for each part of the other side, stay few while blocks may grow."""
+    assert [R._parts(n, 4096) for n in (1, 5_000, 40_000, 250_000, 600_000)] == [1, 2, 8, 8, 19]
+
+
 def test_ablation(spark):
     from clinmill.operators.ablation import ARMS, ablation
 
