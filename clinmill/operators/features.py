@@ -125,37 +125,28 @@ def svd_fit(weights: DataFrame, k: int, most: int = 50_000, extra: int = 10, rou
 
     A round multiplies by the matrix and its transpose: each task holds k + extra columns over the terms, which are
     bounded by `most` (the commonest terms stay, as the vectoriser's limit on features), and sums per term meet in a
-    shuffle. Rounds end when the values settle, at the latest after `rounds`."""
+    shuffle. Rows of a task that agree are one row that weighs as many (passes.packed). Rounds end when the values settle,
+    at the latest after `rounds`."""
     import numpy as np
-    import pandas as pd
+
+    from .passes import opened, packed, summed
 
     terms = weights.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(most).select("term").toPandas()["term"].tolist()
     index = weights.sparkSession.createDataFrame(list(enumerate(terms)), "idx int, term string")
-    rows = stored(weights.join(F.broadcast(index), "term").groupBy("row_id").agg(F.collect_list("idx").alias("i"), F.collect_list(F.col("w").cast("double")).alias("w")).select("i", "w"))
+    flat = weights.join(F.broadcast(index), "term").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("w").cast("double").alias("w")))).alias("x"))
+    rows, _ = packed(flat.select(F.lit(len(terms)).alias("xn"), F.col("x.idx").alias("xi"), F.col("x.w").alias("xv"), F.array().cast("array<double>").alias("y"), F.lit(1.0).alias("n")))
     p = min(k + extra, len(terms))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(terms), p)))[0]
-    names = [f"c{j}" for j in range(p)]
     was = np.zeros(0)
     for _ in range(rounds):
 
-        def product(batches, q=q):
-            z = np.zeros(q.shape)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                size = pdf["i"].map(len).to_numpy()  # every row has a term
-                col, val = np.concatenate(pdf["i"].to_list()), np.concatenate(pdf["w"].to_list())
-                y = np.add.reduceat(val[:, None] * q[col], np.concatenate(([0], np.cumsum(size)[:-1])))
-                order = np.argsort(col, kind="stable")
-                at, first = np.unique(col[order], return_index=True)
-                z[at] += np.add.reduceat(val[order, None] * y[np.repeat(np.arange(len(size)), size)[order]], first)
-            at = np.flatnonzero(z.any(1))
-            yield pd.DataFrame(z[at], columns=names).assign(idx=at.astype("int32"))
-
-        part = rows.mapInPandas(product, ", ".join(f"{c} double" for c in names) + ", idx int")
-        got = part.groupBy("idx").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-        z = np.zeros(q.shape)
-        z[got["idx"].to_numpy()] = got[names].to_numpy()
+        def product(pdf, q=q):
+            z = np.zeros((len(terms) + 1, p))
+            for x, _, _, n in opened(pdf, len(terms)):
+                z += x.tdot(n[:, None] * x.dot(np.vstack([q, np.zeros(p)])))
+            return z[:-1].ravel()
+
+        z = summed(rows, product, q.size).reshape(q.shape)
         q, r = np.linalg.qr(z)
         # of A'A on the subspace: the triangle's singular values are squares of the matrix's
         u, d, _v = np.linalg.svd(r)
