@@ -102,7 +102,7 @@ def rank_equivalence(conf: DataFrame, col: str, coverage: float) -> DataFrame:
     """(n, n_covered, cutpoint, n_differ): rows at or above the frozen cut, and those on which the cut disagrees with
     the batch's own choice, its n_covered best rows. The k-th largest value of the k rows above the cut is their
     minimum, so the batch needs no sort; rows that tie with it are all above the cut."""
-    cut = quantiles(conf, {col: [1 - coverage]})[col][0]
+    cut = quantiles(conf, {col: [round(1 - coverage, 12)]})[col][0]  # 1 - 0.8 is no 0.2, and the rank would lie beside a whole one
     j = conf.withColumn("__c", F.lit(cut).cast("double"))
     kth = j.where(F.col(col) >= F.col("__c")).agg(F.min(col).alias("__t"), F.count("*").alias("__k"))
     j = j.join(F.broadcast(kth))

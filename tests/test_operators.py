@@ -136,3 +136,13 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = stream_clean(spark.read.parquet(f"{tmp_path}/in"))
     got = spark.read.parquet(f"{tmp_path}/out").select(*batch.columns)
     assert got.exceptAll(batch).count() == 0 and got.count() == 300
+
+
+def test_rank_equivalence_cuts_at_whole_rank(spark, monkeypatch):
+    """1 - 0.8 is asked for as 0.2, as SQL writes it."""
+    from clinmill.operators import abstain as AB
+
+    asked = []
+    monkeypatch.setattr(AB, "quantiles", lambda df, want: asked.append(want) or {"c": [2.0]})
+    AB.rank_equivalence(spark.createDataFrame([(float(k),) for k in range(6)], "c double"), "c", 0.8).collect()
+    assert asked == [{"c": [0.2]}]
