@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import if_small, stored
+from ..sources.scratch import if_small, spread, stored
 
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 
@@ -95,10 +95,15 @@ def count_targets(enc: DataFrame, kinds: dict[str, DataFrame], key: str) -> Data
 
 
 def multi_hot(enc: DataFrame, link: DataFrame, key: str, label: str, values: list[str]) -> DataFrame:
-    """0/1 columns for a given list of labels."""
-    hot = link.select(key, label).distinct().groupBy(key).pivot(label, values).agg(F.count(F.lit(1)))
-    out = enc.select(key).join(hot, key, "left").fillna(0, values)
-    return out.select(key, *(F.col(v).cast("int").alias(v) for v in values))
+    """0/1 columns for a given list of labels: a bit a label, and links and rows meet in one shuffle by key."""
+    bits = [F.coalesce(F.when(F.col(label) == v, F.lit(1 << (k % 60))), F.lit(0)).cast("long") for k, v in enumerate(values)]
+    masks = [sum(bits[a : a + 60], F.lit(0).cast("long")).alias(f"__m{a // 60}") for a in range(0, len(bits), 60)]
+    of = [f"__m{k}" for k in range(len(masks))]
+    links = link.where(F.col(key).isNotNull()).select(key, *masks, F.lit(0).alias("__r"))
+    rows = enc.select(key, *(F.lit(0).cast("long").alias(m) for m in of), F.lit(1).alias("__r"))
+    sums = spread(rows.unionByName(links), key).groupBy(key).agg(*(F.bit_or(m).alias(m) for m in of), F.sum("__r").alias("__r")).where("__r > 0")
+    one = sums.select(key, *of, F.explode(F.array_repeat(F.lit(0), F.col("__r").cast("int"))).alias("__r"))
+    return one.select(key, *(F.shiftright(F.col(f"__m{k // 60}"), k % 60).bitwiseAND(F.lit(1)).cast("int").alias(v) for k, v in enumerate(values)))
 
 
 def canonical_order(rx: DataFrame, freq: DataFrame, key: str, item: str) -> DataFrame:

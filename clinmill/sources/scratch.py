@@ -47,6 +47,14 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spread(df: DataFrame, *keys: str, piece: int = 4 << 20) -> DataFrame:
+    """df by hash of the keys, in a partition for each `piece` bytes of the files it reads: what a task holds of a key-wise
+    sum stays the same however large they are."""
+    files = [df.sparkSession._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    size = sum(f.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
+    return df.repartition(max(8, -(-size // piece)), *keys)
+
+
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame | None:
     """A table marked for broadcast if it has at most `most` rows, else None."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else None

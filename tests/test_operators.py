@@ -138,6 +138,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(batch).count() == 0 and got.count() == 300
 
 
+def test_multi_hot_without_join(spark):
+    """More labels than a mask has bits, copies of links, rows without links and twice, null keys."""
+    from clinmill.operators import vocab as VO
+
+    values = [f"v{k}" for k in range(70)]
+    enc = spark.createDataFrame([(1,), (2,), (2,), (None,)], "pid long")
+    link = spark.createDataFrame([(1, "v0"), (1, "v0"), (1, "v59"), (1, "v60"), (2, "v69"), (2, "other"), (5, "v1"), (None, "v2")], "pid long, label string")
+    out = VO.multi_hot(enc, link, "pid", "label", values)
+    got = sorted([(r["pid"], [v for v in values if r[v]]) for r in out.collect()], key=str)
+    assert got == sorted([(1, ["v0", "v59", "v60"]), (2, ["v69"]), (2, ["v69"]), (None, [])], key=str)
+    assert out.columns == ["pid", *values] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rank_equivalence_cuts_at_whole_rank(spark, monkeypatch):
     """1 - 0.8 is asked for as 0.2, as SQL writes it."""
     from clinmill.operators import abstain as AB
