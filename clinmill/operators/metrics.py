@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import prf
+from ..sources.scratch import spread
 
 
 def pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -22,9 +23,23 @@ def pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def row_counts(gold: DataFrame, pred: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """(row_id, tp, n_pred, n_gold); rows adds rows without any label."""
-    c = pairs(gold, pred).groupBy("row_id").agg(F.sum(F.col("g") * F.col("h")).alias("tp"), F.sum("h").alias("n_pred"), F.sum("g").alias("n_gold"))
-    return c if rows is None else rows.select("row_id").join(c, "row_id", "left").fillna(0, ["tp", "n_pred", "n_gold"])
+    """(row_id, tp, n_pred, n_gold); rows adds rows without any label, and only its rows stay.
+
+    Both sides and the rows meet in one shuffle by row_id and are added up there, without a join. Pairs with a null
+    equal nothing."""
+    null = F.lit(None)
+    mark = lambda s: F.when(F.col("row_id").isNull() | F.col("label").isNull(), s).alias("__s")
+    side = lambda d, s: d.select("row_id", "label", mark(s), F.lit(int(s == 1)).alias("g"), F.lit(int(s == 2)).alias("h"), F.lit(0).alias("r"))
+    u = side(gold, 1).unionByName(side(pred, 2))
+    if rows is not None:
+        u = u.unionByName(side(rows.select("row_id", null.cast(gold.schema["label"].dataType).alias("label")), 3).withColumn("r", F.lit(1)))
+    each = spread(u, "row_id").groupBy("row_id", "label", "__s").agg(F.max("g").alias("g"), F.max("h").alias("h"), F.sum("r").alias("r"))
+    c = each.groupBy("row_id").agg(F.sum(F.col("g") * F.col("h")).alias("tp"), F.sum("h").alias("n_pred"), F.sum("g").alias("n_gold"), F.sum("r").alias("r"))
+    if rows is None:
+        return c.drop("r")
+    none = F.col("row_id").isNull()
+    sums = [F.when(none, F.lit(0)).otherwise(F.col(x)).alias(x) for x in ("tp", "n_pred", "n_gold")]
+    return c.where("r > 0").select("row_id", *sums, F.explode(F.array_repeat(F.lit(0), F.col("r").cast("int"))).alias("r")).drop("r")
 
 
 def set_metrics(rows: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:

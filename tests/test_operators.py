@@ -138,6 +138,19 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(batch).count() == 0 and got.count() == 300
 
 
+def test_row_counts_in_one_shuffle(spark):
+    """Counts without a join: copies count once, rows keep their number, null labels and rows equal nothing."""
+    from clinmill.operators import metrics as EV
+
+    frame = lambda rows: spark.createDataFrame(rows, "row_id long, label string")
+    gold = frame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (2, None), (None, "a")])
+    pred = frame([(1, "a"), (2, "d"), (2, None), (9, "z")])
+    rows = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "row_id long")
+    counts = EV.row_counts(gold, pred, rows)
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted([(1, 1, 1, 2), (2, 0, 2, 2), (3, 0, 0, 0), (3, 0, 0, 0), (None, 0, 0, 0)], key=str)
+    assert "Join" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_multi_hot_without_join(spark):
     """More labels than a mask has bits, copies of links, rows without links and twice, null keys."""
     from clinmill.operators import vocab as VO
