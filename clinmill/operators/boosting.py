@@ -80,7 +80,7 @@ def fit_poisson_trees(train: DataFrame, target: str, features: str = "features",
     """Trees on the logarithm of the expected count, as gradient boosting by second derivatives fits them.
 
     Features are cut at exact quantiles into at most `bins` bins (255 at most) once; binned rows are written and read in
-    each pass. A pass grows one level: tasks sum the gradients (expected less counted), second derivatives (expected)
+    each pass, a batch of rows as one block. A pass grows one level: tasks sum the gradients (expected less counted), second derivatives (expected)
     and rows by node, feature and bin, the sums meet in a shuffle, and the driver takes each node's best cut. What
     it holds are histograms of 2 ** depth nodes, whatever the number of rows. Missing values have a bin of their own.
     Rows without a target are left out; a table without rows, or without counts above 0, gives the constant model."""
@@ -97,9 +97,9 @@ def fit_poisson_trees(train: DataFrame, target: str, features: str = "features",
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             b = model.binned(np.stack(pdf["x"].to_numpy())) if len(pdf) else np.zeros((0, d), np.uint8)
-            yield pd.DataFrame({"y": pdf["y"], "b": [r.tobytes() for r in b]})
+            yield pd.DataFrame({"y": [pdf["y"].to_numpy(float).tobytes()], "b": [b.tobytes()]})
 
-    rows = stored(x.mapInPandas(to_bins, "y double, b binary"))
+    rows = stored(x.mapInPandas(to_bins, "y binary, b binary"))
     offset = np.arange(d) * size
     for _ in range(trees):
         nodes = 2 ** (depth + 1) - 1
@@ -108,12 +108,12 @@ def fit_poisson_trees(train: DataFrame, target: str, features: str = "features",
             first, wide = 2**level - 1, 2**level
 
             def step(pdf: pd.DataFrame, tree=tree, first=first, wide=wide) -> np.ndarray:
-                b = np.frombuffer(b"".join(pdf["b"]), np.uint8).reshape(len(pdf), d)
+                b, y = np.frombuffer(b"".join(pdf["b"]), np.uint8).reshape(-1, d), np.frombuffer(b"".join(pdf["y"]), float)
                 mu = np.exp(model.raw(b))
                 node = tree.leaf(b) - first
                 here = np.flatnonzero(node >= 0)  # the others stopped above
                 cell = (node[here, None] * (d * size) + offset + b[here]).ravel()
-                each = [np.repeat(v[here], d) for v in (mu - pdf["y"].to_numpy(), mu)]
+                each = [np.repeat(v[here], d) for v in (mu - y, mu)]
                 return np.stack([*(np.bincount(cell, v, wide * d * size) for v in each), np.bincount(cell, minlength=wide * d * size).astype(float)]).ravel()
 
             g, h, n = summed(rows, step, 3 * wide * d * size).reshape(3, wide, d, size)
