@@ -172,3 +172,15 @@ def test_rank_equivalence_cuts_at_whole_rank(spark, monkeypatch):
     monkeypatch.setattr(AB, "quantiles", lambda df, want: asked.append(want) or {"c": [2.0]})
     AB.rank_equivalence(spark.createDataFrame([(float(k),) for k in range(6)], "c double"), "c", 0.8).collect()
     assert asked == [{"c": [0.2]}]
+
+
+def test_spread_takes_partitions_by_file_size(spark, tmp_path):
+    """A folder with a space in its name; a partition for each piece, at least eight."""
+    from clinmill.sources.scratch import spread
+
+    spark.range(20_000).write.parquet(str(tmp_path / "a b"))
+    df = spark.read.parquet(str(tmp_path / "a b"))
+    size = sum(p.stat().st_size for p in (tmp_path / "a b").glob("part-*"))
+    out = spread(df, "id", piece=1_000)
+    assert out.rdd.getNumPartitions() == -(-size // 1_000) > 8 and out.count() == 20_000
+    assert spread(df, "id").rdd.getNumPartitions() == 8
