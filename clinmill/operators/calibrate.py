@@ -16,10 +16,12 @@ def threshold_curve(df: DataFrame, by: list[str] = (), grid: list[float] = GRID)
     by = list(by)
     b = sum((F.when(F.col("p") >= t, 1).otherwise(0) for t in grid[1:]), F.when(F.col("p") >= grid[0], 1).otherwise(0))
     c = df.groupBy(*by, b.alias("b")).agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    tot = c.groupBy(*by).agg(F.sum("pos").alias("n_gold"))
-    t = tot.select(*by, "n_gold", F.posexplode(F.array(*(F.lit(x) for x in grid))).alias("i", "thr"))
-    j = t.join(c, by) if by else t.join(F.broadcast(c))
-    return j.groupBy(*by, "thr", "n_gold").agg(F.sum(F.when(F.col("b") > F.col("i"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("b") > F.col("i"), F.col("n")).otherwise(0)).alias("n_pred"))
+    for k in by:
+        c = c.where(F.col(k).isNotNull())
+    t = c.groupBy(*by).agg(F.sum("pos").alias("n_gold"), F.collect_list(F.struct("b", "n", "pos")).alias("h")).where(F.size("h") > 0)  # of len(grid) + 1 entries at most
+    t = t.select(*by, "n_gold", "h", F.posexplode(F.array(*(F.lit(x) for x in grid))).alias("i", "thr"))
+    above = lambda x, kind: F.aggregate(F.filter("h", lambda e: e["b"] > F.col("i")), F.lit(0).cast(kind), lambda s, e: s + F.coalesce(e[x], F.lit(0).cast(kind)))
+    return t.select(*by, "thr", "n_gold", above("pos", c.schema["pos"].dataType).alias("tp"), above("n", "long").alias("n_pred"))
 
 
 def tune_threshold(df: DataFrame, by: list[str] = (), grid: list[float] = GRID) -> DataFrame:
