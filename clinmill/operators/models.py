@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import fit_poisson_trees
-from .passes import Rows, opened, packed, summed, vectors
+from .passes import Rows, matrix, opened, packed, summed, vectors
 
 #: Named feature sets from blocks of columns, and whether each can be had at prescribing time.
 FEATURE_SETS = {
@@ -71,9 +72,14 @@ def fit_ovr(train: DataFrame, gold: DataFrame, labels: list[str], c: float = 1.0
     steps, halved where the loss rises; many, or sparse ones: L-BFGS with the labels side by side. The driver holds
     coefficients and, for few features, second derivatives; never rows."""
     index = train.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, k int")
-    hit = gold.select("row_id", "label").join(F.broadcast(index), "label").groupBy("row_id").agg(F.sort_array(F.collect_set(F.col("k").cast("double"))).alias("y"))
-    of = vectors(train, "features", "row_id", *([weight] if weight else [])).join(hit, "row_id", "left")
-    rows, d = packed(of.select("xn", "xi", "xv", F.coalesce("y", F.array().cast("array<double>")).alias("y"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("n")))
+    hit, of = gold.select("row_id", "label").join(F.broadcast(index), "label").groupBy("row_id"), vectors(train, "features", "row_id", *([weight] if weight else []))
+    if len(labels) < 63:  # a row's labels as bits: whole numbers are added up without lists
+        of = of.join(hit.agg(F.expr("bit_or(shiftleft(1L, k))").alias("m")), "row_id", "left")
+        y = F.array_compact(F.array(*(F.when(F.col("m").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(float(k))) for k in range(len(labels)))).cast("array<double>"))
+    else:
+        of = of.join(hit.agg(F.sort_array(F.collect_set(F.col("k").cast("double"))).alias("y")), "row_id", "left")
+        y = F.coalesce("y", F.array().cast("array<double>"))
+    rows, d = packed(of.select("xn", "xi", "xv", y.alias("y"), (F.col(weight) if weight else F.lit(1)).cast("double").alias("n")))
     size = len(labels)
 
     def head_of(pdf: pd.DataFrame) -> np.ndarray:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from ..sources.scratch import stored
 
 #: Entries of a block (and so of the rows that a task compares at a time), and entries up to which all blocks go to one task.
 ENTRIES, ALONE = 1 << 18, 1 << 19
+#: Width up to which sparse vectors are taken as dense ones.
+NARROW = 32
 
 
 class Rows:
@@ -80,28 +83,83 @@ def vectors(df: DataFrame, features: str, *keep: str) -> DataFrame:
     return df.select(*keep, x["size"].alias("xn"), x["indices"].alias("xi"), x["values"].alias("xv"))
 
 
+def matrix(batch: pa.RecordBatch) -> np.ndarray | None:
+    """The vectors of an Arrow batch with (xn, xi, xv) as rows of a matrix; None if they are of several widths, or sparse
+    and wide."""
+    at, size = batch.column("xi"), batch.column("xv").value_lengths().to_numpy(zero_copy_only=False)
+    val = batch.column("xv").flatten().to_numpy(zero_copy_only=False)
+    if at.null_count == len(at):
+        return val.reshape(len(size), size[0]) if len(size) and (size == size[0]).all() else None
+    sparse = at.is_valid().to_numpy(zero_copy_only=False)
+    width = np.where(sparse, batch.column("xn").to_numpy(zero_copy_only=False), size)
+    if (width != width[0]).any() or width[0] > NARROW:
+        return None
+    row, col = np.repeat(np.arange(len(size)), size), np.arange(len(val)) - np.repeat(np.cumsum(size) - size, size)
+    col[sparse[row]] = at.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), int(width[0])))
+    out[row, col] = val
+    return out
+
+
+def _folded(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a matrix, by their bytes, and the sums of their weights."""
+    x = np.ascontiguousarray(x)
+    _, first, of = np.unique(x.view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    return x[first], np.bincount(of.ravel(), n, len(first))
+
+
 def packed(rows: DataFrame) -> tuple[DataFrame, int]:
     """Rows (xn, xi, xv, y array<double>, n double) as stored blocks (rows, width, entries, size, col, val, ysize, y, n), and
     the width of the vectors.
 
     A task adds up the weights n of rows that agree in everything else among those that it holds, ENTRIES entries or
-    one row. Vectors are flat: of dense ones only `val` is filled, sparse ones have their sizes and columns too."""
+    one row. Vectors are flat: of dense ones only `val` is filled, sparse ones have their sizes and columns too. Dense and
+    narrow ones are folded as matrices, a batch at a time; the others row by row."""
 
     def block(kept: dict, wide: int) -> pd.DataFrame:
         index, value, y = zip(*kept, strict=True)
         v, t = [np.frombuffer(b, float) for b in value], [np.frombuffer(b, float) for b in y]
-        flat = all(i is None for i in index) and len({len(a) for a in v}) == 1
-        i = [] if flat else [np.arange(len(a), dtype=np.int32) if b is None else np.frombuffer(b, np.int32) for a, b in zip(v, index, strict=True)]
-        size = [] if flat else [len(a) for a in v]
+        dense = all(i is None for i in index) and len({len(a) for a in v}) == 1
+        i = [] if dense else [np.arange(len(a), dtype=np.int32) if b is None else np.frombuffer(b, np.int32) for a, b in zip(v, index, strict=True)]
+        size = [] if dense else [len(a) for a in v]
         raw = lambda a, kind: np.asarray(a, kind).tobytes()
         one = {"rows": len(v), "width": wide, "entries": sum(map(len, v)) + sum(map(len, t)) + len(v), "size": raw(size, np.int32), "col": b"".join(a.tobytes() for a in i), "val": b"".join(value)}
         return pd.DataFrame([one | {"ysize": raw([len(a) for a in t], np.int32), "y": b"".join(y), "n": raw(list(kept.values()), float)}])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flat(x: np.ndarray, n: np.ndarray, d: int) -> pd.DataFrame:
+        """A block of rows of a matrix: d entries of a vector, the number of y, and y."""
+        size = x[:, d].astype(np.int32)
+        y = x[:, d + 1 :][np.arange(x.shape[1] - d - 1) < size[:, None]]
+        one = {"rows": len(x), "width": d, "entries": len(x) * (d + 1) + len(y), "size": b"", "col": b"", "val": x[:, :d].tobytes()}
+        return pd.DataFrame([one | {"ysize": size.tobytes(), "y": y.tobytes(), "n": n.tobytes()}])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         kept: dict[tuple, float] = {}
-        entries = wide = 0
-        for pdf in batches:
-            wide = max(wide, int(pdf["xn"].fillna(pdf["xv"].map(len)).max() if len(pdf) else 0))
+        entries = wide = d = 0
+        full, weight = np.empty((0, 1)), np.empty(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if (x := matrix(batch)) is not None and x.shape[1]:
+                size, y = batch.column("y").value_lengths().to_numpy(zero_copy_only=False), batch.column("y").flatten().to_numpy(zero_copy_only=False)
+                if x.shape[1] != d and len(full):
+                    yield flat(full, weight, d)
+                    full, weight = np.empty((0, 1)), np.empty(0)
+                d = x.shape[1]
+                most = max(int(size.max()), full.shape[1] - d - 1, 0)
+                new = np.zeros((len(full) + len(x), d + 1 + most))
+                new[: len(full), : full.shape[1]] = full
+                mine = new[len(full) :]
+                mine[:, :d], mine[:, d] = x, size
+                mine[:, d + 1 :][np.arange(most) < size[:, None]] = y
+                full, weight = _folded(new, np.concatenate([weight, batch.column("n").to_numpy(zero_copy_only=False)]))
+                step = max(1, ENTRIES // full.shape[1])
+                while len(full) >= step:
+                    yield flat(full[:step], weight[:step], d)
+                    full, weight = full[step:], weight[step:]
+                continue
+            pdf = batch.to_pandas()
+            wide = max(wide, int(pdf["xn"].fillna(pdf["xv"].map(len)).max()))
             for i, v, y, n in zip(pdf["xi"], pdf["xv"], pdf["y"], pdf["n"], strict=True):
                 key = None if i is None else np.asarray(i, np.int32).tobytes(), np.asarray(v, float).tobytes(), np.asarray(y, float).tobytes()
                 if key in kept:
@@ -112,10 +170,17 @@ def packed(rows: DataFrame) -> tuple[DataFrame, int]:
                 if entries >= ENTRIES:
                     yield block(kept, wide)
                     kept, entries = {}, 0
+        if len(full):
+            yield flat(full, weight, d)
         if kept:
             yield block(kept, wide)
 
-    out = stored(rows.select("xn", "xi", "xv", "y", "n").mapInPandas(run, "rows int, width int, entries long, size binary, col binary, val binary, ysize binary, y binary, n binary"))
+    def out_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("rows", pa.int32()), ("width", pa.int32()), ("entries", pa.int64()), *((c, pa.binary()) for c in ("size", "col", "val", "ysize", "y", "n"))])
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, schema=kinds, preserve_index=False)
+
+    out = stored(rows.select("xn", "xi", "xv", "y", "n").mapInArrow(out_of, "rows int, width int, entries long, size binary, col binary, val binary, ysize binary, y binary, n binary"))
     head = out.agg(F.sum("entries").alias("e"), F.max("width").alias("d")).first()
     return out.coalesce(1) if (head["e"] or 0) <= ALONE else out, head["d"] or 0
 

@@ -218,3 +218,38 @@ def test_rows_that_agree_are_packed_once(spark):
     rows, _ = passes.packed(passes.vectors(sparse, "features", F.array().cast("array<double>").alias("y")).withColumn("n", F.lit(1.0)))
     (r, of, y, n), = passes.opened(rows.toPandas(), 3)
     assert r.n == 3 and not len(y) and r.tdot(n[:, None]).ravel().tolist() == [2.0, 10.0, 0.0, 10.0]
+
+
+def test_narrow_vectors_are_taken_as_a_matrix():
+    """Dense and narrow sparse vectors of a batch become one matrix, without a step per row."""
+    import pyarrow as pa
+
+    kinds = pa.schema([("xn", pa.int32()), ("xi", pa.list_(pa.int32())), ("xv", pa.list_(pa.float64()))])
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("xn", "xi", "xv"), r, strict=True)) for r in rows], kinds)
+    got = passes.matrix(batch((None, None, [1.0, 2.0, 3.0]), (3, [0, 2], [4.0, 5.0]), (3, [], [])))
+    assert got.tolist() == [[1, 2, 3], [4, 0, 5], [0, 0, 0]]
+    assert passes.matrix(batch((1000, [999], [1.0]))) is None and passes.matrix(batch((None, None, [1.0]), (None, None, [1.0, 2.0]))) is None
+
+
+def test_blocks_of_different_rows_keep_all(spark):
+    """More rows than a block holds, with labels of several sizes: nothing is lost or mixed up."""
+    n = passes.ENTRIES // 4 + 5000
+    df = spark.range(n).coalesce(1).select(F.lit(None).cast("int").alias("xn"), F.lit(None).cast("array<int>").alias("xi"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("xv"), F.slice(F.array(F.col("id") * 1.0, F.col("id") * 2.0), F.lit(1), (F.col("id") % 3).cast("int")).alias("y"), F.lit(2.0).alias("n"))
+    rows, d = passes.packed(df)
+    at, ys, weight = [], [], 0.0
+    for r, of, y, w in passes.opened(rows.toPandas(), d):
+        at += r.full[:, 0].tolist()
+        ys += list(zip(r.full[of, 0], y, strict=True))
+        weight += w.sum()
+    assert d == 2 and sorted(at) == list(range(n)) and weight == 2.0 * n
+    assert sorted(ys) == sorted([(k, float(k)) for k in range(n) if k % 3 > 0] + [(k, 2.0 * k) for k in range(n) if k % 3 == 2])
+
+
+def test_threshold_curve_reads_its_rows_once(spark):
+    from clinmill.operators.calibrate import threshold_curve
+
+    p = spark.range(100).select((F.col("id") / 100).alias("p"), (F.col("id") % 2).alias("y")).mapInPandas(lambda it: it, "p double, y long")
+    c = threshold_curve(p, [], [0.25, 0.5])
+    assert sorted(map(tuple, c.select("thr", "n_gold", "tp", "n_pred").collect())) == [(0.25, 50, 38, 75), (0.5, 50, 25, 50)]
+    assert c._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert threshold_curve(p.where("p > 2"), [], [0.25, 0.5]).count() == 0
