@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 
 def merge_corpora(frames: dict[str, DataFrame], offsets: dict[str, int], ids: list[str]) -> DataFrame:
     """Union with a corpus tag; every id column moves to its corpus's block."""
@@ -28,31 +30,80 @@ def id_collisions(frames: dict[str, DataFrame], key: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
+def numbered(df: DataFrame, group: str, key: str, new: str, most: int = 1 << 17) -> DataFrame:
+    """df with `new`: 1, 2, ... by key inside each group. Keys are cut at approximate quantiles into ranges of about `most` rows,
+    which are counted, so a task ranks ranges and never a whole group."""
+    from pyspark.ml.feature import Bucketizer
+
+    n = df.count()
+    k = min(max(1, -(-n // most)), 4096)
+    ends = df.agg(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 20 * k)).alias("q")).first()["q"] if k > 1 else []
+    inf, d = float("inf"), df.withColumns({"__k": F.col(key).cast("double"), "__b": F.lit(0.0)})
+    if ends:
+        d = Bucketizer(splits=[-inf, *sorted({float(x) for x in ends}), inf], inputCol="__k", outputCol="__b", handleInvalid="keep").transform(d.drop("__b"))
+    d = d.drop("__k")
+    c = d.groupBy(group, "__b").agg(F.count("*").alias("__n"))
+    c = c.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # over ranges
+    d = spread(d, group, "__b").withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy(key)))
+    j = d.join(F.broadcast(c), F.col(group).eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return j.select(*df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(new))
+
+
 def verify_ids(frames: dict[str, DataFrame], merged: DataFrame, key: str, offsets: dict[str, int], children: dict[str, tuple[dict[str, DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """(check, passed, detail), one row per proof obligation."""
-    rows = []
-    put = lambda df, name, ok, detail: rows.append(df.select(F.lit(name).alias("check"), ok.alias("passed"), detail.cast("string").alias("detail")))
-    put(id_collisions(frames, key), "collision_is_real", F.col("n_ids") > 0, F.col("n_ids"))
-    put(merged.agg(F.count("*").alias("n"), F.countDistinct(key).alias("d")), "merged_id_unique", F.col("n") == F.col("d"), F.col("n") - F.col("d"))
-    put(merged.agg(F.count("*").alias("n"), F.countDistinct(F.struct("corpus", f"src_{key}")).alias("d")), "bijection", F.col("n") == F.col("d"), F.col("n") - F.col("d"))
-    src = reduce(DataFrame.unionByName, (df.select(F.col(key).alias("k")).withColumn("corpus", F.lit(c)) for c, df in frames.items()))
-    back = merged.select(F.col(f"src_{key}").alias("k"), "corpus")
-    lost = src.exceptAll(back).unionAll(back.exceptAll(src)).agg(F.count("*").alias("n"))
-    put(lost, "source_ids_round_trip", F.col("n") == 0, F.col("n"))
+    """(check, passed, detail), one row per proof obligation.
+
+    Sources, slices and children meet once by source id, the merged rows and their children once by merged id, each in
+    partitions of a fixed size; every check is a sum over these, multisets being compared by counts of equal rows."""
+    kids = list((children or {}).items())
+    cols, kid = next(iter(frames.values())).columns, [f"__c{i}" for i in range(len(kids))]
+    flags = ["__s", "__m", *kid]
+    flag = lambda df, on: df.select("*", *(F.lit(int(f == on)).cast("long").alias(f) for f in flags))
+    kind = {x: merged.schema[f"src_{x}" if f"src_{x}" in merged.columns else x].dataType for x in cols}
+    col, null = F.col, F.lit(None)
+    total = lambda test, x: F.coalesce(F.sum(F.when(test, x)), F.lit(0).cast("long"))
+
+    parts = [flag(df.select(F.lit(c).alias("corpus"), *cols), "__s") for c, df in frames.items()]
+    parts.append(flag(merged.select("corpus", *(col(f"src_{x}" if f"src_{x}" in merged.columns else x).alias(x) for x in cols)), "__m"))
+    parts += [flag(p.select(F.lit(c).alias("corpus"), *(col(x) if x == key else null.cast(kind[x]).alias(x) for x in cols)), f) for f, (_, (own, _)) in zip(kid, kids, strict=True) for c, p in own.items()]
+    same = spread(reduce(DataFrame.unionByName, parts), key).groupBy("corpus", *cols).agg(*(F.sum(f).alias(f) for f in flags))
+    each = same.groupBy(key, "corpus").agg(*(F.sum(f).alias(f) for f in flags), F.sum(F.abs(col("__s") - col("__m"))).alias("__d"))
+    slices = {c: f"__slice{i}" for i, c in enumerate(frames)}
+    known = (col("__s") > 0) & col(key).isNotNull()
+    per = each.groupBy(key).agg(
+        F.count_if(col("__s") > 0).alias("__k"), F.sum("__m").alias("__back"), F.count_if(col("__m") > 0).alias("__pairs"), F.sum(F.abs(col("__s") - col("__m"))).alias("__lost"),
+        *(total(col("corpus") == c, col("__d")).alias(x) for c, x in slices.items()), *(total(known, col(f)).alias(f"{f}a") for f in kid),
+    )
+    add = lambda x: F.coalesce(F.sum(x), F.lit(0).cast("long")).alias(x)
+    one = per.agg(F.count_if(col("__k") > 1).alias("__ids"), add("__back"), add("__pairs"), add("__lost"), *(add(x) for x in slices.values()), *(add(f"{f}a") for f in kid))
+
+    parts = [flag(merged.select(key, "corpus"), "__m"), *(flag(child.select(key, "corpus"), f) for f, (_, (_, child)) in zip(kid, kids, strict=True))]
+    each = spread(reduce(DataFrame.unionByName, parts), key).groupBy(key, "corpus").agg(*(F.sum(f).alias(f) for f in flags))
+    tagged = col("corpus").isNotNull()
+    per = each.groupBy(key).agg(
+        F.sum("__m").alias("__n"), F.count_if(tagged & (col("__m") > 0)).alias("__k"), total(tagged, col("__m")).alias("__t"),
+        *(x for f in kid for x in (F.sum(f).alias(f"{f}n"), total(tagged, col(f)).alias(f"{f}t"), total(tagged, col(f) * col("__m")).alias(f"{f}e"))),
+    )
+    real = col(key).isNotNull()
+    two = per.agg(
+        add("__n"), F.count_if(real & (col("__n") > 0)).alias("__ids2"), F.count_if(col("__k") > 1).alias("__cross"),
+        *(x for f in kid for x in (total(real, col(f"{f}t") * col("__t") - col(f"{f}e")).alias(f"{f}moved"), total(real & (col("__n") > 0), col(f"{f}n")).alias(f"{f}b"))),
+    )
     block = merged.groupBy("corpus").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    gap = block.withColumn("before", F.lag("hi").over(Window.orderBy("lo")))  # a row per corpus
-    put(gap.agg(F.count_if(F.col("before") >= F.col("lo")).alias("n")), "blocks_disjoint", F.col("n") == 0, F.col("n"))
-    put(merged.groupBy(key).agg(F.countDistinct("corpus").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n")), "no_id_crosses_corpora", F.col("n") == 0, F.col("n"))
-    for name, (parts, child) in (children or {}).items():
-        j = child.select(F.col(key).alias("k"), F.col("corpus").alias("c1")).join(merged.select(F.col(key).alias("k"), F.col("corpus").alias("c2")), "k")
-        put(j.agg(F.count_if(F.col("c1") != F.col("c2")).alias("n")), f"no_child_re_parented_{name}", F.col("n") == 0, F.col("n"))
-        free = reduce(DataFrame.unionByName, (p.join(frames[c].select(key), key, "left_semi").agg(F.count("*").alias("n")) for c, p in parts.items())).agg(F.sum("n").alias("a"))
-        put(free.join(F.broadcast(child.join(merged.select(key), key, "left_semi").agg(F.count("*").alias("b")))), f"resolution_{name}", F.col("a") == F.col("b"), F.col("a") - F.col("b"))
-    for c, df in frames.items():
-        cut = merged.where(F.col("corpus") == c).select(*(F.col(f"src_{x}").alias(x) if f"src_{x}" in merged.columns else F.col(x) for x in df.columns))
-        d = cut.exceptAll(df).unionAll(df.exceptAll(cut)).agg(F.count("*").alias("n"))
-        put(d, f"slice_equals_source_{c}", F.col("n") == 0, F.col("n"))
-    return reduce(DataFrame.unionByName, rows)
+    gap = block.withColumn("before", F.lag("hi").over(Window.orderBy("lo"))).agg(F.count_if(col("before") >= col("lo")).alias("__over"))  # a row per corpus
+    rows = []
+    put = lambda name, detail, ok=None: rows.append(F.struct(F.lit(name).alias("check"), (detail == 0 if ok is None else ok).alias("passed"), detail.cast("string").alias("detail")))
+    put("collision_is_real", col("__ids"), col("__ids") > 0)
+    put("merged_id_unique", col("__n") - col("__ids2"))
+    put("bijection", col("__back") - col("__pairs"))
+    put("source_ids_round_trip", col("__lost"))
+    put("blocks_disjoint", col("__over"))
+    put("no_id_crosses_corpora", col("__cross"))
+    for f, (name, _) in zip(kid, kids, strict=True):
+        put(f"no_child_re_parented_{name}", col(f"{f}moved"))
+        put(f"resolution_{name}", col(f"{f}a") - col(f"{f}b"))
+    for c, x in slices.items():
+        put(f"slice_equals_source_{c}", col(x))
+    return one.join(F.broadcast(two)).join(F.broadcast(gap)).select(F.explode(F.array(*rows)).alias("x")).select("x.*")  # of one row each
 
 
 def require(report: DataFrame) -> None:

@@ -62,11 +62,11 @@ OFFSETS = {"1-URGENT": 0, "2-HIGH": 100_000_000, "3-MEDIUM": 200_000_000}
 
 
 def _corpora(enc: DataFrame) -> dict[str, DataFrame]:
-    """Sister corpora whose ids all start at 1."""
-    from pyspark.sql import Window
+    """Sister corpora whose ids all start at 1, written once."""
+    from ..sources.scratch import stored
 
-    w = Window.orderBy("pid").partitionBy("kind")
-    e = enc.withColumn("new", F.row_number().over(w).cast("long")).drop("pid").withColumnRenamed("new", "pid")
+    e = M.numbered(enc.where(F.col("kind").isin(*OFFSETS)), "kind", "pid", "new").drop("pid").withColumnRenamed("new", "pid")
+    e = stored(e)
     return {k: e.where(F.col("kind") == k).drop("kind") for k in OFFSETS}
 
 

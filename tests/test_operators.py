@@ -184,3 +184,30 @@ def test_spread_takes_partitions_by_file_size(spark, tmp_path):
     out = spread(df, "id", piece=1_000)
     assert out.rdd.getNumPartitions() == -(-size // 1_000) > 8 and out.count() == 20_000
     assert spread(df, "id").rdd.getNumPartitions() == 8
+
+
+def test_merge_proofs_count_what_is_broken(spark):
+    """Lost, doubled, changed and re-parented rows, and null ids, each in its own check; no check sorts or holds a whole corpus."""
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "z")], "pid long, v string")
+    b = spark.createDataFrame([(1, "p"), (2, "q"), (3, None)], "pid long, v string")
+    frames, off = {"a": a, "b": b}, {"a": 0, "b": 100}
+    m = M.merge_corpora(frames, off, ["pid"])
+    broken = m.where("pid is null or pid <> 103").withColumn("v", F.when(F.col("pid") == 101, "P").otherwise(F.col("v")))
+    kid = {"a": spark.createDataFrame([(1,), (9,)], "pid long"), "b": spark.createDataFrame([(1,), (3,)], "pid long")}
+    child = M.merge_corpora(kid, off, ["pid"]).withColumn("corpus", F.when(F.col("pid") == 101, "a").otherwise(F.col("corpus")))
+    got = {r["check"]: (r["passed"], r["detail"]) for r in M.verify_ids(frames, broken, "pid", off, {"rx": (kid, child)}).collect()}
+    assert got == {
+        "collision_is_real": (True, "2"), "merged_id_unique": (False, "2"), "bijection": (False, "1"), "source_ids_round_trip": (False, "1"),
+        "blocks_disjoint": (True, "0"), "no_id_crosses_corpora": (True, "0"), "no_child_re_parented_rx": (False, "1"), "resolution_rx": (False, "1"),
+        "slice_equals_source_a": (True, "0"), "slice_equals_source_b": (False, "3"),
+    }
+
+
+def test_numbers_in_a_group_are_ranked_in_ranges(spark):
+    rows = [(k * k, "g" if k % 3 else "h") for k in range(1000)]
+    got = M.numbered(spark.createDataFrame(rows, "k long, g string"), "g", "k", "n", most=50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(k, g, 1 + sum(1 for j, h in rows if h == g and j < k)) for k, g in rows]
+    one = M.numbered(spark.createDataFrame(rows, "k long, g string"), "g", "k", "n")  # a single range
+    assert sorted(map(tuple, one.select("k", "g", "n").collect())) == sorted(want)
+    assert sorted(map(tuple, got.select("k", "g", "n").collect())) == sorted(want) and "row_number() windowspecdefinition(g" in plan and "__b" in plan
