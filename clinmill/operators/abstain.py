@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import prf
+from ..sources.scratch import spread, stored
 from .select import quantiles
 
 GRID = [round(0.05 * k, 2) for k in range(1, 21)]
 MARGIN = 1e-4
 
 
-def confidence(pred: DataFrame, thr: float) -> DataFrame:
-    """Per row of (row_id, label, p): max_prob, margin, n_above_thr, neg_entropy, expected_f1 at a threshold."""
+#: Rows of a cell of a curve, which are ranked in one place.
+CELL = 1 << 16
+
+
+def confidence(pred: DataFrame, thr: float, of: DataFrame | None = None) -> DataFrame:
+    """Per row of (row_id, label, p): max_prob, margin, n_above_thr, neg_entropy, expected_f1 at a threshold.
+
+    A row's labels meet in partitions of a fixed size before they are added up (spread; `of` as there)."""
     p, eps = F.col("p"), 1e-9
     hit = p >= thr
     two = F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 2)
-    top = pred.groupBy("row_id").agg(
+    top = spread(pred.select("row_id", "p"), "row_id", of=of).groupBy("row_id").agg(
         two.alias("__t"),
         F.count_if(hit).cast("double").alias("n_above_thr"),
         F.sum(p * F.log(p + eps) + (1 - p) * F.log(1 - p + eps)).alias("neg_entropy"),
@@ -30,31 +37,47 @@ def risk_coverage(counts: DataFrame, conf: str, grid: list[float] = GRID, cells:
     """(coverage, n, micro_f1): quality of the most confident share of rows, by confidence to six
     decimals, ties by row_id.
 
-    Sums are taken by distinct confidence and range of row_id, running totals over those find the cell
-    that holds each cut, and only the rows of those few cells are ranked; no task sorts all rows."""
-    sums = ["tp", "n_pred", "n_gold"]
-    span = counts.agg(F.min("row_id").alias("__lo"), F.max("row_id").alias("__hi"), F.count("*").alias("__n"))
-    d = counts.select("row_id", F.round(conf, 6).alias("v"), *sums).join(F.broadcast(span.select("__lo", "__hi")))
-    d = d.select("row_id", "v", *sums, F.floor((F.col("row_id") - F.col("__lo")) * cells / (F.col("__hi") - F.col("__lo") + 1)).alias("cell"))
-    c = d.groupBy("v", "cell").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in sums))
-    per = c.groupBy("v").agg(*(F.sum(x).alias(f"t_{x}") for x in ["n", *sums]))
-    before_v = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)  # over distinct confidences
-    per = per.select("v", *(F.coalesce(F.sum(f"t_{x}").over(before_v), F.lit(0)).alias(f"v_{x}") for x in ["n", *sums]))
-    before_c = Window.partitionBy("v").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.join(per, "v").select("v", "cell", "n", *((F.col(f"v_{x}") + F.coalesce(F.sum(x).over(before_c), F.lit(0))).alias(f"b_{x}") for x in ["n", *sums]))
+    Rows are written once. Running totals over distinct confidences find the one that holds each cut, those over
+    ranges of row_id of its rows the range, and only the rows of that range are ranked; no task sorts all rows."""
+    return _curve(stored(counts.select("row_id", F.col(conf).alias("s"), *SUMS)), "s", grid, cells)
+
+
+#: What a curve adds up, and the steps of an unrounded confidence whose totals are taken.
+SUMS, STEPS = ["tp", "n_pred", "n_gold"], 1 << 20
+
+
+def _curve(counts: DataFrame, conf: str, grid: list[float], cells: int = 64, rounded: bool = True) -> DataFrame:
+    """risk_coverage of stored rows. If not rounded, rows go by their whole confidence, in steps of 1 / STEPS and in parts of a
+    step; only for confidences that spread over 0 to 1, as a random control does."""
+    span = counts.agg(F.min("row_id").alias("__lo"), F.max("row_id").alias("__hi"), F.count("*").alias("__n"), F.greatest(F.lit(cells), F.ceil(F.count("*") / CELL)).alias("__k"))
+    s = F.col(conf)
+    if rounded:
+        v, x, cell = F.round(s, 6), F.lit(0.0), F.floor((F.col("row_id") - F.col("__lo")) * F.col("__k") / (F.col("__hi") - F.col("__lo") + 1))
+    else:
+        v, x, cell = F.floor(s * STEPS).cast("double"), s, -F.floor((s * STEPS - F.floor(s * STEPS)) * F.col("__k"))
     want = span.select(F.explode(F.array(*(F.lit(g) for g in grid))).alias("coverage"), "__n").select("coverage", F.greatest(F.rint(F.col("coverage") * F.col("__n")), F.lit(1)).cast("long").alias("k"))
-    at = c.join(F.broadcast(want), (F.col("b_n") < F.col("k")) & (F.col("k") <= F.col("b_n") + F.col("n")))
-    r = d.join(F.broadcast(at.drop("n")), ["v", "cell"]).withColumn("r", F.row_number().over(Window.partitionBy("coverage").orderBy("row_id")))
-    part = r.where(F.col("r") <= F.col("k") - F.col("b_n")).groupBy("coverage", "k", *(f"b_{x}" for x in sums)).agg(*(F.sum(x).alias(x) for x in sums))
-    return part.select("coverage", F.col("k").alias("n"), prf(*(F.col(x) + F.col(f"b_{x}") for x in sums))["f1"].alias("micro_f1"))
+    held = (F.col("b_n") < F.col("k")) & (F.col("k") <= F.col("b_n") + F.col("n"))
+    per = counts.select(v.alias("v"), *SUMS).groupBy("v").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in SUMS))
+    before = Window.orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)  # over distinct confidences
+    per = per.select("v", "n", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"b_{c}") for c in ["n", *SUMS]))
+    at = per.join(F.broadcast(want), held).select("v", *(F.col(f"b_{c}").alias(f"v_{c}") for c in ["n", *SUMS])).distinct()  # a row per cut at most
+    r = counts.join(F.broadcast(span.select("__lo", "__hi", "__k"))).select("row_id", v.alias("v"), x.alias("x"), cell.alias("cell"), *SUMS).join(F.broadcast(at), "v")
+    c = r.groupBy("v", "cell", *(f"v_{c}" for c in ["n", *SUMS])).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in SUMS))
+    before = Window.partitionBy("v").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over the cells of a confidence
+    c = c.select("v", "cell", "n", *((F.col(f"v_{x}") + F.coalesce(F.sum(x).over(before), F.lit(0))).alias(f"b_{x}") for x in ["n", *SUMS]))
+    cut = c.join(F.broadcast(want), held).drop("n")
+    r = r.drop(*(f"v_{c}" for c in ["n", *SUMS])).join(F.broadcast(cut), ["v", "cell"]).withColumn("r", F.row_number().over(Window.partitionBy("coverage").orderBy(F.desc("x"), "row_id")))
+    part = r.where(F.col("r") <= F.col("k") - F.col("b_n")).groupBy("coverage", "k", *(f"b_{c}" for c in SUMS)).agg(*(F.sum(c).alias(c) for c in SUMS))
+    return part.select("coverage", F.col("k").alias("n"), prf(*(F.col(c) + F.col(f"b_{c}") for c in SUMS))["f1"].alias("micro_f1"))
 
 
 def select_signal(counts: DataFrame, signals: list[str], control: Column, grid: list[float] = GRID) -> DataFrame:
-    """Mean of the curve of each signal and of a random control; the best first."""
+    """Mean of the curve of each signal and of a random control (0 to 1, not rounded); the best first. Rows are written once
+    for all curves."""
+    rows = stored(counts.select("row_id", *SUMS, *signals, control.alias("random")))
     out = None
     for s in [*signals, "random"]:
-        c = counts.withColumn("__s", control if s == "random" else F.col(s))
-        one = risk_coverage(c, "__s", grid).agg(F.avg("micro_f1").alias("auc")).withColumn("signal", F.lit(s))
+        one = _curve(rows, s, grid, rounded=s != "random").agg(F.avg("micro_f1").alias("auc")).withColumn("signal", F.lit(s))
         out = one if out is None else out.unionByName(one)
     return out.select("signal", "auc")
 

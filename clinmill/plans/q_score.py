@@ -233,7 +233,8 @@ RISK = f"{PAIRS}, {CONF}, ranked AS (SELECT row_number() OVER (ORDER BY round(co
 
 def _counts(gold, pred, enc):
     c = EV.row_counts(gold, _hit(pred), _rows(enc))
-    return c.join(AB.confidence(pred, 0.5), "row_id", "left").fillna(0.0, ["expected_f1", "max_prob"])
+    of = gold.select("row_id").unionAll(pred.select("row_id")).unionAll(_rows(enc))
+    return c.join(AB.confidence(pred, 0.5, of), "row_id", "left").fillna(0.0, ["expected_f1", "max_prob"])
 
 
 @query("ab03_risk_coverage", f"WITH {RISK} SELECT cov AS coverage, n, micro_f1 FROM curve", *NAMES)

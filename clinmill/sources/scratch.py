@@ -47,11 +47,11 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(df: DataFrame, *keys: str, piece: int = 4 << 20) -> DataFrame:
-    """df by hash of the keys, in a partition for each `piece` bytes of the files it reads: what a task holds of a key-wise
-    sum stays the same however large they are."""
+def spread(df: DataFrame, *keys: str, piece: int = 4 << 20, of: DataFrame | None = None) -> DataFrame:
+    """df by hash of the keys, in a partition for each `piece` bytes of the files that it (or `of`) reads: what a task holds of
+    a key-wise sum stays the same however large they are. Frames spread by the same keys and `of` join as they lie."""
     jvm = df.sparkSession._jvm
-    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]  # names are URL-encoded
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in (of or df).inputFiles()]  # names are URL-encoded
     size = sum(f.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
     return df.repartition(max(8, -(-size // piece)), *keys)
 

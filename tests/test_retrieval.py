@@ -421,3 +421,21 @@ def test_fit_component_picks_the_arm_that_knows(spark):
 
     top = max(f1(t) for t in CA.GRID)
     assert best["val_micro_f1"] == pytest.approx(top) and best["threshold"] == min(t for t in CA.GRID if f1(t) == top)
+
+
+def test_random_control_is_not_rounded(spark):
+    """The control ranks by its whole value: a seventh decimal decides, against the order of row_id."""
+    from clinmill.operators import abstain as AB
+
+    counts = spark.createDataFrame([(1, 0, 1, 1, 0.12345601), (2, 1, 1, 1, 0.12345602), (3, 0, 1, 1, 0.12345603), (4, 1, 1, 1, 0.12345604)], "row_id long, tp long, n_pred long, n_gold long, c double")
+    got = {r["signal"]: r["auc"] for r in AB.select_signal(counts, ["c"], F.col("c"), [0.25]).collect()}
+    assert got == {"c": 0.0, "random": 1.0}
+
+
+def test_curve_of_ties_ranks_ranges_only(spark):
+    """Rows that all tie are cut by row_id, with as many ranges as their number asks for."""
+    from clinmill.operators import abstain as AB
+
+    counts = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") < 500).cast("long").alias("tp"), F.lit(1).cast("long").alias("n_pred"), F.lit(1).cast("long").alias("n_gold"), F.lit(0.5).alias("c"))
+    got = {r["coverage"]: (r["n"], r["micro_f1"]) for r in AB.risk_coverage(counts, "c", [0.25, 0.5, 1.0], cells=7).collect()}
+    assert got == {0.25: (250, 1.0), 0.5: (500, 1.0), 1.0: (1000, 0.5)}
