@@ -195,13 +195,15 @@ def score_ovr(model: Ovr, df: DataFrame) -> DataFrame:
     own = df.schema["row_id"].dataType.simpleString()
 
     def score(batches):
-        for pdf in batches:
-            if len(pdf):
-                z = Rows(pdf, d).dot(model.coefficients)
+        for b in batches:
+            if b.num_rows:
+                x = matrix(b)
+                z = Rows(b.to_pandas(), d).dot(model.coefficients) if x is None or x.shape[1] != d else x @ model.coefficients[:-1] + model.coefficients[-1]
                 p = np.where(model.fitted, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
-                yield pd.DataFrame({"row_id": pdf["row_id"], "p": list(p)})
+                at = pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.ListArray.from_arrays(at, pa.array(p.ravel()))], ["row_id", "p"])
 
-    p = vectors(df, "features", "row_id").mapInPandas(score, f"row_id {own}, p array<double>")
+    p = vectors(df, "features", "row_id").mapInArrow(score, f"row_id {own}, p array<double>")
     names = F.array(*(F.lit(x) for x in model.labels))
     return p.select("row_id", F.posexplode("p").alias("i", "p")).select("row_id", F.get(names, F.col("i")).alias("label"), "p")
 
@@ -315,8 +317,9 @@ def permuted(df: DataFrame, cols: list[str], seed: int) -> DataFrame:
     from pyspark.sql import Window
 
     from ..functions.clean import hash_rank
+    from ..sources.scratch import spread
 
-    d = df.withColumn("__b", F.pmod(F.xxhash64("row_id"), F.lit(max(1, df.count() // 4096))))
+    d = spread(df.withColumn("__b", F.pmod(F.xxhash64("row_id"), F.lit(max(1, df.count() // 4096)))), "__b")
     a = d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy("row_id")))
     b = d.select("__b", *(F.col(c).alias(f"__{c}") for c in cols), F.row_number().over(Window.partitionBy("__b").orderBy(hash_rank(seed, "row_id"), "row_id")).alias("__r"))
     j = a.join(b, ["__b", "__r"])
@@ -327,16 +330,16 @@ def permutation_report(df: DataFrame, groups: dict[str, list[str]], predict, gol
     """(input, micro_f1, jaccard, delta_micro_f1): a fitted model's label sets with the columns of each group of inputs
     moved jointly to other rows, beside those of the untouched rows ("none").
 
-    predict is a function of a frame that returns (row_id, label). Counts of all variants are stored, so a variant is
-    predicted once."""
+    predict is a function of a frame that returns (row_id, label). Rows and gold labels are written once; a variant is
+    predicted and counted in one pass."""
     from ..sources.scratch import stored
     from .metrics import set_metrics
 
+    df, gold = stored(df), stored(gold.select("row_id", "label"))
     rows = df.select("row_id")
     out = None
     for name, cols in {"none": [], **groups}.items():
-        pred = stored(predict(permuted(df, cols, seed) if cols else df))
-        one = set_metrics(rows, gold, pred).select(F.lit(name).alias("input"), "micro_f1", "jaccard")
+        one = set_metrics(rows, gold, predict(permuted(df, cols, seed) if cols else df)).select(F.lit(name).alias("input"), "micro_f1", "jaccard")
         out = one if out is None else out.unionByName(one)
     out = stored(out)
     base = out.where("input = 'none'").select(F.col("micro_f1").alias("__base"))

@@ -439,3 +439,14 @@ def test_curve_of_ties_ranks_ranges_only(spark):
     counts = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") < 500).cast("long").alias("tp"), F.lit(1).cast("long").alias("n_pred"), F.lit(1).cast("long").alias("n_gold"), F.lit(0.5).alias("c"))
     got = {r["coverage"]: (r["n"], r["micro_f1"]) for r in AB.risk_coverage(counts, "c", [0.25, 0.5, 1.0], cells=7).collect()}
     assert got == {0.25: (250, 1.0), 0.5: (500, 1.0), 1.0: (1000, 0.5)}
+
+
+def test_permutation_report_writes_rows_and_labels_once(spark, monkeypatch):
+    from clinmill.sources import scratch
+
+    df = spark.createDataFrame([(k, float(k % 2)) for k in range(200)], "row_id long, used double")
+    gold = df.select("row_id", F.col("used").cast("string").alias("label"))
+    calls, real = [], scratch.stored
+    monkeypatch.setattr(scratch, "stored", lambda d: calls.append(d) or real(d))
+    out = ML.permutation_report(df, {"a": ["used"], "b": ["used"], "c": ["used"]}, lambda d: d.select("row_id", F.col("used").cast("string").alias("label")), gold)
+    assert out.count() == 4 and len(calls) == 3
