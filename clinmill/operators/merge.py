@@ -41,7 +41,7 @@ def numbered(df: DataFrame, group: str, key: str, new: str, most: int = 1 << 17)
     inf, d = float("inf"), df.withColumns({"__k": F.col(key).cast("double"), "__b": F.lit(0.0)})
     if ends:
         d = Bucketizer(splits=[-inf, *sorted({float(x) for x in ends}), inf], inputCol="__k", outputCol="__b", handleInvalid="keep").transform(d.drop("__b"))
-    d = d.drop("__k")
+    d = d.drop("__k").withColumn("__b", F.col("__b").cast("int"))  # doubles as keys would be dealt out a second time
     c = d.groupBy(group, "__b").agg(F.count("*").alias("__n"))
     c = c.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # over ranges
     d = spread(d, group, "__b").withColumn("__r", F.row_number().over(Window.partitionBy(group, "__b").orderBy(key)))
