@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import cosine
 from ..sources.scratch import if_small
-from .retrieve import block_topk, hybrid_topk, pivot_topk, sparse_topk, with_terms  # noqa: F401
+from .retrieve import block_topk, hybrid_topk, pivot_topk, sparse_topk, text_topk, with_terms  # noqa: F401
 
 
 def build_encounter_extract(rx: DataFrame, visit: DataFrame, on: str, dims: list[tuple[DataFrame, str]]) -> DataFrame:

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
+from .features import tfidf_fit, tfidf_transform
 from .graph import components
 
 #: Rows of a block on either side; terms whose columns are multiplied at once.
@@ -19,6 +21,8 @@ BLOCK, WIDTH = 512, 4096
 INDEX, VISIT, FIRST, SHORT = 4096, 1024, 8, 64
 #: Parts of either side at which there are tasks enough, so that blocks may grow, and how often their rows at most.
 SPREAD, GROWN = 8, 8
+#: References, and terms of all of them, up to which every task gets the whole side.
+FEW, HELD = 2_000, 1 << 20
 #: Pivots at most (the driver compares them with each other), and what rounding of angles may cost a bound.
 PIVOTS, SLACK = 1024, 1e-6
 
@@ -48,7 +52,6 @@ def _lexical(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
 
     (ra, ta, wa), (rb, tb, wb) = flat(a), flat(b)
     both = np.intersect1d(ta, tb)
-    out = np.zeros((len(a), len(b)))
 
     def side(r, t, w):
         c = np.searchsorted(both, t)
@@ -56,16 +59,27 @@ def _lexical(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
         order = np.argsort(c[ok], kind="stable")
         return r[ok][order], c[ok][order], w[ok][order]
 
-    (ra, ca, wa), (rb, cb, wb) = side(ra, ta, wa), side(rb, tb, wb)
-    for lo in range(0, len(both), WIDTH):
-        x, y = np.zeros((len(a), WIDTH)), np.zeros((len(b), WIDTH))
-        for m, r, c, w in ((x, ra, ca, wa), (y, rb, cb, wb)):
+    return _product(side(ra, ta, wa), side(rb, tb, wb), len(a), len(b), len(both))
+
+
+def _product(a: tuple, b: tuple, m: int, n: int, width: int) -> np.ndarray:
+    """Inner products of m and n sparse rows, each side (rows, columns, weights) in the order of the columns."""
+    out = np.zeros((m, n))
+    for lo in range(0, width, WIDTH):
+        x, y = np.zeros((m, min(WIDTH, width - lo))), np.zeros((n, min(WIDTH, width - lo)))
+        for d, (r, c, w) in ((x, a), (y, b)):
             i, j = np.searchsorted(c, (lo, lo + WIDTH))
-            m[r[i:j], c[i:j] - lo] = w[i:j]
+            d[r[i:j], c[i:j] - lo] = w[i:j]
         out += x @ y.T
     return out
 
 
+def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k largest scores; of equal ones the first column."""
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+
+
 def _best(k: int, alpha: float):
     def f(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
@@ -78,9 +92,8 @@ def _best(k: int, alpha: float):
         if alpha < 1:
             s += (1 - alpha) * _lexical(q, r)
         s = np.round(s, 9)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # of equal scores the smallest rid
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "rid": r["rid"].to_numpy()[best.ravel()], "score": s[rows, best.ravel()]})
+        rows, best = _top(s, k)  # of equal scores the smallest rid
+        return pd.DataFrame({"qid": q["qid"].to_numpy()[rows], "rid": r["rid"].to_numpy()[best], "score": s[rows, best]})
 
     return f
 
@@ -288,6 +301,76 @@ def hybrid_topk(queries: DataFrame, refs: DataFrame, k: int = 5, alpha: float =
     return block_topk(queries, refs, k, alpha)
 
 
+def _few(refs: pd.DataFrame, idf: pd.DataFrame, k: int, alpha: float):
+    """Top lists of Arrow batches of (qid, vec, terms) against all of refs (rid, vec, terms, weights), BLOCK rows at a time."""
+    refs, idf = refs.sort_values("rid", kind="stable"), idf.sort_values("t")
+    terms, idf = idf["t"].to_numpy(), idf["idf"].to_numpy()
+    size = [len(t) for t in refs["terms"]]
+    col = np.searchsorted(terms, np.concatenate([np.asarray(t, np.int64) for t in refs["terms"]]))
+    by = np.argsort(col, kind="stable")
+    right = np.repeat(np.arange(len(refs)), size)[by], col[by], np.concatenate([np.asarray(w, float) for w in refs["weights"]])[by]
+    rid, vecs = refs["rid"].to_numpy(), refs["vec"]
+    most = max((len(v) for v in vecs if v is not None), default=1)
+
+    def weighed(held: pa.Array):
+        """Rows by column of the terms that a reference has, weighed as tfidf_transform does."""
+        t = held.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+        c = np.searchsorted(terms, t)
+        ok = terms[np.minimum(c, len(terms) - 1)] == t if len(terms) else np.zeros(len(t), bool)
+        at, tf = np.unique(c[ok] * len(held) + row[ok], return_counts=True)
+        c, row = np.divmod(at, len(held))
+        w = (1 + np.log(tf)) * idf[c]
+        return row, c, w / np.sqrt(np.bincount(row, w * w, len(held)))[row]
+
+    def f(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(lo, BLOCK)
+                vec = b.column("vec").to_pandas()
+                width = max((len(v) for v in vec if v is not None), default=most)
+                s = alpha * (_matrix(vec, max(width, most)) @ _matrix(vecs, max(width, most)).T)
+                s += (1 - alpha) * _product(weighed(b.column("terms")), right, b.num_rows, len(rid), len(terms))
+                s = np.round(s, 9)
+                rows, best = _top(s, k)
+                rank = np.tile(np.arange(1, min(k, len(rid)) + 1, dtype="int32"), b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("qid").take(pa.array(rows)), pa.array(rid[best]), pa.array(s[rows, best]), pa.array(rank)], names=["qid", "rid", "score", "rank"])
+
+    return f
+
+
+def text_topk(queries: DataFrame, refs: DataFrame, terms: Column, k: int = 5, alpha: float = 0.5) -> DataFrame:
+    """hybrid_topk of texts: queries are (qid, vec, text), refs (rid, vec, text), `terms` is a text's array of terms. Terms are
+    weighed by the references' idf; texts of one id count as one.
+
+    References of a checked size go to every task, where a query's terms are counted and scored in its own row: terms are
+    neither exploded nor exchanged. Queries whose id is null or not unique, and queries of more references, meet in blocks."""
+
+    def exploded(d: DataFrame, key: str) -> DataFrame:
+        return d.select(F.col(key).alias("row_id"), F.explode(terms).alias("term"))
+
+    idf = tfidf_fit(exploded(refs, "rid"))
+    weights = tfidf_transform(exploded(refs, "rid"), idf)
+    blocks = lambda q: hybrid_topk(with_terms(q.select("qid", "vec"), tfidf_transform(exploded(q, "qid"), idf), "qid"), r, k, alpha)
+    r = with_terms(refs.select("rid", "vec"), weights, "rid")
+    if refs.limit(FEW + 1).count() > FEW or weights.limit(HELD + 1).count() > HELD:
+        return blocks(queries)
+    r = stored(r)
+    side = r.toPandas()
+    if not len(side):
+        return blocks(queries)
+    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((queries, "qid"), (refs, "rid"))}
+    shared = queries.groupBy(F.col("qid").alias("__q")).agg(F.count("*").alias("n")).where("n > 1 or __q is null").select("__q")
+    same = F.col("qid").eqNullSafe(F.col("__q"))
+    some = not shared.isEmpty()
+    own = queries.join(shared, same, "left_anti") if some else queries
+    held = F.coalesce(F.transform(terms, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+    own = spread(own, "qid", piece=1 << 20).select("qid", "vec", held.alias("terms"))
+    known = idf.select(F.xxhash64("term").alias("t"), "idf").toPandas()  # of HELD terms at most
+    out = own.mapInArrow(_few(side, known, k, alpha), f"qid {kinds['qid']}, rid {kinds['rid']}, score double, rank int")
+    return out.unionByName(blocks(queries.join(shared, same, "left_semi"))) if some else out
+
+
 def _forest(tau: float):
     def f(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         x = pd.concat([a, b], ignore_index=True).drop_duplicates("id")

@@ -415,10 +415,9 @@ def _(enc):
     return FE.onehot_block(enc.select("pid", "kind"), "kind", levels).drop("kind")
 
 
-def _grams(docs, key: str):
-    """Character n-grams of the words of texts, as (row_id, term)."""
-    w = docs.select(F.col(key).alias("row_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("tok"))
-    return w.select("row_id", F.explode(T.char_ngrams("tok")).alias("term"))
+def _grams():
+    """Character n-grams of the words of a text."""
+    return F.flatten(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: T.char_ngrams(w)))
 
 
 _words = "SELECT {k} AS row_id, ' ' || unnest(regexp_extract_all(lower(text), '[a-z]+')) || ' ' AS w FROM {t}"
@@ -433,11 +432,9 @@ hy AS (SELECT qid, rid, rank, score FROM (SELECT qid, rid, score, row_number() O
 
 def _hybrid(cv, bench, em):
     """Turns of conversations against reference texts; embeddings stand in for their vectors."""
-    q, r = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "conv_id", "text"), bench.select(F.col("item_id").alias("rid"), "text")
-    idf = FE.tfidf_fit(_grams(r, "rid"))
-    vec = lambda on: em.select(F.col("vec_id").alias(on), F.col("embedding").alias("vec"))
-    side = lambda d, key, on: A.with_terms(d.join(vec(on), on, "left").select(key, "vec"), FE.tfidf_transform(_grams(d, key), idf), key)
-    return A.hybrid_topk(side(q, "qid", "conv_id"), side(r, "rid", "rid"))
+    q, r = cv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text"), bench.select(F.col("item_id").alias("rid"), "text")
+    side = lambda d, key: d.join(em.select("vec_id", F.col("embedding").alias("vec")), F.expr(key) == F.col("vec_id"), "left").drop("vec_id")
+    return A.text_topk(side(q, "qid div 1000"), side(r, "rid"), _grams())
 
 
 @query("fe15_hybrid_topk", f"WITH {HYBRID} SELECT qid, rid, rank, round(score, 6) AS score FROM hy", "conversations", "benchmark", "embeddings")

@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -450,3 +451,37 @@ def test_permutation_report_writes_rows_and_labels_once(spark, monkeypatch):
     monkeypatch.setattr(scratch, "stored", lambda d: calls.append(d) or real(d))
     out = ML.permutation_report(df, {"a": ["used"], "b": ["used"], "c": ["used"]}, lambda d: d.select("row_id", F.col("used").cast("string").alias("label")), gold)
     assert out.count() == 4 and len(calls) == 3
+
+
+def test_hybrid_equals_sql_and_exchanges_no_terms(spark, tmp_path):
+    """Ids that meet (turns of 1,000 and more, repeated rows), null texts and ids, texts without words; each task holds the
+    references, so no row is made of a term of a query."""
+    from clinmill.plans import ORACLE_SQL, QUERIES
+
+    r = np.random.default_rng(3)
+    text = lambda: " ".join(r.choice(["thing", "nd", "ear", "Éa", "reti", "wh.", "7", "leon"], r.integers(1, 12)))
+    turns = [(c, t, "user", text()) for c in range(40) for t in (0, 1, 1000, 1001, 2000)] + [(3, 1, "user", text()), (5, 0, "user", None), (None, 0, "user", "thing"), (9, 7, "user", "7 7"), (10, 7, "user", "")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, text()) for i in range(30)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, r.normal(0, 1, 4).tolist(), 0) for i in range(5, 44)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "fe15_hybrid_topk"
+    got = QUERIES[name](spark, str(tmp_path)).select("qid", "rid", "rank", "score")
+    key = lambda x: (x[0] is None, x[0], x[2], x[1], x[3])
+    want = con.execute(ORACLE_SQL[name]).fetchall()
+    some = lambda rows: sorted((tuple(x) for x in rows if x[0] is not None), key=key)
+    assert some(got.collect()) == some(want)
+    assert len(got.where("qid is null").collect()) == 5
+
+    q = spark.createDataFrame([(i, text(), [1.0, float(i)]) for i in range(50)], "qid long, text string, vec array<double>")
+    t = spark.createDataFrame([(i, text(), [float(i), 1.0]) for i in range(20)], "rid long, text string, vec array<double>")
+    words = F.split("text", " ")
+    few = A.text_topk(q, t, words, 3)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    for side in ("FEW", "HELD"):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(R, side, 5)
+            assert sorted(map(tuple, few.collect())) == sorted(map(tuple, A.text_topk(q, t, words, 3).collect()))
