@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -47,13 +48,16 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def spread(df: DataFrame, *keys: str, piece: int = 4 << 20, of: DataFrame | None = None) -> DataFrame:
-    """df by hash of the keys, in a partition for each `piece` bytes of the files that it (or `of`) reads: what a task holds of
-    a key-wise sum stays the same however large they are. Frames spread by the same keys and `of` join as they lie."""
+def spread(df: DataFrame, *keys: str, piece: int = 4 << 20, rows: int = 1 << 18, of: DataFrame | None = None) -> DataFrame:
+    """df by hash of the keys, in a partition for each `piece` bytes of the files that it (or `of`) reads, or for each `rows` rows
+    of those that are Parquet, whichever makes more: what a task holds of a key-wise sum stays the same however large they are
+    and however well they are packed. Frames spread by the same keys and `of` join as they lie."""
     jvm = df.sparkSession._jvm
     files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in (of or df).inputFiles()]  # names are URL-encoded
     size = sum(f.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
-    return df.repartition(max(8, -(-size // piece)), *keys)
+    packed = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f.toString()) for f in files if f.getName().endswith(".parquet")]
+    n = df.sparkSession.read.schema("__none int").parquet(*packed).count() if packed else 0  # of the footers
+    return df.repartition(max(8, -(-size // piece), -(-n // rows)), *keys)
 
 
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame | None:

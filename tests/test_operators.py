@@ -186,6 +186,20 @@ def test_spread_takes_partitions_by_file_size(spark, tmp_path):
     assert spread(df, "id").rdd.getNumPartitions() == 8
 
 
+def test_spread_takes_partitions_by_rows_of_well_packed_files(spark, tmp_path):
+    """Many rows in few bytes: a partition for each `rows` rows, also in a folder whose name reads like a pattern."""
+    from clinmill.sources.scratch import spread
+
+    where = str(tmp_path / "p[1]{x}*")
+    spark.range(300_000).selectExpr("id div 100000 AS row_id").write.parquet(where)
+    df = spark.read.parquet(where.replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}").replace("*", "\\*"))
+    assert df.count() == 300_000
+    assert spread(df, "row_id", rows=20_000).rdd.getNumPartitions() == 15
+    assert spread(df, "row_id", of=df.unionAll(df)).rdd.getNumPartitions() == 8
+    spark.range(3_000_000).selectExpr("id div 1000000 AS row_id").write.parquet(str(tmp_path / "few_bytes"))
+    assert spread(spark.read.parquet(str(tmp_path / "few_bytes")), "row_id").rdd.getNumPartitions() == 12
+
+
 def test_merge_proofs_count_what_is_broken(spark):
     """Lost, doubled, changed and re-parented rows, and null ids, each in its own check; no check sorts or holds a whole corpus."""
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "z")], "pid long, v string")
