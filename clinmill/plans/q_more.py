@@ -12,7 +12,7 @@ from ..operators import features as FE
 from ..operators import metrics as EV
 from ..operators import profile as P
 from .base import query
-from .q_score import BOOT, N_BOOT, NAMES, PAIRS, _boot, _hit, _rows, rep_sql
+from .q_score import BOOT, N_BOOT, NAMES, PAIRS, _boot, _hit, _known, _rows, rep_sql
 from .q_text import NORM, SPANS
 
 R6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
@@ -50,14 +50,14 @@ def _(gold, pred, enc):
     from pyspark.sql import Window
 
     few = enc.where("length(note) < 12")
-    c = EV.row_counts(gold, _hit(pred), _rows(few)).join(few.select(F.col("pid").alias("row_id"), "kind"), "row_id")
+    c = EV.row_counts(gold, _hit(pred), _rows(few)).join(_known(few, "kind"), "row_id")
     s = c.groupBy("kind").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in ("tp", "n_pred", "n_gold"))).select("kind", "n", F.round(C.prf("tp", "n_pred", "n_gold")["f1"], 6).alias("micro_f1"))
     return s.withColumn("place", F.row_number().over(Window.orderBy(F.desc("micro_f1"), "kind")))  # over systems
 
 
 @query("ev24_report_tables", f"WITH {PAIRS} SELECT split, year, count(*) AS n, round(coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(n_pred) + sum(n_gold), 0), 0), 6) AS micro_f1, round(avg((n_gold = 0)::INT), 6) AS empty_gold FROM rc JOIN enc ON pid = row_id GROUP BY split, year", *NAMES)
 def _(gold, pred, enc):
-    c = EV.row_counts(gold, _hit(pred), _rows(enc)).join(enc.select(F.col("pid").alias("row_id"), "split", "year"), "row_id")
+    c = EV.row_counts(gold, _hit(pred), _rows(enc)).join(_known(enc, "split", "year"), "row_id")
     s = c.groupBy("split", "year").agg(F.count("*").alias("n"), F.avg((F.col("n_gold") == 0).cast("double")).alias("e"), *(F.sum(x).alias(x) for x in ("tp", "n_pred", "n_gold")))
     return s.select("split", "year", "n", F.round(C.prf("tp", "n_pred", "n_gold")["f1"], 6).alias("micro_f1"), F.round("e", 6).alias("empty_gold"))
 

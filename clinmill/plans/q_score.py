@@ -25,6 +25,12 @@ def _rows(enc):
     return enc.select(F.col("pid").alias("row_id"))
 
 
+def _known(enc, *cols):
+    """Columns of encounters for their rows. They are as many as the rows, so they are merged: by the bytes of well-packed files
+    Spark would take them for a small table and copy them whole to each task."""
+    return enc.select(F.col("pid").alias("row_id"), *cols).hint("merge")
+
+
 def _hit(pred):
     return pred.where("p >= 0.5")
 
@@ -157,14 +163,14 @@ def _(gold, pred, enc):
 @query("ev18_benchmark_table", f"WITH {BOOT} SELECT c.system, e.split AS protocol, count(*) AS n, round(coalesce(2.0::DOUBLE * sum(tp) / nullif(sum(n_pred) + sum(n_gold), 0), 0), 6) AS micro_f1 FROM c JOIN enc e ON e.pid = c.row_id GROUP BY 1, 2", *NAMES)
 def _(gold, pred, enc):
     parts = [EV.row_counts(gold, pred.where(F.col("p") >= t), _rows(enc)).withColumn("system", F.lit(s)) for s, t in (("a", 0.4), ("b", 0.6))]
-    j = parts[0].unionByName(parts[1]).join(enc.select(F.col("pid").alias("row_id"), F.col("split").alias("protocol")), "row_id")
+    j = parts[0].unionByName(parts[1]).join(_known(enc, F.col("split").alias("protocol")), "row_id")
     s = j.groupBy("system", "protocol").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "n_pred", "n_gold")))
     return s.select("system", "protocol", "n", F.round(C.prf("tp", "n_pred", "n_gold")["f1"], 6).alias("micro_f1"))
 
 
 @query("ev22_by_group", f"WITH {PAIRS} SELECT kind, count(*) AS n, round(coalesce(2.0 * sum(tp) / nullif(sum(n_pred) + sum(n_gold), 0), 0), 6) AS micro_f1 FROM rc JOIN enc ON pid = row_id GROUP BY kind", *NAMES)
 def _(gold, pred, enc):
-    j = EV.row_counts(gold, _hit(pred), _rows(enc)).join(enc.select(F.col("pid").alias("row_id"), "kind"), "row_id")
+    j = EV.row_counts(gold, _hit(pred), _rows(enc)).join(_known(enc, "kind"), "row_id")
     s = j.groupBy("kind").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "n_pred", "n_gold")))
     return s.select("kind", "n", F.round(C.prf("tp", "n_pred", "n_gold")["f1"], 6).alias("micro_f1"))
 
@@ -234,7 +240,7 @@ RISK = f"{PAIRS}, {CONF}, ranked AS (SELECT row_number() OVER (ORDER BY round(co
 def _counts(gold, pred, enc):
     c = EV.row_counts(gold, _hit(pred), _rows(enc))
     of = gold.select("row_id").unionAll(pred.select("row_id")).unionAll(_rows(enc))
-    return c.join(AB.confidence(pred, 0.5, of), "row_id", "left").fillna(0.0, ["expected_f1", "max_prob"])
+    return c.join(AB.confidence(pred, 0.5, of).hint("merge"), "row_id", "left").fillna(0.0, ["expected_f1", "max_prob"])
 
 
 @query("ab03_risk_coverage", f"WITH {RISK} SELECT cov AS coverage, n, micro_f1 FROM curve", *NAMES)
@@ -293,7 +299,7 @@ def _(b):
 
 @query("ab09_policy_report", f"WITH {PAIRS}, {CONF}, x AS (SELECT rc.*, kind, coalesce(expected_f1, 0) >= 0.4 AS cover FROM rc JOIN enc ON pid = rc.row_id LEFT JOIN cf ON cf.row_id = rc.row_id) SELECT kind, count(*) AS n, round(avg(cover::INT), 6) AS coverage, round(coalesce(2.0::DOUBLE * sum(tp) FILTER (cover) / nullif(sum(n_pred + n_gold) FILTER (cover), 0), 0), 6) AS micro_f1 FROM x GROUP BY kind", *NAMES)
 def _(gold, pred, enc):
-    c = _counts(gold, pred, enc).join(enc.select(F.col("pid").alias("row_id"), "kind"), "row_id").withColumn("cover", F.col("expected_f1") >= 0.4)
+    c = _counts(gold, pred, enc).join(_known(enc, "kind"), "row_id").withColumn("cover", F.col("expected_f1") >= 0.4)
     return R6(AB.policy_report(c, ["kind"]), "coverage", "micro_f1")
 
 
@@ -315,7 +321,7 @@ def _(pred):
 
 @query("ab13_sparse_table", f"WITH {PAIRS}, {CONF}, x AS (SELECT rc.*, length(note) < 12 AS sparse, coalesce(expected_f1, 0) < 0.4 AS abstain FROM rc JOIN enc ON pid = rc.row_id LEFT JOIN cf ON cf.row_id = rc.row_id) SELECT sparse, count(*) AS n, round(avg(abstain::INT), 6) AS abstain_rate, round(coalesce(2.0::DOUBLE * sum(tp) FILTER (NOT abstain) / nullif(sum(n_pred + n_gold) FILTER (NOT abstain), 0), 0), 6) AS micro_f1 FROM x GROUP BY sparse", *NAMES)
 def _(gold, pred, enc):
-    c = _counts(gold, pred, enc).join(enc.select(F.col("pid").alias("row_id"), (F.length("note") < 12).alias("sparse")), "row_id").withColumn("cover", F.col("expected_f1") >= 0.4)
+    c = _counts(gold, pred, enc).join(_known(enc, (F.length("note") < 12).alias("sparse")), "row_id").withColumn("cover", F.col("expected_f1") >= 0.4)
     return AB.policy_report(c, ["sparse"]).select("sparse", "n", F.round(1 - F.col("coverage"), 6).alias("abstain_rate"), F.round("micro_f1", 6).alias("micro_f1"))
 
 

@@ -200,6 +200,16 @@ def test_spread_takes_partitions_by_rows_of_well_packed_files(spark, tmp_path):
     assert spread(spark.read.parquet(str(tmp_path / "few_bytes")), "row_id").rdd.getNumPartitions() == 12
 
 
+@pytest.mark.parametrize("name", ["ab13_sparse_table", "ev22_by_group"])
+def test_encounters_are_not_broadcast(spark, name):
+    """As many as the rows, they are a small table only by the bytes of their file."""
+    from clinmill.plans import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.count() > 1
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merge_proofs_count_what_is_broken(spark):
     """Lost, doubled, changed and re-parented rows, and null ids, each in its own check; no check sorts or holds a whole corpus."""
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "z")], "pid long, v string")
