@@ -210,6 +210,19 @@ def test_encounters_are_not_broadcast(spark, name):
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["sc09_prf", "jn20_match_predictions"])
+def test_row_counts_take_a_partition_for_so_many_rows(spark, tmp_path, name):
+    """By bytes the eight partitions that are the least would do."""
+    from clinmill.plans import QUERIES
+
+    line = spark.range(2_400_000, numPartitions=2).selectExpr("id div 800000 AS l_orderkey", "1L AS l_partkey", "1L AS l_suppkey", "1L AS l_linenumber")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(3).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE'2000-01-01' AS o_orderdate", "1.0D AS o_totalprice", "'a' AS o_orderpriority", "'F' AS o_orderstatus").write.parquet(str(tmp_path / "orders.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert "row_id" in df.columns and df.count() == 3
+    assert df.rdd.getNumPartitions() == 10
+
+
 def test_merge_proofs_count_what_is_broken(spark):
     """Lost, doubled, changed and re-parented rows, and null ids, each in its own check; no check sorts or holds a whole corpus."""
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "z")], "pid long, v string")
