@@ -474,6 +474,9 @@ def test_hybrid_equals_sql_and_exchanges_no_terms(spark, tmp_path):
     some = lambda rows: sorted((tuple(x) for x in rows if x[0] is not None), key=key)
     assert some(got.collect()) == some(want)
     assert len(got.where("qid is null").collect()) == 5
+    name = "fe16_fe17_final_codes"
+    final = lambda rows: sorted(((*x[:2], -1 if x[2] is None else x[2]) for x in rows if x[0] is not None))
+    assert final(QUERIES[name](spark, str(tmp_path)).select("qid", "tier", "final").collect()) == final(con.execute(ORACLE_SQL[name]).fetchall())
 
     q = spark.createDataFrame([(i, text(), [1.0, float(i)]) for i in range(50)], "qid long, text string, vec array<double>")
     t = spark.createDataFrame([(i, text(), [float(i), 1.0]) for i in range(20)], "rid long, text string, vec array<double>")
