@@ -27,13 +27,14 @@ def row_counts(gold: DataFrame, pred: DataFrame, rows: DataFrame | None = None)
 
     Both sides and the rows meet in one shuffle by row_id and are added up there, without a join. Pairs with a null
     equal nothing."""
-    null = F.lit(None)
-    mark = lambda s: F.when(F.col("row_id").isNull() | F.col("label").isNull(), s).alias("__s")
-    side = lambda d, s: d.select("row_id", "label", mark(s), F.lit(int(s == 1)).alias("g"), F.lit(int(s == 2)).alias("h"), F.lit(0).alias("r"))
+    side = lambda d, s: d.select("row_id", "label", F.lit(s).alias("s"))
     u = side(gold, 1).unionByName(side(pred, 2))
     if rows is not None:
-        u = u.unionByName(side(rows.select("row_id", null.cast(gold.schema["label"].dataType).alias("label")), 3).withColumn("r", F.lit(1)))
-    each = spread(u, "row_id").groupBy("row_id", "label", "__s").agg(F.max("g").alias("g"), F.max("h").alias("h"), F.sum("r").alias("r"))
+        u = u.unionByName(side(rows.select("row_id", F.lit(None).cast(gold.schema["label"].dataType).alias("label")), 3))
+    # what follows from the side is added after the shuffle
+    apart = F.when(F.col("row_id").isNull() | F.col("label").isNull(), F.col("s")).alias("__s")
+    u = spread(u, "row_id").select("row_id", "label", apart, *((F.col("s") == k).cast("int").alias(x) for k, x in enumerate("ghr", 1)))
+    each = u.groupBy("row_id", "label", "__s").agg(F.max("g").alias("g"), F.max("h").alias("h"), F.sum("r").alias("r"))
     c = each.groupBy("row_id").agg(F.sum(F.col("g") * F.col("h")).alias("tp"), F.sum("h").alias("n_pred"), F.sum("g").alias("n_gold"), F.sum("r").alias("r"))
     if rows is None:
         return c.drop("r")

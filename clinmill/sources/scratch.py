@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
+#: Partitions up to which a task writes rows to their files as they come. For more, it holds and sorts all that it reads.
+DIRECT = 200
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Only a local session, where one machine does all, may lack it."""
@@ -51,13 +54,19 @@ def dropped(*tables: DataFrame) -> None:
 def spread(df: DataFrame, *keys: str, piece: int = 4 << 20, rows: int = 1 << 18, of: DataFrame | None = None) -> DataFrame:
     """df by hash of the keys, in a partition for each `piece` bytes of the files that it (or `of`) reads, or for each `rows` rows
     of those that are Parquet, whichever makes more: what a task holds of a key-wise sum stays the same however large they are
-    and however well they are packed. Frames spread by the same keys and `of` join as they lie."""
+    and however well they are packed. Frames spread by the same keys and `of` join as they lie.
+
+    For more than DIRECT partitions rows are dealt out to DIRECT tasks first: a task of the scan may read 128 MB of well-packed
+    files, which it would hold, and one of these a DIRECT-th of the rows."""
     jvm = df.sparkSession._jvm
     files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in (of or df).inputFiles()]  # names are URL-encoded
     size = sum(f.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(f).getLen() for f in files)
     packed = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f.toString()) for f in files if f.getName().endswith(".parquet")]
     n = df.sparkSession.read.schema("__none int").parquet(*packed).count() if packed else 0  # of the footers
-    return df.repartition(max(8, -(-size // piece), -(-n // rows)), *keys)
+    parts = max(8, -(-size // piece), -(-n // rows))
+    if parts > DIRECT:
+        df = df.withColumn("__d", F.xxhash64(*keys)).repartition(DIRECT, "__d").drop("__d")
+    return df.repartition(parts, *keys)
 
 
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame | None:

@@ -223,6 +223,42 @@ def test_row_counts_take_a_partition_for_so_many_rows(spark, tmp_path, name):
     assert df.rdd.getNumPartitions() == 10
 
 
+def test_spread_into_many_partitions_goes_by_few(spark, tmp_path):
+    """Beyond DIRECT partitions a task of the scan would hold its whole split; the tasks between hold even parts of the rows."""
+    from clinmill.sources import scratch
+
+    spark.range(100_000, numPartitions=1).selectExpr("id % 50000 AS row_id").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    steps = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+    assert steps(scratch.spread(df, "row_id", rows=500)) == 1
+    many = scratch.spread(df, "row_id", rows=400)
+    assert steps(many) == 2 and many.rdd.getNumPartitions() == 250 and many.columns == ["row_id"]
+    assert many.groupBy("row_id").count().where("count = 2").count() == 50_000
+    first = many._jdf.queryExecution().optimizedPlan().children().head().children().head()
+    between = df.withColumn("__d", F.xxhash64("row_id")).repartition(scratch.DIRECT, "__d")
+    assert "RepartitionByExpression [__d" in first.toString().splitlines()[0]
+    assert between.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2 * 100_000 / scratch.DIRECT
+
+
+@pytest.mark.parametrize("name", ["sc09_prf", "jn20_match_predictions"])
+def test_row_counts_in_two_steps_equal_sql(spark, monkeypatch, name):
+    import duckdb
+
+    from clinmill.plans import ORACLE_SQL, QUERIES
+    from clinmill.sources import scratch
+
+    monkeypatch.setattr(scratch, "DIRECT", 4)
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    want = con.execute(ORACLE_SQL[name].replace(" AS STRING", " AS VARCHAR"))
+    cols = [c[0] for c in want.description]
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want.fetchall())
+
+
 def test_merge_proofs_count_what_is_broken(spark):
     """Lost, doubled, changed and re-parented rows, and null ids, each in its own check; no check sorts or holds a whole corpus."""
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y"), (None, "z")], "pid long, v string")
