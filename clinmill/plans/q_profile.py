@@ -54,25 +54,27 @@ def _(ev, c):
 
 @query("jn06_so02_corpus_union", "SELECT corpus, pid, src_pid, n_name FROM (SELECT kind AS corpus, site, src_pid, src_pid + CASE kind WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 100000000 ELSE 200000000 END AS pid FROM (SELECT kind, site, row_number() OVER (PARTITION BY kind ORDER BY pid) AS src_pid FROM enc WHERE kind IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))) LEFT JOIN nation ON n_nationkey = site", "enc", "nation")
 def _(enc, n):
-    m = _merged(enc)[1]
+    m = _merged(enc)
     return A.map_join(m.select("corpus", "pid", "src_pid", F.col("site").alias("n_nationkey")), n.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name"), "n_nationkey").select("corpus", "pid", "src_pid", "n_name")
 
 
 OFFSETS = {"1-URGENT": 0, "2-HIGH": 100_000_000, "3-MEDIUM": 200_000_000}
 
 
-def _corpora(enc: DataFrame) -> dict[str, DataFrame]:
-    """Sister corpora whose ids all start at 1, written once."""
+def _numbered(enc: DataFrame) -> DataFrame:
+    """Encounters of the sister corpora, their ids counted from 1 in each corpus, beside the ids that they had (own); written once."""
     from ..sources.scratch import stored
 
-    e = M.numbered(enc.where(F.col("kind").isin(*OFFSETS)), "kind", "pid", "new").drop("pid").withColumnRenamed("new", "pid")
-    e = stored(e)
-    return {k: e.where(F.col("kind") == k).drop("kind") for k in OFFSETS}
+    return stored(M.numbered(enc.where(F.col("kind").isin(*OFFSETS)), "kind", "pid", "new").withColumnsRenamed({"pid": "own", "new": "pid"}))
+
+
+def _corpora(e: DataFrame) -> dict[str, DataFrame]:
+    """A frame for each corpus of numbered encounters or of their children."""
+    return {k: e.where(F.col("kind") == k).drop("kind", "own") for k in OFFSETS}
 
 
 def _merged(enc):
-    parts = _corpora(enc)
-    return parts, M.merge_corpora(parts, OFFSETS, ["pid"])
+    return M.merge_corpora(_corpora(_numbered(enc)), OFFSETS, ["pid"])
 
 
 @query("jn07_map_join", "SELECT pid, line, p_type FROM rx LEFT JOIN part ON p_partkey = drug", "rx", "part")
@@ -450,9 +452,14 @@ def _(enc):
 
 
 def _proof(enc, rx):
-    parts, m = _merged(enc)
-    child = {k: p.select("pid").withColumn("item", F.lit(1)) for k, p in parts.items()}
-    return M.verify_ids(parts, m, "pid", OFFSETS, {"rx": (child, M.merge_corpora(child, OFFSETS, ["pid"]))})
+    """The proofs over encounters and their orders: each order is a child of the encounter that it was written for, under that one's new id."""
+    from ..sources.scratch import spread, stored
+
+    e, of = _numbered(enc), rx.select("pid").unionAll(enc.select("pid"))
+    parents = spread(e.select("own", "kind", "pid"), "own", of=of).hint("merge")  # as many as the rows, see _known of q_score
+    orders = spread(rx.select(F.col("pid").alias("own")), "own", of=of)
+    parts, child = _corpora(e), _corpora(stored(orders.join(parents, "own").select("kind", "pid")))
+    return M.verify_ids(parts, M.merge_corpora(parts, OFFSETS, ["pid"]), "pid", OFFSETS, {"rx": (child, M.merge_corpora(child, OFFSETS, ["pid"]))})
 
 
 @query("cm01_cm11_proofs", "SELECT c AS \"check\", true AS passed, CASE WHEN c = 'collision_is_real' THEN (SELECT count(*)::VARCHAR FROM (SELECT r FROM (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY pid) AS r FROM enc WHERE kind IN ('1-URGENT', '2-HIGH', '3-MEDIUM')) GROUP BY r HAVING count(DISTINCT kind) > 1)) ELSE '0' END AS detail FROM (SELECT unnest(['collision_is_real','merged_id_unique','bijection','source_ids_round_trip','blocks_disjoint','no_id_crosses_corpora','no_child_re_parented_rx','resolution_rx','slice_equals_source_1-URGENT','slice_equals_source_2-HIGH','slice_equals_source_3-MEDIUM']) AS c)", "enc", "rx")

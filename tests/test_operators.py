@@ -276,6 +276,22 @@ def test_merge_proofs_count_what_is_broken(spark):
     }
 
 
+def test_merge_proofs_take_the_orders_as_children(spark, monkeypatch):
+    """Every order of a corpus is a child under its encounter's new id; encounters without orders, orders of other kinds, of none and without a key are none."""
+    from clinmill.plans import q_profile as Q
+
+    seen, proofs = [], M.verify_ids
+    monkeypatch.setattr(M, "verify_ids", lambda *a: seen.append(a[4]["rx"]) or proofs(*a))
+    enc = spark.createDataFrame([(10, "1-URGENT"), (20, "1-URGENT"), (11, "2-HIGH"), (15, "4-NONE"), (31, "3-MEDIUM"), (31, "3-MEDIUM"), (None, "3-MEDIUM")], "pid long, kind string")
+    rx = spark.createDataFrame([(20, 1), (20, 2), (20, 3), (11, 1), (15, 1), (31, 1), (99, 1), (None, 1)], "pid long, line int")
+    rep = Q._proof(enc, rx).collect()
+    (own, merged), = seen
+    rows = lambda d: sorted(r["pid"] for r in d.collect())
+    assert {k: rows(d) for k, d in own.items()} == {"1-URGENT": [2, 2, 2], "2-HIGH": [1], "3-MEDIUM": [2, 3]}
+    assert rows(merged) == [2, 2, 2, 100_000_001, 200_000_002, 200_000_003]
+    assert all(r["passed"] for r in rep) and len(rep) == 11
+
+
 def test_numbers_in_a_group_are_ranked_in_ranges(spark):
     rows = [(k * k, "g" if k % 3 else "h") for k in range(1000)]
     got = M.numbered(spark.createDataFrame(rows, "k long, g string"), "g", "k", "n", most=50)
