@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import prf
-from ..sources.scratch import spread, stored
+from ..sources.scratch import placed, spread, stored
 from .select import quantiles
 
 GRID = [round(0.05 * k, 2) for k in range(1, 21)]
@@ -20,16 +20,19 @@ CELL = 1 << 16
 def confidence(pred: DataFrame, thr: float, of: DataFrame | None = None) -> DataFrame:
     """Per row of (row_id, label, p): max_prob, margin, n_above_thr, neg_entropy, expected_f1 at a threshold.
 
-    A row's labels meet in partitions of a fixed size before they are added up (spread; `of` as there)."""
+    A row's labels meet in partitions of a fixed size before they are added up (spread; `of` as there). expected_f1 adds them up in
+    the order of the table, so that rows that tie to the last bit in SQL tie here and a cut between them falls alike, however they are dealt out."""
     p, eps = F.col("p"), 1e-9
     hit = p >= thr
-    two = F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 2)
-    top = spread(pred.select("row_id", "p"), "row_id", of=of).groupBy("row_id").agg(
-        two.alias("__t"),
+    added = lambda of: F.aggregate("__l", F.lit(0.0), lambda s, x: s + of(x["p"]))
+    top = spread(placed(pred.select("row_id", "p"), "__i"), "row_id", of=of).groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.when(p.isNotNull(), F.struct("__i", "p")))).alias("__l"),
         F.count_if(hit).cast("double").alias("n_above_thr"),
         F.sum(p * F.log(p + eps) + (1 - p) * F.log(1 - p + eps)).alias("neg_entropy"),
-        (2 * F.sum(F.when(hit, p).otherwise(0.0)) / F.greatest(F.count_if(hit) + F.sum(p), F.lit(1e-9))).alias("expected_f1"),
     )
+    two = F.slice(F.sort_array(F.transform("__l", lambda x: x["p"]), asc=False), 1, 2)
+    f1 = 2 * added(lambda v: F.when(v >= thr, v).otherwise(0.0)) / F.greatest(F.col("n_above_thr") + added(lambda v: v), F.lit(1e-9))
+    top = top.select("row_id", two.alias("__t"), "n_above_thr", "neg_entropy", f1.alias("expected_f1"))
     return top.select("row_id", F.get("__t", F.lit(0)).alias("max_prob"), (F.get("__t", F.lit(0)) - F.coalesce(F.get("__t", F.lit(1)), F.lit(0.0))).alias("margin"), "n_above_thr", "neg_entropy", "expected_f1")
 
 
@@ -124,7 +127,8 @@ def policy_report(counts: DataFrame, by: list[str]) -> DataFrame:
 def rank_equivalence(conf: DataFrame, col: str, coverage: float) -> DataFrame:
     """(n, n_covered, cutpoint, n_differ): rows at or above the frozen cut, and those on which the cut disagrees with
     the batch's own choice, its n_covered best rows. The k-th largest value of the k rows above the cut is their
-    minimum, so the batch needs no sort; rows that tie with it are all above the cut."""
+    minimum, so the batch needs no sort; rows that tie with it are all above the cut. Confidences are written once for all steps."""
+    conf = stored(conf.select(col))
     cut = quantiles(conf, {col: [round(1 - coverage, 12)]})[col][0]  # 1 - 0.8 is no 0.2, and the rank would lie beside a whole one
     j = conf.withColumn("__c", F.lit(cut).cast("double"))
     kth = j.where(F.col(col) >= F.col("__c")).agg(F.min(col).alias("__t"), F.count("*").alias("__k"))

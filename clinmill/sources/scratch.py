@@ -69,6 +69,17 @@ def spread(df: DataFrame, *keys: str, piece: int = 4 << 20, rows: int = 1 << 18,
     return df.repartition(parts, *keys)
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df, which reads one table, with the place of a row in it as `name`: files go by their names, as DuckDB takes them, and not by size as
+    Spark's tasks do. To be called before rows are exchanged."""
+    files, at = sorted(set(df.inputFiles())), F.monotonically_increasing_id()  # which rises with the place in a file
+    if len(files) < 2:
+        return df.withColumn(name, at)
+    order = df.sparkSession.createDataFrame(list(enumerate(files)), "__f int, __path string")
+    d = df.withColumns({"__p": F.input_file_name(), "__m": at})
+    return d.join(F.broadcast(order), d["__p"] == order["__path"], "left").select(*df.columns, F.struct("__f", "__m").alias(name))
+
+
 def if_small(table: DataFrame, most: int = 20_000) -> DataFrame | None:
     """A table marked for broadcast if it has at most `most` rows, else None."""
     return F.broadcast(table) if table.limit(most + 1).count() <= most else None

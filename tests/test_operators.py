@@ -174,6 +174,37 @@ def test_rank_equivalence_cuts_at_whole_rank(spark, monkeypatch):
     assert asked == [{"c": [0.2]}]
 
 
+@pytest.mark.parametrize("files", [1, 3])
+def test_confidence_adds_up_in_the_order_of_the_table(spark, tmp_path, files):
+    """Bit by bit the sums of one DuckDB thread, though rows arrive from many tasks, and from files whose sizes and names go unlike."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r, n = np.random.default_rng(4), 6000
+    cut = np.split(np.arange(n), {1: [], 3: [500, 2000]}[files])  # the largest file comes last
+    row, p = r.integers(0, 400, n), r.integers(0, 101, n) / 100.0
+    for k, at in enumerate(cut):
+        pq.write_table(pa.table({"row_id": row[at], "label": [f"c{x}" for x in at % 12], "p": pa.array([None if x % 50 == 7 else p[x] for x in at])}), str(tmp_path / f"part-{k}.parquet"), row_group_size=100)
+    with duckdb.connect() as c:
+        c.execute("set threads = 1")
+        sql = "select row_id, 2 * sum(case when p >= 0.5 then p else 0 end) / greatest(count_if(p >= 0.5) + sum(p), 1e-9) from read_parquet(?) group by row_id"
+        want = dict(c.execute(sql, [str(tmp_path / "*.parquet")]).fetchall())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        pred = spark.read.parquet(str(tmp_path))
+        assert pred.rdd.getNumPartitions() > 5
+        late = lambda d, *keys, of=None: d.orderBy(F.xxhash64("p", "row_id"))  # noqa: E731  rows come in another order
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(AB, "spread", late)
+            got = {x["row_id"]: x["expected_f1"] for x in AB.confidence(pred, 0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == want
+
+
 def test_spread_takes_partitions_by_file_size(spark, tmp_path):
     """A folder with a space in its name; a partition for each piece, at least eight."""
     from clinmill.sources.scratch import spread
