@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import cosine
 from ..sources.scratch import if_small
-from .retrieve import block_topk, hybrid_topk, pivot_topk, sparse_topk, text_topk, with_terms  # noqa: F401
+from .retrieve import block_topk, hybrid_topk, pivot_topk, sparse_topk, text_topk, texts_topk, with_terms  # noqa: F401
 
 
 def build_encounter_extract(rx: DataFrame, visit: DataFrame, on: str, dims: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -132,7 +132,11 @@ def knn_label_vote(train: DataFrame, test: DataFrame, gold: DataFrame, k: int =
     train and test are (row_id, term, w) with L2-normed weights; neighbours come from an inverted index over all
     terms (sparse_topk)."""
     side = lambda d, name: d.select(F.col("row_id").alias(name), "term", "w")
-    top = sparse_topk(side(test, "qid"), side(train, "rid"), k)
+    return label_vote(sparse_topk(side(test, "qid"), side(train, "rid"), k), gold, votes)
+
+
+def label_vote(top: DataFrame, gold: DataFrame, votes: int = 2) -> DataFrame:
+    """(row_id, label, votes): labels that at least `votes` of a row's neighbours (qid, rid) have."""
     return top.join(gold, top["rid"] == gold["row_id"]).groupBy(F.col("qid").alias("row_id"), "label").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
 
 

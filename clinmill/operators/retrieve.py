@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +17,17 @@ from .graph import components
 
 #: Rows of a block on either side; terms whose columns are multiplied at once.
 BLOCK, WIDTH = 512, 4096
-#: Reference rows of an index block, query rows that visit it together; a query's terms for its first bound, and the
-#: longest posting list of one of these.
-INDEX, VISIT, FIRST, SHORT = 4096, 1024, 8, 64
-#: Parts of either side at which there are tasks enough, so that blocks may grow, and how often their rows at most.
+#: Reference rows of an index block, query rows that visit it together, and terms that either holds at most.
+INDEX, VISIT, POSTINGS = 16384, 4096, 1 << 21
+#: Terms that more than a FIRST-th of an index block's rows hold are multiplied as a matrix, the SHORT most frequent of them at most,
+#: for so many queries at once.
+FIRST, SHORT, ASKED = 16, 512, 256
+#: Parts of either side at which there are tasks enough, so that parts may grow, and how often their rows at most.
 SPREAD, GROWN = 8, 8
 #: References, and terms of all of them, up to which every task gets the whole side.
 FEW, HELD = 2_000, 1 << 20
+#: Terms of texts that every task and the driver hold at most.
+HOT = 1 << 18
 #: Pivots at most (the driver compares them with each other), and what rounding of angles may cost a bound.
 PIVOTS, SLACK = 1024, 1e-6
 
@@ -117,75 +122,211 @@ def block_topk(queries: DataFrame, refs: DataFrame, k: int, alpha: float) -> Dat
 
 
 class Index:
-    """An inverted index of a block of reference rows: postings by term, and terms by row."""
+    """An inverted index of a block of reference rows: postings by term, terms by row, and a matrix of the frequent terms."""
 
     def __init__(self, rids: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray]):
         order = np.argsort(rids, kind="stable")
-        self.rids = rids[order]
         size = np.array([len(terms[k]) for k in order], np.int64)
-        self.row_at = np.concatenate(([0], np.cumsum(size)))
-        t, w = np.concatenate([terms[k] for k in order]), np.concatenate([weights[k] for k in order])
-        self.terms, self.of = np.unique(t, return_inverse=True)
-        self.w = w
-        by = np.argsort(self.of, kind="stable")
-        self.rows, self.weights = np.repeat(np.arange(len(order)), size)[by], w[by]
-        self.at = np.concatenate(([0], np.cumsum(np.bincount(self.of, minlength=len(self.terms)))))
-        self.most = np.maximum.reduceat(self.weights, self.at[:-1]) if len(by) else np.zeros(0)
+        flat = lambda x, kind: np.concatenate([np.asarray(x[k], kind) for k in order] or [np.empty(0, kind)])
+        self._set(rids[order], *_by_term(size, flat(terms, np.int64), flat(weights, float)))
+
+    @classmethod
+    def of(cls, *parts: np.ndarray) -> Index:
+        """From rids in their order, terms, and by term the places of its postings, rows and weights."""
+        index = cls.__new__(cls)
+        index._set(*parts)
+        return index
+
+    def _set(self, rids: np.ndarray, terms: np.ndarray, at: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
+        self.rids, self.terms, self.at, self.rows, self.weights = rids, terms, at.astype(np.int64), rows.astype(np.int64), weights
+        n, size = len(rids), np.diff(self.at)
+        order = np.argsort(rows, kind="stable")
+        self.own, self.w = np.repeat(np.arange(len(terms), dtype=np.int32), size)[order], weights[order]
+        self.row_at = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n))))
+        often = np.flatnonzero(size * FIRST > n)
+        often = often[np.argsort(-size[often], kind="stable")[:SHORT]]
+        self.column = np.full(len(terms), -1)  # of the matrix
+        self.column[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), n), np.float32)
+        at = _ranges(self.at[often], size[often])
+        self.matrix[np.repeat(np.arange(len(often)), size[often]), rows[at]] = weights[at]
+        self.slack = (len(often) + 2) * 2.0**-23 * math.sqrt(float(np.bincount(rows[at], weights[at] ** 2).max())) if len(often) else 0.0
+        self.dense = np.zeros(len(terms))
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k largest products of at least `least`, ties to the smallest rid.
-
-        Terms are taken by their largest possible part of a score. Once all that is left can't lift a row without
-        any of the terms so far to the score wanted, only rows met so far go on, and of these the ones that the rest
-        can still lift; their products are then summed over their own terms."""
+        """(rows, scores) of the k largest products of at least `least`, ties to the smallest rid."""
         c = np.searchsorted(self.terms, terms)
         c[c == len(self.terms)] = 0
         own = self.terms[c] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        c, w = c[own], weights[own]
-        part = w * self.most[c]
-        order = np.argsort(-part, kind="stable")
-        c, w, rest = c[order], w[order], np.append(np.cumsum(part[order][::-1])[::-1], 0.0)
-        score = np.zeros(len(self.rids))
-        used = len(c)
-        for j in range(len(c)):
-            if rest[j] < least:
-                used = j
-                break
-            a, b = self.at[c[j]], self.at[c[j] + 1]
-            score[self.rows[a:b]] += w[j] * self.weights[a:b]
-            if j % 16 == 15 and len(score) > k:
-                least = max(least, float(np.partition(score, -k)[-k]) - 1e-9)
-        met = np.flatnonzero((score > 0) & (score + rest[used] >= least))
-        if used < len(c) and len(met):
-            dense = np.zeros(len(self.terms))
-            dense[c] = w
-            size = self.row_at[met + 1] - self.row_at[met]
-            at = np.repeat(self.row_at[met] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-            exact = np.add.reduceat(self.w[at] * dense[self.of[at]], np.concatenate(([0], np.cumsum(size)[:-1])))
-        else:
-            exact = score[met]
+        return next(self.tops([(c[own], weights[own])], k, least))
+
+    def tops(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, least: float = 0.0):
+        """best of each of some queries (places of terms, weights). Frequent terms are multiplied as a matrix of single precision, rare ones summed
+        from their postings; rows that the k best may be among, by what rounding can cost, are then summed over their own terms."""
+        for lo in range(0, len(queries), ASKED):
+            some = queries[lo : lo + ASKED]
+            asked = np.zeros((len(some), len(self.matrix)), np.float32)
+            for x, (c, w) in zip(asked, some, strict=True):
+                col = self.column[c]
+                x[col[col >= 0]] = w[col >= 0]
+            for x, s, (c, w) in zip(asked, asked @ self.matrix, some, strict=True):
+                yield self._top(c, w, s, k, least - 1e-9 - 2 * self.slack * math.sqrt(float(x @ x)), 1e-9 + 2 * self.slack * math.sqrt(float(x @ x)))
+
+    def _top(self, c: np.ndarray, w: np.ndarray, score: np.ndarray, k: int, least: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.column[c] < 0
+        a, size = self.at[c[rare]], self.at[c[rare] + 1] - self.at[c[rare]]
+        at = _ranges(a, size)
+        score = score + np.bincount(self.rows[at], np.repeat(w[rare], size) * self.weights[at], len(self.rids))
+        if len(score) > k:
+            least = max(least, float(np.partition(score, -k)[-k]) - slack)
+        met = np.flatnonzero((score > 0) & (score >= least))
+        self.dense[c] = w
+        size = self.row_at[met + 1] - self.row_at[met]
+        at = _ranges(self.row_at[met], size)
+        exact = np.bincount(np.repeat(np.arange(len(met)), size), self.w[at] * self.dense[self.own[at]], len(met))
+        self.dense[c] = 0
         exact = np.round(exact, 9)
         order = np.argsort(-exact, kind="stable")[:k]
         order = order[exact[order] > 0]
         return met[order], exact[order]
 
 
-def _visit(k: int):
-    def f(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(r):
-            index = Index(r["rid"].to_numpy(), [np.asarray(x, np.int64) for x in r["terms"]], [np.asarray(x, float) for x in r["weights"]])
-            for qid, terms, weights, least in zip(q["qid"], q["terms"], q["weights"], q["least"], strict=True):
-                rows, scores = index.best(np.asarray(terms, np.int64), np.asarray(weights, float), k, least - 1e-9)
-                out += zip([qid] * len(rows), index.rids[rows], scores, strict=True)
-        return pd.DataFrame(out, columns=["qid", "rid", "score"])
+def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges that begin at lo, one after the other."""
+    return np.arange(size.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) if len(lo) else np.empty(0, np.int64)
+
+
+def _by_term(size: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of `size` terms as postings: terms, places by term, rows and weights."""
+    own, of = np.unique(terms, return_inverse=True)
+    by = np.argsort(of, kind="stable")
+    at = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(own)))))
+    row = np.repeat(np.arange(len(size)), size)[by]
+    return own, at, row.astype(np.uint16 if len(size) < 1 << 16 else np.int64), weights[by]
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and all values of an Arrow column of lists."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _given(b: pa.RecordBatch):
+    size, terms = _lists(b.column("terms"))
+    return b.column("id"), size, terms, _lists(b.column("weights"))[1]
+
+
+def _known(terms: np.ndarray, idf: np.ndarray):
+    """Rows of Arrow batches (id, terms), a term as often as it occurs: sublinear frequencies times idf, each row of length 1. Other terms
+    than the sorted `terms` come weighed, as lists t and w, if at all."""
+
+    def f(b: pa.RecordBatch):
+        size, t = _lists(b.column("terms"))
+        row, c, w, _ = _counted(size, t, terms, idf)
+        t = terms[c]
+        if "t" in b.schema.names:
+            more, other = _lists(b.column("t"))
+            row = np.concatenate((row, np.repeat(np.arange(len(size)), more)))
+            by = np.argsort(row, kind="stable")
+            row, t, w = row[by], np.concatenate((t, other))[by], np.concatenate((w, _lists(b.column("w"))[1]))[by]
+        return b.column("id"), np.bincount(row, minlength=len(size)), t, w / np.sqrt(np.bincount(row, w * w, len(size)))[row]
+
+    return f
+
+
+def _counted(size: np.ndarray, t: np.ndarray, terms: np.ndarray, idf: np.ndarray):
+    """(rows, places, weights) of the known terms of rows, in the order of rows, and whether each of t is known."""
+    row = np.repeat(np.arange(len(size)), size)
+    c = np.searchsorted(terms, t)
+    ok = terms[np.minimum(c, len(terms) - 1)] == t if len(terms) else np.zeros(len(t), bool)
+    at, tf = np.unique(row[ok] * max(1, len(terms)) + c[ok], return_counts=True)
+    row, c = np.divmod(at, max(1, len(terms)))
+    return row, c, (1 + np.log(tf)) * idf[c], ok
+
+
+def _blocks(rows, most: int, by_term: bool):
+    """Blocks of Arrow batches, one a row: ids, and as bytes the terms and either their postings or the terms of each row."""
+
+    def block(ids: pa.Array, size: np.ndarray, t: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        if by_term:  # of equal scores the smallest id comes first
+            order = pc.array_sort_indices(ids).to_numpy()
+            at = _ranges((np.cumsum(size) - size)[order], size[order])
+            ids, size, t, w = ids.take(pa.array(order)), size[order], t[at], w[at]
+            parts = _by_term(size, t, w)
+        else:
+            own, of = np.unique(t, return_inverse=True)
+            parts = own, size.astype(np.int64), of.astype(np.int32), w
+        held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([held, *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["ids", "terms", "at", "rows", "weights"])
+
+    def f(batches):
+        held, n = [], [0, 0]
+        whole = lambda: block(pa.concat_arrays([x[0] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (1, 2, 3)))
+        for b in batches:
+            ids, size, t, w = rows(b)
+            end = np.concatenate(([0], np.cumsum(size)))
+            lo = 0
+            while lo < len(ids):  # as many rows as still fit, one at least
+                hi = min(len(ids), lo + most - n[0], int(np.searchsorted(end, end[lo] + POSTINGS - n[1], "right")) - 1)
+                hi = max(hi, lo + (not held))
+                if hi > lo:
+                    held.append((ids.slice(lo, hi - lo), size[lo:hi], t[end[lo] : end[hi]], w[end[lo] : end[hi]]))
+                    n = [n[0] + hi - lo, n[1] + int(end[hi] - end[lo])]
+                lo = hi
+                if lo < len(ids):
+                    yield whole()
+                    held, n = [], [0, 0]
+        if held:
+            yield whole()
+
+    return f
+
+
+def _visits(k: int):
+    """Top lists of Arrow batches of pairs of a block of references and one of queries."""
+
+    def f(batches):
+        last, index = None, None
+        for b in batches:
+            for x in range(b.num_rows):
+                raw = lambda name, kind, x=x, b=b: np.frombuffer(b.column(name)[x].as_buffer(), kind)
+                rids = b.column("rids")[x].values
+                if last is None or not last.equals(rids):  # pairs of a block of references follow each other
+                    last = rids
+                    index = Index.of(np.arange(len(rids)), raw("r_terms", np.int64), raw("r_at", np.int64), raw("r_rows", np.uint16 if len(rids) < 1 << 16 else np.int64), raw("r_weights", float))
+                own, size, of, w = raw("terms", np.int64), raw("at", np.int64), raw("rows", np.int32), raw("weights", float)
+                c = np.searchsorted(index.terms, own)
+                c[c == len(index.terms)] = 0
+                c = np.where(index.terms[c] == own, c, -1)[of] if len(index.terms) else np.full(len(of), -1)
+                end = np.concatenate(([0], np.cumsum(size)))
+                asked = [(x[x >= 0], v[x >= 0]) for x, v in ((c[i:j], w[i:j]) for i, j in zip(end[:-1], end[1:], strict=True))]
+                out = [(np.full(len(rows), q), rows, scores) for q, (rows, scores) in enumerate(index.tops(asked, k))]
+                at, rows, scores = (np.concatenate([o[j] for o in out]) for j in range(3))
+                yield pa.RecordBatch.from_arrays([b.column("ids")[x].values.take(pa.array(at.astype(np.int64))), rids.take(pa.array(rows.astype(np.int64))), pa.array(scores.astype(float))], names=["qid", "rid", "score"])
 
     return f
 
 
+def _search(queries: DataFrame, refs: DataFrame, k: int, of=(_given, _given)) -> DataFrame:
+    """(qid, rid, score, rank) of rows (id, ...) that `of` weighs. Both sides are written once as blocks; each pair of blocks meets in a task
+    that reads them there, so pairs are neither shuffled nor copied, and a block of references keeps k a query."""
+    spark = queries.sparkSession
+    kind = [d.schema["id"].dataType.simpleString() for d in (queries, refs)]
+    block = lambda d, f, most, t: stored(d.mapInArrow(_blocks(f, most, t), f"ids array<{d.schema['id'].dataType.simpleString()}>, terms binary, at binary, rows binary, weights binary"))
+    q, r = block(queries, of[0], VISIT, False), block(refs, of[1], min(INDEX, (1 << 16) - 1), True)
+    r = r.select(F.col("ids").alias("rids"), *(F.col(c).alias(f"r_{c}") for c in ("terms", "at", "rows", "weights")))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")  # a pair at a time in memory
+    try:
+        s = stored(r.hint("shuffle_replicate_nl").crossJoin(q).mapInArrow(_visits(k), f"qid {kind[0]}, rid {kind[1]}, score double"))
+    finally:
+        spark.conf.set(name, before)
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _parts(n: int, size: int) -> int:
-    """Parts that n rows are cut into: of `size` rows while these are few, then of up to GROWN times as many. Each row is
-    copied for the parts of the other side, so what is shuffled grows with the number of parts."""
+    """Parts that n rows are cut into: of `size` rows while these are few, then of up to GROWN times as many."""
     return max(1, min(-(-n // size), SPREAD), -(-n // (GROWN * size)))
 
 
@@ -193,38 +334,56 @@ def sparse_topk(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     """(qid, rid, score, rank): the k references of the largest positive products of weighted terms, exact.
 
     queries are (qid, term, w) and refs (rid, term, w), a row per term, weights above 0. Ties, to nine decimals, go to
-    the smallest rid. References form an inverted index in hashed blocks of about INDEX rows. A query's k-th product
-    over its FIRST heaviest rare terms bounds what its k-th best score must reach; terms are taken by the largest part
-    of a score that they can give, until all others together stay below that bound: any reference that belongs
-    to the result holds one of those taken. A query visits only blocks in which one of them occurs, and there postings
-    end as soon as the bound allows. Hot terms meet by block, not by row."""
-    kinds = {n: d.schema[n].dataType.simpleString() for d, n in ((queries, "qid"), (refs, "rid"))}
-    flat = lambda d, i: stored(d.select(i, F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w")).where("w > 0"))
-    q, r = flat(queries, "qid"), flat(refs, "rid")
-    count = lambda d, i: d.select(i).distinct().count()
-    blocks, visits = _parts(count(r, "rid"), INDEX), _parts(count(q, "qid"), VISIT * 4)
-    r = r.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
-    # what a term can give to a score, here and in each block
-    term = stored(r.groupBy("t", "b").agg(F.count("*").alias("n"), F.max("w").alias("most")))
-    whole = term.groupBy("t").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
-    q = stored(q.join(whole, "t").select("qid", "t", "w", "n", (F.col("w") * F.col("most")).alias("part")))
-    heavy = Window.partitionBy("qid").orderBy(F.desc("part"), "t")
-    rare = q.where(F.col("n") <= SHORT).withColumn("i", F.row_number().over(heavy)).where(F.col("i") <= FIRST)
-    first = rare.select("qid", "t", F.col("w").alias("qw")).join(r.select("rid", "t", "w"), "t").groupBy("qid", "rid").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
-    least = first.groupBy("qid").agg(F.get(F.slice(F.sort_array(F.collect_list("s"), asc=False), k, 1), F.lit(0)).alias("least"))  # of FIRST * SHORT at most
-    rows = q.groupBy("qid").agg(F.collect_list("t").alias("terms"), F.collect_list("w").alias("weights")).join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    rows = stored(rows)
-    rest = F.sum("part").over(heavy.rowsBetween(Window.currentRow, Window.unboundedFollowing))  # over a query's terms
-    needed = q.withColumn("rest", rest).join(rows.select("qid", "least"), "qid").where(F.col("rest") >= F.col("least") - 1e-9).select("qid", "t")
-    a = F.pmod(F.xxhash64("qid"), F.lit(visits)).cast("int").alias("a")
-    visit = stored(needed.join(term.select("t", "b"), "t").select("qid", "b").distinct().select("qid", "b", a))
-    asked = rows.join(visit, "qid")
-    held = r.groupBy("rid", "b").agg(F.collect_list("t").alias("terms"), F.collect_list("w").alias("weights"))
-    held = held.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(visits - 1))))
-    held = held.join(visit.select("a", "b").distinct(), ["a", "b"], "left_semi")  # where some query visits the block
-    s = asked.groupBy("b", "a").cogroup(held.groupBy("b", "a")).applyInPandas(_visit(k), f"qid {kinds['qid']}, rid {kinds['rid']}, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    the smallest rid. Blocks of about INDEX references form inverted indexes, which blocks of VISIT queries visit (_search)."""
+
+    def rows(d: DataFrame, key: str, size: int) -> DataFrame:
+        d = stored(d.where(f"w > 0 and {key} is not null").select(F.col(key).alias("id"), F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w")))
+        d = d.repartition(_parts(d.select("id").distinct().count(), size), "id").groupBy("id").agg(F.collect_list(F.struct("t", "w")).alias("x"))
+        return d.select("id", F.col("x.t").alias("terms"), F.col("x.w").alias("weights"))
+
+    return _search(rows(queries, "qid", VISIT), rows(refs, "rid", INDEX), k)
+
+
+def texts_topk(docs: DataFrame, terms: Column, refs: Column, queries: Column, k: int, min_df: int) -> DataFrame:
+    """sparse_topk of texts by the terms that each holds, weighed by the references' idf (terms in at least min_df of them), each row of
+    length 1. docs are (id, ...), `terms` a text's array of terms, refs and queries say by id which rows are which. Texts of
+    one id count as one, in which a term occurs as often as texts hold it.
+
+    Texts are read once, into hashes of their terms. The HOT most frequent terms at most go to every task; only the rare others are
+    exchanged, to be weighed."""
+    hashed = F.transform(F.array_distinct(F.filter(terms, lambda t: t != "")), lambda t: F.xxhash64(t))
+    d = docs.where(F.col("id").isNotNull())
+    shared = d.groupBy(F.col("id").alias("__i")).agg(F.count("*").alias("n")).where("n > 1").select("__i")
+    if shared.isEmpty():
+        d = d.select("id", hashed.alias("terms"))
+    else:
+        same, d = F.col("id") == F.col("__i"), d.withColumn("terms", hashed).select("id", "terms")
+        d = d.join(shared, same, "left_anti").unionByName(d.join(shared, same, "left_semi").groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms")))
+    d = stored(d.where("size(terms) > 0").withColumns({"r": refs, "q": queries}).where("r or q"))
+    n = d.where("r").count()
+    df = d.where("r").select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    df = stored(df.select("t", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")))
+    size = df.groupBy("df").agg(F.count("*").alias("n")).withColumn("m", F.sum("n").over(Window.orderBy(F.desc("df"))))  # a row for each frequency
+    least = size.where(F.col("m") <= HOT).agg(F.min("df")).first()[0]
+    more = df.where(F.col("df") < least) if least is not None else df
+    hot = (df.where(F.col("df") >= least) if least is not None else df.limit(0)).select("t", "idf").toPandas().sort_values("t")  # of HOT terms at most
+    known, idf = hot["t"].to_numpy(np.int64), hot["idf"].to_numpy(float)
+    of = _known(known, idf)
+    rows = d.select("id", "r", "q", "terms")
+    if not more.isEmpty():
+
+        def others(batches):
+            for b in batches:
+                size, t = _lists(b.column("terms"))
+                ok = _counted(size, t, known, idf)[3]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.repeat(np.arange(len(size)), size)[~ok])), pa.array(t[~ok])], names=["id", "t"])
+
+        rare = d.mapInArrow(others, f"id {d.schema['id'].dataType.simpleString()}, t bigint").join(more.select("t", "idf").hint("merge"), "t")
+        rare = rare.groupBy("id", "t", "idf").agg(F.count("*").alias("tf")).select("id", F.struct("t", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
+        rare = stored(rare.groupBy("id").agg(F.collect_list("x").alias("x")))
+        rows = rows.join(rare.hint("merge"), "id", "left").select("id", "r", "q", "terms", F.col("x.t").alias("t"), F.col("x.w").alias("w"))
+    side = lambda c: rows.where(c).drop("r", "q")
+    return _search(side("q"), side("r"), k, (of, of))
 
 
 def _celled(side: DataFrame, key: str, pivot: np.ndarray) -> DataFrame:

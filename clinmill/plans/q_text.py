@@ -229,11 +229,9 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s
 
 @query("jn19_bl06_knn_vote", f"WITH {KNN} SELECT qid AS row_id, 'q' || quality AS label, count(*) AS votes FROM top JOIN labels ON doc_id = rid GROUP BY 1, 2 HAVING count(*) >= 2", "documents", "labels")
 def _(docs, labels):
-    d = docs.select(F.col("doc_id").alias("row_id"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).where("term <> ''")
-    train, test = d.where("row_id % 5 > 0"), d.where("row_id % 5 = 0")
-    idf = FE.tfidf_fit(train, 2)
+    d = docs.select(F.col("doc_id").alias("id"), "text")
     g = labels.select(F.col("doc_id").alias("row_id"), F.concat(F.lit("q"), "quality").alias("label"))
-    return A.knn_label_vote(FE.tfidf_transform(train, idf), FE.tfidf_transform(test, idf), g)
+    return A.label_vote(A.texts_topk(d, F.split(F.lower("text"), r"[^\p{L}]+"), F.expr("id % 5 > 0"), F.expr("id % 5 = 0"), 5, 2), g)
 
 
 @query("jn20_match_predictions", "WITH g AS (SELECT DISTINCT row_id, label FROM gold), h AS (SELECT DISTINCT row_id, label FROM pred WHERE p >= 0.5) SELECT pid AS row_id, (SELECT count(*) FROM g JOIN h USING (row_id, label) WHERE g.row_id = enc.pid) AS hits FROM enc", "gold", "pred", "enc")

@@ -155,6 +155,42 @@ def test_index_stops_early_and_stays_exact():
             assert index.rids[rows].tolist() == rid[order].tolist() and scores == pytest.approx(full[order], abs=2e-9)
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 25])
+def test_texts_meet_without_copies(spark, monkeypatch, hot):
+    """All pairs of texts of one, several and no rows an id; pairs of blocks are neither shuffled nor copied, with frequent terms alone in every task too."""
+    for name, value in (("HOT", hot), ("INDEX", 16), ("VISIT", 8), ("POSTINGS", 200)):
+        monkeypatch.setattr(R, name, value)
+    kept, write = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda d: kept.append(d) or write(d))
+    r = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(80)]
+    text = lambda: " ".join(r.choice(words, r.integers(1, 30), p=(x := 1 / np.arange(2, 82)) / x.sum()))
+    rows = [(k, text()) for k in range(150)] + [(k, text()) for k in range(30)] + [(None, text()), (500, ""), (505, None), (601, "nowhere else"), (600, "nowhere else")]
+    held: dict = {}
+    for k, v in rows:
+        if k is not None and v:
+            held.setdefault(k, []).extend(set(v.split()))
+    train = {k: v for k, v in held.items() if k % 5}
+    df = {t: sum(t in v for v in train.values()) for t in {t for v in held.values() for t in v}}
+    idf = {t: math.log((1 + len(train)) / (1 + n)) + 1 for t, n in df.items() if n >= 2}
+    weigh = lambda v: {t: (1 + math.log(v.count(t))) * idf[t] for t in set(v) if t in idf}
+    unit = lambda d: {t: x / math.sqrt(sum(y * y for y in d.values())) for t, x in d.items()}
+    w = {k: unit(weigh(v)) for k, v in held.items()}
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    got: dict = {}
+    for x in R.texts_topk(docs, F.split("text", " "), F.expr("id % 5 > 0"), F.expr("id % 5 = 0"), 4, 2).collect():
+        got.setdefault(x["qid"], {})[x["rank"]] = (x["rid"], x["score"])
+    for k in w:
+        if k % 5 == 0:
+            want = [(-v, j) for v, j in sorted((-round(sum(x * w[j].get(t, 0.0) for t, x in w[k].items()), 9), j) for j in train) if v < 0][:4]
+            mine = [got.get(k, {})[i + 1] for i in range(len(got.get(k, {})))]
+            assert [v for _, v in mine] == pytest.approx([v for v, _ in want], abs=2e-9), k
+            assert [j for j, _ in mine] == [j for _, j in want], k
+    pairs, = (d._jdf.queryExecution().executedPlan().toString() for d in kept if d.columns == ["qid", "rid", "score"])
+    assert "CartesianProduct" in pairs and "Exchange" not in pairs and "Generate" not in pairs
+    assert len(kept) == (5 if hot > 25 else 6)
+
+
 def test_groups_and_concepts(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 16)
     r = np.random.default_rng(2)
